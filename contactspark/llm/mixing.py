@@ -10,10 +10,13 @@ The chances are rounded dependently. Within a block of documents of one source
 the pivotal method takes two documents with open chances and moves expected words
 from one to the other, in a direction drawn so that each chance keeps its mean,
 until one of the two is 0 or 1; the other goes on. A block leaves one open
-document. These meet in blocks again, level by level, until a source has one left
-that is drawn alone. So the words taken from a source differ from its target by
-less than its largest document, whatever the size of the source, and no task
-sees more than a block.
+document. These meet in blocks again, level by level, up to a source's root. There
+about ``RESERVE`` of its documents, held back so far, join them from the largest
+to the smallest, and an open document's direction is drawn once, with its chance
+to be taken: so the few that are left suffice to settle it, and what is open at
+the end, rounded alone, is small. The words taken from a source differ from its
+target by less than a small document where documents of all sizes are in reserve
+(by less than its largest in any case), and no task sees more than a block.
 
 All draws are hashes of the document, so reruns agree.
 
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 
 from contactspark.llm.common import cut, fresh, word_count
 
-#: Weights by place in the order of sources, most copies of a document, documents in a block, draws' seed.
-WEIGHTS, CAP, BLOCK, SEED = (1, 2, 3), 3, 64, 20
+#: Weights by place in the order of sources, most copies of a document, documents in a block and in a source's reserve, draws' seed.
+WEIGHTS, CAP, BLOCK, RESERVE, SEED = (1, 2, 3), 3, 64, 128, 20
 #: Sources up to which their table (a row each) is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -59,8 +62,9 @@ def _draw(key: str, level: int) -> str:
     return f"(xxhash64({key}.k1, {key}.k2, {level}, {SEED}) & 9007199254740991) / 9007199254740992D"
 
 
-def _pivot(items: str, kind: str, level: int) -> str:
+def _pivot(items: str, kind: str, level: int, root: bool) -> str:
     """SQL that folds an array of items (k1, k2, p, size, row) to (cur, p, done): the item left open, its chance, and the others with their outcome."""
+    up = f"{_draw('a.cur', level)} < a.p" if root else f"{_draw('x', level)} * (w.into + w.out) < w.out"
     zero = f"named_struct('cur', cast(null as {kind}), 'p', 0D, 'done', cast(array() as array<struct<item:{kind},up:boolean>>))"
     settled = """if(g.up,
         named_struct('cur', x, 'p', greatest(0D, x.p - g.moved / x.size), 'done', concat(a.done, array(named_struct('item', a.cur, 'up', true)))),
@@ -72,7 +76,7 @@ def _pivot(items: str, kind: str, level: int) -> str:
         named_struct('cur', x, 'p', x.p, 'done', a.done),
         element_at(transform(array(named_struct(
             'into', least((1 - a.p) * a.cur.size, x.p * x.size), 'out', least(a.p * a.cur.size, (1 - x.p) * x.size))), w ->
-          element_at(transform(array(named_struct('up', {_draw("x", level)} * (w.into + w.out) < w.out, 'into', w.into, 'out', w.out)), d ->
+          element_at(transform(array(named_struct('up', {up}, 'into', w.into, 'out', w.out)), d ->
             element_at(transform(array(named_struct('up', d.up, 'moved', if(d.up, d.into, d.out),
                 'first', if(d.up, (1 - a.p) * a.cur.size <= x.p * x.size, a.p * a.cur.size <= (1 - x.p) * x.size))), g ->
               if(g.first, {settled}, {passed})), 1)), 1)), 1)))"""
@@ -100,18 +104,24 @@ def plan(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int, ..
     u = u.withColumn("_times", times).withColumn("_whole", F.floor("_times")).withColumn("p", F.col("_times") - F.col("_whole"))
     row = F.struct("row", "source", F.col("size").alias("size"), "n_rows", "source_size", "target", F.col("_whole").alias("whole"))
     item = F.struct("k1", "k2", "p", F.col("size").cast("double").alias("size"), row.alias("row"))
-    items = u.select(item.alias("item"), "number", F.pmod("k1", F.ceil(F.col("n_units") / block)).alias("block"))
+    items = u.select(item.alias("item"), "number", "n_units", F.pmod("k1", F.ceil(F.col("n_units") / block)).alias("block"))
     alone = (F.col("item.size") <= 0) | (F.col("item.p") <= 0)
     settled = [items.where(alone).select("item", F.expr(f"{_draw('item', 0)} < item.p").alias("up"))]
     kind = items.schema["item"].dataType.simpleString()
 
-    todo, level, blocks = items.where(~alone), 1, -(-most // block)
+    held_back = F.pmod(F.xxhash64("item.k1", "item.k2", F.lit(SEED)), F.col("n_units")) < RESERVE
+    reserve = items.where(~alone & held_back).select("item", "number", F.lit(0).cast("long").alias("block"))
+    todo, level, blocks = items.where(~alone & ~held_back).select("item", "number", "block"), 1, -(-most // block)
     while True:
-        folded = todo.groupBy("number", "block").agg(F.sort_array(F.collect_list("item")).alias("items"))
-        folded = cut(folded.select("number", "block", F.expr(_pivot("items", kind, level)).alias("f")))
+        root = blocks <= 1
+        if root:
+            todo = todo.unionByName(reserve)
+        ordered = F.sort_array(F.collect_list(F.struct((-F.col("item.size") if root else F.lit(0.0)).alias("by"), "item")))
+        folded = todo.groupBy("number", "block").agg(F.transform(ordered, lambda x: x["item"]).alias("items"))
+        folded = cut(folded.select("number", "block", F.expr(_pivot("items", kind, level, root)).alias("f")))
         settled.append(folded.select(F.explode("f.done").alias("d")).select("d.item", "d.up"))
-        if blocks <= 1:
-            settled.append(folded.select(F.col("f.cur").alias("item"), F.expr(f"{_draw('f.cur', level + 1)} < f.p").alias("up")))
+        if root:
+            settled.append(folded.select(F.col("f.cur").alias("item"), (F.col("f.p") >= 0.5).alias("up")))
             break
         reopened = F.struct(*[F.col("f.p").alias("p") if c == "p" else F.col(f"f.cur.{c}").alias(c) for c in ("k1", "k2", "p", "size", "row")])
         todo = folded.select(reopened.alias("item"), "number", F.floor(F.col("block") / block).alias("block"))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactspark.llm import mixing, pii, quality, shards
-from contactspark.llm.common import table
+from contactspark.llm import licences, lines, mixing, neardup, packing, pii, quality, shards, topk, warc
+from contactspark.llm.common import shared_dir, table
+
+
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +26,25 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit(shards.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.digest(table(spark, sf_dir, "documents"), ["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -38,9 +58,58 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(of(*pii.BASE)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4()}"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    captures = warc.assemble(warc.read(spark, folder))
+    new = F.col("response.warc_type") == "response"
+    field = lambda name: F.try_element_at("metadata.fields", F.lit(name)).cast("long")
+    return captures.select(
+        field("page-id").alias("page_id"),
+        F.when(new, F.col("response.payload_bytes")).otherwise(field("payload-bytes")).alias("payload_bytes"),
+        F.when(new, F.col("response.digest")).otherwise(F.col("response.header_digest")).alias("payload_digest"),
+        F.col("response.warc_type").alias("record_type"),
+        field("refers-to-page-id").alias("refers_to"),
+        F.col("response.target_uri").alias("url"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_quality_rules, op7_source_mixing, op8_pii)}
+    own = (op1_topk_search, op2_sharding, op3_line_dedup, op4_quality_rules, op5_minhash_neardup, op6_best_fit_packing, op7_source_mixing, op8_pii, op9_license_scan, op10_warc)
+    return {f.__name__: f for f in own}
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.c, c.c), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.c) = len(c.c)
+),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, url, html, list_aggregate(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) % 32, 1)), 'string_agg', '') AS payload_digest
+  FROM p
+),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM d)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to, url
+FROM f
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_topk_search": OP1_SQL, "op9_license_scan": licences.oracle(), "op10_warc": OP10_SQL}
