@@ -1,11 +1,452 @@
-"""The engine's queries over the driver's tables, and their SQL."""
+"""The engine's queries over the driver's tables, and the SQL that gives the same rows.
+
+Contacts come from ``lineitem``: five chromosomes of 50 Mb, positions from its keys,
+its quantity as MAPQ. A second set with fractional, partly negative scores comes
+from ``events``. What iterates, smooths or writes files has no SQL.
+"""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from contactspark.functions.blocks import block_shape_of
+from contactspark.genome import Genome
+from contactspark.operators import compare, contacts, expected, matrix, norms, region
+from contactspark.sources import text
+
+SIZE, MAPQ = 50_000_000, 10
+GENOME = Genome(tuple((f"chr{i}", SIZE) for i in range(1, 6)), "five")
+MB, RESOLUTIONS = 1_000_000, (100_000, 500_000, 1_000_000, 2_500_000)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read pairs made of ``lineitem``, in the schema of the readers."""
+    t = _table(spark, sf_dir, "lineitem")
+    mapq = F.col("l_quantity").cast("int")
+    return t.select(
+        (F.col("l_partkey") % 5 + 1).cast("int").alias("chr1"),
+        ((F.col("l_partkey") * 1000003 + F.col("l_linenumber") * 7919) % SIZE).cast("int").alias("pos1"),
+        F.lit(0).cast("byte").alias("strand1"),
+        F.lit(0).alias("frag1"),
+        mapq.alias("mapq1"),
+        (F.col("l_suppkey") % 5 + 1).cast("int").alias("chr2"),
+        ((F.col("l_orderkey") * 999983 + F.col("l_linenumber") * 104729) % SIZE).cast("int").alias("pos2"),
+        F.lit(0).cast("byte").alias("strand2"),
+        F.lit(1).alias("frag2"),
+        mapq.alias("mapq2"),
+        F.lit(1.0).cast("float").alias("score"),
+    )
+
+
+def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read pairs made of ``events``, with scores on both sides of 0."""
+    t = _table(spark, sf_dir, "events")
+    ends = {"chr1": F.col("user_id") % 5 + 1, "pos1": (F.col("event_id") * 1000003) % SIZE, "chr2": F.col("event_id") % 5 + 1, "pos2": (F.col("user_id") * 999983 + F.col("event_id") * 7919) % SIZE}
+    return t.select(*[v.cast("int").alias(k) for k, v in ends.items()], F.lit(1000).alias("mapq1"), F.lit(1000).alias("mapq2"), F.lit(0).alias("frag1"), F.lit(1).alias("frag2"), (F.col("value") - 100).cast("double").alias("score"))
+
+
+def _contacts(spark: SparkSession, sf_dir: str, **filters) -> DataFrame:
+    return contacts.contacts(raw_pairs(spark, sf_dir), GENOME, mapq=MAPQ, **filters)
+
+
+def _cells(spark: SparkSession, sf_dir: str, size: int = MB) -> DataFrame:
+    return matrix.cells(_contacts(spark, sf_dir), size)
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("bigint") for n in names})
+
+
+# --- queries ---------------------------------------------------------------
+
+
+def contacts_filtered(spark, sf_dir):
+    kept = raw_pairs(spark, sf_dir).where(~contacts.skipped(MAPQ))
+    return kept.select("chr1", "pos1", "chr2", "pos2", "mapq1")
+
+
+def canonical_pairs(spark, sf_dir):
+    return _contacts(spark, sf_dir).drop("score")
+
+
+def intra_only(spark, sf_dir):
+    return _contacts(spark, sf_dir, intra_only=True).drop("score")
+
+
+def near_diagonal(spark, sf_dir):
+    return _contacts(spark, sf_dir, near_diagonal_only=True).drop("score")
+
+
+def clamped_pairs(spark, sf_dir):
+    short = Genome(tuple((f"chr{i}", 30_000_000) for i in range(1, 6)))
+    return contacts.contacts(raw_pairs(spark, sf_dir), short, mapq=MAPQ).drop("score")
+
+
+def read_skip_counts(spark, sf_dir):
+    return contacts.counters(raw_pairs(spark, sf_dir), mapq=MAPQ, near_diagonal_only=True)
+
+
+def mnd_lines(spark, sf_dir):
+    """The pairs, written as lines of the MND layout with MAPQ and score, and parsed again."""
+    p = raw_pairs(spark, sf_dir)
+    lines = p.select(F.concat_ws(" ", "strand1", F.concat(F.lit("CHR"), "chr1"), "pos1", "frag1", "strand2", "chr2", "pos2", "frag2", "mapq1", "mapq2", F.lit("1.5")).alias("value"))
+    parsed = text.known_chromosomes(text._mnd(text._fields(lines), False), GENOME)
+    return parsed.select("chr1", "pos1", "chr2", "pos2", "mapq1", "frag2", F.col("score").cast("double").alias("score"))
+
+
+def cells_1mb(spark, sf_dir):
+    return _long(_cells(spark, sf_dir), "count").select("chr1", "chr2", "bin1", "bin2", "count")
+
+
+def cells_multires(spark, sf_dir):
+    made = matrix.multi_resolution(_contacts(spark, sf_dir), list(RESOLUTIONS))
+    return _long(matrix.union(made), "count").select("bin_size", "chr1", "chr2", "bin1", "bin2", "count")
+
+
+def cells_threshold(spark, sf_dir):
+    return _long(matrix.at_least(_cells(spark, sf_dir), 3), "count").select("chr1", "chr2", "bin1", "bin2", "count")
+
+
+def event_cells(spark, sf_dir):
+    own = matrix.cells(contacts.contacts(event_pairs(spark, sf_dir), GENOME), MB)
+    return own.select("chr1", "chr2", "bin1", "bin2", F.round("count", 3).alias("count"), F.round("pos_count", 3).alias("pos_count"))
+
+
+def whole_genome_cells(spark, sf_dir):
+    return _long(matrix.whole_genome(_contacts(spark, sf_dir), GENOME), "count").select("bin1", "bin2", "count")
+
+
+def zoom_sum_counts(spark, sf_dir):
+    return _long(matrix.zooms(_cells(spark, sf_dir), GENOME), "sum_counts", "n_cells").select("chr1", "chr2", "sum_counts", "n_cells", "block_columns", "block_bins")
+
+
+def _blocks(spark, sf_dir, size):
+    own = matrix.with_blocks(_cells(spark, sf_dir, size), GENOME)
+    return own.select("chr1", "chr2", "bin1", "bin2", "block_number")
+
+
+def block_intra(spark, sf_dir):
+    return _blocks(spark, sf_dir, 10_000).where("chr1 = chr2")
+
+
+def block_inter(spark, sf_dir):
+    return _blocks(spark, sf_dir, 1_000).where("chr1 < chr2")
+
+
+def block_params(spark, sf_dir):
+    sizes = spark.createDataFrame([(r,) for r in matrix.RESOLUTIONS], "bin_size int")
+    from contactspark.functions.blocks import block_shape
+
+    out = sizes.crossJoin(spark.createDataFrame([(True,), (False,)], "intra boolean"))
+    columns, side = block_shape(F.lit(SIZE), F.col("bin_size"), F.col("intra"))
+    return out.select("bin_size", "intra", columns.alias("block_columns"), side.alias("block_bins"))
+
+
+def chr_offsets(spark, sf_dir):
+    return GENOME.table(spark).select("index", "length", "offset")
+
+
+def distance_hist(spark, sf_dir):
+    by_chr = expected.distances(_cells(spark, sf_dir))
+    return _long(expected.histogram(by_chr, GENOME), "weight").select("dist", "weight")
+
+
+def chr_totals(spark, sf_dir):
+    return _long(expected.chromosome_totals(expected.distances(_cells(spark, sf_dir))), "total").select("chr", "total")
+
+
+def event_distance_hist(spark, sf_dir):
+    own = matrix.cells(contacts.contacts(event_pairs(spark, sf_dir), GENOME), MB)
+    return expected.histogram(expected.distances(own), GENOME).select("dist", F.round("weight", 3).alias("weight"))
+
+
+def possible_distances(spark, sf_dir):
+    totals = expected.chromosome_totals(expected.distances(_cells(spark, sf_dir)))
+    return expected.possible_distances(totals, GENOME).select("dist", F.col("possible").cast("bigint").alias("possible"))
+
+
+def _model(spark, sf_dir):
+    by_chr = expected.distances(_cells(spark, sf_dir))
+    totals = expected.chromosome_totals(by_chr)
+    dense = expected.density(expected.histogram(by_chr, GENOME), expected.possible_distances(totals, GENOME), GENOME)
+    return dense, expected.scale_factors(dense, totals, GENOME), totals
+
+
+def expected_density(spark, sf_dir):
+    return _model(spark, sf_dir)[0]
+
 
-def queries() -> dict:
-    return {}
+def chr_scale_factors(spark, sf_dir):
+    return _model(spark, sf_dir)[1]
+
+
+def _rounded(vector: DataFrame, own: DataFrame) -> DataFrame:
+    full = norms.densify(vector, own, GENOME)
+    return full.select("chr", "bin", F.round("value", 5).alias("value"))
+
+
+def vc(spark, sf_dir):
+    own = norms.intra(_cells(spark, sf_dir))
+    return _rounded(norms.coverage(own), own)
+
+
+def vc_scaled(spark, sf_dir):
+    own = norms.intra(_cells(spark, sf_dir))
+    return _rounded(norms.vc(own), own)
+
+
+def vc_sqrt(spark, sf_dir):
+    own = norms.intra(_cells(spark, sf_dir))
+    return _rounded(norms.vc_sqrt(own), own)
+
+
+def norm_cells_vc(spark, sf_dir):
+    own = norms.intra(_cells(spark, sf_dir))
+    return norms.normalised(own, norms.coverage(own)).select("chr", "bin1", "bin2", F.round("value", 9).alias("value"))
+
+
+def norm_distance_hist_vc(spark, sf_dir):
+    own = norms.intra(_cells(spark, sf_dir))
+    met = norms.normalised(own, norms.coverage(own)).select("bin_size", F.col("chr").alias("chr1"), F.col("chr").alias("chr2"), "bin1", "bin2", "value")
+    by_chr = expected.distances(met, F.col("value"))
+    return expected.histogram(by_chr, GENOME).select("dist", F.round("weight", 7).alias("weight"))
+
+
+def row_nonzeros(spark, sf_dir):
+    return norms.row_nonzeros(norms.intra(_cells(spark, sf_dir))).select("chr", "bin", "n")
+
+
+def coverage_stats(spark, sf_dir):
+    s = norms.coverage_stats(norms.intra(_cells(spark, sf_dir)))
+    return s.select("chr", "n_rows", F.round("mean", 9).alias("mean"), F.round("deviation", 9).alias("deviation"))
+
+
+def scale_vector(spark, sf_dir):
+    return norms.scaled(norms.intra(_cells(spark, sf_dir)), GENOME)
+
+
+def scale_row_sum_error(spark, sf_dir):
+    """How even the balanced rows are: the largest and smallest row sum over their mean, by chromosome."""
+    own = norms.intra(_cells(spark, sf_dir))
+    met = norms.normalised(own, norms.scaled(own, GENOME)).drop("count").withColumnRenamed("value", "count")
+    sums = norms.coverage(met.select("chr", "bin_size", "bin1", "bin2", "count"))
+    return sums.groupBy("chr").agg((F.max("value") / F.avg("value")).alias("most"), (F.min("value") / F.avg("value")).alias("least"))
+
+
+def contiguity_violations(spark, sf_dir):
+    """Chromosome pairs that appear in several runs when the pairs are read in the order of the keys."""
+    p = contacts.canonical(raw_pairs(spark, sf_dir).where(~contacts.skipped(MAPQ)).withColumn("score", F.lit(1)))
+    found = contacts.scattered_groups(p, ["pos1", "pos2", "chr1", "chr2"])
+    return found.select("chr1", "chr2", F.col("n_runs").cast("bigint").alias("n_runs"))
+
+
+REGION = ((1, 5_000_000, 25_000_000), (1, 10_000_000, 40_000_000))
+BETWEEN = ((4, 0, 20_000_000), (2, 10_000_000, 30_000_000))
+
+
+def region_observed(spark, sf_dir):
+    return region.query(_cells(spark, sf_dir), *REGION, MB).select("x", "y", F.col("value").cast("double").alias("value"))
+
+
+def region_between(spark, sf_dir):
+    return region.query(_cells(spark, sf_dir), *BETWEEN, MB).select("x", "y", F.col("value").cast("double").alias("value"))
+
+
+def _vectors(spark, sf_dir):
+    own = norms.intra(_cells(spark, sf_dir))
+    return norms.coverage(own).select(F.lit("VC").alias("norm"), "chr", "bin_size", "bin", "value")
+
+
+def region_vc(spark, sf_dir):
+    cells_ = _cells(spark, sf_dir)
+    picked = region.select(cells_, *REGION, MB)
+    own = picked.select(F.col("chr1").alias("chr"), "bin_size", "bin1", "bin2", "count")
+    met = norms.normalised(own, _vectors(spark, sf_dir).drop("norm"))
+    return met.select((F.col("bin1") * MB).alias("x"), (F.col("bin2") * MB).alias("y"), F.round("value", 9).alias("value"))
+
+
+def region_oe(spark, sf_dir):
+    dense, factors, _ = _model(spark, sf_dir)
+    return region.query(_cells(spark, sf_dir), *REGION, MB, density=dense, factors=factors)
+
+
+def _two_results(spark, sf_dir):
+    own = region.query(_cells(spark, sf_dir), *REGION, MB)
+    strict = matrix.cells(contacts.contacts(raw_pairs(spark, sf_dir), GENOME, mapq=20), MB)
+    return own, region.query(strict, *REGION, MB)
+
+
+def compare_metrics(spark, sf_dir):
+    s = compare.compare_dumps(*_two_results(spark, sf_dir))
+    return s.select("rows_left", "rows_right", "coordinates_equal", "common_positive_finite", *[F.round(c, 9).alias(c) for c in ("pearson", "median_ratio", "median_relative_error", "max_relative_error")])
+
+
+def key_set_diff(spark, sf_dir):
+    left, right = _two_results(spark, sf_dir)
+    return compare.key_sets(left, right, ["x", "y"])
+
+
+def duplicate_keys(spark, sf_dir):
+    own = _contacts(spark, sf_dir)
+    return compare.duplicate_keys(own, ["chr1", "chr2", "pos1"]).select("chr1", "chr2", "pos1", "n")
+
+
+def first_appearance(spark, sf_dir):
+    """Chromosome pairs in the order in which they first appear, reading by the first position."""
+    first = _contacts(spark, sf_dir).groupBy("chr1", "chr2").agg(F.min(F.struct("pos1", "pos2")).alias("at"))
+    order = Window.orderBy("at.pos1", "at.pos2", "chr1", "chr2")
+    return first.select("chr1", "chr2", F.row_number().over(order).alias("place"))
+
+
+def streaming_cells(spark, sf_dir):
+    from contactspark.streaming import cells as stream
+
+    folder = tempfile.mkdtemp(prefix="contactspark-stream-") if spark.sparkContext.master.startswith("local[") else f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/stream-{spark.sparkContext.applicationId}"
+    out = stream.run_once(spark, f"{sf_dir}/lineitem.parquet", folder, lambda df: _from_lineitem(df), MB)
+    return _long(out, "count").select("chr1", "chr2", "bin1", "bin2", "count")
+
+
+def _from_lineitem(df: DataFrame) -> DataFrame:
+    mapq = F.col("l_quantity").cast("int")
+    p = df.select(
+        (F.col("l_partkey") % 5 + 1).cast("int").alias("chr1"),
+        ((F.col("l_partkey") * 1000003 + F.col("l_linenumber") * 7919) % SIZE).cast("int").alias("pos1"),
+        (F.col("l_suppkey") % 5 + 1).cast("int").alias("chr2"),
+        ((F.col("l_orderkey") * 999983 + F.col("l_linenumber") * 104729) % SIZE).cast("int").alias("pos2"),
+        mapq.alias("mapq1"), mapq.alias("mapq2"), F.lit(0).alias("frag1"), F.lit(1).alias("frag2"), F.lit(1.0).cast("float").alias("score"),
+    )
+    return contacts.contacts(p, GENOME, mapq=MAPQ)
+
+
+def v9_roundtrip(spark, sf_dir):
+    """Cells at two resolutions, written to a container and read again."""
+    from contactspark.sources import container
+
+    own = matrix.multi_resolution(_contacts(spark, sf_dir), [500_000, 1_000_000])
+    path = f"{tempfile.mkdtemp(prefix='contactspark-')}/matrix.hic"
+    container.write(spark, path, GENOME, matrix.union(own))
+    return _long(container.read_cells(spark, path), "count").select("bin_size", "chr1", "chr2", "bin1", "bin2", "count")
+
+
+# --- SQL -------------------------------------------------------------------
+
+_PAIRS = f"""
+raw AS (SELECT CAST(l_partkey % 5 + 1 AS INT) AS chr1, CAST((l_partkey * 1000003 + l_linenumber * 7919) % {SIZE} AS INT) AS pos1,
+  CAST(l_suppkey % 5 + 1 AS INT) AS chr2, CAST((l_orderkey * 999983 + l_linenumber * 104729) % {SIZE} AS INT) AS pos2, CAST(l_quantity AS INT) AS mapq1 FROM lineitem),
+good AS (SELECT * FROM raw WHERE mapq1 >= {MAPQ}),
+c AS (SELECT least(chr1, chr2) AS chr1, greatest(chr1, chr2) AS chr2,
+  CASE WHEN (chr1, pos1) <= (chr2, pos2) THEN pos1 ELSE pos2 END AS pos1, CASE WHEN (chr1, pos1) <= (chr2, pos2) THEN pos2 ELSE pos1 END AS pos2, mapq1 FROM good)"""
+_CELLS = _PAIRS + f""",
+cells AS (SELECT chr1, chr2, pos1 // {MB} AS bin1, pos2 // {MB} AS bin2, count(*)::BIGINT AS n FROM c GROUP BY ALL)"""
+_INTRA = _CELLS + """,
+own AS (SELECT chr1 AS chr, bin1, bin2, n FROM cells WHERE chr1 = chr2),
+ways AS (SELECT chr, bin1 AS bin, n FROM own UNION ALL SELECT chr, bin2, n FROM own WHERE bin1 <> bin2),
+cov AS (SELECT chr, bin, sum(n)::DOUBLE AS v FROM ways GROUP BY ALL)"""
+_BINS = f"bins AS (SELECT chr, unnest(range(0, {SIZE // MB + 1}))::INT AS bin FROM (SELECT DISTINCT chr FROM own))"
+
+
+def _scaled_sql(value: str) -> str:
+    return f"""WITH {_INTRA}, v AS (SELECT chr, bin, {value} AS v FROM cov),
+f AS (SELECT o.chr, CAST(sqrt(sum(m * n / (a.v * b.v)) / sum(m * n)) AS FLOAT) AS f FROM (SELECT *, CASE WHEN bin1 = bin2 THEN 1 ELSE 2 END AS m FROM own) o
+  JOIN v a ON a.chr = o.chr AND a.bin = bin1 JOIN v b ON b.chr = o.chr AND b.bin = bin2 GROUP BY o.chr), {_BINS}
+SELECT bins.chr, bins.bin, round(coalesce(v.v * f.f, 0), 5) AS value FROM bins LEFT JOIN v ON v.chr = bins.chr AND v.bin = bins.bin LEFT JOIN f ON f.chr = bins.chr"""
+
+
+_REGION = f"chr1 = 1 AND chr2 = 1 AND ((bin1 BETWEEN {5_000_000 // MB} AND {25_000_000 // MB} AND bin2 BETWEEN {10_000_000 // MB} AND {40_000_000 // MB}) OR (bin1 BETWEEN {10_000_000 // MB} AND {40_000_000 // MB} AND bin2 BETWEEN {5_000_000 // MB} AND {25_000_000 // MB}))"
+_TWO = _PAIRS + f""",
+l AS (SELECT pos1 // {MB} * {MB} AS x, pos2 // {MB} * {MB} AS y, count(*)::DOUBLE AS a FROM (SELECT *, pos1 // {MB} AS bin1, pos2 // {MB} AS bin2 FROM c) WHERE {_REGION} GROUP BY ALL),
+r AS (SELECT pos1 // {MB} * {MB} AS x, pos2 // {MB} * {MB} AS y, count(*)::DOUBLE AS b FROM (SELECT *, pos1 // {MB} AS bin1, pos2 // {MB} AS bin2 FROM c WHERE mapq1 >= 20) WHERE {_REGION} GROUP BY ALL),
+two AS (SELECT coalesce(l.x, r.x) AS x, coalesce(l.y, r.y) AS y, a, b FROM l FULL JOIN r ON l.x = r.x AND l.y = r.y)"""
+_EVENTS = f"""
+raw AS (SELECT CAST(user_id % 5 + 1 AS INT) AS chr1, CAST((event_id * 1000003) % {SIZE} AS INT) AS pos1, CAST(event_id % 5 + 1 AS INT) AS chr2,
+  CAST((user_id * 999983 + event_id * 7919) % {SIZE} AS INT) AS pos2, value - 100 AS s FROM events),
+c AS (SELECT least(chr1, chr2) AS chr1, greatest(chr1, chr2) AS chr2, CASE WHEN (chr1, pos1) <= (chr2, pos2) THEN pos1 ELSE pos2 END AS pos1,
+  CASE WHEN (chr1, pos1) <= (chr2, pos2) THEN pos2 ELSE pos1 END AS pos2, s FROM raw)"""
+
+
+def _blocks_sql(size: int, intra: bool) -> str:
+    columns, side = block_shape_of(SIZE, size, intra)
+    if intra:
+        number = f"CAST(floor(ln(1 + abs(bin1 - bin2) / (sqrt(2.0) * {side})) / ln(2.0)) AS INT) * {columns} + ((bin1 + bin2) // 2) // {side}"
+    else:
+        number = f"{columns} * (bin2 // {side}) + bin1 // {side}"
+    return f"""WITH {_PAIRS}, b AS (SELECT DISTINCT chr1, chr2, pos1 // {size} AS bin1, pos2 // {size} AS bin2 FROM c WHERE chr1 {'=' if intra else '<'} chr2)
+SELECT chr1, chr2, bin1, bin2, CAST({number} AS INT) AS block_number FROM b"""
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(str(r) for r in rows)}) t({names})"
+
+
+def _shapes_sql() -> str:
+    parts = [f"SELECT CAST({r} AS INT) AS bin_size, {str(i).lower()} AS intra, CAST({block_shape_of(SIZE, r, i)[0]} AS INT) AS block_columns, CAST({block_shape_of(SIZE, r, i)[1]} AS INT) AS block_bins" for r in matrix.RESOLUTIONS for i in (True, False)]
+    return " UNION ALL ".join(parts)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    canonical = "SELECT chr1, pos1, chr2, pos2 FROM c"
+    columns, side = block_shape_of(SIZE, MB, True)
+    many = " UNION ALL ".join(f"SELECT CAST({r} AS INT) AS bin_size, chr1, chr2, pos1 // {r} AS bin1, pos2 // {r} AS bin2, count(*)::BIGINT AS count FROM c GROUP BY ALL" for r in RESOLUTIONS)
+    kb, step = GENOME.total // 1000, GENOME.whole_genome_bin
+    assert kb > step
+    place = lambda e: f"CAST(((((chr{e} - 1)::BIGINT * {SIZE} + pos{e}) // 1000) // {step}) AS INT)"
+    event_cells_ = f"SELECT chr1, chr2, pos1 // {MB} AS bin1, pos2 // {MB} AS bin2, sum(s) AS n, sum(CASE WHEN s > 0 THEN s ELSE 0 END) AS p FROM c GROUP BY ALL"
+    normed = "SELECT o.chr, bin1, bin2, n / (a.v * b.v) AS value FROM own o JOIN cov a ON a.chr = o.chr AND a.bin = bin1 JOIN cov b ON b.chr = o.chr AND b.bin = bin2"
+    short = "least(pos1, 30000000)"
+    return {
+        "contacts_filtered": f"WITH {_PAIRS} SELECT chr1, pos1, chr2, pos2, mapq1 FROM good",
+        "canonical_pairs": f"WITH {_PAIRS} {canonical}",
+        "intra_only": f"WITH {_PAIRS} {canonical} WHERE chr1 = chr2",
+        "near_diagonal": f"WITH {_PAIRS} {canonical} WHERE chr1 <> chr2 OR abs(pos1 - pos2) <= 10000000",
+        "clamped_pairs": f"WITH {_PAIRS} SELECT chr1, {short} AS pos1, chr2, least(pos2, 30000000) AS pos2 FROM c",
+        "read_skip_counts": f"WITH {_PAIRS} SELECT count(*)::BIGINT AS total, count(*) FILTER (mapq1 < {MAPQ} OR (chr1 = chr2 AND abs(pos1 - pos2) > 10000000))::BIGINT AS skipped FROM raw",
+        "mnd_lines": f"WITH {_PAIRS} SELECT chr1, pos1, chr2, pos2, mapq1, CAST(1 AS INT) AS frag2, 1.5::DOUBLE AS score FROM raw",
+        "cells_1mb": f"WITH {_CELLS} SELECT chr1, chr2, bin1, bin2, n AS count FROM cells",
+        "streaming_cells": f"WITH {_CELLS} SELECT chr1, chr2, bin1, bin2, n AS count FROM cells",
+        "cells_multires": f"WITH {_PAIRS} {many}",
+        "cells_threshold": f"WITH {_CELLS} SELECT chr1, chr2, bin1, bin2, n AS count FROM cells WHERE n >= 3",
+        "event_cells": f"WITH {_EVENTS}, e AS ({event_cells_}) SELECT chr1, chr2, bin1, bin2, round(n, 3) AS count, round(p, 3) AS pos_count FROM e",
+        "whole_genome_cells": f"WITH {_PAIRS}, p AS (SELECT {place(1)} AS a, {place(2)} AS b FROM c) SELECT least(a, b) AS bin1, greatest(a, b) AS bin2, count(*)::BIGINT AS count FROM p GROUP BY ALL",
+        "zoom_sum_counts": f"WITH {_CELLS} SELECT chr1, chr2, sum(CASE WHEN chr1 = chr2 AND bin1 <> bin2 THEN 2 * n ELSE n END)::BIGINT AS sum_counts, count(*)::BIGINT AS n_cells, CAST({columns} AS INT) AS block_columns, CAST({side} AS INT) AS block_bins FROM cells GROUP BY chr1, chr2",
+        "block_intra": _blocks_sql(10_000, True),
+        "block_inter": _blocks_sql(1_000, False),
+        "block_params": _shapes_sql(),
+        "chr_offsets": f"SELECT CAST(i AS INT) AS index, CAST({SIZE} AS BIGINT) AS length, CAST((i - 1) * {SIZE} AS BIGINT) AS \"offset\" FROM range(1, 6) t(i)",
+        "distance_hist": f"WITH {_CELLS} SELECT abs(bin1 - bin2) AS dist, sum(n)::BIGINT AS weight FROM cells WHERE chr1 = chr2 GROUP BY 1",
+        "chr_totals": f"WITH {_CELLS} SELECT chr1 AS chr, sum(n)::BIGINT AS total FROM cells WHERE chr1 = chr2 GROUP BY 1",
+        "event_distance_hist": f"WITH {_EVENTS}, e AS ({event_cells_}) SELECT abs(bin1 - bin2) AS dist, round(sum(p), 3) AS weight FROM e WHERE chr1 = chr2 AND p > 0 GROUP BY 1",
+        "possible_distances": f"WITH {_CELLS}, k AS (SELECT DISTINCT chr1 FROM cells WHERE chr1 = chr2) SELECT CAST(d AS INT) AS dist, sum({SIZE // MB} - d)::BIGINT AS possible FROM k, range(0, {SIZE // MB}) t(d) GROUP BY 1",
+        "vc": f"WITH {_INTRA}, {_BINS} SELECT bins.chr, bins.bin, round(coalesce(v, 0), 5) AS value FROM bins LEFT JOIN cov ON cov.chr = bins.chr AND cov.bin = bins.bin",
+        "vc_scaled": _scaled_sql("v"),
+        "vc_sqrt": _scaled_sql("sqrt(v)"),
+        "norm_cells_vc": f"WITH {_INTRA} SELECT chr, bin1, bin2, round(value, 9) AS value FROM ({normed})",
+        "norm_distance_hist_vc": f"WITH {_INTRA} SELECT abs(bin1 - bin2) AS dist, round(sum(value), 7) AS weight FROM ({normed}) GROUP BY 1",
+        "row_nonzeros": f"WITH {_INTRA} SELECT chr, bin, count(*)::BIGINT AS n FROM ways GROUP BY ALL",
+        "coverage_stats": f"WITH {_INTRA}, z AS (SELECT chr, bin, count(*) AS k FROM ways GROUP BY ALL) SELECT chr, count(*)::BIGINT AS n_rows, round(avg(k), 9) AS mean, round(stddev_pop(k), 9) AS deviation FROM z GROUP BY chr",
+        "contiguity_violations": f"WITH {_PAIRS}, o AS (SELECT chr1, chr2, lag((chr1, chr2)) OVER (ORDER BY pos1, pos2, chr1, chr2) AS before FROM c) SELECT chr1, chr2, count(*)::BIGINT AS n_runs FROM o WHERE before IS NULL OR before <> (chr1, chr2) GROUP BY ALL HAVING count(*) > 1",
+        "region_observed": f"WITH {_CELLS} SELECT bin1 * {MB} AS x, bin2 * {MB} AS y, n::DOUBLE AS value FROM cells WHERE {_REGION}",
+        "region_between": f"WITH {_CELLS} SELECT bin1 * {MB} AS x, bin2 * {MB} AS y, n::DOUBLE AS value FROM cells WHERE chr1 = 2 AND chr2 = 4 AND bin1 BETWEEN 10 AND 30 AND bin2 BETWEEN 0 AND 20",
+        "region_vc": f"WITH {_INTRA} SELECT bin1 * {MB} AS x, bin2 * {MB} AS y, round(value, 9) AS value FROM ({normed}) WHERE {_REGION.replace('chr1 = 1 AND chr2 = 1', 'chr = 1')}",
+        "compare_metrics": f"WITH {_TWO}, g AS (SELECT * FROM two WHERE a > 0 AND b > 0) SELECT (SELECT count(a) FROM two)::BIGINT AS rows_left, (SELECT count(b) FROM two)::BIGINT AS rows_right, (SELECT bool_and(a IS NOT NULL AND b IS NOT NULL) FROM two) AS coordinates_equal, count(*)::BIGINT AS common_positive_finite, round(corr(a, b), 9) AS pearson, round(median(b / a), 9) AS median_ratio, round(median(abs(a - b) / greatest(a, b)), 9) AS median_relative_error, round(max(abs(a - b) / greatest(a, b)), 9) AS max_relative_error FROM g",
+        "key_set_diff": f"WITH {_TWO} SELECT x, y, CASE WHEN b IS NULL THEN 'left' WHEN a IS NULL THEN 'right' ELSE 'both' END AS side FROM two",
+        "duplicate_keys": f"WITH {_PAIRS} SELECT chr1, chr2, pos1, count(*)::BIGINT AS n FROM c GROUP BY ALL HAVING count(*) > 1",
+        "first_appearance": f"WITH {_PAIRS}, f AS (SELECT chr1, chr2, min((pos1, pos2)) AS at FROM c GROUP BY ALL) SELECT chr1, chr2, (row_number() OVER (ORDER BY at, chr1, chr2))::INT AS place FROM f",
+    }
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    own = (
+        contacts_filtered, canonical_pairs, intra_only, near_diagonal, clamped_pairs, read_skip_counts, mnd_lines, cells_1mb, cells_multires, cells_threshold, event_cells,
+        whole_genome_cells, zoom_sum_counts, block_intra, block_inter, block_params, chr_offsets, distance_hist, chr_totals, event_distance_hist, possible_distances,
+        expected_density, chr_scale_factors, vc, vc_scaled, vc_sqrt, norm_cells_vc, norm_distance_hist_vc, row_nonzeros, coverage_stats, scale_vector, scale_row_sum_error,
+        contiguity_violations, region_observed, region_between, region_vc, region_oe, compare_metrics, key_set_diff, duplicate_keys, first_appearance, streaming_cells, v9_roundtrip,
+    )
+    return {f.__name__: f for f in own}
