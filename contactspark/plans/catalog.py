@@ -46,11 +46,11 @@ def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Read pairs made of ``events``, with scores on both sides of 0."""
+def event_pairs(spark: SparkSession, sf_dir: str, less: int = 100) -> DataFrame:
+    """Read pairs made of ``events``, with scores on both sides of 0 (or, with ``less`` = 0, above it)."""
     t = _table(spark, sf_dir, "events")
     ends = {"chr1": F.col("user_id") % 5 + 1, "pos1": (F.col("event_id") * 1000003) % SIZE, "chr2": F.col("event_id") % 5 + 1, "pos2": (F.col("user_id") * 999983 + F.col("event_id") * 7919) % SIZE}
-    return t.select(*[v.cast("int").alias(k) for k, v in ends.items()], F.lit(1000).alias("mapq1"), F.lit(1000).alias("mapq2"), F.lit(0).alias("frag1"), F.lit(1).alias("frag2"), (F.col("value") - 100).cast("double").alias("score"))
+    return t.select(*[v.cast("int").alias(k) for k, v in ends.items()], F.lit(1000).alias("mapq1"), F.lit(1000).alias("mapq2"), F.lit(0).alias("frag1"), F.lit(1).alias("frag2"), (F.col("value") - less).cast("double").alias("score"))
 
 
 def _contacts(spark: SparkSession, sf_dir: str, **filters) -> DataFrame:
@@ -229,13 +229,25 @@ def coverage_stats(spark, sf_dir):
     return s.select("chr", "n_rows", F.round("mean", 9).alias("mean"), F.round("deviation", 9).alias("deviation"))
 
 
+def _balanceable(spark, sf_dir):
+    """Matrices of ``events``; those of ``lineitem`` have rows that only few others touch, which no factors make even."""
+    own = matrix.cells(contacts.contacts(event_pairs(spark, sf_dir, 0), GENOME), 5 * MB)
+    return norms.intra(own)
+
+
 def scale_vector(spark, sf_dir):
-    return norms.scaled(norms.intra(_cells(spark, sf_dir)), GENOME)
+    return norms.scaled(_balanceable(spark, sf_dir), GENOME)
+
+
+def scale_failures(spark, sf_dir):
+    """Matrices of ``lineitem`` that can't be balanced."""
+    own = norms.intra(_cells(spark, sf_dir))
+    return own.select("chr", "bin_size").distinct().join(norms.scaled(own, GENOME).select("chr", "bin_size").distinct(), ["chr", "bin_size"], "left_anti")
 
 
 def scale_row_sum_error(spark, sf_dir):
     """How even the balanced rows are: the largest and smallest row sum over their mean, by chromosome."""
-    own = norms.intra(_cells(spark, sf_dir))
+    own = _balanceable(spark, sf_dir)
     met = norms.normalised(own, norms.scaled(own, GENOME)).drop("count").withColumnRenamed("value", "count")
     sums = norms.coverage(met.select("chr", "bin_size", "bin1", "bin2", "count"))
     return sums.groupBy("chr").agg((F.max("value") / F.avg("value")).alias("most"), (F.min("value") / F.avg("value")).alias("least"))
@@ -310,7 +322,7 @@ def streaming_cells(spark, sf_dir):
     from contactspark.streaming import cells as stream
 
     folder = tempfile.mkdtemp(prefix="contactspark-stream-") if spark.sparkContext.master.startswith("local[") else f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/stream-{spark.sparkContext.applicationId}"
-    out = stream.run_once(spark, f"{sf_dir}/lineitem.parquet", folder, lambda df: _from_lineitem(df), MB)
+    out = stream.run_once(spark, sf_dir, "lineitem.parquet", folder, lambda df: _from_lineitem(df), MB)
     return _long(out, "count").select("chr1", "chr2", "bin1", "bin2", "count")
 
 
@@ -438,7 +450,7 @@ def oracle_sql() -> dict[str, str]:
         "compare_metrics": f"WITH {_TWO}, g AS (SELECT * FROM two WHERE a > 0 AND b > 0) SELECT (SELECT count(a) FROM two)::BIGINT AS rows_left, (SELECT count(b) FROM two)::BIGINT AS rows_right, (SELECT bool_and(a IS NOT NULL AND b IS NOT NULL) FROM two) AS coordinates_equal, count(*)::BIGINT AS common_positive_finite, round(corr(a, b), 9) AS pearson, round(median(b / a), 9) AS median_ratio, round(median(abs(a - b) / greatest(a, b)), 9) AS median_relative_error, round(max(abs(a - b) / greatest(a, b)), 9) AS max_relative_error FROM g",
         "key_set_diff": f"WITH {_TWO} SELECT x, y, CASE WHEN b IS NULL THEN 'left' WHEN a IS NULL THEN 'right' ELSE 'both' END AS side FROM two",
         "duplicate_keys": f"WITH {_PAIRS} SELECT chr1, chr2, pos1, count(*)::BIGINT AS n FROM c GROUP BY ALL HAVING count(*) > 1",
-        "first_appearance": f"WITH {_PAIRS}, f AS (SELECT chr1, chr2, min((pos1, pos2)) AS at FROM c GROUP BY ALL) SELECT chr1, chr2, (row_number() OVER (ORDER BY at, chr1, chr2))::INT AS place FROM f",
+        "first_appearance": f"WITH {_PAIRS}, f AS (SELECT chr1, chr2, min((pos1, pos2)) AS spot FROM c GROUP BY ALL) SELECT chr1, chr2, (row_number() OVER (ORDER BY spot, chr1, chr2))::INT AS place FROM f",
     }
 
 
@@ -446,7 +458,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         contacts_filtered, canonical_pairs, intra_only, near_diagonal, clamped_pairs, read_skip_counts, mnd_lines, cells_1mb, cells_multires, cells_threshold, event_cells,
         whole_genome_cells, zoom_sum_counts, block_intra, block_inter, block_params, chr_offsets, distance_hist, chr_totals, event_distance_hist, possible_distances,
-        expected_density, chr_scale_factors, vc, vc_scaled, vc_sqrt, norm_cells_vc, norm_distance_hist_vc, row_nonzeros, coverage_stats, scale_vector, scale_row_sum_error,
+        expected_density, chr_scale_factors, vc, vc_scaled, vc_sqrt, norm_cells_vc, norm_distance_hist_vc, row_nonzeros, coverage_stats, scale_vector, scale_failures, scale_row_sum_error,
         contiguity_violations, region_observed, region_between, region_vc, region_oe, compare_metrics, key_set_diff, duplicate_keys, first_appearance, streaming_cells, v9_roundtrip,
     )
     return {f.__name__: f for f in own}

@@ -32,9 +32,9 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/additions").groupBy(*matrix.CELL).agg(F.sum("count").alias("count"), F.sum("pos_count").alias("pos_count"))
 
 
-def run_once(spark: SparkSession, path: str, folder: str, to_contacts: Callable[[DataFrame], DataFrame], bin_size: int) -> DataFrame:
-    """Takes in all Parquet files of ``path`` that weren't taken in before, and gives the cells."""
-    schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
+def run_once(spark: SparkSession, path: str, pattern: str, folder: str, to_contacts: Callable[[DataFrame], DataFrame], bin_size: int) -> DataFrame:
+    """Takes in the Parquet files in ``path`` of these names that weren't taken in before, and gives the cells."""
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(path).schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 8).parquet(path)
     start(spark, source, folder, to_contacts, bin_size, once=True).awaitTermination()
     return current(spark, folder)
