@@ -1,0 +1,566 @@
+"""The corpus operators against plain versions on small tables with nulls, ties, repeated rows, empty and long texts."""
+
+import collections
+import hashlib
+import random
+import re
+import struct
+import zlib
+from base64 import b32encode
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from contactspark.llm import licences, lines, mixing, neardup, packing, pii, quality, shards, topk, warc
+from contactspark.llm.shingles import dart_minhash, shingles, similarity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def words(n, seed):
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n)]
+
+
+def prose(n, seed, per_line=12):
+    w = words(n, seed)
+    return "\n".join(" ".join(w[i : i + per_line]) for i in range(0, n, per_line))
+
+
+ODD = [None, "", " \t\n ", "one", "a b c d e", "word " * 30, "x" * 70_000, "line\nline\nline", "ünï çödé ßtraße 日本語   nbsp em"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s1" if i % 3 else None, 1) for i, t in enumerate(ODD)]
+    rows += [(100 + i, prose(60 + 7 * i, i), "en", f"s{i % 4}", 1) for i in range(40)]
+    rows += [(200 + i, prose(80, 1), "de", "s0", 1) for i in range(20)]  # a hot group of copies
+    rows += [(300, prose(300, 300), "fr", "s2", 1), (300, prose(300, 300), "fr", "s2", 1), (None, prose(50, 5), None, None, None)]
+    return spark.createDataFrame(rows, DOCS).cache()
+
+
+def collected(df, *cols):
+    return [tuple(r) for r in df.select(*cols).collect()]
+
+
+# --- top-k -----------------------------------------------------------------
+
+
+def best(vectors, asks, k):
+    out = []
+    for n, (q, v) in enumerate(vectors):
+        if not good(v) or q is None or not asks(q):
+            continue
+        own = [int(np.floor(256 * float(x))) for x in v]
+        scored = []
+        for m, (i, w) in enumerate(vectors):
+            if m != n and i is not None and good(w) and len(w) == len(v):
+                scored.append((-sum(a * int(np.floor(256 * float(b))) for a, b in zip(own, w)), i))
+        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+def good(v):
+    return v is not None and all(x is not None and np.isfinite(x) for x in v)
+
+
+@pytest.mark.parametrize("candidates, queries", [(4096, 1024), (7, 3)])
+def test_top_k_is_exact(spark, candidates, queries):
+    r = random.Random(3)
+    rows = [(i, [float(r.choice([-1, 0, 1, r.gauss(0, 1)])) for _ in range(6)]) for i in range(120)]
+    rows += [(1000 + i, rows[0][1]) for i in range(30)]  # ties
+    rows += [(2000, None), (2050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2100, [float("nan")] * 6), (2150, [float("inf")] * 6), (2200, [1.0, 2.0]), (2250, [2.0, 2.0]), (2300, []), (None, rows[0][1]), (3000, rows[5][1]), (3000, rows[5][1]), (3000, rows[6][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, candidates=candidates, queries=queries)
+    assert sorted(collected(got, "query_id", "rank", "vec_id", "score")) == best(rows, lambda i: i % 50 == 0, 5)
+
+
+def test_top_k_of_huge_components_and_of_nothing(spark):
+    rows = [(0, [1e15, 3.0]), (1, [1e15, 2.0]), (2, [1e15, 5.0]), (3, [-1e18, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(df, F.col("vec_id") == 0).collect()}
+    assert got[0, 3] == -(2**63) and len(got) == 3
+    assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_reading_lists_finds_all_winners():
+    r = np.random.default_rng(1)
+    c = np.floor(r.normal(size=(300, 16)) ** 3 * 50)
+    q = np.floor(r.normal(size=(20, 16)) * 50)
+    for i, (own, score) in enumerate(topk.search(q, c, 5, lambda i, own: (c[own] @ q[i]).astype(int))):
+        assert sorted(score, reverse=True)[:5] == sorted((c @ q[i]).astype(int), reverse=True)[:5]
+
+
+# --- sharding --------------------------------------------------------------
+
+
+def test_shards_are_even_and_slots_gapless(spark, docs):
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 8
+    got = shards.assign(docs.withColumn("slot", F.lit("clash")), size, F.col("text"), shards=5, ranges=40, sample=400).withColumn("size", size)
+    rows = got.collect()
+    assert len(rows) == docs.count()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r)
+    assert set(by) <= set(range(5))
+    for own in by.values():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    total, largest = sum(r["size"] for r in rows), max(r["size"] for r in rows)
+    assert all(abs(sum(r["size"] for r in own) - total / 5) <= largest for own in by.values())
+
+
+def test_a_group_of_equal_keys_is_split(spark):
+    df = spark.range(3000).select(F.lit("same").alias("text"), F.col("id"))
+    got = shards.assign(df, F.lit(10), F.col("text"), shards=6, ranges=30, sample=300).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in got) == [500] * 6
+
+
+def test_sharding_nothing_and_little(spark):
+    df = spark.createDataFrame([(1, None), (2, 0)], "id long, size int")
+    assert sorted(collected(shards.assign(df, F.col("size"), F.col("id"), shards=4), "id")) == [(1,), (2,)]
+    assert shards.assign(df.limit(0), F.col("size"), F.col("id")).count() == 0
+
+
+# --- line dedup ------------------------------------------------------------
+
+
+def plain_dedup(rows):
+    """Chunks in order of (id, hash of text, place); the first of equal ones stays."""
+    place, first = [], {}
+    for i, t, k1, k2 in rows:
+        if t:
+            for n, chunk, held in lines._bytes(t.encode()):
+                if lines.removable(chunk, held):
+                    place.append(((i is not None, i or 0, k1, k2, n), chunk))
+    for at, chunk in sorted(place):
+        first.setdefault(chunk, at)
+    out = []
+    for i, t, k1, k2 in rows:
+        if t is None:
+            out.append((i, None))
+            continue
+        kept = [c for n, c, held in lines._bytes(t.encode()) if not lines.removable(c, held) or first[c] == (i is not None, i or 0, k1, k2, n)]
+        out.append((i, b"\n".join(kept).decode()))
+    return out
+
+
+def test_line_dedup_matches_plain(spark, docs):
+    passage = prose(70, 99, per_line=7)
+    long_line = " ".join(words(60, 98))
+    more = [(400 + i, f"{prose(30 + i, 400 + i)}\n{passage}\n{prose(20, 500 + i)}\n{long_line}", "en", "s", 1) for i in range(12)]
+    df = docs.unionByName(spark.createDataFrame(more, DOCS)).withColumn("numbers", F.lit(1))
+    rows = collected(df, "doc_id", "text", F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    got = lines.dedup(df)
+    assert got.columns == [*df.columns, "n_removed"]
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(collected(got, "doc_id", "text"), key=key) == sorted(plain_dedup(rows), key=key)
+    kept = [r for r in collected(got, "doc_id", "text") if r[0] is not None and 400 <= r[0] < 500]
+    assert sum(long_line in t for _, t in kept) == 1
+    inner = "\n".join(passage.split("\n")[3:-3])
+    assert sum(inner in t for _, t in kept) <= 1
+
+
+def test_chunks_do_not_shift():
+    body = [f"line {i} {i * i}" for i in range(200)]
+    cut = lambda ls: {t for _, t, _ in lines._bytes("\n".join(ls).encode())}
+    a, b = cut(body), cut(["new first line", "and second"] + body)
+    assert len(a & b) >= len(a) - 3
+    for text in ("", "\n", "a\n", "\n\n\na", "a\nb"):
+        assert b"\n".join(t for _, t, _ in lines._bytes(text.encode())) == text.encode()
+
+
+def test_line_dedup_of_nothing(spark, docs):
+    assert lines.dedup(docs.limit(0)).count() == 0
+
+
+# --- quality ---------------------------------------------------------------
+
+
+def plain_counts(t):
+    t = t or ""
+    w = re.findall(WORD, t)
+    grams = collections.defaultdict(list)
+    for i in range(len(w) - 4):
+        grams[tuple(w[i : i + 5])].append(i)
+    covered = {i + k for at in grams.values() if len(at) > 1 for i in at for k in range(5)}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(WORD, line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+
+
+def test_quality_counts(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    more = spark.createDataFrame([(900, "a b c d e f a b c d e x #*$%&|<>", "en", "s", 1), (901, "z " * 40 + "\x1c\x85  q", "en", "s", 1)], DOCS)
+    df = docs.unionByName(more).withColumn("kept", F.lit(3))
+    got = collected(quality.assess(df, labels), "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert len(got) == df.count()
+    for t, *counts, failed, kept in got:
+        assert tuple(counts) == plain_counts(t)
+        assert failed == (counts[0] < 10 or 100 * counts[4] > 20 * counts[0]) and kept == (not failed)
+
+
+def test_repeated_words_with_many_distinct_words():
+    w = [b"%d" % i for i in range(9000)]
+    assert quality.repeated_words(w + w[100:110]) == 20
+
+
+def test_forest_rejects_held_out_junk_and_keeps_prose(spark):
+    junk = lambda n, s: " | ".join(words(n, s))
+    rows, labels = [], []
+    for i in range(500):
+        bad = i % 8 == 0
+        rows.append((i, junk(60, i) if bad else prose(60 + i % 50, i), "en", "s", 1))
+        labels += [(i, 0 if bad else 1, 0)] if i < 300 else []
+    labels += [(None, 1, 0), (5000, 1, 0), (7, None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    kept = {r.doc_id: r.kept for r in quality.assess(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = range(300, 500)
+    assert sum(kept[i] for i in held if i % 8) >= 0.98 * sum(1 for i in held if i % 8)
+    assert not any(kept[i] for i in held if i % 8 == 0)
+    good = quality.keep_good(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert good.columns == df.columns and good.count() == sum(kept.values())
+
+
+# --- near-duplicates -------------------------------------------------------
+
+
+def shingle_counts(t):
+    w = re.findall(WORD, t or "")
+    return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else collections.Counter([tuple(w)] if w else [])
+
+
+def plain_classes(rows, threshold=0.8):
+    above = {n: n for n in range(len(rows))}
+
+    def top(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    held = [shingle_counts(t) for _, t in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if rows[a][1] is None or rows[b][1] is None:
+                continue
+            both = sum((held[a] & held[b]).values())
+            total = sum(held[a].values()) + sum(held[b].values()) - both
+            if rows[a][1] == rows[b][1] or (total and both / total >= threshold):
+                above[top(a)] = top(b)
+    named = collections.defaultdict(list)
+    for n, (i, _) in enumerate(rows):
+        named[top(n)].append(i)
+    least = {k: min((i for i in v if i is not None), default=None) for k, v in named.items()}
+    return [(rows[n][0], least[top(n)]) for n in range(len(rows))]
+
+
+def changed(text, n, seed):
+    r, w = random.Random(seed), text.split(" ")
+    for _ in range(n):
+        w[r.randrange(len(w))] = f"new{r.random()}"
+    return " ".join(w)
+
+
+def test_near_duplicates_match_all_pairs(spark, docs):
+    base = " ".join(words(300, 7))
+    more = [(500 + i, changed(base, i % 16, i), "en", "s", 1) for i in range(60)]
+    other = changed(base, 12, 77)
+    more += [(600 + i, changed(other, 3, 1000 + i), "en", "s", 1) for i in range(20)]
+    df = docs.unionByName(spark.createDataFrame(more, DOCS)).withColumn("class_id", F.lit("clash"))
+    rows = collected(df, "doc_id", "text")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or 0)
+    assert sorted(collected(neardup.classify(df), "doc_id", "class_id"), key=key) == sorted(plain_classes(rows), key=key)
+    kept = neardup.keep_one(docs)
+    classes = plain_classes(collected(docs, "doc_id", "text"))
+    nulls = docs.where("text is null").count()
+    assert kept.columns == docs.columns
+    assert sorted(collected(kept.where("text is not null"), "doc_id"), key=str) == sorted(((c,) for c in {c for i, c in classes if i != 0}), key=str)
+    assert kept.where("text is null").count() == nulls
+
+
+def test_near_duplicates_of_nothing(spark, docs):
+    assert neardup.classify(docs.limit(0)).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
+    df = spark.createDataFrame([(struct.pack(">i", a), struct.pack(">i", b)) for a, b in pairs], "a binary, b binary")
+    got = {struct.unpack(">i", bytes(r.tid))[0]: struct.unpack(">i", bytes(r.root))[0] for r in neardup.components(df).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)}
+
+
+def test_signatures_estimate_weighted_similarity():
+    off = []
+    for seed in range(30):
+        base = words(400, seed)
+        a = shingles(" ".join(base + base[:150]).encode())
+        b = shingles(changed(" ".join(base + base[50:200]), seed, seed).encode())
+        same = (dart_minhash(*a, 512) == dart_minhash(*b, 512)).mean()
+        off.append(same - similarity(a, b))
+    assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.03
+    e, w = np.arange(1, 50, dtype=np.uint64), np.full(49, 0.5)
+    assert (dart_minhash(e, w, 256) == dart_minhash(e, w * 2, 256)).mean() == pytest.approx(0.5, abs=0.1)
+
+
+# --- packing ---------------------------------------------------------------
+
+
+def test_packing_round_trip(spark, docs):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.default_tokenizer())
+    model.encode_special_tokens = True
+    packed = packing.pack(docs.withColumn("n", F.monotonically_increasing_id()).withColumn("offset", F.lit("clash")).drop("offset"), ["doc_id", "n", "text"], sequence=256, keep_ids=True)
+    rows = packed.collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.n].append(r)
+    assert len(by) == docs.count()
+    for own in by.values():
+        own.sort(key=lambda r: r.piece)
+        want = model.encode(own[0].text or "", add_special_tokens=False).ids + [0]
+        got = [x for r in own for x in struct.unpack(f"<{r.length}I", r.ids)]
+        assert got == want and [r.piece for r in own] == list(range(len(own)))
+        assert all(r.start == 256 * r.piece and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in own) and all(r.length == 256 for r in own[:-1])
+    total = 0
+    places = collections.defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+        total += r.length
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert len(places) <= 1.05 * total / 256 + 1
+    full = packing.sequences(packed).collect()
+    assert sum(len(r.ids) for r in full) == 4 * total and max(len(r.ids) for r in full) <= 1024
+
+
+def test_plan_is_best_fit_decreasing():
+    r = random.Random(5)
+    for _ in range(30):
+        counts = collections.Counter(r.choice([r.randint(1, 64), r.randint(1, 8), 33]) for _ in range(r.randint(1, 300)))
+        segments, used = packing.plan(counts, 64)
+        room, free = [], {}
+        for length in sorted(counts.elements(), reverse=True):
+            fits = [x for x in room if x >= length]
+            if fits:
+                room.remove(min(fits))
+                room.append(min(fits) - length)
+            else:
+                room.append(64 - length)
+        assert used == len(room)
+        held = collections.defaultdict(list)
+        for length, first, n, sequence, each, offset in segments:
+            for k in range(n):
+                held[sequence + k // each].append((offset + k % each * length, length))
+        assert sum(n for _, _, n, *_ in segments) == sum(counts.values())
+        for own in held.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= 64
+    assert packing.plan({}, 64) == ([], 0)
+
+
+def test_packing_nothing(spark, docs):
+    assert packing.pack(docs.limit(0), ["doc_id"]).count() == 0
+
+
+# --- mixing ----------------------------------------------------------------
+
+
+def plain_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        left = total - sum(3 * sizes[s] for s in capped)
+        open_ = sum(weight[s] for s in order if s not in capped)
+        target = {s: 3 * sizes[s] if s in capped else left * weight[s] / open_ for s in order}
+        new = {s for s in order if target[s] > 3 * sizes[s] + 1e-6}
+        if not new:
+            return target
+        capped |= new
+
+
+def test_mix_meets_targets(spark, docs):
+    big = spark.createDataFrame([(1000 + i, " ".join(words(10 + i % 200, i)), "en", "s0" if i % 3 else f"t{i % 7}", 1) for i in range(900)], DOCS)
+    df = docs.unionByName(big).withColumn("copies", F.lit("x"))
+    rows = mixing.digest(df, ["doc_id", "text", "source"]).collect()
+    assert len(rows) == df.count()
+    sizes, taken = collections.Counter(), collections.Counter()
+    for r in rows:
+        assert r["size"] == len(re.findall(WORD, r.text or ""))
+        assert r.taken <= 3 * r["size"] and (not r["size"] or r.taken % r["size"] == 0)
+        sizes[r.source] += r["size"]
+        taken[r.source] += r.taken
+    target = plain_targets(dict(sizes))
+    for r in rows:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source])
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= 60
+    again = mixing.digest(df, ["doc_id", "text", "source"]).collect()
+    key = lambda r: (str(r.doc_id), r.taken)
+    assert [key(r) for r in sorted(rows, key=key)] == [key(r) for r in sorted(again, key=key)]
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    got = collections.Counter((r.doc_id, r.text) for r in mixed.collect())
+    want = collections.Counter()
+    for r in rows:
+        want[r.doc_id, r.text] += r.copies
+    assert got == +want
+
+
+def test_pivoting_keeps_means(spark):
+    from contactspark.llm.mixing import SEED  # noqa: F401
+
+    df = spark.createDataFrame([(i, "w " * 10, "en", "a" if i % 4 else "b", 1) for i in range(4000)], DOCS)
+    rows = mixing.digest(df, ["doc_id"]).collect()
+    share = collections.Counter()
+    for r in rows:
+        share[r.doc_id // 1000, r.source_size] += r.copies
+    for s in {r.source_size for r in rows}:
+        each = [share[q, s] for q in range(4)]
+        assert max(each) - min(each) < 0.2 * max(each)
+
+
+def test_mixing_nothing(spark, docs):
+    assert mixing.digest(docs.limit(0), ["doc_id"]).count() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+# --- personal data ---------------------------------------------------------
+
+
+def luhn(s):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def plain_spans(t):
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+    out = []
+    for kind, pattern in kinds:
+        for m in re.finditer(pattern, t or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            if (kind == "ip" and any(int(x) > 255 for x in m.group().split("."))) or (kind == "card" and not (16 <= len(d) <= 19 and luhn(d))) or (kind == "phone" and not 8 <= len(d) <= 15):
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_personal_data_matches_plain(spark, docs):
+    r = random.Random(11)
+    card = "4556 7375 8689 9855"
+    parts = ["a@b.co", "x.y+z@sub-d.example.org.", "a@b", "@b.c", "a@b.cc@d.ee", "a@b.c_x@d.e", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "001.002.003.004", "1.2.3", card, card.replace(" ", "-"), card.replace(" ", "") + "1", "4111111111111111", "+1 (555) 010-9999", "+12", "+44 20 7946 0958 ", "+1+2 345 678 90", "é日", "\n", " ", "-", ".", "7", "+", "12 34", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "ssn 078-05-1120", "visa 378282246310005", "378282246310005"]
+    rows = [(1000 + i, "".join(r.choice(parts) + r.choice(["", " ", "x", "1"]) for _ in range(r.randint(1, 12))), "en", "s", 1) for i in range(400)]
+    rows += [(2000, "9" * 50_000, "en", "s", 1), (2001, "1 " * 30_000, "en", "s", 1), (2002, "a" * 50_000 + "@" + "b" * 1000, "en", "s", 1), (2003, "1.1.1.1 " * 2000, "en", "s", 1), (2004, "+1" + "(" * 20_000, "en", "s", 1)]
+    df = docs.unionByName(spark.createDataFrame(rows, DOCS)).withColumn("spans", F.lit("clash"))
+    got = collected(pii.scan(df), "text", "spans")
+    assert len(got) == df.count()
+    for t, spans in got:
+        assert [(s.kind, s.start, s.end) for s in spans if s.kind in pii.BASE] == plain_spans(t), t
+        assert all(t[s.start : s.end] == s.value for s in spans)
+    kinds = collections.Counter(s.kind for _, spans in got for s in spans)
+    assert kinds["iban"] and kinds["short_card"] and kinds["ssn"]
+
+
+def test_added_kinds_need_proof(spark):
+    texts = ["pay to GB82 WEST 1234 5698 7654 32 now", "pay to GB83 WEST 1234 5698 7654 32 now", "number 378282246310005", "visa 378282246310005", "visa 378282246310006", "social security 078-05-1120", "part 078-05-1120"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.scan(df).collect()}
+    assert got == {0: ["iban"], 1: [], 2: [], 3: ["short_card"], 4: [], 5: ["ssn"], 6: []}
+    assert pii.scan(df.limit(0)).count() == 0
+
+
+# --- licences --------------------------------------------------------------
+
+
+def plain_licences(t):
+    units = [("line", x) for x in t.split("\n")] + [("paragraph", x) for x in re.split(r"\n[ \t\r]*\n", t)] + [("text", t)]
+    out = collections.defaultdict(lambda: [0.0, 0])
+    for kind, body in units:
+        own = set(licences.bigrams(body))
+        found = set()
+        for name, template in licences.TEMPLATES:
+            want = set(licences.bigrams(template))
+            dice = 2 * len(own & want) / (len(own) + len(want)) if own else 0
+            if dice >= 0.8 - 1e-9:
+                out[name][0] = max(out[name][0], dice)
+                found.add(name)
+        for name in found if kind == "line" else ():
+            out[name][1] += 1
+    return {k: (round(a, 9), b) for k, (a, b) in out.items()}
+
+
+def test_licences_match_all_templates(spark, docs):
+    mit = next(t for n, t in licences.TEMPLATES if n == "MIT" and len(t) > 300)
+    apache = next(t for n, t in licences.TEMPLATES if n == "Apache-2.0" and len(t) > 300)
+    w = mit.split(" ")
+    texts = ["LICENSED under the apache license version 2.0!", "Released under the MIT License.\nReleased under the MIT License.", mit, "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9)), " ".join(w[: len(w) * 3 // 4]), f"Some prose.\n\n{apache[:420]}\n{apache[420:]}\n\nMore prose.", "License", "this work is licensed under something else entirely, version 3", "permission " * 200]
+    df = docs.unionByName(spark.createDataFrame([(3000 + i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)).where("doc_id is not null and doc_id <> 300").withColumn("licences", F.lit(0))
+    got = collections.defaultdict(dict)
+    for i, name, dice, n in collected(licences.report(df), "doc_id", "licence", "dice", "n_lines"):
+        got[i][name] = (round(dice, 9), n)
+    for i, t in collected(df, "doc_id", "text"):
+        assert got.get(i, {}) == plain_licences(t or ""), t
+    assert len(got) >= 5
+    assert licences.report(df.limit(0)).count() == 0
+
+
+# --- WARC ------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark, tmp_path):
+    tricky = "<p>\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n\x00é日</p>\n"
+    rows = [(5, "http://a.example/x?y=1#z", tricky), (3, "http://a.example/", tricky), (9, None, None), (2, "bad url\r\nX: y", ""), (7, "http://b.example", "solo"), (3, "http://a.example/", tricky), (None, "http://c.example", "nobody"), (11, "http://l.example", "long " * 100_000)]
+    rows += [(100 + i, f"http://hot.example/{i}", "hot page") for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    for compression in ("gzip", "none"):
+        path = f"{tmp_path}/{compression}"
+        warc.write(pages, path, compression)
+        records = warc.read(spark, path)
+        assert records.count() == 3 * len(rows)
+        got = warc.assemble(records).collect()
+        assert len(got) == len(rows)
+        field = lambda r, k: int(r.metadata.fields[k]) if k in r.metadata.fields else None  # noqa: B023, E731
+        out = collections.Counter()
+        for r in got:
+            new = r.response.warc_type == "response"
+            if new:
+                assert r.response.digest == r.response.header_digest
+            out[field(r, "page-id"), field(r, "payload-bytes"), r.response.header_digest, r.response.warc_type, field(r, "refers-to-page-id"), bytes(r.response.payload) if new else None] += 1
+            assert r.request is not None
+        want, first, seen = collections.Counter(), {}, set()
+        for i, _, h in rows:
+            h = h or ""
+            first[h] = min((x for x in (first.get(h), i) if x is not None), default=None)
+        for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+            b = (h or "").encode()
+            new = (i == first[h or ""]) and (h or "") not in seen
+            seen.add(h or "")
+            want[i, len(b), b32encode(hashlib.sha1(b).digest()).decode(), "response" if new else "revisit", None if new else first[h or ""], b if new else None] += 1
+        assert out == want
+    warc.write(pages.limit(0), f"{tmp_path}/none-at-all")
+    assert warc.assemble(warc.read(spark, f"{tmp_path}/none-at-all")).count() == 0
+
+
+def test_records_of_other_archives_are_read():
+    import gzip
+
+    def record(kind, urn, body, more=b""):
+        return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: " + urn + b"\r\n" + more + b"Content-Type: application/http; msgtype=response\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    a, b = record(b"response", b"<u:1>", b"HTTP/1.1 200 OK\r\n\r\nhello"), record(b"request", b"<u:2>", b"GET / HTTP/1.1\r\n\r\n", b"WARC-Concurrent-To: <u:1>\r\n")
+    for raw in (a + b, gzip.compress(a) + gzip.compress(b), gzip.compress(a + b)):
+        one, two = warc.parse(raw)
+        assert one["payload"] == b"hello" and two["concurrent_to"] == ["<u:1>"] and two["payload"] == b""
+    with pytest.raises(ValueError):
+        list(warc.parse(a[:-20]))
