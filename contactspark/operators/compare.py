@@ -35,7 +35,7 @@ def metrics(paired: DataFrame, by: list[str], a: str = "a", b: str = "b") -> Dat
     off = F.abs(x - y) / F.greatest(F.abs(x), F.abs(y), F.lit(1e-30))
     s = good.groupBy(*by).agg(
         F.count("*").alias("common_positive_finite"),
-        F.corr(x, y).alias("_r"),
+        F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("_r"),
         F.min(x).alias("_x0"),
         F.max(x).alias("_x1"),
         F.min(y).alias("_y0"),

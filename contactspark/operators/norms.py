@@ -97,6 +97,7 @@ def scaled(own: DataFrame, genome: Genome, tol: float = scale.TOLERANCE, max_ite
 
     wanted = own if not min_res else own.where(F.col("bin_size") >= min_res)
     raw = wanted.groupBy("chr", "bin_size").applyInPandas(group, "chr int, bin_size int, bin int, value double")
+    raw = raw.withColumn("value", F.coalesce("value", F.lit(float("nan"))))  # Arrow made it null
     return rescale(raw, sum_factor(own, raw))
 
 
