@@ -19,7 +19,8 @@ from contactspark.operators import scale
 from contactspark.session import ship
 
 NORMS = ("VC", "VC_SQRT", "SCALE")
-VECTOR = ["norm", "chr", "bin_size", "bin", "value"]
+#: Cells of a matrix that one task balances in memory (24 bytes each, and as much again while it works).
+GROUP_CELLS = 20_000_000
 
 
 def intra(cell_rows: DataFrame) -> DataFrame:
@@ -82,8 +83,12 @@ def vc_sqrt(own: DataFrame) -> DataFrame:
     return rescale(root, sum_factor(own, root))
 
 
-def scaled(own: DataFrame, genome: Genome, tol: float = scale.TOLERANCE, max_iter: int = scale.TOTAL_ITERATIONS, min_res: int = 0) -> DataFrame:
-    """chr, bin_size, bin, value of SCALE, NaN on masked bins; matrices that can't be balanced have no rows."""
+def scaled(own: DataFrame, genome: Genome, tol: float = scale.TOLERANCE, max_iter: int = scale.TOTAL_ITERATIONS, min_res: int = 0, group_cells: int = GROUP_CELLS) -> DataFrame:
+    """chr, bin_size, bin, value of SCALE, NaN on masked bins; matrices that can't be balanced have no rows.
+
+    A matrix of at most ``group_cells`` cells is balanced by one task; larger ones one
+    after the other, their cells spread over executors.
+    """
     ship(own.sparkSession)
     lengths = genome.lengths()
 
@@ -96,7 +101,18 @@ def scaled(own: DataFrame, genome: Genome, tol: float = scale.TOLERANCE, max_ite
         return pd.DataFrame({"chr": np.int32(chr_), "bin_size": np.int32(size), "bin": np.arange(n, dtype=np.int32), "value": got})
 
     wanted = own if not min_res else own.where(F.col("bin_size") >= min_res)
-    raw = wanted.groupBy("chr", "bin_size").applyInPandas(group, "chr int, bin_size int, bin int, value double")
+    sizes = wanted.groupBy("chr", "bin_size").count().collect()  # a row for each chromosome and resolution
+    large = [(r.chr, r.bin_size) for r in sizes if r["count"] > group_cells]
+    is_large = F.lit(False)
+    for c, b in large:
+        is_large = is_large | ((F.col("chr") == c) & (F.col("bin_size") == b))
+    schema = "chr int, bin_size int, bin int, value double"
+    raw = (wanted.where(~is_large) if large else wanted).groupBy("chr", "bin_size").applyInPandas(group, schema)
+    for c, b in large:
+        cells = wanted.where((F.col("chr") == c) & (F.col("bin_size") == b))
+        got = scale.balance_distributed(cells, lengths[c] // b + 1, tol, max_iter)
+        if got is not None:
+            raw = raw.unionByName(own.sparkSession.createDataFrame(pd.DataFrame({"chr": c, "bin_size": b, "bin": np.arange(len(got)), "value": got}), schema))
     raw = raw.withColumn("value", F.coalesce("value", F.lit(float("nan"))))  # Arrow made it null
     return rescale(raw, sum_factor(own, raw))
 

@@ -300,6 +300,15 @@ def test_distributed_balancing_is_the_same(spark):
     assert scale.balance_distributed(df, 101) == pytest.approx(scale.balance(row, col, value, 101), rel=1e-6)
 
 
+def test_large_matrices_are_balanced_alike(spark):
+    g, c = random_contacts(spark)
+    own = norms.intra(matrix.cells(c, 100_000))
+    key = lambda df: {(r.chr, r.bin): r.value for r in df.where("not isnan(value)").collect()}
+    small, large = key(norms.scaled(own, g)), key(norms.scaled(own, g, group_cells=100))
+    assert small.keys() == large.keys() and len(small) > 40
+    assert all(small[k] == pytest.approx(large[k], rel=1e-4) for k in small)
+
+
 def test_vectors(spark):
     g, c = random_contacts(spark)
     own_cells = matrix.cells(c, 100_000)
