@@ -76,11 +76,13 @@ def records(pages: DataFrame) -> DataFrame:
     """The three records of each page, as strings without their last line feed, in order within a capture."""
     html = F.coalesce("html", F.lit(""))
     p = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"), base32(F.sha1(html.cast("binary"))).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
-    known = p.groupBy("page_id", "digest", "bytes").agg(F.lit(1).alias("one"))
+    key = ["_id", "_none", "digest", "bytes"]  # page_id without null, so that join and window deal alike
+    p = p.withColumn("_id", F.coalesce("page_id", F.lit(0))).withColumn("_none", F.col("page_id").isNull())
+    known = p.select("page_id", *key).distinct()
     first = known.groupBy("digest", "bytes").agg(F.min("page_id").alias("first_id"))
-    known = known.join(first, ["digest", "bytes"]).select(F.col("page_id").alias("k_id"), F.col("digest").alias("k_digest"), F.col("bytes").alias("k_bytes"), "first_id")
-    p = p.join(known, F.col("page_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")) & (F.col("bytes") == F.col("k_bytes")))
-    p = p.withColumn("turn", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
+    known = known.join(first, ["digest", "bytes"]).select(*key, "first_id")
+    p = p.join(known, key)
+    p = p.withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy("url")))
     new = (F.col("turn") == 1) & F.col("page_id").eqNullSafe(F.col("first_id"))
 
     def response_id(page: str, turn: Column) -> Column:
