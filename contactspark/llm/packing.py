@@ -10,7 +10,9 @@ length is ranked in salted parts that are then put end to end) and take their
 slots by joining the plan on length and block of ranks.
 
 Tokens of a text are those of its words one by one: the tokenizer splits at white
-space before anything else, so each worker keeps the tokens of the words it met.
+space before anything else, so each worker keeps the tokens of the words it met,
+and splits plain Latin words itself where the tokenizer's file states the rules for
+that which it knows.
 
 Defined cases: a null or empty text is one piece of the end token alone; equal rows
 are packed as often as they occur; an empty table gives an empty result; further
@@ -19,7 +21,10 @@ columns named in ``carry`` are kept.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 from collections import defaultdict
 
 import numpy as np
@@ -39,6 +44,23 @@ WORDS_KEPT = 400_000
 _PIECES = "array<struct<start:bigint,ids:binary>>"
 _tokens: dict[str, tuple] = {}
 
+# What a tokenizer file says of its normalizer and splitter where words may be split here.
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _CONTRACTIONS + "|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Words that may be: printable ASCII and the letters of Latin-1, which NFC leaves alone; and their parts in lower case.
+_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+_PARTS = re.compile(_CONTRACTIONS + "|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+").findall
+#: Byte-level characters: printable bytes stand for themselves, the others in order for those from 256 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = dict(zip([b for b in range(256) if b not in set(_SHOWN)], range(256, 512), strict=False))
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -47,25 +69,52 @@ def default_tokenizer() -> str:
 
 
 def _encoder(path: str) -> tuple:
+    """The tokenizer, its model, and the ids of the words and of the parts of words that this worker met."""
     if path not in _tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tokens[path] = model, {}
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        told = json.loads(whole.to_str())
+        known = told["normalizer"] == _NORMALIZER and told["pre_tokenizer"] == _SPLITTER
+        _tokens[path] = whole, whole.model if known else None, {}, {}
     return _tokens[path]
 
 
+def _held(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def encode(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers."""
-    model, known = _encoder(path)
+    """Ids of each text as little-endian unsigned 32-bit numbers.
+
+    A word of Latin letters, digits and signs is split the way the tokenizer does it,
+    and its parts go to the model by themselves; words with other characters go through
+    the whole tokenizer.
+    """
+    whole, model, known, parts = _encoder(path)
     if len(known) > WORDS_KEPT:
         known.clear()
+    if len(parts) > WORDS_KEPT:
+        parts.clear()
     split = [t.split() for t in texts]
-    new = list({w for words in split for w in words if w not in known})
-    for w, e in zip(new, model.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, dtype="<u4").tobytes()
+    rest = []
+    for w in {w for words in split for w in words if w not in known}:
+        text = w.decode("utf-8", "replace")
+        if model is None or not (text.isascii() and text.isprintable() or _PLAIN(text)):
+            rest.append((w, text))
+            continue
+        ids = b""
+        for part in _PARTS(text.lower()):
+            held = parts.get(part)
+            if held is None:
+                held = parts[part] = _held([t.id for t in model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES))])
+            ids += held
+        known[w] = ids
+    if rest:
+        for (w, _), e in zip(rest, whole.encode_batch([t for _, t in rest], add_special_tokens=False), strict=True):
+            known[w] = _held(e.ids)
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
