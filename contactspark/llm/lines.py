@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from contactspark.llm.common import cut
+from contactspark.llm.common import cut, keep
 from contactspark.session import ship
 
 #: Lines in the rolling window; one in so many places ends a chunk; most lines of a chunk; words that make a line a passage.
@@ -109,34 +109,44 @@ def _without(text: pa.Array, numbers: pa.Array) -> pa.Array:
     return pa.array(out, type=pa.string())
 
 
-def _place(number: Column) -> Column:
-    return F.struct("id", "k1", "k2", number.alias("number"))
+KEY = ["_id", "_none", "_k1", "_k2"]
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """id, k1, k2 (a document) and numbers: its chunks that occurred before."""
-    ship(docs.sparkSession)
-    rows = docs.where("text is not null").select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
-    hashed = rows.select("id", "k1", "k2", F.explode(arrow_udf(_hashed, "array<struct<number:int,a:bigint,b:bigint>>")("text")).alias("c")).select("id", "k1", "k2", "c.*")
-    hashed = cut(hashed)
-    several = hashed.groupBy("a", "b").agg(F.min(_place(F.col("number"))).alias("low"), F.max(_place(F.col("number"))).alias("high")).where("low <> high").select("a", "b")
-    asked = hashed.join(several, ["a", "b"]).groupBy("id", "k1", "k2").agg(F.collect_set("number").alias("numbers"))
-    key = [F.coalesce("id", F.lit(0)), F.col("id").isNull()]
-    asked = asked.select(*[k.alias(n) for k, n in zip(key, ("_id", "_none"), strict=True)], "k1", "k2", "numbers")
-    held = rows.select("*", *[k.alias(n) for k, n in zip(key, ("_id", "_none"), strict=True)]).join(asked, ["_id", "_none", "k1", "k2"])
-    taken = cut(held.select("id", "k1", "k2", F.explode(arrow_udf(_chosen, "array<struct<number:int,chunk:binary>>")("text", "numbers")).alias("c")).select("id", "k1", "k2", "c.*"))
-    same = taken.groupBy("chunk").agg(F.min(_place(F.col("number"))).alias("first"), F.max(_place(F.col("number"))).alias("last")).where("first <> last").select(F.col("chunk").alias("bytes"), "first")
-    again = taken.join(same, F.col("chunk") == F.col("bytes")).where(_place(F.col("number")) != F.col("first"))
-    return cut(again.groupBy("id", "k1", "k2").agg(F.collect_set("number").alias("numbers")))
+def _keyed() -> list[Column]:
+    """What tells documents apart: doc_id and two hashes of the text."""
+    return [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(1), "text").alias("_k2")]
+
+
+def _place() -> Column:
+    return F.struct((~F.col("_none")).alias("named"), "_id", "_k1", "_k2", "number")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``, and with ``n_removed`` chunks (a column of that name is replaced)."""
-    gone = repeated(docs)
-    key = ["_id", "_none", "_k1", "_k2"]
-    gone = gone.select(F.coalesce("id", F.lit(0)).alias("_id"), F.col("id").isNull().alias("_none"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "numbers")
+    """``docs`` with repeated chunks taken out of ``text``, and with ``n_removed`` chunks (a column of that name is replaced).
+
+    Texts are dealt once, to meet the numbers of their chunks in question, and the
+    outcome is written; what follows moves the bytes of those chunks and the documents
+    that hold them, and all others are read straight from there.
+    """
+    ship(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != "n_removed"]
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(1), "text").alias("_k2"))
-    held = held.join(gone, key, "left")
-    text = F.when(F.col("numbers").isNull(), F.col("_doc.text")).otherwise(arrow_udf(_without, "string")(F.when(F.col("numbers").isNotNull(), F.col("_doc.text")), F.col("numbers")))
-    return held.select(*[(text if c.lower() == "text" else F.col(f"_doc.`{c}`")).alias(c) for c in kept], F.coalesce(F.size("numbers"), F.lit(0)).cast("long").alias("n_removed"))
+    chunk_hashes = arrow_udf(_hashed, "array<struct<number:int,a:bigint,b:bigint>>")("text")
+    hashed = cut(docs.where("text is not null").select(*_keyed(), F.explode(chunk_hashes).alias("c")).select(*KEY, "c.*"))
+    several = hashed.groupBy("a", "b").agg(F.min(_place()).alias("low"), F.max(_place()).alias("high")).where("low <> high").select("a", "b")
+    asked = hashed.join(several, ["a", "b"]).groupBy(*KEY).agg(F.collect_set("number").alias("numbers"))
+    held = keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), *_keyed()).join(asked, KEY, "left"))
+
+    some = held.where("numbers is not null")
+    bytes_ = arrow_udf(_chosen, "array<struct<number:int,chunk:binary>>")(F.col("_doc.text"), F.col("numbers"))
+    taken = cut(some.select(*KEY, F.explode(bytes_).alias("c")).select(*KEY, "c.*"))
+    same = taken.groupBy("chunk").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first <> last").select(F.col("chunk").alias("bytes"), "first")
+    again = taken.join(same, F.col("chunk") == F.col("bytes")).where(_place() != F.col("first"))
+    gone = cut(again.groupBy(*KEY).agg(F.collect_set("number").alias("gone")))
+
+    def told(text: Column, n: Column) -> list[Column]:
+        return [*[(text if c.lower() == "text" else F.col(f"_doc.`{c}`")).alias(c) for c in kept], n.cast("long").alias("n_removed")]
+
+    text = F.col("_doc.text")
+    without = arrow_udf(_without, "string")(F.when(F.col("gone").isNotNull(), text), F.col("gone"))
+    changed = some.join(gone, KEY, "left").select(*told(F.when(F.col("gone").isNull(), text).otherwise(without), F.coalesce(F.size("gone"), F.lit(0))))
+    return changed.unionByName(held.where("numbers is null").select(*told(text, F.lit(0))))
