@@ -2,7 +2,7 @@
 
 Equal texts are one text from the start (by MD5), so a group of copies is one row.
 Texts whose signatures agree in a band meet in that band's bucket. Then links are
-sought without ever listing a bucket's pairs:
+sought without listing a bucket's pairs:
 
 1. Each member meets the bucket's star, its member that most other texts share
    buckets with (where copies were made from one text, this is likely to be it).
@@ -43,6 +43,8 @@ from contactspark.llm.shingles import band_keys, dart_minhash, shingles, similar
 from contactspark.session import ship
 
 SIMILARITY, BANDS, ROWS, CHUNK = 0.8, 32, 4, 128
+#: Share of coordinates in which a pair in question must agree, 4.5 standard deviations below what 0.8 gives.
+AGREE = 0.64
 
 
 def _bands(text: pa.Array) -> pa.Array:
@@ -81,34 +83,58 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(small.where("a > b").distinct())
 
 
-def _across(threshold: float):
-    """Links between members of one cell that are in different classes, no more than make these one."""
-
-    def links(cell: pd.DataFrame) -> pd.DataFrame:
-        found, above = [], {}
-
-        def top(c: bytes) -> bytes:
-            while above.get(c, c) != c:
-                c = above[c]
-            return c
-
-        rows = list(zip(cell["tid"], cell["root"], cell["side"], [shingles(t.encode()) for t in cell["text"]], strict=True))
-        weight = [int(r[3][1].sum()) for r in rows]
-        order = sorted(range(len(rows)), key=lambda i: weight[i])
-        one = bool(cell["one"].iat[0])
-        for n, i in enumerate(order):
-            for j in order[n + 1 :]:
-                if weight[i] < threshold * weight[j]:
-                    break
-                x, y = rows[i], rows[j]
-                if (not one and x[2] == y[2]) or top(x[1]) == top(y[1]):
-                    continue
-                if similarity(x[3], y[3]) >= threshold:
-                    found.append((x[0], y[0]))
-                    above[top(x[1])] = top(y[1])
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return links
+def _signature(text: pa.Array) -> pa.Array:
+    out = []
+    for t in text.cast(pa.binary()):
+        elements, weights = shingles(t.as_py())
+        out.append(dart_minhash(elements, weights, BANDS * ROWS).astype("<u2").tobytes())
+    return pa.array(out, type=pa.binary())
+
+
+def _across(band: int, one: bool, held: np.ndarray, root: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Places of pairs of a cell in different classes whose signatures agree well enough, where no earlier band of theirs agrees (there they are listed already)."""
+    for i in range(len(held) - 1):
+        open_ = root[i + 1 :] != root[i]
+        if not one:
+            open_ &= side[i + 1 :] != side[i]
+        rest = np.flatnonzero(open_) + i + 1
+        if not len(rest):
+            continue
+        same = held[rest] == held[i]
+        good = same.sum(axis=1) >= AGREE * BANDS * ROWS
+        if band:
+            good &= ~same[:, : band * ROWS].reshape(len(rest), band, ROWS).all(axis=2).any(axis=1)
+        yield from ((i, j) for j in rest[good])
+
+
+def _cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_across`` for rows that come sorted by cell; a cell that the end of a batch cuts waits for the next one."""
+    names = ["bucket", "kind", "i", "j"]
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        keys = np.column_stack([rows.column(c).to_numpy() for c in names])
+        edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+        held = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype="<u2").reshape(len(keys), BANDS * ROWS)
+        tid, side, band, one = rows.column("tid").to_pylist(), rows.column("side").to_numpy(), rows.column("band").to_numpy(), rows.column("one").to_numpy()
+        root = pd.factorize(rows.column("root").to_pandas())[0]
+        found = [(tid[a + i], tid[a + j]) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1 for i, j in _across(int(band[a]), bool(one[a]), held[a:b], root[a:b], side[a:b])]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    rest = None
+    for part in parts:
+        rows = pa.Table.from_batches([part])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        if not len(rows):
+            continue
+        last = [rows.column(c)[-1].as_py() for c in names]
+        whole = len(rows)
+        while whole and [rows.column(c)[whole - 1].as_py() for c in names] == last:
+            whole -= 1
+        rest = rows.slice(whole)
+        if whole:
+            yield links(rows.slice(0, whole))
+    if rest is not None and len(rest):
+        yield links(rest)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -116,12 +142,20 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.groupBy("tid").agg(F.first("text").alias("text")).join(wanted, "tid", "left_semi")
 
 
+def _checked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough."""
+    one = texts.select(F.col("tid").alias("a"), F.col("text").alias("ta"))
+    two = texts.select(F.col("tid").alias("b"), F.col("text").alias("tb"))
+    met = pairs.join(one, "a").join(two, "b")
+    return cut(met.where(arrow_udf(_similarity, "double")("ta", "tb") >= threshold).select("a", "b"))
+
+
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """tid (a text's MD5), root for each text that is linked with a text of smaller tid."""
     ship(docs.sparkSession)
     docs = docs.where(F.col("text").isNotNull()).select("text", _tid().alias("tid"))
     signed = docs.select("tid", arrow_udf(_bands, "array<bigint>")("text").alias("bands")).groupBy("tid").agg(F.first("bands").alias("bands"))
-    members = signed.select("tid", F.explode("bands").alias("bucket"))
+    members = signed.select("tid", F.posexplode("bands").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(members.join(shared, "bucket"))
     fame = members.groupBy("tid").agg(F.sum("n").alias("fame"))
@@ -130,11 +164,10 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     pairs = cut(members.join(star, "bucket").where(F.col("tid") != F.col("b")).select(F.col("tid").alias("a"), "b").distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
     texts = cut(_texts(docs, wanted))
-    checked = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b")
-    links = cut(checked.where(arrow_udf(_similarity, "double")("ta", "tb") >= threshold).select("a", "b"))
+    links = _checked(pairs, texts, threshold)
     roots = components(links)
 
-    placed = members.join(roots, "tid", "left").select("bucket", "tid", F.coalesce("root", "tid").alias("root"))
+    placed = members.join(roots, "tid", "left").select("bucket", "band", "tid", F.coalesce("root", "tid").alias("root"))
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("bucket").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("big")).where("roots > 1")
     held = lambda n: F.greatest(F.ceil(n / CHUNK), F.lit(1)).cast("int")
@@ -144,12 +177,14 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     open_ = open_.withColumn("own", own)
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # members of the bucket's largest class meet all others, and these meet each other
-    large = open_.where("in_big").select("*", upto("n_rest").alias("other")).select("bucket", F.lit(0).alias("kind"), F.col("own").alias("i"), F.col("other").alias("j"), "tid", "root", F.lit(0).alias("side"), F.lit(False).alias("one"))
-    small = open_.where(~F.col("in_big")).select("*", upto("n_big").alias("other")).select("bucket", F.lit(0).alias("kind"), F.col("other").alias("i"), F.col("own").alias("j"), "tid", "root", F.lit(1).alias("side"), F.lit(False).alias("one"))
-    rest = open_.where(~F.col("in_big")).select("*", upto("n_rest").alias("other")).select("bucket", F.lit(1).alias("kind"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "root", F.col("own").alias("side"), (F.col("own") == F.col("other")).alias("one"))
-    cells = large.unionByName(small).unionByName(rest).join(texts, "tid")
-    more = cells.groupBy("bucket", "kind", "i", "j").applyInPandas(_across(threshold), "a binary, b binary")
-    return components(links.unionByName(more))
+    large = open_.where("in_big").select("*", upto("n_rest").alias("other")).select("bucket", "band", F.lit(0).alias("kind"), F.col("own").alias("i"), F.col("other").alias("j"), "tid", "root", F.lit(0).alias("side"), F.lit(False).alias("one"))
+    small = open_.where(~F.col("in_big")).select("*", upto("n_big").alias("other")).select("bucket", "band", F.lit(0).alias("kind"), F.col("other").alias("i"), F.col("own").alias("j"), "tid", "root", F.lit(1).alias("side"), F.lit(False).alias("one"))
+    rest = open_.where(~F.col("in_big")).select("*", upto("n_rest").alias("other")).select("bucket", "band", F.lit(1).alias("kind"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "root", F.col("own").alias("side"), (F.col("own") == F.col("other")).alias("one"))
+    signatures = texts.select("tid", arrow_udf(_signature, "binary")("text").alias("signature"))
+    cells = large.unionByName(small).unionByName(rest).join(signatures, "tid")
+    names = ["bucket", "kind", "i", "j"]
+    more = cells.repartition(*names).sortWithinPartitions(*names).mapInArrow(_cells, "a binary, b binary")
+    return components(links.unionByName(_checked(more, texts, threshold)))
 
 
 def _named(docs: DataFrame, threshold: float) -> DataFrame:
