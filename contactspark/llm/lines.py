@@ -1,27 +1,33 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup: repeated runs of lines leave the texts, after comparing their bytes.
 
-A document's lines are hashed, and a hash rolls over each window of lines: where it
-falls in one of ``DIVISOR`` classes, a chunk ends. So boundaries depend on a few lines
-around them and not on what stands before: a passage that moves between documents
-is cut the same way. Chunks of several lines (and lines of at least ``LONG_WORDS``
-words, which are passages by themselves) that occur again anywhere are removed after
-comparing their bytes; their first place, by smallest (doc_id, text, place), stays.
+``dedup_runs``, which the queries use, hashes each pair of neighbouring worded lines
+(with the blank lines between them) and each line of at least ``LONG_WORDS`` words. A
+pair that occurs again anywhere is removed, whatever stands around it; as the pairs of
+a run overlap, a run of two worded lines or more goes from its first line to its last.
+The first place of a pair, by smallest (doc_id, text, place), stays, so at least one
+copy of each line does. Not found: what is repeated from or up to the middle of a line,
+and single lines of fewer words.
+
+``dedup`` removes content-defined chunks only: a hash rolls over each window of lines,
+and where it falls in one of ``DIVISOR`` classes, a chunk ends. It moves less, but the
+lines at the ends of a repeated passage stay, and most short passages do altogether.
 
 Two passes go over the texts. The first emits hashes only, and those that occur
-once leave at once. The second takes the chunks still in question with their
+once leave at once. The second takes the pairs (or chunks) still in question with their
 bytes; equal ones are merged before they are dealt, so a passage that a third of
 all documents hold is a few rows.
 
-Defined cases: a null or empty text is left as it is; chunks without a word are
-never removed; a document all of whose chunks are removed becomes an empty text;
-rows equal in doc_id and text keep and lose the same chunks; equal texts under
-different ids lose what the first keeps; documents of null id come first; an empty
-table gives an empty result; further columns are kept as they are.
+Defined cases: a null or empty text is left as it is; what holds no word is
+never removed by itself; a document that has no word left becomes an empty text;
+rows equal in doc_id and text keep and lose the same lines; equal texts under
+different ids lose what the first keeps; repeats may overlap, so of equal lines
+in a row one stays; documents of null id come first; an empty table gives an empty
+result; further columns are kept as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -78,35 +84,66 @@ def _bytes(text: bytes) -> Iterator[tuple[int, bytes, int]]:
         at += size + 1
 
 
-def _hashed(text: pa.Array) -> pa.Array:
-    out = []
-    for t in text.cast(pa.binary()):
-        found = []
-        for number, chunk, n in _bytes(t.as_py() or b""):
-            if removable(chunk, n):
-                h = xxhash.xxh3_128_intdigest(chunk)
-                found.append({"number": number, "a": (h >> 64) - (1 << 63), "b": (h & _MASK) - (1 << 63)})
-        out.append(found)
-    return pa.array(out, type=pa.list_(pa.struct([("number", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])))
+def _chunks(text: bytes) -> Iterator[tuple[int, bytes]]:
+    return ((number, chunk) for number, chunk, n in _bytes(text) if removable(chunk, n))
 
 
-def _chosen(text: pa.Array, numbers: pa.Array) -> pa.Array:
-    out = []
-    for t, wanted in zip(text.cast(pa.binary()), numbers.to_pylist(), strict=True):
-        wanted = set(wanted or ())
-        out.append([{"number": i, "chunk": c} for i, c, _ in _bytes(t.as_py()) if i in wanted])
-    return pa.array(out, type=pa.list_(pa.struct([("number", pa.int32()), ("chunk", pa.binary())])))
+def _without_chunks(text: bytes, gone: set[int]) -> tuple[bytes, int]:
+    return b"\n".join(c for i, c, _ in _bytes(text) if i not in gone), len(gone)
 
 
-def _without(text: pa.Array, numbers: pa.Array) -> pa.Array:
-    out = []
-    for t, gone in zip(text.cast(pa.binary()), numbers.to_pylist(), strict=True):
-        if gone is None:
-            out.append(None)
-            continue
-        gone = set(gone)
-        out.append(b"\n".join(c for i, c, _ in _bytes(t.as_py()) if i not in gone).decode("utf-8", "replace"))
-    return pa.array(out, type=pa.string())
+def _places(lines: list[bytes]) -> list[tuple[int, int]]:
+    """First and last line of each pair of neighbouring worded lines and of each long line."""
+    worded = [i for i, line in enumerate(lines) if line.strip()]
+    return [*zip(worded, worded[1:], strict=False), *((i, i) for i in worded if len(lines[i].split(None, LONG_WORDS)) >= LONG_WORDS)]
+
+
+def _pairs(text: bytes) -> Iterator[tuple[int, bytes]]:
+    lines = text.split(b"\n")
+    return ((number, b"\n".join(lines[i : j + 1])) for number, (i, j) in enumerate(_places(lines)))
+
+
+def _without_runs(text: bytes, gone: set[int]) -> tuple[bytes, int]:
+    lines = text.split(b"\n")
+    lost = {k for number, (i, j) in enumerate(_places(lines)) if number in gone for k in range(i, j + 1)}
+    rest = [line for k, line in enumerate(lines) if k not in lost]
+    return b"\n".join(rest) if any(line.strip() for line in rest) else b"", len(lost)
+
+
+Parts = Callable[[bytes], Iterator[tuple[int, bytes]]]
+
+
+def _hashed(parts: Parts) -> Callable:
+    @arrow_udf("array<struct<number:int,h:bigint>>")
+    def hashed(text: pa.Array) -> pa.Array:
+        out = [[{"number": i, "h": xxhash.xxh3_64_intdigest(c) - (1 << 63)} for i, c in parts(t.as_py() or b"")] for t in text.cast(pa.binary())]
+        return pa.array(out, type=pa.list_(pa.struct([("number", pa.int32()), ("h", pa.int64())])))
+
+    return hashed
+
+
+def _chosen(parts: Parts) -> Callable:
+    @arrow_udf("array<struct<number:int,chunk:binary>>")
+    def chosen(text: pa.Array, numbers: pa.Array) -> pa.Array:
+        out = []
+        for t, wanted in zip(text.cast(pa.binary()), numbers.to_pylist(), strict=True):
+            wanted = set(wanted or ())
+            out.append([{"number": i, "chunk": c} for i, c in parts(t.as_py() or b"") if i in wanted])
+        return pa.array(out, type=pa.list_(pa.struct([("number", pa.int32()), ("chunk", pa.binary())])))
+
+    return chosen
+
+
+def _without(take: Callable[[bytes, set[int]], tuple[bytes, int]]) -> Callable:
+    @arrow_udf("struct<text:string,n:bigint>")
+    def without(text: pa.Array, numbers: pa.Array) -> pa.Array:
+        out = []
+        for t, gone in zip(text.cast(pa.binary()), numbers.to_pylist(), strict=True):
+            rest, n = (None, 0) if gone is None else take(t.as_py(), set(gone))
+            out.append({"text": None if rest is None else rest.decode("utf-8", "replace"), "n": n})
+        return pa.array(out, type=pa.struct([("text", pa.string()), ("n", pa.int64())]))
+
+    return without
 
 
 KEY = ["_id", "_none", "_k1", "_k2"]
@@ -121,32 +158,45 @@ def _place() -> Column:
     return F.struct((~F.col("_none")).alias("named"), "_id", "_k1", "_k2", "number")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``, and with ``n_removed`` chunks (a column of that name is replaced).
+def _dedup(docs: DataFrame, parts: Parts, take: Callable[[bytes, set[int]], tuple[bytes, int]]) -> DataFrame:
+    """``docs`` without the ``parts`` of texts that occur before, which ``take`` takes out.
 
-    Texts are dealt once, to meet the numbers of their chunks in question, and the
-    outcome is written; what follows moves the bytes of those chunks and the documents
-    that hold them, and all others are read straight from there.
+    Texts are dealt once, to meet the numbers of their parts in question, and the
+    outcome is written; what follows moves the bytes of those parts and the documents
+    that hold them, and all others are read straight from there. Up to the bytes,
+    documents and parts go by 64-bit hashes; equal hashes only add to what is compared.
     """
     ship(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != "n_removed"]
-    chunk_hashes = arrow_udf(_hashed, "array<struct<number:int,a:bigint,b:bigint>>")("text")
-    hashed = cut(docs.where("text is not null").select(*_keyed(), F.explode(chunk_hashes).alias("c")).select(*KEY, "c.*"))
-    several = hashed.groupBy("a", "b").agg(F.min(_place()).alias("low"), F.max(_place()).alias("high")).where("low <> high").select("a", "b")
-    asked = hashed.join(several, ["a", "b"]).groupBy(*KEY).agg(F.collect_set("number").alias("numbers"))
-    held = keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), *_keyed()).join(asked, KEY, "left"))
+    brief = F.xxhash64(F.lit(2), "doc_id", "text").alias("_k")
+    hashed = keep(docs.where("text is not null").select(brief, _hashed(parts)("text").alias("c")))
+    each = hashed.select("_k", F.explode("c").alias("c")).select("_k", "c.*")
+    several = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    asked = each.join(several, "h").groupBy("_k").agg(F.collect_set("number").alias("numbers"))
+    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), brief, *_keyed())
+    held = keep(told.join(asked, "_k", "left").drop("_k"))
 
     some = held.where("numbers is not null")
-    bytes_ = arrow_udf(_chosen, "array<struct<number:int,chunk:binary>>")(F.col("_doc.text"), F.col("numbers"))
-    taken = cut(some.select(*KEY, F.explode(bytes_).alias("c")).select(*KEY, "c.*"))
+    taken = cut(some.select(*KEY, F.explode(_chosen(parts)(F.col("_doc.text"), F.col("numbers"))).alias("c")).select(*KEY, "c.*"))
     same = taken.groupBy("chunk").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first <> last").select(F.col("chunk").alias("bytes"), "first")
     again = taken.join(same, F.col("chunk") == F.col("bytes")).where(_place() != F.col("first"))
     gone = cut(again.groupBy(*KEY).agg(F.collect_set("number").alias("gone")))
 
-    def told(text: Column, n: Column) -> list[Column]:
+    def given(text: Column, n: Column) -> list[Column]:
         return [*[(text if c.lower() == "text" else F.col(f"_doc.`{c}`")).alias(c) for c in kept], n.cast("long").alias("n_removed")]
 
     text = F.col("_doc.text")
-    without = arrow_udf(_without, "string")(F.when(F.col("gone").isNotNull(), text), F.col("gone"))
-    changed = some.join(gone, KEY, "left").select(*told(F.when(F.col("gone").isNull(), text).otherwise(without), F.coalesce(F.size("gone"), F.lit(0))))
-    return changed.unionByName(held.where("numbers is null").select(*told(text, F.lit(0))))
+    left = _without(take)(F.when(F.col("gone").isNotNull(), text), F.col("gone"))
+    changed = some.join(gone, KEY, "left").withColumn("_left", left)
+    changed = changed.select(*given(F.when(F.col("gone").isNull(), text).otherwise(F.col("_left.text")), F.col("_left.n")))
+    return changed.unionByName(held.where("numbers is null").select(*given(text, F.lit(0))))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated chunks taken out of ``text``, and with ``n_removed`` chunks (a column of that name is replaced)."""
+    return _dedup(docs, _chunks, _without_chunks)
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated runs of lines taken out of ``text``, whole, and with ``n_removed`` lines (a column of that name is replaced)."""
+    return _dedup(docs, _pairs, _without_runs)

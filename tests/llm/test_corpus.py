@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from contactspark.llm import licences, lines, mixing, neardup, packing, pii, quality, shards, topk, warc
 from contactspark.llm.shingles import dart_minhash, shingles, similarity
 
@@ -171,6 +172,51 @@ def test_chunks_do_not_shift():
         assert b"\n".join(t for _, t, _ in lines._bytes(text.encode())) == text.encode()
 
 
+def plain_runs(rows):
+    """Pairs of neighbouring worded lines, and long lines, in order of (id, hash of text, place); lines of all but the first of equal ones go."""
+    place, first = [], {}
+    for i, t, k1, k2 in rows:
+        split = (t or "").split("\n")
+        worded = [n for n, x in enumerate(split) if x.strip(" \t\r")]
+        for a, b in [*zip(worded, worded[1:]), *((n, n) for n in worded if len(split[n].encode().split()) >= 50)]:
+            place.append(((i is not None, i or 0, k1, k2, a), "\n".join(split[a : b + 1]), range(a, b + 1)))
+    lost = collections.defaultdict(set)
+    for at, held, span in sorted(place, key=lambda p: p[0]):
+        if first.setdefault(held, at) != at:
+            lost[at[:-1]].update(span)
+    out = []
+    for i, t, k1, k2 in rows:
+        gone = lost[(i is not None, i or 0, k1, k2)]
+        rest = [x for n, x in enumerate((t or "").split("\n")) if n not in gone]
+        out.append((i, t if not gone else "\n".join(rest) if any(x.strip(" \t\r") for x in rest) else "", len(gone)))
+    return out
+
+
+def test_repeated_runs_match_plain(spark, docs):
+    passage = prose(70, 99, per_line=7).replace("\n", "\n\n", 2)
+    long_line = " ".join(words(60, 98))
+    more = [(400 + i, f"{prose(30 + i, 400 + i)}\n{passage}\n{prose(20, 500 + i)}\n{long_line}\n\nshort line", "en", "s", 1) for i in range(12)]
+    df = docs.unionByName(spark.createDataFrame(more, DOCS)).withColumn("n_removed", F.lit("clash"))
+    rows = collected(df, "doc_id", "text", F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    got = lines.dedup_runs(df)
+    assert got.columns == df.columns and got.count() == df.count()
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(collected(got, "doc_id", "text", "n_removed"), key=key) == sorted(plain_runs(rows), key=key)
+    assert lines.dedup_runs(docs.limit(0)).count() == 0
+
+
+def test_repeated_passages_go_whole(spark):
+    rows, want = [], {}
+    for n_lines in range(2, 11):
+        for seed in range(40):
+            i = 1000 * n_lines + 2 * seed
+            passage = prose(60, i + 1, per_line=-(-60 // n_lines))
+            around = [prose(30, 100_000 + 10 * i + k, per_line=7) for k in range(4)]
+            rows += [(i, f"{around[0]}\n{passage}\n{around[1]}", "en", "s", 1), (i + 1, f"{around[2]}\n{passage}\n{around[3]}", "en", "s", 1)]
+            want |= {i: rows[-2][1], i + 1: f"{around[2]}\n{around[3]}"}
+    assert dict(collected(corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, DOCS), ""), "doc_id", "text")) == want
+
+
 def test_line_dedup_of_nothing(spark, docs):
     assert lines.dedup(docs.limit(0)).count() == 0
 
