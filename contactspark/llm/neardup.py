@@ -10,11 +10,14 @@ sought without listing a bucket's pairs:
 2. Buckets whose members are still in several classes are compared in full, but
    only across classes: a bucket is cut into cells of pairs of chunks of at most
    ``CHUNK`` members, a cell is one group of a grouped map, and within it members
-   that are in one class by then are not compared again. So no link between
-   classes is lost, and where there is one big class there is nothing left to do.
+   that are in one class by then are not compared again. Pairs whose signatures
+   agree in too few coordinates are passed over, all others are checked on the
+   whole texts. Where there is one big class there is nothing left to do.
 
-A pair of texts at similarity s shares one of ``BANDS`` bands of ``ROWS`` coordinates
-with probability 1 - (1 - s**ROWS)**BANDS: all but 5e-8 of them at 0.8.
+``layout`` takes bands and the coordinates that must agree from the threshold, so
+that of the pairs just similar enough at most ``LOSS`` share no band, and at most
+``LOSS`` more are passed over in step 2: 32 bands of 4 and 76 of 128 coordinates at 0.8.
+More similar pairs are lost more rarely.
 
 The similarity is the weighted Jaccard coefficient of five-word shingles with
 their counts; it is checked exactly (on 64-bit hashes of the shingles).
@@ -29,7 +32,9 @@ table gives an empty result; further columns are kept, and a column named
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -42,17 +47,46 @@ from contactspark.llm.common import cut
 from contactspark.llm.shingles import band_keys, dart_minhash, shingles, similarity
 from contactspark.session import ship
 
-SIMILARITY, BANDS, ROWS, CHUNK = 0.8, 32, 4, 128
-#: Share of coordinates in which a pair in question must agree, 4.5 standard deviations below what 0.8 gives.
-AGREE = 0.64
+SIMILARITY, CHUNK = 0.8, 128
+#: Most of the pairs just similar enough that the bands may lose, and that the comparison of signatures may; least coordinates of a signature.
+LOSS, COORDINATES = 5e-8, 128
 
 
-def _bands(text: pa.Array) -> pa.Array:
-    out = []
-    for t in text.cast(pa.binary()):
-        elements, weights = shingles(t.as_py() or b"")
-        out.append(band_keys(dart_minhash(elements, weights, BANDS * ROWS), BANDS) if len(elements) else None)
-    return pa.array(out, type=pa.list_(pa.int64()))
+@dataclass(frozen=True)
+class Layout:
+    """Bands of a signature, coordinates of a band, and coordinates of the signature in which a pair must agree."""
+
+    bands: int
+    rows: int
+    agree: int
+
+
+def layout(threshold: float) -> Layout:
+    """The longest bands, and then the most coordinates to agree, that lose no more than ``LOSS`` at ``threshold``."""
+    if threshold <= 0:
+        raise ValueError("the threshold must be above 0")
+    s, size, rows = min(threshold, 1 - 1e-12), COORDINATES, 16
+    while (1 - s**rows) ** (size // rows) > LOSS:
+        size, rows = (size, rows // 2) if rows > 1 else (2 * size, 1)
+    agree, missed = 0, 0.0
+    while agree < size:
+        missed += math.exp(math.lgamma(size + 1) - math.lgamma(agree + 1) - math.lgamma(size - agree + 1) + agree * math.log(s) + (size - agree) * math.log1p(-s))
+        if missed > LOSS:
+            break
+        agree += 1
+    return Layout(size // rows, rows, agree)
+
+
+def _bands(plan: Layout) -> Callable:
+    @arrow_udf("array<bigint>")
+    def bands(text: pa.Array) -> pa.Array:
+        out = []
+        for t in text.cast(pa.binary()):
+            elements, weights = shingles(t.as_py() or b"")
+            out.append(band_keys(dart_minhash(elements, weights, plan.bands * plan.rows), plan.bands) if len(elements) else None)
+        return pa.array(out, type=pa.list_(pa.int64()))
+
+    return bands
 
 
 def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -83,16 +117,23 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(small.where("a > b").distinct())
 
 
-def _signature(text: pa.Array) -> pa.Array:
-    out = []
-    for t in text.cast(pa.binary()):
-        elements, weights = shingles(t.as_py())
-        out.append(dart_minhash(elements, weights, BANDS * ROWS).astype("<u2").tobytes())
-    return pa.array(out, type=pa.binary())
+def _signature(plan: Layout) -> Callable:
+    """Band keys in full, and 16 bits of each coordinate."""
+
+    @arrow_udf("binary")
+    def signature(text: pa.Array) -> pa.Array:
+        out = []
+        for t in text.cast(pa.binary()):
+            elements, weights = shingles(t.as_py())
+            own = dart_minhash(elements, weights, plan.bands * plan.rows)
+            out.append(band_keys(own, plan.bands).astype("<i8").tobytes() + own.astype("<u2").tobytes())
+        return pa.array(out, type=pa.binary())
 
+    return signature
 
-def _across(band: int, one: bool, held: np.ndarray, root: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Places of pairs of a cell in different classes whose signatures agree well enough, where no earlier band of theirs agrees (there they are listed already)."""
+
+def _across(agree: int, band: int, one: bool, keys: np.ndarray, held: np.ndarray, root: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Places of pairs of a cell in different classes whose signatures agree in ``agree`` coordinates, where no earlier band of theirs has equal keys (there they are listed already)."""
     for i in range(len(held) - 1):
         open_ = root[i + 1 :] != root[i]
         if not one:
@@ -100,41 +141,45 @@ def _across(band: int, one: bool, held: np.ndarray, root: np.ndarray, side: np.n
         rest = np.flatnonzero(open_) + i + 1
         if not len(rest):
             continue
-        same = held[rest] == held[i]
-        good = same.sum(axis=1) >= AGREE * BANDS * ROWS
+        good = (held[rest] == held[i]).sum(axis=1) >= agree
         if band:
-            good &= ~same[:, : band * ROWS].reshape(len(rest), band, ROWS).all(axis=2).any(axis=1)
+            good &= ~(keys[rest, :band] == keys[i, :band]).any(axis=1)
         yield from ((i, j) for j in rest[good])
 
 
-def _cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(plan: Layout) -> Callable:
     """``_across`` for rows that come sorted by cell; a cell that the end of a batch cuts waits for the next one."""
     names = ["bucket", "kind", "i", "j"]
+    signature = np.dtype([("keys", "<i8", (plan.bands,)), ("held", "<u2", (plan.bands * plan.rows,))])
 
     def links(rows: pa.Table) -> pa.RecordBatch:
-        keys = np.column_stack([rows.column(c).to_numpy() for c in names])
-        edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
-        held = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype="<u2").reshape(len(keys), BANDS * ROWS)
+        cell = np.column_stack([rows.column(c).to_numpy() for c in names])
+        edges = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1, [len(cell)]])
+        both = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=signature)
+        keys, held = both["keys"], both["held"]
         tid, side, band, one = rows.column("tid").to_pylist(), rows.column("side").to_numpy(), rows.column("band").to_numpy(), rows.column("one").to_numpy()
         root = pd.factorize(rows.column("root").to_pandas())[0]
-        found = [(tid[a + i], tid[a + j]) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1 for i, j in _across(int(band[a]), bool(one[a]), held[a:b], root[a:b], side[a:b])]
+        found = [(tid[a + i], tid[a + j]) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1 for i, j in _across(plan.agree, int(band[a]), bool(one[a]), keys[a:b], held[a:b], root[a:b], side[a:b])]
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    rest = None
-    for part in parts:
-        rows = pa.Table.from_batches([part])
-        rows = rows if rest is None else pa.concat_tables([rest, rows])
-        if not len(rows):
-            continue
-        last = [rows.column(c)[-1].as_py() for c in names]
-        whole = len(rows)
-        while whole and [rows.column(c)[whole - 1].as_py() for c in names] == last:
-            whole -= 1
-        rest = rows.slice(whole)
-        if whole:
-            yield links(rows.slice(0, whole))
-    if rest is not None and len(rest):
-        yield links(rest)
+    def _cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for part in parts:
+            rows = pa.Table.from_batches([part])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            if not len(rows):
+                continue
+            last = [rows.column(c)[-1].as_py() for c in names]
+            whole = len(rows)
+            while whole and [rows.column(c)[whole - 1].as_py() for c in names] == last:
+                whole -= 1
+            rest = rows.slice(whole)
+            if whole:
+                yield links(rows.slice(0, whole))
+        if rest is not None and len(rest):
+            yield links(rest)
+
+    return _cells
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -153,8 +198,9 @@ def _checked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """tid (a text's MD5), root for each text that is linked with a text of smaller tid."""
     ship(docs.sparkSession)
+    plan = layout(threshold)
     docs = docs.where(F.col("text").isNotNull()).select("text", _tid().alias("tid"))
-    signed = docs.select("tid", arrow_udf(_bands, "array<bigint>")("text").alias("bands")).groupBy("tid").agg(F.first("bands").alias("bands"))
+    signed = docs.select("tid", _bands(plan)("text").alias("bands")).groupBy("tid").agg(F.first("bands").alias("bands"))
     members = signed.select("tid", F.posexplode("bands").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(members.join(shared, "bucket"))
@@ -180,10 +226,10 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     large = open_.where("in_big").select("*", upto("n_rest").alias("other")).select("bucket", "band", F.lit(0).alias("kind"), F.col("own").alias("i"), F.col("other").alias("j"), "tid", "root", F.lit(0).alias("side"), F.lit(False).alias("one"))
     small = open_.where(~F.col("in_big")).select("*", upto("n_big").alias("other")).select("bucket", "band", F.lit(0).alias("kind"), F.col("other").alias("i"), F.col("own").alias("j"), "tid", "root", F.lit(1).alias("side"), F.lit(False).alias("one"))
     rest = open_.where(~F.col("in_big")).select("*", upto("n_rest").alias("other")).select("bucket", "band", F.lit(1).alias("kind"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "root", F.col("own").alias("side"), (F.col("own") == F.col("other")).alias("one"))
-    signatures = texts.select("tid", arrow_udf(_signature, "binary")("text").alias("signature"))
+    signatures = texts.select("tid", _signature(plan)("text").alias("signature"))
     cells = large.unionByName(small).unionByName(rest).join(signatures, "tid")
     names = ["bucket", "kind", "i", "j"]
-    more = cells.repartition(*names).sortWithinPartitions(*names).mapInArrow(_cells, "a binary, b binary")
+    more = cells.repartition(*names).sortWithinPartitions(*names).mapInArrow(_cells(plan), "a binary, b binary")
     return components(links.unionByName(_checked(more, texts, threshold)))
 
 

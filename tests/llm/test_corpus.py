@@ -328,6 +328,24 @@ def test_near_duplicates_match_all_pairs(spark, docs):
     assert kept.where("text is null").count() == nulls
 
 
+def test_pairs_at_other_thresholds_are_found(spark):
+    rows, want = [], {}
+    for g in range(150):
+        base = " ".join(words(150, 7000 + g))
+        a, b = (changed(base, 5, 2 * g + k) for k in (0, 1))
+        rows += [(2 * g, a, "en", "s", 1), (2 * g + 1, b, "en", "s", 1)]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g + (similarity(shingles(a.encode()), shingles(b.encode())) < 0.5)}
+    assert 30 < sum(want[2 * g + 1] == 2 * g for g in range(150)) < 150
+    assert dict(collected(neardup.classify(spark.createDataFrame(rows, DOCS), 0.5), "doc_id", "class_id")) == want
+
+
+def test_layout_follows_the_threshold():
+    for s in (0.2, 0.5, 0.6, 0.8, 0.95, 1.0):
+        plan = neardup.layout(s)
+        hits = np.random.default_rng(1).binomial(plan.bands * plan.rows, s, 100_000)
+        assert (1 - s**plan.rows) ** plan.bands <= neardup.LOSS and (hits < plan.agree).sum() <= 2
+
+
 def test_near_duplicates_of_nothing(spark, docs):
     assert neardup.classify(docs.limit(0)).count() == 0
 
