@@ -9,11 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Most bytes of a batch that goes to a Python worker; Spark's own limit is eight times that, for each task at once.
+BATCH_BYTES = 8 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that their Python workers can import it."""
+    """Sends this package to the executors, once for each application, so that their Python workers can import it; bounds the batches they get where nobody has."""
     sc = spark.sparkContext
+    if not sc.getConf().contains(_BATCHES):
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).parent
