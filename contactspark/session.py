@@ -1,12 +1,13 @@
-"""Making the package known to Python workers."""
+"""Making the package known to Python workers, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 #: Most bytes of a batch that goes to a Python worker; Spark's own limit is eight times that, for each task at once.
@@ -29,3 +30,22 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(top.parent))
     sc.addPyFile(str(target))
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets a temporary one; on a cluster that is an error, as its machines share no such folder."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="contactspark-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a table, which later steps read. It stays there until the folder is emptied."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
