@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactspark.session import keep, shared_dir
+
+__all__ = ["DOCUMENT_COLUMNS", "WORD", "cut", "fresh", "keep", "literal_longs", "shared_dir", "table", "word_count"]
+
 #: A word: code points other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,28 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="contactspark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, so that later steps read one fixed set of rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as a compressed table: for rows with texts, of which a checkpoint takes twice the room. It stays there until the folder is emptied."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4()}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
