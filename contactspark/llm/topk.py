@@ -2,12 +2,12 @@
 
 Vectors are dealt into blocks, queries into blocks of their own, and each pair of
 blocks meets in one task (a block nested loop: no task holds more than a block of
-each). There every component is a list of the block's candidates sorted by value,
+each, and a block's candidates are copied and sorted once for ``QUERIES`` queries). There every component is a list of the block's candidates sorted by value,
 read from the end that favours a query: from the top for a positive weight, from
 the bottom for a negative one. Lists are read in steps of equal depth. A
 candidate's lower bound takes what was read of it and the worst value of each
 list where it wasn't met; its upper bound takes the value that list has reached.
-A query is done when no candidate outside its k best lower bounds can qualify by
+Candidates that no open query can still want are read no further. A query is done when no candidate outside its k best lower bounds can qualify by
 its upper bound; the few that stay in question are then resolved exactly. The
 blocks' winners are merged by rank.
 
@@ -34,7 +34,9 @@ from contactspark.llm.common import cut
 from contactspark.session import ship
 
 #: Candidates and queries in a block, and the depths (as a share of a list) that are read in turn.
-CANDIDATES, QUERIES, DEPTHS = 4096, 1024, (0.1, 0.2, 0.35, 0.5, 0.75, 1.0)
+CANDIDATES, QUERIES, DEPTHS = 4096, 8192, (0.1, 0.2, 0.35, 0.5, 0.75, 1.0)
+#: Queries of a block whose bounds are held together.
+TOGETHER = 512
 FOUND = "query_id bigint, query_key bigint, query_rows bigint, vec_id bigint, score bigint, vec_rows bigint"
 
 
@@ -49,27 +51,38 @@ def search(queries: np.ndarray, candidates: np.ndarray, k: int, exact: Callable[
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
     ranked = np.take_along_axis(candidates, order, axis=0)
-    worst_up, worst_down = ranked[0], ranked[-1]
+    for first in range(0, len(queries), TOGETHER):
+        yield from ((own, exact(q, own)) for q, own in enumerate(_read(queries[first : first + TOGETHER], candidates, place, ranked, k), first))
+
+
+def _read(queries: np.ndarray, candidates: np.ndarray, place: np.ndarray, ranked: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each of a few queries the candidates that may be among its k best. ``place``: of a candidate in each sorted list; ``ranked``: the lists' values.
+
+    Lists are read from both ends at once, step by step. After a step, queries leave
+    that few candidates are left for, and candidates that can't qualify for any other.
+    """
+    n = len(candidates)
+    left, todo = np.arange(n), np.arange(len(queries))
+    kept: list[np.ndarray] = [left] * len(queries)
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    kept: dict[int, np.ndarray] = {}
-    todo = np.arange(len(queries))
     for share in DEPTHS:
         depth = min(n, max(k, int(np.ceil(n * share))))
-        top, low = place >= n - depth, place < depth
+        own, at = candidates[left], place[left]
+        top, low = at >= n - depth, at < depth
         # a value that was read counts as it is; of others, the bounds that the list's order gives
         a, b = up[todo], down[todo]
-        least = a @ np.where(top, candidates, worst_up).T + b @ np.where(low, candidates, worst_down).T
-        most = a @ np.where(top, candidates, ranked[n - depth]).T + b @ np.where(low, candidates, ranked[depth - 1]).T
-        bar = np.partition(least, n - k, axis=1)[:, n - k]
+        least = a @ np.where(top, own, ranked[0]).T + b @ np.where(low, own, ranked[-1]).T
+        most = a @ np.where(top, own, ranked[n - depth]).T + b @ np.where(low, own, ranked[depth - 1]).T
+        bar = np.partition(least, len(left) - k, axis=1)[:, len(left) - k]
         open_ = most >= bar[:, None]
         few = open_.sum(axis=1) <= max(4 * k, n // 64) if depth < n else np.ones(len(todo), dtype=bool)
-        for q, own in zip(todo[few], open_[few], strict=True):
-            kept[q] = np.flatnonzero(own)
+        for q, mine in zip(todo[few], open_[few], strict=True):
+            kept[q] = left[mine]
         todo = todo[~few]
         if not len(todo):
             break
-    for q in range(len(queries)):
-        yield kept[q], exact(q, kept[q])
+        left = left[open_[~few].any(axis=0)]
+    return kept
 
 
 def _meet(k: int, scale: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
