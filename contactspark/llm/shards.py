@@ -4,7 +4,8 @@ Every record gets a key (a hash of its group and then a running number, so keys
 are unique and copies of a text lie side by side). Records are sampled with a
 chance in proportion to their size; quantiles of the sample become splitters of
 many fine ranges. Their exact sizes are counted, and overfull ranges are
-subdivided with a denser sample of their own, until none is left. Shards are
+subdivided with a denser sample of their own (another one in each round), until
+none is left but for single records. Shards are
 then cut where the running size passes a multiple of its share: only inside a
 fine range are rows ever numbered one after the other, so a hot group is spread
 over as many ranges as its size asks for.
@@ -22,17 +23,19 @@ replaced.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactspark.llm.common import cut, fresh, literal_longs
+from contactspark.llm.common import cut, literal_longs
 
 LAW = "bytes"
 SHARDS = 24
 #: Fine ranges, and sampled keys, at the first round.
 RANGES, SAMPLE = 768, 24_576
 #: A range is overfull from this many times the mean, and a round of subdividing gives it this many samples for each mean.
-OVERFULL, DENSER, ROUNDS = 2, 8, 6
+OVERFULL, DENSER = 2, 8
 
 
 def range_of(high: Column, low: Column, splitters: list[tuple[int, int]]) -> Column:
@@ -69,28 +72,30 @@ def _quantiles(drawn: list, every: float) -> list[tuple[int, int]]:
 
 def assign(records: DataFrame, size: Column, group: Column, shards: int = SHARDS, ranges: int = RANGES, sample: int = SAMPLE) -> DataFrame:
     """``records`` with ``shard`` (from 0) and ``slot`` (gapless from 0 in each shard, in the order of the keys)."""
-    kept = [c for c in records.columns if c.lower() not in ("shard", "slot")]
-    s, h, m, r = (fresh(records, x) for x in ("_size", "_group", "_number", "_range"))
-    rows = records.select(*kept, F.coalesce(size, F.lit(0)).cast("long").alias(s), F.xxhash64(group).alias(h))
+    names = [c for c in records.columns if c.lower() not in ("shard", "slot")]
+    s, h, m, r, load = "_size", "_group", "_number", "_range", "_load"
+    held = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in names])
+    rows = records.select(held.alias("_own"), F.coalesce(size, F.lit(0)).cast("long").alias(s), F.xxhash64(group).alias(h))
     rows = cut(rows.withColumn(m, F.monotonically_increasing_id()))
     total, n = rows.agg(F.coalesce(F.sum(s), F.lit(0)), F.count("*")).first()
     weight = s
     if not total:  # nothing but empty records: deal them by number
-        weight, total = fresh(rows, "_one"), max(n, 1)
+        weight, total = "_one", max(n, 1)
         rows = rows.withColumn(weight, F.lit(1))
 
-    fair = total / ranges
-    splitters = sorted(_quantiles(_sampled(rows.withColumn("range", F.lit(0)), weight, h, m, total / sample, 1), sample / ranges))
-    for turn in range(ROUNDS):
+    # ranges are made even in size and rows together, so that neither empty nor large records crowd one
+    rows = rows.withColumn(load, F.col(weight) + F.lit(max(1, total // max(n, 1))))
+    everything = rows.agg(F.coalesce(F.sum(load), F.lit(1))).first()[0]
+    fair = everything / ranges
+    splitters = sorted(_quantiles(_sampled(rows.withColumn("range", F.lit(0)), load, h, m, everything / sample, 1), sample / ranges))
+    for turn in count(2):
         dealt = rows.withColumn(r, range_of(F.col(h), F.col(m), splitters))
-        sizes = {x[r]: x for x in dealt.groupBy(r).agg(F.sum(weight).alias("w"), F.count("*").alias("n")).collect()}
-        full = [k for k, x in sizes.items() if x.w > OVERFULL * fair and x.n > 1]
-        if not full or turn == ROUNDS - 1:
+        sizes = {x[r]: x for x in dealt.groupBy(r).agg(F.sum(weight).alias("w"), F.sum(load).alias("load"), F.max(load).alias("most"), F.count("*").alias("n")).collect()}
+        full = [k for k, x in sizes.items() if x.load - x.most > OVERFULL * fair]  # a single record can't be divided
+        if not full:
             break
-        drawn = _sampled(dealt.where(F.array_contains(literal_longs(full), F.col(r).cast("long"))).withColumn("range", F.col(r)), weight, h, m, fair / DENSER, turn + 2)
+        drawn = _sampled(dealt.where(F.array_contains(literal_longs(full), F.col(r).cast("long"))).withColumn("range", F.col(r)), load, h, m, fair / DENSER, turn)
         more = {q for k in full for q in _quantiles([d for d in drawn if d.range == k], DENSER)}
-        if more <= set(splitters):
-            break
         splitters = sorted(more | set(splitters))
 
     before_w, before_n, w, c = [], [], 0, 0
@@ -118,7 +123,7 @@ def assign(records: DataFrame, size: Column, group: Column, shards: int = SHARDS
         i = shard_at(before_w[k])
         first[i] = min(first.get(i, n), before_n[k])
     starts = literal_longs([first.get(i, 0) for i in range(shards)])
-    return placed.select(*kept, "shard", (F.col("slot") - F.get(starts, F.col("shard"))).alias("slot"))
+    return placed.select(*[F.col(f"_own.`{c}`") for c in names], "shard", (F.col("slot") - F.get(starts, F.col("shard"))).alias("slot"))
 
 
 def write(sharded: DataFrame, path: str) -> None:
