@@ -15,7 +15,8 @@ lines at the ends of a repeated passage stay, and most short passages do altoget
 Two passes go over the texts. The first emits hashes only, and those that occur
 once leave at once. The second takes the pairs (or chunks) still in question with their
 bytes; equal ones are merged before they are dealt, so a passage that a third of
-all documents hold is a few rows.
+all documents hold is a few rows. What such a passage's places are joined with is
+written first, so that Spark can split the join.
 
 Defined cases: a null or empty text is left as it is; what holds no word is
 never removed by itself; a document that has no word left becomes an empty text;
@@ -171,14 +172,14 @@ def _dedup(docs: DataFrame, parts: Parts, take: Callable[[bytes, set[int]], tupl
     brief = F.xxhash64(F.lit(2), "doc_id", "text").alias("_k")
     hashed = keep(docs.where("text is not null").select(brief, _hashed(parts)("text").alias("c")))
     each = hashed.select("_k", F.explode("c").alias("c")).select("_k", "c.*")
-    several = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    several = cut(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     asked = each.join(several, "h").groupBy("_k").agg(F.collect_set("number").alias("numbers"))
     told = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), brief, *_keyed())
     held = keep(told.join(asked, "_k", "left").drop("_k"))
 
     some = held.where("numbers is not null")
     taken = cut(some.select(*KEY, F.explode(_chosen(parts)(F.col("_doc.text"), F.col("numbers"))).alias("c")).select(*KEY, "c.*"))
-    same = taken.groupBy("chunk").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first <> last").select(F.col("chunk").alias("bytes"), "first")
+    same = cut(taken.groupBy("chunk").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first <> last").select(F.col("chunk").alias("bytes"), "first"))
     again = taken.join(same, F.col("chunk") == F.col("bytes")).where(_place() != F.col("first"))
     gone = cut(again.groupBy(*KEY).agg(F.collect_set("number").alias("gone")))
 
