@@ -12,16 +12,20 @@ slots by joining the plan on length and block of ranks.
 Tokens of a text are those of its words one by one: the tokenizer splits at white
 space before anything else, so each worker keeps the tokens of the words it met,
 and splits plain Latin words itself where the tokenizer's file states the rules for
-that which it knows.
+that which it knows. Words that hold one of the tokenizer's special strings go
+through the whole tokenizer, which gives these their own ids; where such a string
+could reach beyond a word, whole texts do.
 
 Defined cases: a null or empty text is one piece of the end token alone; equal rows
 are packed as often as they occur; an empty table gives an empty result; further
-columns named in ``carry`` are kept.
+columns named in ``carry`` are kept, but one that is named like a column of the
+result is replaced by that.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import struct
@@ -37,12 +41,15 @@ from contactspark.llm.common import cut, literal_longs
 from contactspark.session import ship
 
 SEQUENCE, END = 2048, 0
-#: Pieces of a length that are ranked in one part, and ranks in a block of the plan's join.
+#: Pieces of a length that are ranked in one part (or the root of their number, if that is more), and ranks in a block of the plan's join.
 PART, RANKS = 4096, 4096
-#: Words whose tokens a worker keeps at most; beyond, it starts anew.
-WORDS_KEPT = 400_000
+#: Rows up to which the plan (one for each segment and block of ranks) is broadcast; beyond, it is joined by shuffle.
+BROADCAST_ROWS = 200_000
+#: Bytes that a worker keeps words and their tokens in, about, with what Python needs for each; beyond, it starts anew. Longer words aren't kept.
+BYTES_KEPT, OVERHEAD, LONG = 48 << 20, 150, 64
 _PIECES = "array<struct<start:bigint,ids:binary>>"
-_tokens: dict[str, tuple] = {}
+_RESULT = {"piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"}
+_encoders: dict[str, _Encoder] = {}
 
 # What a tokenizer file says of its normalizer and splitter where words may be split here.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -68,18 +75,58 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _encoder(path: str) -> tuple:
-    """The tokenizer, its model, and the ids of the words and of the parts of words that this worker met."""
-    if path not in _tokens:
+class _Encoder:
+    """A tokenizer, its model where plain words may be split here, and the ids of the words and of the parts of words that this worker met."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        told = json.loads(whole.to_str())
+        self.whole = Tokenizer.from_file(path)
+        told = json.loads(self.whole.to_str())
         known = told["normalizer"] == _NORMALIZER and told["pre_tokenizer"] == _SPLITTER
-        _tokens[path] = whole, whole.model if known else None, {}, {}
-    return _tokens[path]
+        self.model = self.whole.model if known else None
+        special = told["added_tokens"]
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in special) or "(?!)", re.IGNORECASE).search
+        self.wordwise = known and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or len(x["content"].split()) != 1 for x in special)
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.bytes = 0
+
+    def part(self, part: str) -> bytes:
+        held = self.parts.get(part)
+        if held is None:
+            held = _held([t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES))])
+            if len(part) <= LONG:
+                self.parts[part] = held
+                self.bytes += len(part) + len(held) + OVERHEAD
+        return held
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.wordwise:
+            return [_held(e.ids) for e in self.whole.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        if self.bytes > BYTES_KEPT:
+            self.words.clear()
+            self.parts.clear()
+            self.bytes = 0
+        split, known, rest, long_ = [t.split() for t in texts], self.words, [], []
+        for w in {w for words in split for w in words if w not in known}:
+            text = w.decode("utf-8", "replace")
+            if self.special(text) or not (text.isascii() and text.isprintable() or _PLAIN(text)):
+                rest.append((w, text))
+            else:
+                known[w] = b"".join(map(self.part, _PARTS(text.lower())))
+            if len(w) > LONG:
+                long_.append(w)
+            else:
+                self.bytes += len(w) + OVERHEAD
+        if rest:
+            for (w, _), e in zip(rest, self.whole.encode_batch([t for _, t in rest], add_special_tokens=False), strict=True):
+                known[w] = _held(e.ids)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in long_:
+            del known[w]
+        return out
 
 
 def _held(ids: list[int]) -> bytes:
@@ -93,29 +140,9 @@ def encode(texts: list[bytes], path: str) -> list[bytes]:
     and its parts go to the model by themselves; words with other characters go through
     the whole tokenizer.
     """
-    whole, model, known, parts = _encoder(path)
-    if len(known) > WORDS_KEPT:
-        known.clear()
-    if len(parts) > WORDS_KEPT:
-        parts.clear()
-    split = [t.split() for t in texts]
-    rest = []
-    for w in {w for words in split for w in words if w not in known}:
-        text = w.decode("utf-8", "replace")
-        if model is None or not (text.isascii() and text.isprintable() or _PLAIN(text)):
-            rest.append((w, text))
-            continue
-        ids = b""
-        for part in _PARTS(text.lower()):
-            held = parts.get(part)
-            if held is None:
-                held = parts[part] = _held([t.id for t in model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES))])
-            ids += held
-        known[w] = ids
-    if rest:
-        for (w, _), e in zip(rest, whole.encode_batch([t for _, t in rest], add_special_tokens=False), strict=True):
-            known[w] = _held(e.ids)
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path].encode(texts)
 
 
 def _pieces(path: str, sequence: int, end: int):
@@ -136,8 +163,10 @@ def _pieces(path: str, sequence: int, end: int):
 def tokenize(docs: DataFrame, carry: list[str], tokenizer: str | None = None, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
     """Columns in ``carry``, piece (from 0), start, length, and ids (little-endian unsigned 32-bit) for each piece."""
     ship(docs.sparkSession)
-    held = docs.select(F.struct(*carry).alias("_own"), F.posexplode(_pieces(tokenizer or default_tokenizer(), sequence, end)("text")).alias("piece", "_p"))
-    return held.select("_own.*", "piece", "_p.start", (F.octet_length("_p.ids") / 4).cast("long").alias("length"), "_p.ids")
+    kept = [c for c in dict.fromkeys(carry) if c.lower() not in _RESULT]
+    own = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in kept])
+    held = docs.select(own.alias("_own"), F.posexplode(_pieces(tokenizer or default_tokenizer(), sequence, end)("text")).alias("piece", "_p"))
+    return held.select(*[F.col(f"_own.`{c}`") for c in kept], "piece", "_p.start", (F.octet_length("_p.ids") / 4).cast("long").alias("length"), "_p.ids")
 
 
 def plan(counts: dict[int, int], sequence: int = SEQUENCE) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -170,25 +199,28 @@ def plan(counts: dict[int, int], sequence: int = SEQUENCE) -> tuple[list[tuple[i
 
 
 def place(pieces: DataFrame, length: str = "length", sequence: int = SEQUENCE) -> DataFrame:
-    """``pieces`` with sequence_id and offset (gapless from 0 in each sequence)."""
+    """``pieces`` with sequence_id and offset (gapless from 0 in each sequence); columns of these names are replaced."""
     spark = pieces.sparkSession
-    rows = cut(pieces.withColumn("_m", F.monotonically_increasing_id()))
-    counts = {r[length]: r["n"] for r in rows.groupBy(length).agg(F.count("*").alias("n")).collect()}
-    parts = F.get(literal_longs([-(-counts.get(i, 0) // PART) or 1 for i in range(sequence + 1)]), F.col(length).cast("int"))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_m"), parts))
-    sizes = rows.groupBy(length, "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(length).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col(length).alias("_l"), F.col("_part").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(length, "_part").orderBy("_m")))
-    ranked = ranked.join(starts, (F.col(length) == F.col("_l")) & (F.col("_part") == F.col("_q")))
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_turn") - 1).withColumn("_block", F.floor(F.col("_rank") / RANKS))
-    segments, _ = plan(counts, sequence)
-    table = spark.createDataFrame(segments, "_sl long, _first long, _pieces long, _sequence long, _each long, _offset long")
-    table = table.withColumn("_sb", F.explode(F.sequence(F.floor(F.col("_first") / RANKS), F.floor((F.col("_first") + F.col("_pieces") - 1) / RANKS))))
-    slot = F.col("_rank") - F.col("_first")
-    met = ranked.join(table, (F.col(length) == F.col("_sl")) & (F.col("_block") == F.col("_sb")) & (slot >= 0) & (slot < F.col("_pieces")))
     own = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
-    return met.select(*own, (F.col("_sequence") + F.floor(slot / F.col("_each"))).alias("sequence_id"), (F.col("_offset") + slot % F.col("_each") * F.col(length)).alias("offset"))
+    kept = F.struct(*[F.col(f"`{c}`") for c in own])
+    rows = cut(pieces.select(F.col(f"`{length}`").cast("long").alias("length"), kept.alias("own"), F.monotonically_increasing_id().alias("m")))
+    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = [-(-n // max(PART, math.isqrt(n))) for n in (counts.get(i, 1) for i in range(sequence + 1))]
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("m"), F.get(literal_longs(parts), F.col("length").cast("int"))))
+    sizes = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = rows.withColumn("turn", F.row_number().over(Window.partitionBy("length", "part").orderBy("m"))).join(starts, ["length", "part"])
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("turn") - 1).withColumn("block", F.floor(F.col("rank") / RANKS))
+    segments, _ = plan(counts, sequence)
+    n_rows = sum((first + n - 1) // RANKS - first // RANKS + 1 for _, first, n, *_ in segments)
+    table = spark.createDataFrame(segments, "length long, first long, pieces long, sequence long, each long, at long")
+    table = table.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / RANKS), F.floor((F.col("first") + F.col("pieces") - 1) / RANKS))))
+    table = F.broadcast(table) if n_rows <= BROADCAST_ROWS else table.hint("merge")
+    slot = F.col("rank") - F.col("first")
+    met = ranked.join(table, ["length", "block"]).where((slot >= 0) & (slot < F.col("pieces")))
+    sequence_id, offset = F.col("sequence") + F.floor(slot / F.col("each")), F.col("at") + slot % F.col("each") * F.col("length")
+    return met.select(*[F.col(f"own.`{c}`") for c in own], sequence_id.alias("sequence_id"), offset.alias("offset"))
 
 
 def pack(docs: DataFrame, carry: list[str], tokenizer: str | None = None, sequence: int = SEQUENCE, end: int = END, keep_ids: bool = False) -> DataFrame:
