@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,12 +62,42 @@ def compare_vectors(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def compare_dumps(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row: rows of either result, whether coordinates agree, and ``metrics`` of the values they share."""
+    """One row: rows of either result, whether coordinates agree, whether all rows do, and ``metrics`` of the values they share."""
     both = left.select("x", "y", F.col("value").alias("a")).join(right.select("x", "y", F.col("value").alias("b")), ["x", "y"], "full").withColumn("_", F.lit(1))
-    sides = both.groupBy("_").agg(F.count("a").alias("rows_left"), F.count("b").alias("rows_right"), F.bool_and(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("coordinates_equal"))
+    sides = both.groupBy("_").agg(F.count("a").alias("rows_left"), F.count("b").alias("rows_right"), F.bool_and(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("coordinates_equal"), F.bool_and(F.coalesce(F.col("a") == F.col("b"), F.lit(False))).alias("exact_values_equal"))
     return sides.join(metrics(both.where("a is not null and b is not null"), ["_"]), "_", "left").drop("_")
 
 
 def fingerprint(spark, path: str) -> DataFrame:
     """path and MD5 of each file."""
     return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"))
+
+
+def compare_containers(spark, left: str, right: str) -> dict:
+    """A report on two containers: whether their structure agrees, which vectors only one has, and ``metrics`` of those that both have."""
+    from contactspark.sources import container
+
+    a, b = container.inspect(left), container.inspect(right)
+    same = {f"{name}_equal": a[name] == b[name] for name in ("version", "genome", "chromosomes", "resolutions", "fragment_resolutions")}
+    counts = {f"{name}_{side}": x[name] for name in ("matrices", "expected", "norm_expected", "vectors") for side, x in (("left", a), ("right", b))}
+    v, w = container.read_vectors(spark, left), container.read_vectors(spark, right)
+    sides = {side: [] for side in ("left", "right")}
+    for r in key_sets(v, w).where("side <> 'both'").orderBy(*KEY).collect():
+        sides[r.side].append([r.norm, r.chr, r.bin_size])
+    shared = [r.asDict() for r in compare_vectors(v, w).orderBy(*KEY).collect()]
+    return {"structure": same | counts, "only_left": sides["left"], "only_right": sides["right"], "vectors": shared}
+
+
+def as_json(report: dict | DataFrame) -> str:
+    """A report (a frame of one row counts as one) as JSON, keys in order. NaN and infinities are written as Python does."""
+    if isinstance(report, DataFrame):
+        report = report.first().asDict()
+
+    def plain(x):
+        if isinstance(x, dict):
+            return {str(k): plain(v) for k, v in x.items()}
+        if isinstance(x, list | tuple):
+            return [plain(v) for v in x]
+        return x if x is None or isinstance(x, str | int | float | bool) else str(x)
+
+    return json.dumps(plain(report), indent=2, sort_keys=True)

@@ -11,6 +11,8 @@ pair that holds most contacts spreads over all tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +41,12 @@ def roll_up(finer: DataFrame, bin_size: int, factor: int) -> DataFrame:
     return coarse.groupBy(*CELL).agg(F.sum("count").alias("count"), F.sum("pos_count").alias("pos_count"))
 
 
-def multi_resolution(contacts: DataFrame, resolutions: list[int]) -> dict[int, DataFrame]:
-    """Cells by resolution, each rolled up from the nearest finer one that divides it, where there is one."""
+def multi_resolution(contacts: DataFrame, resolutions: list[int], hold: Callable[[DataFrame], DataFrame] = lambda cells: cells) -> dict[int, DataFrame]:
+    """Cells by resolution, each rolled up from the nearest finer one that divides it, where there is one. ``hold`` may store a resolution's cells before coarser ones are made of them."""
     made: dict[int, DataFrame] = {}
     for size in sorted(set(resolutions)):
         finer = [r for r in made if size % r == 0]
-        made[size] = roll_up(made[max(finer)], size, size // max(finer)) if finer else cells(contacts, size)
+        made[size] = hold(roll_up(made[max(finer)], size, size // max(finer)) if finer else cells(contacts, size))
     return made
 
 

@@ -19,8 +19,10 @@ from contactspark.operators import scale
 from contactspark.session import ship
 
 NORMS = ("VC", "VC_SQRT", "SCALE")
-#: Cells of a matrix that one task balances in memory (24 bytes each, and as much again while it works).
-GROUP_CELLS = 20_000_000
+#: Cells of a matrix that one task balances in memory (about 100 bytes each, with pandas' copies and what a product takes).
+GROUP_CELLS = 4_000_000
+#: Bins of all matrices up to which a vector (some 20 bytes for each) is broadcast to the cells; beyond, cells are dealt by bin.
+BROADCAST_BINS = 1_000_000
 
 
 def intra(cell_rows: DataFrame) -> DataFrame:
@@ -50,16 +52,23 @@ def densify(vector: DataFrame, own: DataFrame, genome: Genome, fill: float = 0.0
     return bins.join(vector, ["chr", "bin_size", "bin"], "left").withColumn("value", F.coalesce("value", F.lit(fill)))
 
 
-def on_cells(own: DataFrame, vector: DataFrame) -> DataFrame:
-    """Cells with n1 and n2, the vector's values at their bins; two hash joins on (chr, bin_size, bin)."""
+def bins_of(genome: Genome, sizes: list[int]) -> int:
+    """How many values a full vector has over all chromosomes at these bin sizes: a bound on a vector's rows that needs no job."""
+    return sum(n // size + 1 for n in genome.lengths().values() for size in sizes)
+
+
+def on_cells(own: DataFrame, vector: DataFrame, bins: int | None = None) -> DataFrame:
+    """Cells with n1 and n2, the vector's values at their bins; two hash joins on (chr, bin_size, bin). With ``bins``, a bound of its rows, a vector of few is broadcast, and cells stay where they are."""
+    if bins is not None and bins <= BROADCAST_BINS:
+        vector = F.broadcast(vector)
     one = vector.select("chr", "bin_size", F.col("bin").alias("bin1"), F.col("value").alias("n1"))
     two = vector.select("chr", "bin_size", F.col("bin").alias("bin2"), F.col("value").alias("n2"))
     return own.join(one, ["chr", "bin_size", "bin1"]).join(two, ["chr", "bin_size", "bin2"])
 
 
-def sum_factor(own: DataFrame, vector: DataFrame) -> DataFrame:
+def sum_factor(own: DataFrame, vector: DataFrame, bins: int | None = None) -> DataFrame:
     """chr, bin_size, factor: the root of normalised over raw counts, so that a matrix keeps its sum; none where either is 0."""
-    good = on_cells(own, vector).where(positive_finite(F.col("n1")) & positive_finite(F.col("n2")))
+    good = on_cells(own, vector, bins).where(positive_finite(F.col("n1")) & positive_finite(F.col("n2")))
     times = F.when(F.col("bin1") == F.col("bin2"), 1).otherwise(2)
     sums = good.groupBy("chr", "bin_size").agg(F.sum(times * F.col("count")).alias("raw"), F.sum(times * F.col("count") / (F.col("n1") * F.col("n2"))).alias("normed"))
     return sums.where("raw > 0 and normed > 0").select("chr", "bin_size", F.sqrt(F.col("normed") / F.col("raw")).cast("float").alias("factor"))
@@ -72,18 +81,18 @@ def rescale(vector: DataFrame, factors: DataFrame) -> DataFrame:
     return met.withColumn("value", changed).drop("factor")
 
 
-def vc(own: DataFrame) -> DataFrame:
+def vc(own: DataFrame, bins: int | None = None) -> DataFrame:
     raw = coverage(own)
-    return rescale(raw, sum_factor(own, raw))
+    return rescale(raw, sum_factor(own, raw, bins))
 
 
-def vc_sqrt(own: DataFrame) -> DataFrame:
+def vc_sqrt(own: DataFrame, bins: int | None = None) -> DataFrame:
     """From the unscaled coverage."""
     root = coverage(own).withColumn("value", F.sqrt("value"))
-    return rescale(root, sum_factor(own, root))
+    return rescale(root, sum_factor(own, root, bins))
 
 
-def scaled(own: DataFrame, genome: Genome, tol: float = scale.TOLERANCE, max_iter: int = scale.TOTAL_ITERATIONS, min_res: int = 0, group_cells: int = GROUP_CELLS) -> DataFrame:
+def scaled(own: DataFrame, genome: Genome, tol: float = scale.TOLERANCE, max_iter: int = scale.TOTAL_ITERATIONS, min_res: int = 0, group_cells: int = GROUP_CELLS, diagonal_width: int = -1, bins: int | None = None) -> DataFrame:
     """chr, bin_size, bin, value of SCALE, NaN on masked bins; matrices that can't be balanced have no rows.
 
     A matrix of at most ``group_cells`` cells is balanced by one task; larger ones one
@@ -95,7 +104,7 @@ def scaled(own: DataFrame, genome: Genome, tol: float = scale.TOLERANCE, max_ite
     def group(part: pd.DataFrame) -> pd.DataFrame:
         chr_, size = int(part["chr"].iat[0]), int(part["bin_size"].iat[0])
         n = lengths[chr_] // size + 1
-        got = scale.balance(part["bin1"].to_numpy(), part["bin2"].to_numpy(), part["count"].to_numpy(dtype=np.float64), n, tol=tol, total_iterations=max_iter)
+        got = scale.balance(part["bin1"].to_numpy(), part["bin2"].to_numpy(), part["count"].to_numpy(dtype=np.float64), n, tol=tol, total_iterations=max_iter, diagonal_width=diagonal_width)
         if got is None:
             return pd.DataFrame({"chr": [], "bin_size": [], "bin": [], "value": []}).astype({"chr": "int32", "bin_size": "int32", "bin": "int32", "value": "float64"})
         return pd.DataFrame({"chr": np.int32(chr_), "bin_size": np.int32(size), "bin": np.arange(n, dtype=np.int32), "value": got})
@@ -110,30 +119,43 @@ def scaled(own: DataFrame, genome: Genome, tol: float = scale.TOLERANCE, max_ite
     raw = (wanted.where(~is_large) if large else wanted).groupBy("chr", "bin_size").applyInPandas(group, schema)
     for c, b in large:
         cells = wanted.where((F.col("chr") == c) & (F.col("bin_size") == b))
-        got = scale.balance_distributed(cells, lengths[c] // b + 1, tol, max_iter)
+        got = scale.balance_distributed(cells, lengths[c] // b + 1, tol, max_iter, diagonal_width)
         if got is not None:
             raw = raw.unionByName(own.sparkSession.createDataFrame(pd.DataFrame({"chr": c, "bin_size": b, "bin": np.arange(len(got)), "value": got}), schema))
     raw = raw.withColumn("value", F.coalesce("value", F.lit(float("nan"))))  # Arrow made it null
-    return rescale(raw, sum_factor(own, raw))
+    return rescale(raw, sum_factor(own, raw, bins))
 
 
-def vectors(cell_rows: DataFrame, genome: Genome, norms: tuple[str, ...] = NORMS, **options) -> DataFrame:
-    """norm, chr, bin_size, bin, value (float): full vectors of the chosen norms."""
+def vectors(cell_rows: DataFrame, genome: Genome, norms: tuple[str, ...] = NORMS, bins: int | None = None, **options) -> DataFrame:
+    """norm, chr, bin_size, bin, value (float): full vectors of the chosen norms. ``options`` are SCALE's; ``bins`` as for ``on_cells``."""
     own = intra(cell_rows)
     out = None
     for name in norms:
         if name == "SCALE":
-            v = scaled(own, genome, **options)
+            v = scaled(own, genome, bins=bins, **options)
         else:
-            v = densify({"VC": vc, "VC_SQRT": vc_sqrt}[name](own), own, genome)
+            v = densify({"VC": vc, "VC_SQRT": vc_sqrt}[name](own, bins), own, genome)
         v = v.select(F.lit(name).alias("norm"), "chr", "bin_size", "bin", F.col("value").cast("float").alias("value"))
         out = v if out is None else out.unionByName(v)
     return out
 
 
-def normalised(own: DataFrame, vector: DataFrame) -> DataFrame:
+def status(cell_rows: DataFrame, made: DataFrame, genome: Genome, sizes: list[int], norms: tuple[str, ...] = NORMS, min_res: int = 0) -> DataFrame:
+    """norm, chr, bin_size, status for each chromosome and bin size: ``made``, ``no contacts``, ``not asked for`` (SCALE below ``min_res``) or ``not balanced``."""
+    spark = cell_rows.sparkSession
+    every = [(norm, c, size) for norm in norms for c in genome.lengths() for size in sizes]
+    asked = spark.createDataFrame(every, "norm string, chr int, bin_size int")
+    held = intra(cell_rows).groupBy("chr", "bin_size").agg(F.lit(True).alias("held"))
+    found = made.groupBy("norm", "chr", "bin_size").agg(F.lit(True).alias("found"))
+    met = asked.join(held, ["chr", "bin_size"], "left").join(found, ["norm", "chr", "bin_size"], "left")
+    late = (F.col("norm") == "SCALE") & (F.col("bin_size") < min_res)
+    told = F.when(F.col("found"), "made").when(F.col("held").isNull(), "no contacts").when(late, "not asked for").otherwise("not balanced")
+    return met.select("norm", "chr", "bin_size", told.alias("status"))
+
+
+def normalised(own: DataFrame, vector: DataFrame, bins: int | None = None) -> DataFrame:
     """Cells with ``value`` = count / (n1 n2); cells whose bins have no usable value are left out."""
-    good = on_cells(own, vector).where(usable(F.col("n1")) & usable(F.col("n2")))
+    good = on_cells(own, vector, bins).where(usable(F.col("n1")) & usable(F.col("n2")))
     return good.withColumn("value", F.col("count") / (F.col("n1") * F.col("n2")))
 
 
@@ -143,7 +165,8 @@ def row_nonzeros(own: DataFrame) -> DataFrame:
 
 
 def coverage_stats(own: DataFrame) -> DataFrame:
-    """chr, bin_size with rows that hold cells (n_rows), their mean and population deviation, and the fewest cells a row should hold by the latter."""
+    """chr, bin_size with rows that hold cells (n_rows), their mean and population deviation, the count a fifth of the way up, and the fewest cells a row should hold by mean and deviation."""
     rows = row_nonzeros(own)
-    s = rows.groupBy("chr", "bin_size").agg(F.count("*").alias("n_rows"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation"))
+    fifth = F.element_at(F.sort_array(F.collect_list("n")), (F.count("*") * scale.PERCENTILE).cast("int") + 1)
+    s = rows.groupBy("chr", "bin_size").agg(F.count("*").alias("n_rows"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation"), fifth.alias("fifth"))
     return s.withColumn("bound", F.greatest(F.lit(1), F.ceil(F.col("mean") - F.col("deviation"))).cast("int"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import random
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactspark.functions.parse import usable
@@ -68,11 +71,57 @@ def query(cell_rows: DataFrame, region1: tuple[int, int, int], region2: tuple[in
     return own.select((F.col("bin1").cast("bigint") * bin_size).cast("int").alias("x"), (F.col("bin2").cast("bigint") * bin_size).cast("int").alias("y"), value.cast("float").alias("value"))
 
 
+def shortest(value: Column, digits: int = 12) -> Column:
+    """A number in at most so many significant digits, without zeros at the end, as C prints it with %g."""
+    long_ = F.format_string(f"%.{digits}g", value)
+    short = F.regexp_replace(F.regexp_replace(long_, r"(\.[0-9]*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    endless = F.when(value > 0, "inf").otherwise("-inf")
+    return F.when(F.isnan(value), "nan").when(F.abs(value) == float("inf"), endless).otherwise(short)
+
+
 def write_dump(result: DataFrame, path: str) -> None:
     """Tab-separated x, y, value (twelve significant digits), sorted; each part a sorted range."""
-    text = result.orderBy("x", "y").select("x", "y", F.format_string("%.12g", F.col("value").cast("double")).alias("value"))
+    text = result.orderBy("x", "y").select("x", "y", shortest(F.col("value").cast("double")).alias("value"))
     text.write.csv(path, sep="\t")
 
 
 def read_dump(spark, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="x int, y int, value float")
+
+
+@dataclass(frozen=True)
+class RegionCase:
+    """A region query of a generated set."""
+
+    name: str
+    resolution: int
+    region1: str
+    region2: str
+    observed: bool
+    norm: str
+
+
+#: The seed of the generated set, and the least width of its regions in bins and in base pairs.
+CASE_SEED, CASE_BINS, CASE_WIDTH = 8675309, 25, 2_000_000
+
+
+def random_cases(genome: Genome, resolutions: list[int], norms: tuple[str, ...] = ("NONE", "VC", "VC_SQRT", "SCALE"), seed: int = CASE_SEED) -> list[RegionCase]:
+    """For each resolution a region pair within and one between chromosomes (1 to 22 and X, as far as the genome has them), each observed and over expected, with each norm."""
+    lengths, found = genome.lengths(), []
+    index = genome.aliases()
+    names = [n for n in [*map(str, range(1, 23)), "X"] if n.lower() in index]
+    length = {n: lengths[index[n.lower()]] for n in names}
+    draw = random.Random(seed)
+    for resolution in resolutions:
+        width = max(CASE_BINS * resolution, CASE_WIDTH)
+        anywhere = lambda n: draw.randrange(max(1, length[n] - width))  # noqa: E731, B023
+        for kind in ("intra", "inter"):
+            one = draw.choice(names)
+            two = one if kind == "intra" else draw.choice([n for n in names if n != one])
+            at = anywhere(one) // resolution * resolution
+            near = min(length[two] - width, max(0, at + draw.randint(-5, 5) * width)) if kind == "intra" else anywhere(two)
+            near = near // resolution * resolution
+            regions = [f"{n}:{start}:{min(length[n], start + width)}" for n, start in ((one, at), (two, near))]
+            number = len(found) // (2 * len(norms)) + 1
+            found += [RegionCase(f"q{number:03d}_{kind}", resolution, *regions, observed, norm) for observed in (True, False) for norm in norms]
+    return found

@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ TOLERANCE, ROW_TOLERANCE, BETTER = 1e-4, 0.05, 0.05
 CUTOFF_ITERATIONS, TOTAL_ITERATIONS = 1000, 2000
 #: An attempt may stall after so many iterations, and is compared with as many before.
 PATIENCE = 5
+#: Rows whose contacts near the diagonal are below this share of their upper median are masked, where a width is given.
+LEAST_NEAR = 0.01
 #: Slow rows are masked where they are less than this share, and counts' percentile that bounds ``low``.
 FEW_SLOW, PERCENTILE = 1e-4, 0.2
 
@@ -48,15 +51,22 @@ def distributed_multiply(cells: DataFrame, n: int) -> tuple[Multiply, Callable[[
     """The same for cells (bin1, bin2, count) spread over executors: chunks stay cached, the vector (n numbers) is broadcast, partial products meet in a tree."""
     sc = cells.sparkSession.sparkContext
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [b.column(k).to_numpy(zero_copy_only=False).astype(t).tobytes() for k, t in enumerate(("<i4", "<i4", "<f8"))]
+            yield pa.RecordBatch.from_arrays([pa.array([p], type=pa.binary()) for p in parts], names=["row", "col", "value"])
+
     def chunk(rows: Iterator) -> Iterator:
-        held = np.array([(r[0], r[1], r[2]) for r in rows], dtype=np.float64).reshape(-1, 3)
-        yield held[:, 0].astype(np.int64), held[:, 1].astype(np.int64), held[:, 2]
+        held = [(np.frombuffer(r[0], "<i4"), np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f8")) for r in rows]
+        if held:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
-    chunks = cells.select("bin1", "bin2", "count").rdd.mapPartitions(chunk).persist(StorageLevel.MEMORY_AND_DISK)
+    own = cells.select(F.col("bin1").cast("int"), F.col("bin2").cast("int"), F.col("count").cast("double"))
+    chunks = own.mapInArrow(pack, "row binary, col binary, value binary").rdd.mapPartitions(chunk).persist(StorageLevel.MEMORY_AND_DISK)
 
     def multiply(v: np.ndarray) -> np.ndarray:
         sent = sc.broadcast(v)
-        out = chunks.map(lambda c: local_multiply(*c, n)(sent.value)).treeReduce(np.add, 2)
+        out = chunks.map(lambda c: local_multiply(*c, n)(sent.value)).treeAggregate(np.zeros(n), np.add, np.add, 2)
         sent.destroy()
         return out
 
@@ -103,14 +113,21 @@ def attempt(multiply: Multiply, keep: np.ndarray, start: np.ndarray, sums: np.nd
     return Attempt("spent", now, np.zeros_like(keep), len(errors))
 
 
-def search(multiply: Multiply, nonzeros: np.ndarray, tol: float = TOLERANCE, total_iterations: int = TOTAL_ITERATIONS) -> np.ndarray | None:
-    """Factors b that make all sums of b A b 1, NaN on masked rows; None where no attempt was accepted."""
+def near_enough(near: np.ndarray) -> np.ndarray:
+    """Rows whose sums near the diagonal reach a hundredth (whole numbers) of the upper median of those above 0."""
+    held = np.sort(near[near > 0])
+    return near >= int(held[len(held) // 2] * LEAST_NEAR) if len(held) else np.ones(len(near), dtype=bool)
+
+
+def search(multiply: Multiply, nonzeros: np.ndarray, tol: float = TOLERANCE, total_iterations: int = TOTAL_ITERATIONS, allowed: np.ndarray | None = None) -> np.ndarray | None:
+    """Factors b that make all sums of b A b 1, NaN on masked rows; None where no attempt was accepted. Rows outside ``allowed`` start out masked."""
     held = int((nonzeros > 0).sum())
     if not held:
         return None
     bound, low, failed_at = nonzero_bound(nonzeros), 1, None
     best: tuple[np.ndarray, np.ndarray, int] | None = None  # factors, rows, low of the last balanced attempt
-    keep = nonzeros >= low
+    holding = lambda low: (nonzeros >= low) & (True if allowed is None else allowed)
+    keep = holding(low)
     may_rescue = may_drop_slow = True
     spent = 0
     sums = multiply(keep.astype(np.float64))
@@ -126,7 +143,7 @@ def search(multiply: Multiply, nonzeros: np.ndarray, tol: float = TOLERANCE, tot
             if low <= 1 or (failed_at is not None and low - failed_at <= 1):
                 break
             low = (low + (failed_at or 0)) // 2
-            keep, may_rescue = nonzeros >= low, True
+            keep, may_rescue = holding(low), True
         elif got.end == "uneven" and may_rescue and got.offenders.any():
             keep, may_rescue = keep & ~got.offenders, False
         else:
@@ -141,7 +158,7 @@ def search(multiply: Multiply, nonzeros: np.ndarray, tol: float = TOLERANCE, tot
                 if not best and higher <= low:
                     return None
                 low, may_drop_slow = higher, True
-                keep, may_rescue = nonzeros >= low, True
+                keep, may_rescue = holding(low), True
             if low > bound:
                 return None
         start = keep.astype(np.float64)
@@ -161,26 +178,31 @@ def as_divisor(multiply: Multiply, factors: np.ndarray) -> np.ndarray:
     return out if before == 0 or after == 0 else np.sqrt(after / before) / out
 
 
-def balance(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, tol: float = TOLERANCE, total_iterations: int = TOTAL_ITERATIONS) -> np.ndarray | None:
-    """The SCALE vector of a matrix in memory (upper triangle), before its sum factor; None where it can't be balanced."""
+def balance(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, tol: float = TOLERANCE, total_iterations: int = TOTAL_ITERATIONS, diagonal_width: int = -1) -> np.ndarray | None:
+    """The SCALE vector of a matrix in memory (upper triangle), before its sum factor; None where it can't be balanced. ``diagonal_width`` above 0 masks rows with few contacts within so many bins."""
     nonzeros = np.bincount(row, minlength=n) + np.bincount(col[row != col], minlength=n)
     multiply = local_multiply(row, col, value, n)
-    found = search(multiply, nonzeros, tol, total_iterations)
+    allowed = None
+    if diagonal_width > 0:
+        near = np.abs(row.astype(np.int64) - col) <= diagonal_width
+        allowed = near_enough(local_multiply(row[near], col[near], value[near], n)(np.ones(n)))
+    found = search(multiply, nonzeros, tol, total_iterations, allowed)
     if found is None:
         return None
     vector = as_divisor(multiply, found)
     return vector if (np.isfinite(vector) & (vector > 0)).any() else None
 
 
-def balance_distributed(cells: DataFrame, n: int, tol: float = TOLERANCE, total_iterations: int = TOTAL_ITERATIONS) -> np.ndarray | None:
+def balance_distributed(cells: DataFrame, n: int, tol: float = TOLERANCE, total_iterations: int = TOTAL_ITERATIONS, diagonal_width: int = -1) -> np.ndarray | None:
     """``balance`` for cells (bin1, bin2, count) that no task should hold alone."""
     multiply, done = distributed_multiply(cells, n)
     try:
         ends = F.when(F.col("bin1") == F.col("bin2"), F.array("bin1")).otherwise(F.array("bin1", "bin2"))
-        nonzeros = np.zeros(n, dtype=np.int64)
-        for r in cells.select(F.explode(ends).alias("bin")).groupBy("bin").agg(F.count("*").alias("n")).toLocalIterator():
-            nonzeros[r["bin"]] = r["n"]
-        found = search(multiply, nonzeros, tol, total_iterations)
+        nonzeros, near = np.zeros(n, dtype=np.int64), np.zeros(n)
+        close = F.when(F.abs(F.col("bin1") - F.col("bin2")) <= diagonal_width, F.col("count")).otherwise(0.0)
+        for r in cells.select(F.explode(ends).alias("bin"), close.alias("near")).groupBy("bin").agg(F.count("*").alias("n"), F.sum("near").alias("near")).toLocalIterator():
+            nonzeros[r["bin"]], near[r["bin"]] = r["n"], r["near"]
+        found = search(multiply, nonzeros, tol, total_iterations, near_enough(near) if diagonal_width > 0 else None)
         vector = None if found is None else as_divisor(multiply, found)
         return vector if vector is not None and (np.isfinite(vector) & (vector > 0)).any() else None
     finally:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from contactspark.genome import Genome
 from contactspark.operators import contacts, expected, matrix, norms, region
+from contactspark.session import keep
 from contactspark.sources import container
 
 
@@ -27,38 +28,53 @@ class Store:
     depth_base: int = 2
     scaling_factor: float = 1.0
     vectors: DataFrame | None = None
+    resolutions: tuple[int, ...] = ()
+    status: DataFrame | None = None
 
 
 def build(pairs: DataFrame, genome: Genome, resolutions: list[int] | tuple[int, ...] = matrix.RESOLUTIONS, mapq: int = 0, intra_only: bool = False, near_diagonal_only: bool = False, drop_same_fragment: bool = False, count_threshold: float = 0, depth_base: int = 2, scaling_factor: float = 1.0) -> Store:
-    """All matrices of the pairs. The distance model rests on the cells, so the pairs are scanned for cells and for the whole-genome matrix only."""
+    """All matrices of the pairs.
+
+    The pairs are read once: their contacts go to the shared folder as a table, and the
+    counters are taken in passing. Cells of each resolution are stored before coarser
+    ones, sums, distances and norms are made of them.
+    """
     if not 2 <= depth_base <= 10:
         raise ValueError("depth_base must be from 2 to 10")
     filters = {"mapq": mapq, "intra_only": intra_only, "near_diagonal_only": near_diagonal_only, "drop_same_fragment": drop_same_fragment}
-    kept = contacts.contacts(pairs, genome, **filters, scaling_factor=scaling_factor)
-    cell_rows = matrix.union(matrix.multi_resolution(kept, list(resolutions)))
-    by_chr = expected.distances(cell_rows)
+    seen = Observation()
+    counted = pairs.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(contacts.skipped(**filters)).alias("skipped"))
+    kept = keep(contacts.contacts(counted, genome, **filters, scaling_factor=scaling_factor))
+    counters = pairs.sparkSession.createDataFrame([(seen.get["total"], seen.get["skipped"])], "total bigint, skipped bigint")
+    cell_rows = matrix.union(matrix.multi_resolution(kept, list(resolutions), keep))
+    by_chr = keep(expected.distances(cell_rows))
     totals = expected.chromosome_totals(by_chr)
-    dense = expected.density(expected.histogram(by_chr, genome), expected.possible_distances(totals, genome), genome)
+    dense = keep(expected.density(expected.histogram(by_chr, genome), expected.possible_distances(totals, genome), genome))
     shown = matrix.at_least(cell_rows, count_threshold) if count_threshold else cell_rows
-    return Store(genome, matrix.with_blocks(shown, genome, depth_base), matrix.whole_genome(kept, genome), matrix.zooms(shown, genome), dense, expected.scale_factors(dense, totals, genome), contacts.counters(pairs, **filters), depth_base, scaling_factor)
+    numbered, sums, factors = matrix.with_blocks(shown, genome, depth_base), matrix.zooms(shown, genome), expected.scale_factors(dense, totals, genome)
+    return Store(genome, numbered, matrix.whole_genome(kept, genome), sums, dense, factors, counters, depth_base, scaling_factor, resolutions=tuple(sorted(set(resolutions))))
 
 
 def normalise(store: Store, names: tuple[str, ...] = norms.NORMS, tol: float = 1e-4, max_iter: int = 2000, min_scale_res: int = 0) -> Store:
-    """The store with normalisation vectors, and with expected values of every norm besides the raw ones."""
+    """The store with normalisation vectors, with expected values of every norm besides the raw ones, and with ``status``, which names the matrices that got no vector."""
     options = {"tol": tol, "max_iter": max_iter, "min_res": min_scale_res} if "SCALE" in names else {}
-    made = norms.vectors(store.cells, store.genome, names, **options)
+    sizes = list(store.resolutions) or sorted(r.bin_size for r in store.cells.select("bin_size").distinct().collect())
+    bins = norms.bins_of(store.genome, sizes)
+    made = keep(norms.vectors(store.cells, store.genome, names, bins, **options))
     own = norms.intra(store.cells)
     keys = ("norm", "bin_size")
-    one = made.select("norm", "chr", "bin_size", F.col("bin").alias("bin1"), F.col("value").alias("n1"))
-    two = made.select("norm", "chr", "bin_size", F.col("bin").alias("bin2"), F.col("value").alias("n2"))
+    few = F.broadcast if bins * len(names) <= norms.BROADCAST_BINS else (lambda df: df)
+    one = few(made.select("norm", "chr", "bin_size", F.col("bin").alias("bin1"), F.col("value").alias("n1")))
+    two = few(made.select("norm", "chr", "bin_size", F.col("bin").alias("bin2"), F.col("value").alias("n2")))
     met = own.join(one, ["chr", "bin_size", "bin1"]).join(two, ["norm", "chr", "bin_size", "bin2"])
     met = met.where(norms.usable(F.col("n1")) & norms.usable(F.col("n2"))).select("norm", "bin_size", F.col("chr").alias("chr1"), F.col("chr").alias("chr2"), "bin1", "bin2", (F.col("count") / (F.col("n1") * F.col("n2"))).alias("value"))
-    by_chr = expected.distances(met, F.col("value"), keys)
+    by_chr = keep(expected.distances(met, F.col("value"), keys))
     totals = expected.chromosome_totals(by_chr, keys)
-    dense = expected.density(expected.histogram(by_chr, store.genome, keys), expected.possible_distances(totals, store.genome, keys), store.genome, keys)
+    dense = keep(expected.density(expected.histogram(by_chr, store.genome, keys), expected.possible_distances(totals, store.genome, keys), store.genome, keys))
     factors = expected.scale_factors(dense, totals, store.genome, keys)
     raw = lambda df: df.withColumn("norm", F.lit("NONE")) if "norm" not in df.columns else df.where("norm = 'NONE'")
-    return replace(store, vectors=made, density=raw(store.density).unionByName(dense), factors=raw(store.factors).unionByName(factors))
+    told = norms.status(store.cells, made, store.genome, sizes, names, min_scale_res)
+    return replace(store, vectors=made, status=told, density=raw(store.density).unionByName(dense), factors=raw(store.factors).unionByName(factors))
 
 
 def query(store: Store, region1: str, region2: str, bin_size: int, norm: str = "NONE", observed: bool = True) -> DataFrame:
@@ -91,7 +107,7 @@ def export(store: Store, path: str) -> None:
     container.write(store.cells.sparkSession, path, store.genome, store.cells, store.whole_genome, _expected(store, True), _expected(store, False), store.vectors, store.depth_base, store.scaling_factor)
 
 
-_PARTS = ("whole_genome", "zooms", "density", "factors", "counters", "vectors")
+_PARTS = ("whole_genome", "zooms", "density", "factors", "counters", "vectors", "status")
 
 
 def save(store: Store, folder: str) -> None:
@@ -111,7 +127,7 @@ def load(spark: SparkSession, folder: str, genome: Genome) -> Store:
         try:
             parts[name] = spark.read.parquet(f"{folder}/{name}")
         except Exception as error:
-            if name != "vectors" or "PATH_NOT_FOUND" not in str(error):
+            if name not in ("vectors", "status") or "PATH_NOT_FOUND" not in str(error):
                 raise
             parts[name] = None
     return Store(genome, spark.read.parquet(f"{folder}/cells"), **parts)

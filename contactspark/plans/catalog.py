@@ -7,7 +7,7 @@ from ``events``. What iterates, smooths or writes files has no SQL.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from contactspark.functions.blocks import block_shape_of
 from contactspark.genome import Genome
 from contactspark.operators import compare, contacts, expected, matrix, norms, region
-from contactspark.sources import text
+from contactspark.operators.scale import ROW_TOLERANCE
+from contactspark.session import keep, shared_dir
+from contactspark.sources import binary, text
 
 SIZE, MAPQ = 50_000_000, 10
 GENOME = Genome(tuple((f"chr{i}", SIZE) for i in range(1, 6)), "five")
 MB, RESOLUTIONS = 1_000_000, (100_000, 500_000, 1_000_000, 2_500_000)
+BINS = norms.bins_of(GENOME, [MB])
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +64,11 @@ def _cells(spark: SparkSession, sf_dir: str, size: int = MB) -> DataFrame:
     return matrix.cells(_contacts(spark, sf_dir), size)
 
 
+def _own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells within chromosomes, stored: norms pass over them several times."""
+    return keep(norms.intra(_cells(spark, sf_dir)))
+
+
 def _long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("bigint") for n in names})
 
@@ -102,6 +110,74 @@ def mnd_lines(spark, sf_dir):
     return parsed.select("chr1", "pos1", "chr2", "pos2", "mapq1", "frag2", F.col("score").cast("double").alias("score"))
 
 
+PARSED = ["chr1", "pos1", "strand1", "frag1", "mapq1", "chr2", "pos2", "strand2", "frag2", "mapq2", "score"]
+
+
+def _line_parts(spark, sf_dir) -> DataFrame:
+    """What lines are made of: among good values, chromosomes that nobody knows and positions below 0, beyond an int, and with letters behind."""
+    t = _table(spark, sf_dir, "lineitem")
+    p1 = F.when(F.col("l_orderkey") % 11 == 0, "-7").when(F.col("l_orderkey") % 13 == 0, "12abc").when(F.col("l_orderkey") % 17 == 0, "3000000000").otherwise((F.col("l_orderkey") % 1000).cast("string"))
+    name = F.when(F.col("l_linenumber") == 7, "chrUn").otherwise(F.concat(F.lit("CHR"), (F.col("l_partkey") % 5 + 1).cast("string")))
+    return t.select(name.alias("n1"), p1.alias("p1"), (F.col("l_suppkey") % 5 + 1).cast("string").alias("n2"), (F.col("l_partkey") % 1000).cast("string").alias("p2"), F.col("l_quantity").cast("int").cast("string").alias("q"))
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    return text.known_chromosomes(rows, GENOME).select(*PARSED[:-1], F.col("score").cast("double").alias("score"))
+
+
+def _mnd_layout(*parts: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The parser of MND lines on lines of these columns (those of ``_line_parts``; others as they are)."""
+
+    def layout(spark, sf_dir):
+        p = _line_parts(spark, sf_dir)
+        lines = p.select(F.concat_ws("\t", *[F.col(x) if x in p.columns else F.lit(x) for x in parts]).alias("value"))
+        return _parsed(text._mnd(text._fields(lines), False))
+
+    return layout
+
+
+_EIGHT = ("0", "n1", "p1", "3", "1", "n2", "p2", "4")
+MND_LAYOUTS = {
+    "mnd_short8": _EIGHT,
+    "mnd_short9": (*_EIGHT, "2.5x"),
+    "mnd_old10": (*_EIGHT, "q", "33"),
+    "mnd_medium11": ("read", *_EIGHT, "q", "33"),
+    "mnd_long16": (*_EIGHT, "q", "10M", "ACGT", "33", "10M", "ACGT", "a", "b"),
+}
+
+
+def extra_short_lines(spark, sf_dir):
+    p = _line_parts(spark, sf_dir)
+    lines = p.select(F.concat_ws("  ", F.lit(""), "n1", "p1", "n2", "p2", F.lit("2.5e0")).alias("value"))
+    return _parsed(text._short(text._fields(lines)))
+
+
+def pairs_lines(spark, sf_dir):
+    """.pairs lines under a header that has the optional columns in another order; every fifth line lacks the last of them."""
+    p = _line_parts(spark, sf_dir)
+    last = F.when(F.col("p2").endswith("5"), F.lit(None)).otherwise("8")
+    lines = p.select(F.concat_ws("\t", F.lit("r"), "n1", "p1", "n2", "p2", F.lit("-"), F.lit("+"), F.lit("UU"), F.lit("33"), "q", F.lit("6"), last).alias("value"))
+    return _parsed(text._pairs(lines, tuple("readID chr1 pos1 chr2 pos2 strand1 strand2 pair_type mapq2 mapq1 frag2 frag1".split())))
+
+
+def bn_records(spark, sf_dir):
+    """Binary records with scores, made by expressions in runs and decoded."""
+    return _records(spark, sf_dir, "bn", lambda le: F.concat(le("c1"), le("p1"), le("c2"), le("p2"), F.lit("00002040")))
+
+
+def bin_records(spark, sf_dir):
+    """Binary records with strands and fragments: 1.0 is the score that they get."""
+    return _records(spark, sf_dir, "bin", lambda le: F.concat(F.lit("01"), le("c1"), le("p1"), F.lit("03000000"), F.lit("00"), le("c2"), le("p2"), F.lit("04000000")))
+
+
+def _records(spark, sf_dir, fmt, hexed):
+    t = _table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 5 + 1).alias("c1"), (F.col("l_orderkey") % 1000 - 5).alias("p1"), (F.col("l_suppkey") % 5 + 1).alias("c2"), (F.col("l_partkey") % 100_000).alias("p2"), (F.col("l_orderkey") % 512).alias("run"))
+    digits = lambda c: F.lpad(F.hex(F.pmod(F.col(c), F.lit(1 << 32))), 8, "0")
+    little = lambda c: F.concat(*[F.substring(digits(c), k, 2) for k in (7, 5, 3, 1)])
+    runs = t.groupBy("run").agg(F.unhex(F.array_join(F.collect_list(hexed(little)), "")).alias("r"))
+    return binary.read_runs(runs.select("r"), fmt, len(GENOME.chromosomes)).withColumn("score", F.col("score").cast("double"))
+
+
 def cells_1mb(spark, sf_dir):
     return _long(_cells(spark, sf_dir), "count").select("chr1", "chr2", "bin1", "bin2", "count")
 
@@ -173,19 +249,19 @@ def possible_distances(spark, sf_dir):
     return expected.possible_distances(totals, GENOME).select("dist", F.col("possible").cast("bigint").alias("possible"))
 
 
-def _model(spark, sf_dir):
-    by_chr = expected.distances(_cells(spark, sf_dir))
+def _model(spark, sf_dir, cells_=None):
+    by_chr = keep(expected.distances(_cells(spark, sf_dir) if cells_ is None else cells_))
     totals = expected.chromosome_totals(by_chr)
     dense = expected.density(expected.histogram(by_chr, GENOME), expected.possible_distances(totals, GENOME), GENOME)
     return dense, expected.scale_factors(dense, totals, GENOME), totals
 
 
 def expected_density(spark, sf_dir):
-    return _model(spark, sf_dir)[0]
+    return _model(spark, sf_dir)[0].select("dist", F.col("density").cast("double").alias("density"))
 
 
 def chr_scale_factors(spark, sf_dir):
-    return _model(spark, sf_dir)[1]
+    return _model(spark, sf_dir)[1].select("chr", F.round(F.col("factor").cast("double"), 5).alias("factor"))
 
 
 def _rounded(vector: DataFrame, own: DataFrame) -> DataFrame:
@@ -194,28 +270,28 @@ def _rounded(vector: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def vc(spark, sf_dir):
-    own = norms.intra(_cells(spark, sf_dir))
+    own = _own(spark, sf_dir)
     return _rounded(norms.coverage(own), own)
 
 
 def vc_scaled(spark, sf_dir):
-    own = norms.intra(_cells(spark, sf_dir))
-    return _rounded(norms.vc(own), own)
+    own = _own(spark, sf_dir)
+    return _rounded(norms.vc(own, BINS), own)
 
 
 def vc_sqrt(spark, sf_dir):
-    own = norms.intra(_cells(spark, sf_dir))
-    return _rounded(norms.vc_sqrt(own), own)
+    own = _own(spark, sf_dir)
+    return _rounded(norms.vc_sqrt(own, BINS), own)
 
 
 def norm_cells_vc(spark, sf_dir):
-    own = norms.intra(_cells(spark, sf_dir))
-    return norms.normalised(own, norms.coverage(own)).select("chr", "bin1", "bin2", F.round("value", 9).alias("value"))
+    own = _own(spark, sf_dir)
+    return norms.normalised(own, norms.coverage(own), BINS).select("chr", "bin1", "bin2", F.round("value", 9).alias("value"))
 
 
 def norm_distance_hist_vc(spark, sf_dir):
-    own = norms.intra(_cells(spark, sf_dir))
-    met = norms.normalised(own, norms.coverage(own)).select("bin_size", F.col("chr").alias("chr1"), F.col("chr").alias("chr2"), "bin1", "bin2", "value")
+    own = _own(spark, sf_dir)
+    met = norms.normalised(own, norms.coverage(own), BINS).select("bin_size", F.col("chr").alias("chr1"), F.col("chr").alias("chr2"), "bin1", "bin2", "value")
     by_chr = expected.distances(met, F.col("value"))
     return expected.histogram(by_chr, GENOME).select("dist", F.round("weight", 7).alias("weight"))
 
@@ -226,31 +302,40 @@ def row_nonzeros(spark, sf_dir):
 
 def coverage_stats(spark, sf_dir):
     s = norms.coverage_stats(norms.intra(_cells(spark, sf_dir)))
-    return s.select("chr", "n_rows", F.round("mean", 9).alias("mean"), F.round("deviation", 9).alias("deviation"))
+    return s.select("chr", "n_rows", F.round("mean", 9).alias("mean"), F.round("deviation", 9).alias("deviation"), "fifth", "bound")
 
 
 def _balanceable(spark, sf_dir):
     """Matrices of ``events``; those of ``lineitem`` have rows that only few others touch, which no factors make even."""
     own = matrix.cells(contacts.contacts(event_pairs(spark, sf_dir, 0), GENOME), 5 * MB)
-    return norms.intra(own)
+    return keep(norms.intra(own))
 
 
 def scale_vector(spark, sf_dir):
-    return norms.scaled(_balanceable(spark, sf_dir), GENOME)
+    return norms.scaled(_balanceable(spark, sf_dir), GENOME, bins=BINS)
 
 
 def scale_failures(spark, sf_dir):
     """Matrices of ``lineitem`` that can't be balanced."""
-    own = norms.intra(_cells(spark, sf_dir))
+    own = _own(spark, sf_dir)
     return own.select("chr", "bin_size").distinct().join(norms.scaled(own, GENOME).select("chr", "bin_size").distinct(), ["chr", "bin_size"], "left_anti")
 
 
 def scale_row_sum_error(spark, sf_dir):
-    """How even the balanced rows are: the largest and smallest row sum over their mean, by chromosome."""
+    """Whether the balanced rows are even, by chromosome: none is more than the row tolerance from their mean."""
     own = _balanceable(spark, sf_dir)
-    met = norms.normalised(own, norms.scaled(own, GENOME)).drop("count").withColumnRenamed("value", "count")
+    met = norms.normalised(own, norms.scaled(own, GENOME, bins=BINS), BINS).drop("count").withColumnRenamed("value", "count")
     sums = norms.coverage(met.select("chr", "bin_size", "bin1", "bin2", "count"))
-    return sums.groupBy("chr").agg((F.max("value") / F.avg("value")).alias("most"), (F.min("value") / F.avg("value")).alias("least"))
+    off = F.greatest(F.max("value") / F.avg("value") - 1, 1 - F.min("value") / F.avg("value"))
+    return sums.groupBy("chr").agg((off <= ROW_TOLERANCE).alias("even"))
+
+
+def norm_status(spark, sf_dir):
+    """Which matrices have coverage vectors, in a genome with a chromosome that has no contacts."""
+    more = Genome((*GENOME.chromosomes, ("chr6", SIZE)), "six")
+    cells_ = keep(_cells(spark, sf_dir))
+    made = norms.vectors(cells_, more, ("VC", "VC_SQRT"), BINS)
+    return norms.status(cells_, made, more, [MB], ("VC", "VC_SQRT"))
 
 
 def contiguity_violations(spark, sf_dir):
@@ -272,22 +357,26 @@ def region_between(spark, sf_dir):
     return region.query(_cells(spark, sf_dir), *BETWEEN, MB).select("x", "y", F.col("value").cast("double").alias("value"))
 
 
-def _vectors(spark, sf_dir):
-    own = norms.intra(_cells(spark, sf_dir))
-    return norms.coverage(own).select(F.lit("VC").alias("norm"), "chr", "bin_size", "bin", "value")
-
-
 def region_vc(spark, sf_dir):
-    cells_ = _cells(spark, sf_dir)
+    """The vector is of the region's chromosome alone, so that no other contact is read further than its chromosome."""
+    cells_ = keep(matrix.cells(_contacts(spark, sf_dir).where((F.col("chr1") == REGION[0][0]) & (F.col("chr2") == REGION[0][0])), MB))
     picked = region.select(cells_, *REGION, MB)
     own = picked.select(F.col("chr1").alias("chr"), "bin_size", "bin1", "bin2", "count")
-    met = norms.normalised(own, _vectors(spark, sf_dir).drop("norm"))
+    met = norms.normalised(own, norms.coverage(norms.intra(cells_)), BINS)
     return met.select((F.col("bin1") * MB).alias("x"), (F.col("bin2") * MB).alias("y"), F.round("value", 9).alias("value"))
 
 
 def region_oe(spark, sf_dir):
-    dense, factors, _ = _model(spark, sf_dir)
-    return region.query(_cells(spark, sf_dir), *REGION, MB, density=dense, factors=factors)
+    cells_ = keep(_cells(spark, sf_dir))
+    dense, factors, _ = _model(spark, sf_dir, cells_)
+    out = region.query(cells_, *REGION, MB, density=keep(dense), factors=factors)
+    return out.select("x", "y", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+def dump_lines(spark, sf_dir):
+    """Lines of a dump: normalised values of a region in twelve significant digits."""
+    met = region_vc(spark, sf_dir)
+    return met.select("x", "y", region.shortest(F.col("value") * 1000).alias("value"))
 
 
 def _two_results(spark, sf_dir):
@@ -298,7 +387,7 @@ def _two_results(spark, sf_dir):
 
 def compare_metrics(spark, sf_dir):
     s = compare.compare_dumps(*_two_results(spark, sf_dir))
-    return s.select("rows_left", "rows_right", "coordinates_equal", "common_positive_finite", *[F.round(c, 9).alias(c) for c in ("pearson", "median_ratio", "median_relative_error", "max_relative_error")])
+    return s.select("rows_left", "rows_right", "coordinates_equal", "exact_values_equal", "common_positive_finite", *[F.round(c, 9).alias(c) for c in ("pearson", "median_ratio", "median_relative_error", "max_relative_error")])
 
 
 def key_set_diff(spark, sf_dir):
@@ -321,7 +410,7 @@ def first_appearance(spark, sf_dir):
 def streaming_cells(spark, sf_dir):
     from contactspark.streaming import cells as stream
 
-    folder = tempfile.mkdtemp(prefix="contactspark-stream-") if spark.sparkContext.master.startswith("local[") else f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/stream-{spark.sparkContext.applicationId}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4()}"
     out = stream.run_once(spark, sf_dir, "lineitem.parquet", folder, lambda df: _from_lineitem(df), MB)
     return _long(out, "count").select("chr1", "chr2", "bin1", "bin2", "count")
 
@@ -343,7 +432,7 @@ def v9_roundtrip(spark, sf_dir):
     from contactspark.sources import container
 
     own = matrix.multi_resolution(_contacts(spark, sf_dir), [500_000, 1_000_000])
-    path = f"{tempfile.mkdtemp(prefix='contactspark-')}/matrix.hic"
+    path = f"{shared_dir(spark).removeprefix('file://')}/matrix-{uuid.uuid4()}.hic"
     container.write(spark, path, GENOME, matrix.union(own))
     return _long(container.read_cells(spark, path), "count").select("bin_size", "chr1", "chr2", "bin1", "bin2", "count")
 
@@ -403,6 +492,40 @@ def _shapes_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _lines_sql(strand: tuple[int, int], frag: tuple[str, str], mapq: tuple[str, str], score: float) -> str:
+    """What the readers make of ``_line_parts``."""
+    at = "CAST(CASE WHEN l_orderkey % 11 = 0 THEN 0 WHEN l_orderkey % 13 = 0 THEN 12 WHEN l_orderkey % 17 = 0 THEN 2147483647 ELSE l_orderkey % 1000 END AS INT)"
+    return f"""SELECT CAST(l_partkey % 5 + 1 AS INT) AS chr1, {at} AS pos1, CAST({strand[0]} AS TINYINT) AS strand1, CAST({frag[0]} AS INT) AS frag1, CAST({mapq[0]} AS INT) AS mapq1,
+  CAST(l_suppkey % 5 + 1 AS INT) AS chr2, CAST(l_partkey % 1000 AS INT) AS pos2, CAST({strand[1]} AS TINYINT) AS strand2, CAST({frag[1]} AS INT) AS frag2, CAST({mapq[1]} AS INT) AS mapq2,
+  CAST({score} AS DOUBLE) AS score FROM lineitem WHERE l_linenumber <> 7"""
+
+
+def _records_sql(strand: tuple[int, int], frag: tuple[int, int], score: float) -> str:
+    return f"""SELECT CAST(l_partkey % 5 + 1 AS INT) AS chr1, CAST(l_orderkey % 1000 - 5 AS INT) AS pos1, CAST({strand[0]} AS TINYINT) AS strand1, CAST({frag[0]} AS INT) AS frag1, CAST(1000 AS INT) AS mapq1,
+  CAST(l_suppkey % 5 + 1 AS INT) AS chr2, CAST(l_partkey % 100000 AS INT) AS pos2, CAST({strand[1]} AS TINYINT) AS strand2, CAST({frag[1]} AS INT) AS frag2, CAST(1000 AS INT) AS mapq2, CAST({score} AS DOUBLE) AS score FROM lineitem"""
+
+
+#: The smoothing one step to a row: it widens (kind 1) or narrows (kind 2) the window low to high until that holds enough, then gives a density and moves on.
+_DENSITY = _CELLS + f""",
+w AS (SELECT abs(bin1 - bin2) AS d, sum(n)::DOUBLE AS x FROM cells WHERE chr1 = chr2 GROUP BY 1),
+k AS (SELECT count(DISTINCT chr1)::DOUBLE AS k FROM cells WHERE chr1 = chr2),
+arrays AS (SELECT list(coalesce(x, 0) ORDER BY r.d) AS a, list(k * greatest({SIZE // MB} - r.d, 0) ORDER BY r.d) AS p FROM range(0, {SIZE // MB + 1}) r(d) LEFT JOIN w ON w.d = r.d, k),
+steps AS (
+  SELECT 0 AS i, 0 AS low, 0 AS high, a[1] AS held, p[1] AS pairs, CASE WHEN a[1] < 400 THEN 1 ELSE 2 END AS kind, CAST(NULL AS DOUBLE) AS density, a, p FROM arrays
+  UNION ALL
+  SELECT CASE WHEN act = 3 THEN i + 1 ELSE i END, CASE WHEN act = 2 THEN low + 1 ELSE low END, high + CASE act WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE gain END,
+    held + new_held, pairs + new_pairs, CASE WHEN act < 3 THEN kind WHEN held + new_held < 400 THEN 1 ELSE 2 END, CASE WHEN act = 3 THEN CASE WHEN pairs > 0 THEN held / pairs ELSE 0 END END, a, p
+  FROM (SELECT *,
+      CASE act WHEN 1 THEN coalesce(a[high + 2], 0) WHEN 2 THEN -a[low + 1] - a[high + 1] ELSE CASE WHEN gain > 0 THEN a[high + 2] ELSE 0 END + CASE WHEN gain > 1 THEN a[high + 3] ELSE 0 END END AS new_held,
+      CASE act WHEN 1 THEN coalesce(p[high + 2], 0) WHEN 2 THEN -p[low + 1] - p[high + 1] ELSE CASE WHEN gain > 0 THEN p[high + 2] ELSE 0 END + CASE WHEN gain > 1 THEN p[high + 3] ELSE 0 END END AS new_pairs
+    FROM (SELECT *, CASE WHEN high + 2 < {SIZE // MB} THEN 2 WHEN high + 1 < {SIZE // MB} THEN 1 ELSE 0 END AS gain,
+        CASE WHEN kind = 1 AND held < 400 AND high < {SIZE // MB} THEN 1
+             WHEN kind = 2 AND high > low AND low <= {SIZE // MB} AND high <= {SIZE // MB} AND held - a[low + 1] - a[high + 1] >= 400 THEN 2 ELSE 3 END AS act
+      FROM steps WHERE i < {SIZE // MB}))),
+dense AS (SELECT CAST(i - 1 AS INT) AS dist, CAST(CAST(density AS FLOAT) AS DOUBLE) AS density FROM steps WHERE density IS NOT NULL),
+factors AS (SELECT t.chr, CAST(sum(({SIZE // MB} - dist) * density) / any_value(t.n) AS FLOAT)::DOUBLE AS factor FROM (SELECT chr1 AS chr, sum(n) AS n FROM cells WHERE chr1 = chr2 GROUP BY 1) t, dense GROUP BY t.chr)"""
+
+
 def oracle_sql() -> dict[str, str]:
     canonical = "SELECT chr1, pos1, chr2, pos2 FROM c"
     columns, side = block_shape_of(SIZE, MB, True)
@@ -442,12 +565,28 @@ def oracle_sql() -> dict[str, str]:
         "norm_cells_vc": f"WITH {_INTRA} SELECT chr, bin1, bin2, round(value, 9) AS value FROM ({normed})",
         "norm_distance_hist_vc": f"WITH {_INTRA} SELECT abs(bin1 - bin2) AS dist, round(sum(value), 7) AS weight FROM ({normed}) GROUP BY 1",
         "row_nonzeros": f"WITH {_INTRA} SELECT chr, bin, count(*)::BIGINT AS n FROM ways GROUP BY ALL",
-        "coverage_stats": f"WITH {_INTRA}, z AS (SELECT chr, bin, count(*) AS k FROM ways GROUP BY ALL) SELECT chr, count(*)::BIGINT AS n_rows, round(avg(k), 9) AS mean, round(stddev_pop(k), 9) AS deviation FROM z GROUP BY chr",
+        "coverage_stats": f"WITH {_INTRA}, z AS (SELECT chr, bin, count(*) AS k FROM ways GROUP BY ALL) SELECT chr, count(*)::BIGINT AS n_rows, round(avg(k), 9) AS mean, round(stddev_pop(k), 9) AS deviation, list_sort(list(k))[CAST(floor(count(*) * 0.2) AS INT) + 1] AS fifth, CAST(greatest(1, ceil(avg(k) - stddev_pop(k))) AS INT) AS bound FROM z GROUP BY chr",
         "contiguity_violations": f"WITH {_PAIRS}, o AS (SELECT chr1, chr2, lag((chr1, chr2)) OVER (ORDER BY pos1, pos2, chr1, chr2) AS before FROM c) SELECT chr1, chr2, count(*)::BIGINT AS n_runs FROM o WHERE before IS NULL OR before <> (chr1, chr2) GROUP BY ALL HAVING count(*) > 1",
         "region_observed": f"WITH {_CELLS} SELECT bin1 * {MB} AS x, bin2 * {MB} AS y, n::DOUBLE AS value FROM cells WHERE {_REGION}",
         "region_between": f"WITH {_CELLS} SELECT bin1 * {MB} AS x, bin2 * {MB} AS y, n::DOUBLE AS value FROM cells WHERE chr1 = 2 AND chr2 = 4 AND bin1 BETWEEN 10 AND 30 AND bin2 BETWEEN 0 AND 20",
         "region_vc": f"WITH {_INTRA} SELECT bin1 * {MB} AS x, bin2 * {MB} AS y, round(value, 9) AS value FROM ({normed}) WHERE {_REGION.replace('chr1 = 1 AND chr2 = 1', 'chr = 1')}",
-        "compare_metrics": f"WITH {_TWO}, g AS (SELECT * FROM two WHERE a > 0 AND b > 0) SELECT (SELECT count(a) FROM two)::BIGINT AS rows_left, (SELECT count(b) FROM two)::BIGINT AS rows_right, (SELECT bool_and(a IS NOT NULL AND b IS NOT NULL) FROM two) AS coordinates_equal, count(*)::BIGINT AS common_positive_finite, round(corr(a, b), 9) AS pearson, round(median(b / a), 9) AS median_ratio, round(median(abs(a - b) / greatest(a, b)), 9) AS median_relative_error, round(max(abs(a - b) / greatest(a, b)), 9) AS max_relative_error FROM g",
+        "compare_metrics": f"WITH {_TWO}, g AS (SELECT * FROM two WHERE a > 0 AND b > 0) SELECT (SELECT count(a) FROM two)::BIGINT AS rows_left, (SELECT count(b) FROM two)::BIGINT AS rows_right, (SELECT bool_and(a IS NOT NULL AND b IS NOT NULL) FROM two) AS coordinates_equal, (SELECT bool_and(coalesce(a = b, false)) FROM two) AS exact_values_equal, count(*)::BIGINT AS common_positive_finite, round(corr(a, b), 9) AS pearson, round(median(b / a), 9) AS median_ratio, round(median(abs(a - b) / greatest(a, b)), 9) AS median_relative_error, round(max(abs(a - b) / greatest(a, b)), 9) AS max_relative_error FROM g",
+        "expected_density": f"WITH RECURSIVE {_DENSITY} SELECT dist, density FROM dense",
+        "chr_scale_factors": f"WITH RECURSIVE {_DENSITY} SELECT chr, round(factor, 5) AS factor FROM factors",
+        "region_oe": f"WITH RECURSIVE {_DENSITY} SELECT bin1 * {MB} AS x, bin2 * {MB} AS y, round(CAST(n / (density / factor) AS FLOAT)::DOUBLE, 4) AS value FROM cells JOIN dense ON dist = abs(bin1 - bin2) JOIN factors ON chr = chr1 WHERE {_REGION} AND density > 0",
+        "dump_lines": f"WITH {_INTRA} SELECT bin1 * {MB} AS x, bin2 * {MB} AS y, printf('%.12g', round(value, 9) * 1000) AS value FROM ({normed}) WHERE {_REGION.replace('chr1 = 1 AND chr2 = 1', 'chr = 1')}",
+        "v9_roundtrip": f"WITH {_PAIRS} " + " UNION ALL ".join(f"SELECT CAST({r} AS INT) AS bin_size, chr1, chr2, pos1 // {r} AS bin1, pos2 // {r} AS bin2, count(*)::BIGINT AS count FROM c GROUP BY ALL" for r in (500_000, 1_000_000)),
+        "scale_row_sum_error": f"SELECT DISTINCT CAST(user_id % 5 + 1 AS INT) AS chr, true AS even FROM events WHERE user_id % 5 = event_id % 5 AND value > 0",
+        "norm_status": f"WITH {_CELLS} SELECT norm, CAST(i AS INT) AS chr, CAST({MB} AS INT) AS bin_size, CASE WHEN EXISTS (SELECT 1 FROM cells WHERE chr1 = i AND chr2 = i) THEN 'made' ELSE 'no contacts' END AS status FROM range(1, 7) t(i), (VALUES ('VC'), ('VC_SQRT')) v(norm)",
+        "mnd_short8": _lines_sql((0, 1), ("3", "4"), ("1000", "1000"), 1.0),
+        "mnd_short9": _lines_sql((0, 1), ("3", "4"), ("1000", "1000"), 2.5),
+        "mnd_old10": _lines_sql((0, 1), ("3", "4"), ("l_quantity", "33"), 1.0),
+        "mnd_medium11": _lines_sql((0, 1), ("3", "4"), ("l_quantity", "33"), 1.0),
+        "mnd_long16": _lines_sql((0, 1), ("3", "4"), ("l_quantity", "33"), 1.0),
+        "extra_short_lines": _lines_sql((0, 0), ("0", "0"), ("1000", "1000"), 2.5),
+        "pairs_lines": _lines_sql((1, 0), ("CASE WHEN l_partkey % 10 = 5 THEN 0 ELSE 8 END", "CASE WHEN l_partkey % 10 = 5 THEN 1 ELSE 6 END"), ("l_quantity", "33"), 1.0),
+        "bn_records": _records_sql((0, 1), (0, 1), 2.5),
+        "bin_records": _records_sql((0, 1), (3, 4), 1.0),
         "key_set_diff": f"WITH {_TWO} SELECT x, y, CASE WHEN b IS NULL THEN 'left' WHEN a IS NULL THEN 'right' ELSE 'both' END AS side FROM two",
         "duplicate_keys": f"WITH {_PAIRS} SELECT chr1, chr2, pos1, count(*)::BIGINT AS n FROM c GROUP BY ALL HAVING count(*) > 1",
         "first_appearance": f"WITH {_PAIRS}, f AS (SELECT chr1, chr2, min((pos1, pos2)) AS spot FROM c GROUP BY ALL) SELECT chr1, chr2, (row_number() OVER (ORDER BY spot, chr1, chr2))::INT AS place FROM f",
@@ -461,4 +600,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         expected_density, chr_scale_factors, vc, vc_scaled, vc_sqrt, norm_cells_vc, norm_distance_hist_vc, row_nonzeros, coverage_stats, scale_vector, scale_failures, scale_row_sum_error,
         contiguity_violations, region_observed, region_between, region_vc, region_oe, compare_metrics, key_set_diff, duplicate_keys, first_appearance, streaming_cells, v9_roundtrip,
     )
-    return {f.__name__: f for f in own}
+    own += (norm_status, dump_lines, extra_short_lines, pairs_lines, bn_records, bin_records)
+    return {f.__name__: f for f in own} | {name: _mnd_layout(*parts) for name, parts in MND_LAYOUTS.items()}

@@ -1,62 +1,71 @@
 """Read pairs in fixed-length little-endian records: ``.bin`` (26 bytes, strands and fragments) and ``.bn`` (20 bytes, with a score).
 
 The records are cut out by Spark's record reader, which splits files at record
-boundaries; fields are then built-in expressions on the bytes.
+boundaries; runs of them are decoded by NumPy in Arrow batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactspark.genome import Genome
+from contactspark.session import ship
 
-SIZES = {"bin": 26, "bn": 20}
-
-
-def _u8(at: int) -> Column:
-    return F.conv(F.hex(F.substring("r", at + 1, 1)), 16, 10).cast("bigint")
+RECORDS = {
+    "bin": np.dtype([("fwd1", "u1"), ("chr1", "<i4"), ("pos1", "<i4"), ("frag1", "<i4"), ("fwd2", "u1"), ("chr2", "<i4"), ("pos2", "<i4"), ("frag2", "<i4")]),
+    "bn": np.dtype([("chr1", "<i4"), ("pos1", "<i4"), ("chr2", "<i4"), ("pos2", "<i4"), ("score", "<f4")]),
+}
+SCHEMA = "chr1 int, pos1 int, strand1 byte, frag1 int, mapq1 int, chr2 int, pos2 int, strand2 byte, frag2 int, mapq2 int, score float"
+#: Records that are decoded together, and the MAPQ of layouts that hold none.
+RUN, NO_MAPQ = 65_536, 1000
 
 
-def _i32(at: int) -> Column:
-    """A signed 32-bit number: its bytes turned round."""
-    value = F.conv(F.concat(*[F.hex(F.substring("r", at + k, 1)) for k in (4, 3, 2, 1)]), 16, 10).cast("bigint")
-    return F.when(value >= 1 << 31, value - (1 << 32)).otherwise(value).cast("int")
+def _runs(records: Iterator[bytes]) -> Iterator[tuple[bytearray]]:
+    while run := b"".join(islice(records, RUN)):
+        yield (bytearray(run),)
 
 
-def _f32(at: int) -> Column:
-    """A 32-bit float (normal, subnormal, infinite or NaN) from its sign, exponent and fraction."""
-    bits = F.conv(F.concat(*[F.hex(F.substring("r", at + k, 1)) for k in (4, 3, 2, 1)]), 16, 10).cast("bigint")
-    sign = F.when(bits >= 1 << 31, -1.0).otherwise(1.0)
-    exponent = F.shiftright(bits, 23).bitwiseAND(255)
-    fraction = bits.bitwiseAND((1 << 23) - 1)
-    normal = (fraction / float(1 << 23) + 1) * F.pow(F.lit(2.0), exponent - 127)
-    tiny = fraction / float(1 << 23) * 2.0**-126
-    special = F.when(fraction == 0, float("inf")).otherwise(float("nan"))
-    return (sign * F.when(exponent == 0, tiny).when(exponent == 255, special).otherwise(normal)).cast("float")
+def decode(fmt: str, raw: bytes, chromosomes: int) -> pa.RecordBatch:
+    """The pairs in a run of records; an index outside 1 to ``chromosomes`` is an error."""
+    r = np.frombuffer(raw, dtype=RECORDS[fmt])
+    columns = []
+    for end in "12":
+        index = r[f"chr{end}"]
+        wrong = index[(index < 1) | (index > chromosomes)]
+        if len(wrong):
+            raise ValueError(f"no such chromosome index: {wrong[0]}")
+        constant = np.full(len(r), int(end) - 1)
+        strand = (r[f"fwd{end}"] == 0) if fmt == "bin" else constant
+        frag = r[f"frag{end}"] if fmt == "bin" else constant
+        columns += [index.astype("i4"), r[f"pos{end}"].astype("i4"), strand.astype("i1"), frag.astype("i4"), np.full(len(r), NO_MAPQ, dtype="i4")]
+    columns.append(r["score"].astype("f4") if fmt == "bn" else np.ones(len(r), dtype="f4"))
+    names = [f"{c}{end}" for end in "12" for c in ("chr", "pos", "strand", "frag", "mapq")] + ["score"]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
 def read_binary(spark: SparkSession, path: str, genome: Genome, fmt: str) -> DataFrame:
     """Pairs of binary files. A chromosome index outside the genome, or a cut last record, is an error."""
-    size, n = SIZES[fmt], len(genome.chromosomes)
-    lengths = spark.read.format("binaryFile").load(path).where(F.col("length") % size != 0).select("path").limit(1).collect()
-    if lengths:
-        raise ValueError(f"{lengths[0].path}: its length is no multiple of {size}; the last record is cut short")
-    records = spark.createDataFrame(spark.sparkContext.binaryRecords(path, size).map(lambda r: (bytearray(r),)), "r binary")
-
-    def chromosome(at: int) -> Column:
-        index = _i32(at)
-        return F.when(index.between(1, n), index).otherwise(F.raise_error(F.concat(F.lit("no such chromosome index: "), index.cast("string"))).cast("int"))
-
-    if fmt == "bin":
-        at = {"chr1": 1, "pos1": 5, "frag1": 9, "chr2": 14, "pos2": 18, "frag2": 22}
-        strand = {"strand1": F.when(_u8(0) != 0, 0).otherwise(1), "strand2": F.when(_u8(13) != 0, 0).otherwise(1)}
-        frag = {k: _i32(at[k]) for k in ("frag1", "frag2")}
-        score = F.lit(1.0)
-    else:
-        at = {"chr1": 0, "pos1": 4, "chr2": 8, "pos2": 12}
-        strand, frag, score = {"strand1": F.lit(0), "strand2": F.lit(1)}, {"frag1": F.lit(0), "frag2": F.lit(1)}, _f32(16)
-    columns = []
-    for end in "12":
-        columns += [chromosome(at[f"chr{end}"]).alias(f"chr{end}"), _i32(at[f"pos{end}"]).alias(f"pos{end}"), strand[f"strand{end}"].cast("byte").alias(f"strand{end}"), frag[f"frag{end}"].alias(f"frag{end}"), F.lit(1000).alias(f"mapq{end}")]
-    return records.select(*columns, score.cast("float").alias("score"))
+    ship(spark)
+    size, n = RECORDS[fmt].itemsize, len(genome.chromosomes)
+    cut_short = spark.read.format("binaryFile").load(path).where(F.col("length") % size != 0).select("path").limit(1).collect()
+    if cut_short:
+        raise ValueError(f"{cut_short[0].path}: its length is no multiple of {size}; the last record is cut short")
+    return read_runs(spark.createDataFrame(spark.sparkContext.binaryRecords(path, size).mapPartitions(_runs), "r binary"), fmt, n)
+
+
+def read_runs(runs: DataFrame, fmt: str, n: int) -> DataFrame:
+    """The pairs in runs of records (a column ``r``), of a genome of ``n`` chromosomes."""
+    ship(runs.sparkSession)
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in batch.column("r"):
+                yield decode(fmt, run.as_py(), n)
+
+    return runs.mapInArrow(decoded, SCHEMA)

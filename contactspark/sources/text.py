@@ -8,10 +8,12 @@ is one partition, so ``read_pairs`` spreads its rows after parsing when asked to
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactspark.functions.parse import leading_float, leading_int, leading_long
+from contactspark.functions.parse import leading_float, leading_int
 from contactspark.genome import Genome
 
 PAIRS = ["chr1", "pos1", "strand1", "frag1", "mapq1", "chr2", "pos2", "strand2", "frag2", "mapq2", "score"]
@@ -42,10 +44,14 @@ def detect_format(spark: SparkSession, path: str) -> str:
 
 
 def _fields(lines: DataFrame) -> DataFrame:
-    """Data lines as an array ``f`` of fields, parted by runs of blanks and tabs."""
-    trimmed = F.regexp_replace("value", r"^[ \t]+|[ \t\r]+$", "")
+    """Data lines as an array ``f`` of fields, parted by runs of blanks and tabs.
+
+    A line is split in a generator of one row, which neither filters nor projections
+    that stand above are merged with: so it is split once, however many fields are asked for.
+    """
+    trimmed = F.trim("value", F.lit(" \t\r"))
     kept = lines.where(~F.col("value").startswith("#") & (trimmed != ""))
-    return kept.select(F.split(trimmed, r"[ \t]+").alias("f"))
+    return kept.select(F.explode(F.array(F.split(trimmed, r"[ \t]+"))).alias("f"))
 
 
 def _at(i: Column | int) -> Column:
@@ -53,7 +59,7 @@ def _at(i: Column | int) -> Column:
 
 
 def _position(field: Column) -> Column:
-    return F.greatest(leading_long(field), F.lit(0)).cast("int")
+    return F.greatest(leading_int(field), F.lit(0))
 
 
 def _strand(field: Column) -> Column:
@@ -91,9 +97,35 @@ def _mnd(rows: DataFrame, sam_flag_strands: bool) -> DataFrame:
     return rows.select(*ends, mapq1.cast("int").alias("mapq1"), mapq2.cast("int").alias("mapq2"), score.cast("float").alias("score"))
 
 
-def _pairs(lines: DataFrame) -> DataFrame:
-    head = lines.where(F.col("value").startswith("#columns:")).limit(1).collect()
-    names = head[0].value[len("#columns:") :].split()[:MOST_COLUMNS] if head else []
+def pairs_columns(spark: SparkSession, path) -> tuple[str, ...]:
+    """``path`` is a Hadoop path; the names that a .pairs file's ``#columns:`` line gives. Only its head is read, up to the first data line, by Spark's own file systems and codecs."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        while (line := reader.readLine()) is not None:
+            if line.startswith("#columns:"):
+                return tuple(line[len("#columns:") :].split()[:MOST_COLUMNS])
+            if line.strip() and not line.startswith("#"):
+                break
+    finally:
+        stream.close()
+    return ()
+
+
+def _read_pairs_files(spark: SparkSession, path: str) -> DataFrame:
+    """.pairs files, each by its own header; files of equal headers are one scan."""
+    by: dict[tuple[str, ...], list[str]] = {}
+    jvm = spark.sparkContext._jvm
+    for file in sorted(_lines(spark, path).inputFiles()):
+        one = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        by.setdefault(pairs_columns(spark, one), []).append(one.toString())
+    parts = [_pairs(spark.read.text(files), names) for names, files in sorted(by.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else _pairs(_lines(spark, path), ())
+
+
+def _pairs(lines: DataFrame, names: tuple[str, ...]) -> DataFrame:
     where = {name: i for i, name in reversed(list(enumerate(names)))}
     rows = _fields(lines).where(F.size("f") >= 5)
 
@@ -131,7 +163,10 @@ def read_pairs(spark: SparkSession, path: str, genome: Genome, fmt: str = "auto"
         from contactspark.sources.binary import read_binary
 
         return read_binary(spark, path, genome, fmt)
-    lines = _lines(spark, path)
-    rows = _pairs(lines) if fmt == "pairs" else _short(_fields(lines)) if fmt == "short" else _mnd(_fields(lines), sam_flag_strands)
+    if fmt == "pairs":
+        rows = _read_pairs_files(spark, path)
+    else:
+        fields = _fields(_lines(spark, path))
+        rows = _short(fields) if fmt == "short" else _mnd(fields, sam_flag_strands)
     out = known_chromosomes(rows, genome)
     return out.repartition(partitions) if partitions else out

@@ -1,6 +1,7 @@
 """The contact engine on small fixtures, against worked values and plain versions."""
 
 import gzip
+import json
 import math
 import struct
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from contactspark import genome as genomes
 from contactspark.functions.blocks import block_number, block_shape, block_shape_of
-from contactspark.functions.parse import leading_float, leading_long
+from contactspark.functions.parse import leading_float, leading_int, leading_long
 from contactspark.genome import Genome
 from contactspark.operators import compare, contacts, expected, matrix, norms, region, scale
 from contactspark.plans import build
@@ -100,6 +101,10 @@ def test_binary(spark, tmp_path):
     two.write_bytes(struct.pack("<iiiif", 2, 789, 1, -987, 2.5) + struct.pack("<iiiif", 1, 1, 1, 1, -0.1))
     assert read(spark, str(one)) == [(1, 123, 0, 4, 1000, 2, 456, 1, 5, 1000, 1.0)]
     assert [r[:2] + r[5:7] + r[10:] for r in read(spark, str(two))] == [(2, 789, 1, -987, 2.5), (1, 1, 1, 1, struct.unpack("<f", struct.pack("<f", -0.1))[0])]
+    many = [(1 + i % 2, i - 3, 2 - i % 2, 2**31 - 1 - i, i / 8) for i in range(200_000)]
+    (tmp_path / "n.bn").write_bytes(b"".join(struct.pack("<iiiif", *m) for m in many))
+    got = text.read_pairs(spark, f"{tmp_path}/n.bn", SMALL).select("chr1", "pos1", "chr2", "pos2", "score").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == many
     cut = tmp_path / "b.bn"
     cut.write_bytes(two.read_bytes()[:-3])
     with pytest.raises(ValueError):
@@ -116,6 +121,27 @@ def test_lenient_numbers(spark):
     assert [r[0] for r in df.select(leading_float(F.col("s"))).collect()] == [12.0, 0.0, -7.0, 0.0, 100.0, 0.5]
 
 
+def test_numbers_beyond_the_range_are_held(spark):
+    df = spark.createDataFrame([("3000000000",), ("-3000000000x",), ("99999999999999999999",), ("-99999999999999999999 z",), (None,), (" +7",), ("1.9",)], "s string")
+    assert [r[0] for r in df.select(leading_int(F.col("s"))).collect()] == [2**31 - 1, -(2**31), 2**31 - 1, -(2**31), 0, 7, 1]
+    assert [r[0] for r in df.select(leading_long(F.col("s"))).collect()] == [3_000_000_000, -3_000_000_000, 2**63 - 1, -(2**63), 0, 7, 1]
+
+
+def test_a_bad_line_costs_only_itself(spark, tmp_path):
+    path = lines(tmp_path / "m.mnd", "0 chr1 3000000000 99999999999 0 chr2 5 1 99999999999 -99999999999", "0 chr1 1 0 0 chr2 2 1", "0 chr1", "\t 0\tchr1  7 0 0 chr2 8 1 \r")
+    assert [r[1:5] + r[6:7] for r in read(spark, path)] == [(2**31 - 1, 0, 2**31 - 1, 2**31 - 1, 5), (1, 0, 0, 1000, 2), (7, 0, 0, 1000, 8)]
+
+
+def test_each_pairs_file_has_its_own_header(spark, tmp_path):
+    folder = tmp_path / "with blank.pairs"
+    folder.mkdir()
+    lines(folder / "a.pairs", "## pairs format v1.0", "#columns: readID chr1 pos1 chr2 pos2 strand1 strand2 mapq1 mapq2", "r chr1 1 chr2 2 + - 11 12")
+    lines(folder / "b.pairs.gz", "#columns: readID chr1 pos1 chr2 pos2 strand1 strand2 mapq2 mapq1", "r chr1 3 chr2 4 - + 22 21", compressed=True)
+    lines(folder / "c.pairs", "r chr1 5 chr2 6 - + 31 32", "#columns: too late", "r chr1 7 chr2 8 - + 31 32")
+    got = sorted(r[1:2] + r[4:5] + r[9:10] for r in read(spark, str(folder), fmt="pairs"))
+    assert got == [(1, 11, 12), (3, 21, 22), (5, 1000, 1000), (7, 1000, 1000)]
+
+
 # --- contacts --------------------------------------------------------------
 
 
@@ -216,25 +242,13 @@ def test_whole_genome_matrix(spark):
 # --- distance model --------------------------------------------------------
 
 
-def plain_density(actual, possible, reach):
-    """The smoothing, written step by step."""
-    out, low, high, num, den = [], 0, 0, actual[0], possible[0]
-    for _ in range(reach):
-        if num < 400:
-            while num < 400 and high < reach:
-                high += 1
-                if high < len(actual):
-                    num, den = num + actual[high], den + possible[high]
-        elif high > low:
-            while high > low and high < len(actual) and num - actual[low] - actual[high] >= 400:
-                num, den = num - actual[low] - actual[high], den - possible[low] - possible[high]
-                low, high = low + 1, high - 1
-        out.append(num / den if den > 0 else 0)
-        step = 2 if high + 2 < reach else 1 if high + 1 < reach else 0
-        for _ in range(step):
-            high += 1
-            num, den = num + actual[high], den + possible[high]
-    return out
+def test_smoothing_by_hand():
+    """A window that holds enough from the start, and one that widens, narrows and stops at the end."""
+    one = expected.smooth(np.array([500.0, 10, 20, 30]), np.array([10.0, 9, 8, 7]), 4)
+    assert one.tolist() == pytest.approx([50, 530 / 27, 560 / 34, 560 / 34])
+    two = expected.smooth(np.full(6, 100.0), np.arange(6.0, 0, -1), 6, enough=300)
+    assert two.tolist() == pytest.approx([20, 25, 300 / 9, 40, 40, 40])
+    assert expected.smooth(np.array([1.0, 2, 3]), np.array([3.0, 2, 1]), 2).tolist() == pytest.approx([6 / 6, 6 / 6])
 
 
 def test_density_and_conservation(spark):
@@ -247,11 +261,9 @@ def test_density_and_conservation(spark):
     assert rooms == {d: max(0, 150 - d) + max(0, 100 - d) for d in range(150)}
     dense = expected.density(hist, possible, g)
     got = [r.density for r in dense.orderBy("dist").collect()]
-    actual = [0.0] * 151
-    for r in hist.collect():
-        actual[r.dist] = r.weight
-    want = plain_density(actual, [rooms.get(d, 0) for d in range(151)], 150)
-    assert got == pytest.approx(want, rel=1e-6)
+    assert len(got) == 150 and min(got) > 0
+    doubled = expected.density(hist, possible.withColumn("possible", F.col("possible") * 2), g)
+    assert [2 * r.density for r in doubled.orderBy("dist").collect()] == pytest.approx(got, rel=1e-6)
     factors = {r.chr: r.factor for r in expected.scale_factors(dense, totals, g).collect()}
     for r in totals.collect():
         n = {1: 150, 2: 100}[r.chr]
@@ -294,6 +306,18 @@ def test_balancing_masks_what_cannot_be_balanced():
     assert scale.search(lambda v: v * 0, np.zeros(5, dtype=int)) is None
 
 
+def test_rows_far_from_the_diagonal_are_masked(spark):
+    row, col, value = chain()
+    near = scale.near_enough(np.array([0.0, 1.0, 500.0, 600.0, 700.0]))
+    assert near.tolist() == [False, False, True, True, True] and scale.near_enough(np.zeros(3)).all()
+    value = np.where(row == 0, 0.001, value * 200)
+    far_row, far_col = np.append(row, 0), np.append(col, 50)
+    masked = scale.balance(far_row, far_col, np.append(value, 3.0), 101, diagonal_width=2)
+    assert np.isnan(masked[0]) and np.isfinite(masked[1:]).all()
+    df = spark.createDataFrame([(int(a), int(b), float(v)) for a, b, v in zip(far_row, far_col, np.append(value, 3.0))], "bin1 int, bin2 int, count double")
+    assert scale.balance_distributed(df, 101, diagonal_width=2) == pytest.approx(masked, rel=1e-6, nan_ok=True)
+
+
 def test_distributed_balancing_is_the_same(spark):
     row, col, value = chain()
     df = spark.createDataFrame([(int(a), int(b), float(v)) for a, b, v in zip(row, col, value)], "bin1 int, bin2 int, count double")
@@ -360,6 +384,10 @@ def test_build_normalise_query_export_import(spark, tmp_path):
     store = build.build(p, g, resolutions=[100_000, 200_000], depth_base=2)
     store = build.normalise(store)
     assert tuple(store.counters.first()) == (4000, 0)
+    status = {(r.norm, r.chr, r.bin_size): r.status for r in store.status.collect()}
+    assert len(status) == 12 and set(status.values()) == {"made"}
+    late = build.normalise(store, ("VC", "SCALE"), min_scale_res=150_000)
+    assert {(r.norm, r.bin_size): r.status for r in late.status.collect()} == {("VC", 100_000): "made", ("VC", 200_000): "made", ("SCALE", 200_000): "made", ("SCALE", 100_000): "not asked for"}
     path = f"{tmp_path}/m.hic"
     build.export(store, path)
     told = container.inspect(path)
@@ -375,7 +403,12 @@ def test_build_normalise_query_export_import(spark, tmp_path):
     names = {(e.norm, e.bin_size) for e in container.read_expected(path)}
     assert ("NONE", 100_000) in names and ("VC", 200_000) in names
     only = store.vectors.where("norm = 'VC'")
+    build.export(store, f"{path}.2")
     container.replace_vectors(spark, path, only, [])
+    report = compare.compare_containers(spark, f"{path}.2", path)
+    assert report["structure"]["genome_equal"] and report["structure"]["vectors_left"] == 12 and len(report["only_left"]) == 8 and not report["only_right"]
+    assert len(report["vectors"]) == 4 and all(v["max_relative_error"] == 0 for v in report["vectors"])
+    assert json.loads(compare.as_json(report)) == report
     assert container.inspect(path)["vectors"] == 4
     assert container.read_cells(spark, path).exceptAll(want).isEmpty()
     raw = build.query(store, "a:500000:1500000", "a", 100_000)
@@ -421,6 +454,9 @@ def test_dumps(spark, tmp_path):
     region.write_dump(df, f"{tmp_path}/d")
     back = region.read_dump(spark, f"{tmp_path}/d")
     assert compare.same_coordinates(df, back)
+    assert sorted(x.value for x in spark.read.text(f"{tmp_path}/d").collect()) == ["0\t0\t0.333333343267", "0\t5\t3", "10\t5\t1.25"]
+    assert json.loads(compare.as_json(compare.compare_dumps(df, back)))["exact_values_equal"] is True
+    assert not compare.compare_dumps(df, df.limit(2)).first().exact_values_equal
     r = compare.compare_dumps(df, back).first()
     assert r.coordinates_equal and r.max_relative_error == 0 and r.pearson == pytest.approx(1)
     flat = df.withColumn("value", F.lit(2.0))
@@ -430,6 +466,23 @@ def test_dumps(spark, tmp_path):
     assert compare.fingerprint(spark, f"{tmp_path}/d").count() >= 1
 
 
+def test_numbers_as_c_prints_them(spark):
+    values = [0.0, 1.0, 100.0, 1.5, -2.25, 1e-5, 123456789012.0, 1234567890123.0, 1e300, 0.1, 1 / 3, 1e-300, float("inf"), float("-inf"), float("nan"), 120.0, 1e20]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(region.shortest(F.col("v"))).collect()]
+    assert got == ["%.12g" % v for v in values]
+
+
+def test_region_cases_are_reproducible():
+    g = genomes.built_in("hg19")
+    cases = region.random_cases(g, list(matrix.RESOLUTIONS))
+    assert len(cases) == 160 and cases == region.random_cases(g, list(matrix.RESOLUTIONS))
+    assert len({c.name for c in cases}) == 20 and {c.norm for c in cases} == {"NONE", "VC", "VC_SQRT", "SCALE"}
+    for c in cases:
+        (c1, s1, e1), (c2, s2, e2) = (region.parse_region(r, g) for r in (c.region1, c.region2))
+        assert s1 % c.resolution == s2 % c.resolution == 0 and s1 < e1 <= g.lengths()[c1] and s2 < e2 <= g.lengths()[c2]
+        assert (c1 == c2) == c.name.endswith("intra")
+
+
 def test_catalog_is_consistent():
     import __spark_entry__ as entry
     from contactspark.plans import catalog
