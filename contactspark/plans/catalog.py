@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contactspark.functions.blocks import block_shape_of
@@ -191,9 +191,14 @@ def cells_threshold(spark, sf_dir):
     return _long(matrix.at_least(_cells(spark, sf_dir), 3), "count").select("chr1", "chr2", "bin1", "bin2", "count")
 
 
+def _unsigned(x: Column) -> Column:
+    """0 for -0, which a sum may round to."""
+    return F.when(x == 0, 0.0).otherwise(x)
+
+
 def event_cells(spark, sf_dir):
     own = matrix.cells(contacts.contacts(event_pairs(spark, sf_dir), GENOME), MB)
-    return own.select("chr1", "chr2", "bin1", "bin2", F.round("count", 3).alias("count"), F.round("pos_count", 3).alias("pos_count"))
+    return own.select("chr1", "chr2", "bin1", "bin2", _unsigned(F.round("count", 3)).alias("count"), F.round("pos_count", 3).alias("pos_count"))
 
 
 def whole_genome_cells(spark, sf_dir):
@@ -548,7 +553,7 @@ def oracle_sql() -> dict[str, str]:
         "streaming_cells": f"WITH {_CELLS} SELECT chr1, chr2, bin1, bin2, n AS count FROM cells",
         "cells_multires": f"WITH {_PAIRS} {many}",
         "cells_threshold": f"WITH {_CELLS} SELECT chr1, chr2, bin1, bin2, n AS count FROM cells WHERE n >= 3",
-        "event_cells": f"WITH {_EVENTS}, e AS ({event_cells_}) SELECT chr1, chr2, bin1, bin2, round(n, 3) AS count, round(p, 3) AS pos_count FROM e",
+        "event_cells": f"WITH {_EVENTS}, e AS ({event_cells_}) SELECT chr1, chr2, bin1, bin2, CASE WHEN round(n, 3) = 0 THEN 0 ELSE round(n, 3) END AS count, round(p, 3) AS pos_count FROM e",
         "whole_genome_cells": f"WITH {_PAIRS}, p AS (SELECT {place(1)} AS a, {place(2)} AS b FROM c) SELECT least(a, b) AS bin1, greatest(a, b) AS bin2, count(*)::BIGINT AS count FROM p GROUP BY ALL",
         "zoom_sum_counts": f"WITH {_CELLS} SELECT chr1, chr2, sum(CASE WHEN chr1 = chr2 AND bin1 <> bin2 THEN 2 * n ELSE n END)::BIGINT AS sum_counts, count(*)::BIGINT AS n_cells, CAST({columns} AS INT) AS block_columns, CAST({side} AS INT) AS block_bins FROM cells GROUP BY chr1, chr2",
         "block_intra": _blocks_sql(10_000, True),
