@@ -65,7 +65,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4()}"
     warc.write(table(spark, sf_dir, "pages"), folder)
-    captures = warc.assemble(warc.read(spark, folder))
+    captures = warc.assemble(warc.read(spark, folder, payload=False))
     new = F.col("response.warc_type") == "response"
     field = lambda name: F.try_element_at("metadata.fields", F.lit(name)).cast("long")
     return captures.select(

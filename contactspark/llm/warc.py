@@ -28,7 +28,7 @@ import hashlib
 import re
 import zlib
 from base64 import b32encode
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -178,22 +178,25 @@ def parse(raw: bytes) -> Iterator[dict]:
         }
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for raw in batch.column("content"):
-            held, size = [], 0
-            for r in parse(raw.as_py()):
-                held.append(r)
-                size += r["payload_bytes"] + 500
-                if size > BATCH:
+def _reader(payload: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("content"):
+                held, size = [], 0
+                for r in parse(raw.as_py()):
+                    held.append(r if payload else r | {"payload": None})
+                    size += r["payload_bytes"] * payload + 500
+                    if size > BATCH:
+                        yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+                        held, size = [], 0
+                if held:
                     yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
-                    held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
 
+    return _read
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives in ``path``; ``digest`` is computed, ``header_digest`` stated."""
+
+def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """A row for each record of the archives in ``path``; ``digest`` is computed, ``header_digest`` stated. Without ``payload`` that column is null: for those who need its length and digest only, payloads are read but not passed on."""
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
     except AnalysisException as error:
@@ -201,14 +204,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             raise
         return spark.createDataFrame([], RECORD)
     ship(spark)
-    return files.select("content").mapInArrow(_read, RECORD)
+    return files.select("content").mapInArrow(_reader(payload), RECORD)
 
 
 def assemble(archived: DataFrame) -> DataFrame:
     """A nested row for each capture: capture_id (the response's identifier) and structs response, request, metadata (null where there is none).
 
     Records that name another in WARC-Concurrent-To belong to its capture. Of several
-    requests or metadata records of a capture the one with the smallest identifier counts.
+    records of a kind in a capture the one with the smallest identifier counts. The join
+    is one grouping of all records by the identifier that ties them, so they are read once.
     """
     main = F.col("warc_type").isin("response", "revisit")
     key = F.when(main, F.col("record_id")).otherwise(F.coalesce(F.try_element_at("concurrent_to", F.lit(1)), F.col("record_id")))
@@ -217,7 +221,6 @@ def assemble(archived: DataFrame) -> DataFrame:
         "request": (F.col("warc_type") == "request", ["record_id", "target_uri", "warc_date", "payload"]),
         "metadata": (F.col("warc_type") == "metadata", ["record_id", "warc_date", "fields"]),
     }
-    sides = {k: archived.where(own).select(key.alias("capture_id"), F.struct(*names).alias(k)) for k, (own, names) in part.items()}
-    for k in ("request", "metadata"):
-        sides[k] = sides[k].groupBy("capture_id").agg(F.min_by(k, F.col(f"{k}.record_id")).alias(k))
-    return sides["response"].join(sides["request"], "capture_id", "full").join(sides["metadata"], "capture_id", "full")
+    kinds = [F.min_by(F.when(own, F.struct(*names)), F.when(own, F.col("record_id"))).alias(k) for k, (own, names) in part.items()]
+    tied = archived.where(F.col("warc_type").isin("response", "revisit", "request", "metadata"))
+    return tied.groupBy(key.alias("capture_id")).agg(*kinds)
