@@ -131,14 +131,13 @@ def oracle(threshold: float = THRESHOLD) -> str:
     values = ", ".join("({}, '{}', {})".format(i, name, "['" + "', '".join(bigrams(t)) + "']") for i, (name, t) in enumerate(TEMPLATES))
     return rf"""
 WITH templates(t, licence, grams) AS (VALUES {values}),
+d AS MATERIALIZED (SELECT doc_id, text, row_number() OVER () AS r FROM documents WHERE text IS NOT NULL),
 units AS (
-  SELECT doc_id, r, 1 AS is_line, unnest(range(len(parts))) AS number, unnest(parts) AS body FROM
-    (SELECT doc_id, row_number() OVER () AS r, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, r, 1 AS is_line, unnest(range(len(parts))) AS number, unnest(parts) AS body FROM (SELECT doc_id, r, string_split(text, chr(10)) AS parts FROM d)
   UNION ALL
-  SELECT doc_id, row_number() OVER () AS r, 0, 0, text FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, r, 0, 0, text FROM d
   UNION ALL
-  SELECT doc_id, r, 0, unnest(range(len(parts))), unnest(parts) FROM
-    (SELECT doc_id, row_number() OVER () AS r, regexp_split_to_array(text, '\n[ \t\r]*\n') AS parts FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, r, 0, unnest(range(len(parts))), unnest(parts) FROM (SELECT doc_id, r, regexp_split_to_array(text, '\n[ \t\r]*\n') AS parts FROM d)
 ),
 worded AS (SELECT doc_id, r, is_line, number, list_filter(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM units),
 grams AS (SELECT doc_id, r, is_line, number, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM worded WHERE len(w) > 1),
@@ -147,5 +146,5 @@ scored AS (
   FROM grams JOIN templates ON len(g) BETWEEN {threshold / (2 - threshold)} * len(grams) - 1e-9 AND {(2 - threshold) / threshold} * len(grams) + 1e-9
 )
 SELECT doc_id, licence, max(dice)::DOUBLE AS dice, (count(DISTINCT CASE WHEN is_line = 1 THEN number END))::BIGINT AS n_lines
-FROM scored WHERE dice >= {threshold - 1e-9} GROUP BY doc_id, licence
+FROM scored WHERE dice >= {threshold - 1e-9} GROUP BY doc_id, r, licence
 """
