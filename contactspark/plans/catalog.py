@@ -7,8 +7,8 @@ from ``events``. What iterates, smooths or writes files has no SQL.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from contactspark.functions.blocks import block_shape_of
 from contactspark.genome import Genome
 from contactspark.operators import compare, contacts, expected, matrix, norms, region
 from contactspark.operators.scale import ROW_TOLERANCE
-from contactspark.session import keep, shared_dir
+from contactspark.session import fresh_path, keep
 from contactspark.sources import binary, text
 
 SIZE, MAPQ = 50_000_000, 10
@@ -415,7 +415,7 @@ def first_appearance(spark, sf_dir):
 def streaming_cells(spark, sf_dir):
     from contactspark.streaming import cells as stream
 
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4()}"
+    folder = fresh_path(spark, "stream")
     out = stream.run_once(spark, sf_dir, "lineitem.parquet", folder, lambda df: _from_lineitem(df), MB)
     return _long(out, "count").select("chr1", "chr2", "bin1", "bin2", "count")
 
@@ -437,7 +437,8 @@ def v9_roundtrip(spark, sf_dir):
     from contactspark.sources import container
 
     own = matrix.multi_resolution(_contacts(spark, sf_dir), [500_000, 1_000_000])
-    path = f"{shared_dir(spark).removeprefix('file://')}/matrix-{uuid.uuid4()}.hic"
+    path = f"{fresh_path(spark, 'matrix').removeprefix('file://')}.hic"
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
     container.write(spark, path, GENOME, matrix.union(own))
     return _long(container.read_cells(spark, path), "count").select("bin_size", "chr1", "chr2", "bin1", "bin2", "count")
 

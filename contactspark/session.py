@@ -44,8 +44,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder; ``clean`` removes all of them."""
+    return f"{shared_dir(spark)}/contactspark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4()}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes what this application kept in the shared folder. Frames that read it can't be used any more."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/contactspark-{sc.applicationId}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as a table, which later steps read. It stays there until the folder is emptied."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    """``df`` written to the shared folder as a table, which later steps read. It stays there until ``clean``."""
+    path = fresh_path(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
