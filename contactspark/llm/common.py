@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactspark.session import keep, shared_dir
+from contactspark.session import fresh_path, keep, shared_dir
 
-__all__ = ["DOCUMENT_COLUMNS", "WORD", "cut", "fresh", "keep", "literal_longs", "shared_dir", "table", "word_count"]
+__all__ = ["DOCUMENT_COLUMNS", "WORD", "cut", "fresh", "fresh_path", "keep", "literal_longs", "shared_dir", "table", "word_count"]
 
 #: A word: code points other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactspark.llm import licences, lines, mixing, neardup, packing, pii, quality, shards, topk, warc
-from contactspark.llm.common import shared_dir, table
+from contactspark.llm.common import fresh_path, table
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +62,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4()}"
+    folder = fresh_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
     captures = warc.assemble(warc.read(spark, folder, payload=False))
     new = F.col("response.warc_type") == "response"
