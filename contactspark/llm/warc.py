@@ -12,8 +12,9 @@ member for each record, so with ``compression="gzip"`` an archive is one gzip
 stream. Reading follows Content-Length, whatever the payload holds, a chunk at a
 time.
 
-Equal payloads are found on a slim table of digests; the pages' texts are dealt
-by page and digest, so a payload that a third of all pages share meets in no task.
+Equal payloads are found on a slim table of digests. Its first pages are written
+before the others join them, so that Spark can split what one common payload joins;
+the pages' texts are dealt by page and digest, so that they meet in no task.
 
 Defined cases: a null html is an empty payload; a null url leaves out
 WARC-Target-URI; of rows equal in page_id and payload one counts as first; a null
@@ -35,6 +36,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from contactspark.llm.common import cut
 from contactspark.session import ship
 
 DATE = "2020-01-01T00:00:00Z"
@@ -79,7 +81,7 @@ def records(pages: DataFrame) -> DataFrame:
     key = ["_id", "_none", "digest", "bytes"]  # page_id without null, so that join and window deal alike
     p = p.withColumn("_id", F.coalesce("page_id", F.lit(0))).withColumn("_none", F.col("page_id").isNull())
     known = p.select("page_id", *key).distinct()
-    first = known.groupBy("digest", "bytes").agg(F.min("page_id").alias("first_id"))
+    first = cut(known.groupBy("digest", "bytes").agg(F.min("page_id").alias("first_id")))
     known = known.join(first, ["digest", "bytes"]).select(*key, "first_id")
     p = p.join(known, key)
     p = p.withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy("url")))
