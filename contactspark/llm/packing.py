@@ -28,7 +28,8 @@ import json
 import math
 import os
 import re
-import struct
+import sys
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -45,8 +46,8 @@ SEQUENCE, END = 2048, 0
 PART, RANKS = 4096, 4096
 #: Rows up to which the plan (one for each segment and block of ranks) is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Bytes that a worker keeps words and their tokens in, about, with what Python needs for each; beyond, it starts anew. Longer words aren't kept.
-BYTES_KEPT, OVERHEAD, LONG = 48 << 20, 150, 64
+#: Bytes that a worker keeps words and their tokens in, about, with what Python needs for each; at half of them, what wasn't met since the last time goes. Longer words aren't kept.
+BYTES_KEPT, OVERHEAD, LONG = 96 << 20, 150, 64
 _PIECES = "array<struct<start:bigint,ids:binary>>"
 _RESULT = {"piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"}
 _encoders: dict[str, _Encoder] = {}
@@ -88,15 +89,18 @@ class _Encoder:
         self.model = self.whole.model if known else None
         special = told["added_tokens"]
         self.special = re.compile("|".join(re.escape(x["content"]) for x in special) or "(?!)", re.IGNORECASE).search
+        self.special_letters = any(x["content"].isalpha() for x in special)
         self.wordwise = known and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or len(x["content"].split()) != 1 for x in special)
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.older_words: dict[bytes, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
         self.bytes = 0
 
     def part(self, part: str) -> bytes:
         held = self.parts.get(part)
         if held is None:
-            held = _held([t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES))])
+            held = self.older_parts.get(part) or _held([t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES))])
             if len(part) <= LONG:
                 self.parts[part] = held
                 self.bytes += len(part) + len(held) + OVERHEAD
@@ -105,21 +109,26 @@ class _Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.wordwise:
             return [_held(e.ids) for e in self.whole.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        if self.bytes > BYTES_KEPT:
-            self.words.clear()
-            self.parts.clear()
-            self.bytes = 0
-        split, known, rest, long_ = [t.split() for t in texts], self.words, [], []
+        if self.bytes > BYTES_KEPT // 2:
+            self.older_words, self.older_parts, self.words, self.parts, self.bytes = self.words, self.parts, {}, {}, 0
+        split, known, older, rest, long_ = [t.split() for t in texts], self.words, self.older_words, [], []
         for w in {w for words in split for w in words if w not in known}:
+            held = older.get(w)
+            if held is not None:
+                known[w] = held
+                self.bytes += len(w) + len(held) + OVERHEAD
+                continue
             text = w.decode("utf-8", "replace")
-            if self.special(text) or not (text.isascii() and text.isprintable() or _PLAIN(text)):
+            if text.isascii() and text.isalpha() and not self.special_letters:  # one part
+                known[w] = self.part(text.lower())
+            elif self.special(text) or not (text.isascii() and text.isprintable() or _PLAIN(text)):
                 rest.append((w, text))
             else:
                 known[w] = b"".join(map(self.part, _PARTS(text.lower())))
             if len(w) > LONG:
                 long_.append(w)
             else:
-                self.bytes += len(w) + OVERHEAD
+                self.bytes += 3 * len(w) + OVERHEAD
         if rest:
             for (w, _), e in zip(rest, self.whole.encode_batch([t for _, t in rest], add_special_tokens=False), strict=True):
                 known[w] = _held(e.ids)
@@ -130,7 +139,10 @@ class _Encoder:
 
 
 def _held(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def encode(texts: list[bytes], path: str) -> list[bytes]:
