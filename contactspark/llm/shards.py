@@ -5,10 +5,9 @@ are unique and copies of a text lie side by side). Records are sampled with a
 chance in proportion to their size; quantiles of the sample become splitters of
 many fine ranges. Their exact sizes are counted, and overfull ranges are
 subdivided with a denser sample of their own (another one in each round), until
-none is left but for single records. Shards are
-then cut where the running size passes a multiple of its share: only inside a
-fine range are rows ever numbered one after the other, so a hot group is spread
-over as many ranges as its size asks for.
+none is left but for single records. Shards are then cut where the running size
+passes a multiple of its share: only inside a fine range are rows ever numbered one
+after the other, so a hot group is spread over as many ranges as its size asks for.
 
 The law is ``bytes``: shards differ by about one record's size.
 

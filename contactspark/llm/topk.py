@@ -2,14 +2,15 @@
 
 Vectors are dealt into blocks, queries into blocks of their own, and each pair of
 blocks meets in one task (a block nested loop: no task holds more than a block of
-each, and a block's candidates are copied and sorted once for ``QUERIES`` queries). There every component is a list of the block's candidates sorted by value,
-read from the end that favours a query: from the top for a positive weight, from
-the bottom for a negative one. Lists are read in steps of equal depth. A
-candidate's lower bound takes what was read of it and the worst value of each
-list where it wasn't met; its upper bound takes the value that list has reached.
-Candidates that no open query can still want are read no further. A query is done when no candidate outside its k best lower bounds can qualify by
-its upper bound; the few that stay in question are then resolved exactly. The
-blocks' winners are merged by rank.
+each, and a block's candidates are copied and sorted once for ``QUERIES`` queries).
+There every component is a list of the block's candidates sorted by value, read from
+the end that favours a query: from the top for a positive weight, from the bottom for a
+negative one. Lists are read in steps of equal depth. A candidate's lower bound takes
+what was read of it and the worst value of each list where it wasn't met; its upper
+bound takes the value that list has reached. Candidates that no open query can still
+want are read no further. A query is done when no candidate outside its k best lower
+bounds can qualify by its upper bound; the few that stay in question are then resolved
+exactly. The blocks' winners are merged by rank.
 
 Components become floor(scale * x); scores are exact: floats where all sums stay
 below 2**53, else Python's integers, held within the range of a long.
