@@ -2,8 +2,8 @@
 
 Kinds and their proof: email (shape), ip (parts at most 255), card (16 to 19
 digits, Luhn), phone (8 to 15 digits after a plus), and beyond these iban
-(mod 97), and short_card (13 to 15 digits, Luhn) and ssn, which need a context
-word nearby. A span's score is its kind's base plus what context words add; base
+(mod 97), short_card (13 to 15 digits, Luhn), ssn and secret (16 letters and digits
+or more, of both kinds), which need a context word nearby, and access_key (shape). A span's score is its kind's base plus what context words add; base
 kinds always stay, the others from ``LEAST`` on.
 
 Everything runs in built-in expressions: a text is split at a kind's matches,
@@ -48,6 +48,8 @@ KINDS = [
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "", 0.9, "iban|account|bank", base=False),
     Kind("short_card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,}+", "", 0.6, "card|visa|credit|debit|amex", base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.5, r"\bssn\b|social security", base=False),
+    Kind("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", "IA", 0.8, "key|aws|access", base=False),
+    Kind("secret", r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+", "", 0.5, r"passw|passphrase|token|secret|api.?key|credential|bearer", base=False),
 ]
 BASE = [k.name for k in KINDS if k.base]
 #: What a context word adds.
@@ -92,6 +94,8 @@ def _confirmed(kind: str, hit: Column) -> Column:
         return n.between(8, 15)
     if kind == "iban":
         return mod97(F.regexp_replace(hit, " ", ""))
+    if kind == "secret":
+        return hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
     return F.lit(True)
 
 

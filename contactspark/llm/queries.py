@@ -54,7 +54,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(of(*pii.BASE)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(of(*pii.BASE)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
