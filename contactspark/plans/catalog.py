@@ -7,6 +7,7 @@ from ``events``. What iterates, smooths or writes files has no SQL.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from pathlib import Path
 
@@ -437,7 +438,7 @@ def v9_roundtrip(spark, sf_dir):
     from contactspark.sources import container
 
     own = matrix.multi_resolution(_contacts(spark, sf_dir), [500_000, 1_000_000])
-    path = f"{fresh_path(spark, 'matrix').removeprefix('file://')}.hic"
+    path = re.sub("^file:(//)?", "", fresh_path(spark, "matrix")) + ".hic"
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     container.write(spark, path, GENOME, matrix.union(own))
     return _long(container.read_cells(spark, path), "count").select("bin_size", "chr1", "chr2", "bin1", "bin2", "count")
