@@ -27,9 +27,9 @@ def skipped(mapq: int = 0, intra_only: bool = False, near_diagonal_only: bool =
 
 def canonical(pairs: DataFrame) -> DataFrame:
     """chr1, pos1, chr2, pos2, score with the end that comes first (by chromosome, then position) in front."""
-    ends = [F.struct(F.col(f"chr{e}").alias("chr"), F.col(f"pos{e}").alias("pos")) for e in "12"]
-    low, high = F.least(*ends), F.greatest(*ends)
-    return pairs.select(low["chr"].alias("chr1"), low["pos"].alias("pos1"), high["chr"].alias("chr2"), high["pos"].alias("pos2"), "score")
+    turned = (F.col("chr1") > F.col("chr2")) | ((F.col("chr1") == F.col("chr2")) & (F.col("pos1") > F.col("pos2")))
+    ends = [(F.col(f"{x}{e}"), F.col(f"{x}{3 - e}"), f"{x}{e}") for e in (1, 2) for x in ("chr", "pos")]
+    return pairs.select(*[F.when(turned, other).otherwise(own).alias(name) for own, other, name in ends], "score")
 
 
 def clamp(pairs: DataFrame, genome: Genome) -> DataFrame:
