@@ -31,7 +31,8 @@ def distances(cell_rows: DataFrame, weight: Column | None = None, keys: tuple[st
 def histogram(by_chr: DataFrame, genome: Genome, keys: tuple[str, ...] = ("bin_size",)) -> DataFrame:
     """keys, dist, weight over all chromosomes; distances beyond the longest chromosome don't count."""
     longest = max(genome.lengths().values())
-    return by_chr.where(F.col("dist") < div(F.lit(longest), F.col("bin_size")) + 1).groupBy(*keys, "dist").agg(F.sum("weight").alias("weight"))
+    within = F.col("dist") < div(F.lit(longest), F.col("bin_size")) + 1  # in the sum: as a filter it would be computed for each contact again
+    return by_chr.groupBy(*keys, "dist").agg(F.sum(F.when(within, F.col("weight"))).alias("weight")).where("weight is not null")
 
 
 def chromosome_totals(by_chr: DataFrame, keys: tuple[str, ...] = ("bin_size",)) -> DataFrame:
