@@ -272,6 +272,32 @@ def test_forest_rejects_held_out_junk_and_keeps_prose(spark):
     assert good.columns == df.columns and good.count() == sum(kept.values())
 
 
+def test_model_comes_from_all_labelled_rows(spark, monkeypatch):
+    """Ranges, draws and threshold against NumPy over 6000 labelled rows, of which good and bad ones overlap."""
+    r, rows, labels = random.Random(1), [], []
+    for i in range(6000):
+        bad = i % 6 == 0
+        marks = "!" * r.randint(0, 6 if bad else 3) + "#" * (r.randint(0, 4) if bad else 0)
+        rows.append((i, f"{' '.join(words(r.randint(10, 40), i))} {'A' * r.randint(0, 5)}{marks}", "en", "s", 1))
+        labels.append((i, 0 if bad else 1, 0))
+    rows += rows[:50]  # equal rows count one by one
+    docs, seen, grow = spark.createDataFrame(rows, DOCS), [], quality.grow
+    monkeypatch.setattr(quality, "grow", lambda drawn, margin, *more: seen.append((drawn, margin)) or grow(drawn, margin, *more))
+    got = quality.assess(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("not base_failed").collect()
+    x = quality.features(np.array([[g[c] for c in quality.COUNTS] for g in got]))
+    good = np.array([g.doc_id % 6 != 0 for g in got])
+    (drawn, margin), = seen
+    assert np.allclose(margin, quality.MARGIN * (np.percentile(x, 99, axis=0) - np.percentile(x, 1, axis=0)), rtol=1e-12)
+    pool, met = {tuple(v) for v in x[good]}, {tuple(v) for own in drawn for v in own}
+    assert [len(own) for own in drawn] == [quality.PSI] * quality.TREES and len(pool) > 4000 and met <= pool and len(met) > 0.95 * len(pool)
+    score, fine, poor = np.array([g.anomaly for g in got]), good.sum(), (~good).sum()
+    gain = lambda gone: (gone & ~good).sum() * fine - 4 * (gone & good).sum() * poor
+    best = max(gain(score > s) for s in np.unique(score) if (good & (score > s)).sum() <= quality.FALSE_REJECTS * fine)
+    gone = np.array([not g.kept for g in got])
+    assert gain(gone) == best > 0 and (gone & good).sum() <= quality.FALSE_REJECTS * fine
+    assert score[~gone].max() < score[gone].min()
+
+
 # --- near-duplicates -------------------------------------------------------
 
 
