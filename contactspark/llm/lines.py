@@ -1,19 +1,25 @@
-"""Line dedup: repeated runs of lines leave the texts, after comparing their bytes.
-
-``dedup_runs``, which the queries use, hashes each pair of neighbouring worded lines
-(with the blank lines between them) and each line of at least ``LONG_WORDS`` words. A
-pair that occurs again anywhere is removed, whatever stands around it; as the pairs of
-a run overlap, a run of two worded lines or more goes from its first line to its last.
-The first place of a pair, by smallest (doc_id, text, place), stays, so at least one
-copy of each line does. Not found: what is repeated from or up to the middle of a line,
-and single lines of fewer words.
-
-``dedup`` removes content-defined chunks only: a hash rolls over each window of lines,
-and where it falls in one of ``DIVISOR`` classes, a chunk ends. It moves less, but the
-lines at the ends of a repeated passage stay, and most short passages do altogether.
+"""Line dedup by content-defined chunks of lines, with an exact way for what they leave.
+
+A document's lines are hashed, and a hash rolls over each window of lines: where it
+falls in one of ``DIVISOR`` classes, a chunk ends. So boundaries depend on a few lines
+around them and not on what stands before: a passage that moves between documents
+is cut the same way. Chunks of several lines (and lines of at least ``LONG_WORDS``
+words, which are passages by themselves) that occur again anywhere are removed after
+comparing their bytes; their first place, by smallest (doc_id, text, place), stays.
+
+``dedup`` does that only. The lines at the ends of a repeated passage share a chunk with
+what stands around it, and a short passage may have no chunk of its own; so
+``dedup_runs``, which the queries use, goes on with the pairs of neighbouring worded lines
+(with the blank lines between them), but for those in chunks that are removed: pairs that
+occur again go too, but for their first place. As the pairs of a run overlap, a run
+of two worded lines or more goes from its first line to its last, and at least one copy
+of each line stays. Chunks then go from their first worded line to their last, as a run
+of pairs does; as a removed chunk's pairs all stand in its first place as well, the
+outcome is that of all pairs. Not found: what is repeated from or up to the middle of a
+line, and single lines of fewer words.
 
 Two passes go over the texts. The first emits hashes only, and those that occur
-once leave at once. The second takes the pairs (or chunks) still in question with their
+once leave at once. The second takes the chunks and pairs still in question with their
 bytes; equal ones are merged before they are dealt, so a passage that a third of
 all documents hold is a few rows. What such a passage's places are joined with is
 written first, so that Spark can split the join.
@@ -43,6 +49,8 @@ from contactspark.session import ship
 WINDOW, DIVISOR, MOST, LONG_WORDS = 2, 4, 16, 50
 _MASK, _BASE = (1 << 64) - 1, 0x9E3779B97F4A7C15
 _OUT = _BASE**WINDOW & _MASK
+#: Chunks are numbered from here on and pairs from 0, so that the numbers tell which is which.
+_FIRST = -(1 << 30)
 
 
 def chunks(text: bytes) -> list[tuple[int, int, int]]:
@@ -85,52 +93,62 @@ def _bytes(text: bytes) -> Iterator[tuple[int, bytes, int]]:
         at += size + 1
 
 
-def _chunks(text: bytes) -> Iterator[tuple[int, bytes]]:
-    return ((number, chunk) for number, chunk, n in _bytes(text) if removable(chunk, n))
+def _chunks(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    return ((_FIRST + number, 0, chunk) for number, chunk, n in _bytes(text) if removable(chunk, n))
 
 
 def _without_chunks(text: bytes, gone: set[int]) -> tuple[bytes, int]:
-    return b"\n".join(c for i, c, _ in _bytes(text) if i not in gone), len(gone)
+    return b"\n".join(c for i, c, _ in _bytes(text) if _FIRST + i not in gone), len(gone)
 
 
-def _places(lines: list[bytes]) -> list[tuple[int, int]]:
-    """First and last line of each pair of neighbouring worded lines and of each long line."""
-    worded = [i for i, line in enumerate(lines) if line.strip()]
-    return [*zip(worded, worded[1:], strict=False), *((i, i) for i in worded if len(lines[i].split(None, LONG_WORDS)) >= LONG_WORDS)]
+def _places(text: bytes, lines: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+    """Each removable chunk, then each pair of neighbouring worded lines, as (number, number of the chunk that a pair lies in or 0, first worded line, last worded line)."""
+    worded, pairs, last = [], [], None
+    for number, (first, n, _) in enumerate(chunks(text)):
+        own = [i for i in range(first, first + n) if lines[i].strip()]
+        if own and last is not None:
+            pairs.append((0, last, own[0]))
+        pairs += [(_FIRST + number, i, j) for i, j in zip(own, own[1:], strict=False)]
+        if len(own) > 1 or (n == 1 and len(lines[first].split(None, LONG_WORDS)) >= LONG_WORDS):
+            worded.append((_FIRST + number, 0, own[0], own[-1]))
+        last = own[-1] if own else last
+    yield from worded
+    yield from ((number, *pair) for number, pair in enumerate(pairs))
 
 
-def _pairs(text: bytes) -> Iterator[tuple[int, bytes]]:
+def _runs(text: bytes) -> Iterator[tuple[int, int, bytes]]:
     lines = text.split(b"\n")
-    return ((number, b"\n".join(lines[i : j + 1])) for number, (i, j) in enumerate(_places(lines)))
+    return ((number, chunk, b"\n".join(lines[i : j + 1])) for number, chunk, i, j in _places(text, lines))
 
 
 def _without_runs(text: bytes, gone: set[int]) -> tuple[bytes, int]:
     lines = text.split(b"\n")
-    lost = {k for number, (i, j) in enumerate(_places(lines)) if number in gone for k in range(i, j + 1)}
+    lost = {k for number, _, i, j in _places(text, lines) if number in gone for k in range(i, j + 1)}
     rest = [line for k, line in enumerate(lines) if k not in lost]
     return b"\n".join(rest) if any(line.strip() for line in rest) else b"", len(lost)
 
 
-Parts = Callable[[bytes], Iterator[tuple[int, bytes]]]
+#: What of a text may be removed: number, number of the chunk that a pair lies in (else 0), bytes.
+Parts = Callable[[bytes], Iterator[tuple[int, int, bytes]]]
 
 
 def _hashed(parts: Parts) -> Callable:
     @arrow_udf("array<struct<number:int,h:bigint>>")
     def hashed(text: pa.Array) -> pa.Array:
-        out = [[{"number": i, "h": xxhash.xxh3_64_intdigest(c) - (1 << 63)} for i, c in parts(t.as_py() or b"")] for t in text.cast(pa.binary())]
+        out = [[{"number": i, "h": xxhash.xxh3_64_intdigest(c, seed=i < 0) - (1 << 63)} for i, _, c in parts(t.as_py() or b"")] for t in text.cast(pa.binary())]
         return pa.array(out, type=pa.list_(pa.struct([("number", pa.int32()), ("h", pa.int64())])))
 
     return hashed
 
 
 def _chosen(parts: Parts) -> Callable:
-    @arrow_udf("array<struct<number:int,chunk:binary>>")
+    @arrow_udf("array<struct<number:int,within:int,chunk:binary>>")
     def chosen(text: pa.Array, numbers: pa.Array) -> pa.Array:
         out = []
         for t, wanted in zip(text.cast(pa.binary()), numbers.to_pylist(), strict=True):
             wanted = set(wanted or ())
-            out.append([{"number": i, "chunk": c} for i, c in parts(t.as_py() or b"") if i in wanted])
-        return pa.array(out, type=pa.list_(pa.struct([("number", pa.int32()), ("chunk", pa.binary())])))
+            out.append([{"number": i, "within": w, "chunk": c} for i, w, c in parts(t.as_py() or b"") if i in wanted])
+        return pa.array(out, type=pa.list_(pa.struct([("number", pa.int32()), ("within", pa.int32()), ("chunk", pa.binary())])))
 
     return chosen
 
@@ -159,8 +177,14 @@ def _place() -> Column:
     return F.struct((~F.col("_none")).alias("named"), "_id", "_k1", "_k2", "number")
 
 
-def _dedup(docs: DataFrame, parts: Parts, take: Callable[[bytes, set[int]], tuple[bytes, int]]) -> DataFrame:
-    """``docs`` without the ``parts`` of texts that occur before, which ``take`` takes out.
+def _again(parts: DataFrame) -> DataFrame:
+    """Where parts stand whose bytes have an earlier place among ``parts``."""
+    same = cut(parts.groupBy("chunk").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first <> last").select(F.col("chunk").alias("bytes"), "first"))
+    return parts.join(same, F.col("chunk") == F.col("bytes")).where(_place() != F.col("first")).select(*KEY, "number")
+
+
+def _dedup(docs: DataFrame, parts: Parts, take: Callable[[bytes, set[int]], tuple[bytes, int]], pairs: bool) -> DataFrame:
+    """``docs`` without the ``parts`` of texts that occur before, which ``take`` takes out: chunks, then ``pairs`` but for those in chunks that go.
 
     Texts are dealt once, to meet the numbers of their parts in question, and the
     outcome is written; what follows moves the bytes of those parts and the documents
@@ -178,9 +202,12 @@ def _dedup(docs: DataFrame, parts: Parts, take: Callable[[bytes, set[int]], tupl
     held = keep(told.join(asked, "_k", "left").drop("_k"))
 
     some = held.where("numbers is not null")
-    taken = cut(some.select(*KEY, F.explode(_chosen(parts)(F.col("_doc.text"), F.col("numbers"))).alias("c")).select(*KEY, "c.*"))
-    same = cut(taken.groupBy("chunk").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first <> last").select(F.col("chunk").alias("bytes"), "first"))
-    again = taken.join(same, F.col("chunk") == F.col("bytes")).where(_place() != F.col("first"))
+    taken = keep(some.select(*KEY, F.explode(_chosen(parts)(F.col("_doc.text"), F.col("numbers"))).alias("c")).select(*KEY, "c.*"))
+    again = _again(taken.where("number < 0"))
+    if pairs:
+        again = cut(again)
+        left = keep(taken.where("number >= 0").join(again.withColumnRenamed("number", "within"), [*KEY, "within"], "left_anti"))
+        again = again.unionByName(_again(left))
     gone = cut(again.groupBy(*KEY).agg(F.collect_set("number").alias("gone")))
 
     def given(text: Column, n: Column) -> list[Column]:
@@ -195,9 +222,9 @@ def _dedup(docs: DataFrame, parts: Parts, take: Callable[[bytes, set[int]], tupl
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text``, and with ``n_removed`` chunks (a column of that name is replaced)."""
-    return _dedup(docs, _chunks, _without_chunks)
+    return _dedup(docs, _chunks, _without_chunks, pairs=False)
 
 
 def dedup_runs(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated runs of lines taken out of ``text``, whole, and with ``n_removed`` lines (a column of that name is replaced)."""
-    return _dedup(docs, _pairs, _without_runs)
+    """``docs`` with repeated chunks, and what they leave of repeated runs of lines, taken out of ``text``, and with ``n_removed`` lines (a column of that name is replaced)."""
+    return _dedup(docs, _runs, _without_runs, pairs=True)

@@ -10,6 +10,7 @@ from base64 import b32encode
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -217,6 +218,50 @@ def test_repeated_passages_go_whole(spark):
     assert dict(collected(corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, DOCS), ""), "doc_id", "text")) == want
 
 
+def plain_chunks(t):
+    """Content-defined chunks that may go, from their first worded line to their last: (place, bytes, pairs inside)."""
+    h = [xxhash.xxh64_intdigest(x.encode()) for x in t.split("\n")]
+    out, held, since, split = [], [], 0, t.split("\n")
+    for i, x in enumerate(split):
+        long = len(x.encode().split()) >= 50
+        if long and held:
+            out.append(held)
+            held = []
+        held.append(i)
+        since = 0 if long else since + 1
+        rolled = (h[i - 1] * 0x9E3779B97F4A7C15 + h[i]) % 2**64
+        if long or (since > 1 and (rolled ^ rolled >> 29) % 4 == 0) or len(held) == 16:
+            out.append(held)
+            held = []
+    worded = [[i for i in c if split[i].strip(" \t\r")] for c in [*out, *([held] if held else [])]]
+    joined = lambda a, b: "\n".join(split[a : b + 1]).encode()
+    fit = [w for w in worded if len(w) > 1 or (w and len(split[w[0]].encode().split()) >= 50)]
+    return [(joined(w[0], w[-1]), [joined(a, b) for a, b in zip(w, w[1:])]) for w in fit]
+
+
+def test_chunks_go_first_and_pairs_for_the_rest(spark, monkeypatch):
+    """What line_stage compares: content-defined chunks, then pairs, but none that lies in a chunk which goes."""
+    passage = prose(400, 99, per_line=8)
+    long_line = " ".join(words(60, 98))
+    texts = {i: f"{prose(40, 700 + i, per_line=5)}\n{passage}\n\n{long_line}\n{prose(30, 800 + i, per_line=5)}" for i in range(6)}
+    given, again = [], lines._again
+    monkeypatch.setattr(lines, "_again", lambda parts: given.append(collected(parts, "_id", "chunk")) or again(parts))
+    got = corpus_pipeline.line_stage(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], DOCS), "")
+    left = dict(collected(got, "doc_id", "text"))
+    assert left[0] == texts[0] and all(left[i] == texts[i].replace(f"{passage}\n\n{long_line}\n", "") for i in range(1, 6))
+    chunks, pairs = ([(i, bytes(c)) for i, c in rows] for rows in given)
+    own = {i: plain_chunks(t) for i, t in texts.items()}
+    count = collections.Counter(c for i in own for c, _ in own[i])
+    assert len([c for c in count if count[c] > 1]) > 5
+    assert sorted(chunks) == sorted((i, c) for i in own for c, _ in own[i] if count[c] > 1)
+    going = {(i, p) for i in own for c, inside in own[i] if c in {c for k in range(i) for c, _ in own[k]} for p in inside}
+    whole = {i: [x.encode() for x in t.split("\n") if x] for i, t in texts.items()}
+    every = [(i, a + (b"\n\n" if b == long_line.encode() else b"\n") + b) for i in whole for a, b in zip(whole[i], whole[i][1:])]
+    times = collections.Counter(p for _, p in every)
+    want = [(i, p) for i, p in every if times[p] > 1 and (i, p) not in going]
+    assert len(going) > 50 and any(i for i, _ in want) and sorted(pairs) == sorted(want)
+
+
 def test_line_dedup_of_nothing(spark, docs):
     assert lines.dedup(docs.limit(0)).count() == 0
 
