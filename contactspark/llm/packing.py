@@ -11,8 +11,9 @@ slots by joining the plan on length and block of ranks.
 
 Tokens of a text are those of its words one by one: the tokenizer splits at white
 space before anything else, so each worker keeps the tokens of the words it met,
-and splits plain Latin words itself where the tokenizer's file states the rules for
-that which it knows. Words that hold one of the tokenizer's special strings go
+looks the different words of a run of texts up at once, and splits those that are
+new and plain Latin itself, all together, where the tokenizer's file states the rules
+for that which it knows. Words that hold one of the tokenizer's special strings go
 through the whole tokenizer, which gives these their own ids; where such a string
 could reach beyond a word, whole texts do.
 
@@ -24,6 +25,7 @@ result is replaced by that.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import os
@@ -31,9 +33,11 @@ import re
 import sys
 from array import array
 from collections import defaultdict
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -48,6 +52,8 @@ PART, RANKS = 4096, 4096
 BROADCAST_ROWS = 200_000
 #: Bytes that a worker keeps words and their tokens in, about, with what Python needs for each; at half of them, what wasn't met since the last time goes. Longer words aren't kept.
 BYTES_KEPT, OVERHEAD, LONG = 96 << 20, 150, 64
+#: Bytes of texts whose words are looked up together, so that each word is looked up once.
+BYTES_AT_ONCE = 4 << 20
 _PIECES = "array<struct<start:bigint,ids:binary>>"
 _RESULT = {"piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"}
 _encoders: dict[str, _Encoder] = {}
@@ -62,12 +68,14 @@ _SPLITTER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-#: Words that may be: printable ASCII and the letters of Latin-1, which NFC leaves alone; and their parts in lower case.
-_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
-_PARTS = re.compile(_CONTRACTIONS + "|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+").findall
+#: What words that may be split here don't have: all but printable ASCII and the letters of Latin-1, which NFC leaves alone; and the parts of such words in lower case, with the line ends between words.
+_ODD = re.compile("[^\n\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]").search
+_PARTS = re.compile(_CONTRACTIONS + "|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|\n|[^\na-z0-9\xdf-\xf6\xf8-\xff]+").findall
 #: Byte-level characters: printable bytes stand for themselves, the others in order for those from 256 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = dict(zip([b for b in range(256) if b not in set(_SHOWN)], range(256, 512), strict=False))
+#: What stands between the ids of two words; no id has these bytes.
+_MARK = b"\xff" * 4
 
 
 def default_tokenizer() -> str:
@@ -77,7 +85,7 @@ def default_tokenizer() -> str:
 
 
 class _Encoder:
-    """A tokenizer, its model where plain words may be split here, and the ids of the words and of the parts of words that this worker met."""
+    """A tokenizer, its model where plain words may be split here, and the ids of the words, and of the parts of words, that this worker met."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,55 +97,69 @@ class _Encoder:
         self.model = self.whole.model if known else None
         special = told["added_tokens"]
         self.special = re.compile("|".join(re.escape(x["content"]) for x in special) or "(?!)", re.IGNORECASE).search
-        self.special_letters = any(x["content"].isalpha() for x in special)
         self.wordwise = known and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or len(x["content"].split()) != 1 for x in special)
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.older_words: dict[bytes, bytes] = {}
-        self.older_parts: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []
         self.bytes = 0
 
-    def part(self, part: str) -> bytes:
-        held = self.parts.get(part)
-        if held is None:
-            held = self.older_parts.get(part) or _held([t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES))])
-            if len(part) <= LONG:
-                self.parts[part] = held
-                self.bytes += len(part) + len(held) + OVERHEAD
-        return held
+    def keep(self, words: Collection[bytes], ids: list[bytes]) -> None:
+        self.words.update(zip(words, ids, strict=True))
+        self.bytes += sum(map(len, words)) + sum(map(len, ids)) + OVERHEAD * len(ids)
+        if max(map(len, words), default=0) > LONG:
+            self.long += [w for w in words if len(w) > LONG]
+
+    def lost(self, words: Collection[bytes]) -> list[bytes]:
+        """Those of ``words`` that aren't kept; what only the older ones hold is kept anew."""
+        fresh = list(itertools.filterfalse(self.words.__contains__, words))
+        met = list(filter(self.older.__contains__, fresh))
+        self.keep(met, [self.older[w] for w in met])
+        return list(itertools.filterfalse(self.older.__contains__, fresh))
+
+    def learn(self, words: list[bytes]) -> None:
+        """Keeps the ids of words: plain ones are split all at once, and the ids of their parts put together."""
+        lines = b"\n".join(words).decode("utf-8", "replace")
+        if _ODD(lines) or self.special(lines):
+            odd = {w: t for w, t in zip(words, lines.split("\n"), strict=True) if _ODD(t) or self.special(t)}
+            self.keep(odd, [_held(e.ids) for e in self.whole.encode_batch(list(odd.values()), add_special_tokens=False)])
+            words = [w for w in words if w not in odd]
+            lines = b"\n".join(words).decode()
+        if words:
+            parts = _PARTS(lines.lower())
+            held = {p.encode(): p for p in set(parts) - {"\n"}}
+            lost = self.lost(held)
+            self.keep(lost, [_held([t.id for t in self.model.tokenize(p.decode() if p.isascii() else p.decode("latin-1").translate(_BYTES))]) for p in lost])
+            ids = {text: self.words[p] for p, text in held.items()} | {"\n": _MARK}
+            fresh = dict(zip(words, b"".join(map(ids.__getitem__, parts)).split(_MARK), strict=True))
+            for p in lost:  # kept by now
+                fresh.pop(p, None)
+            self.keep(fresh, list(fresh.values()))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.wordwise:
             return [_held(e.ids) for e in self.whole.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         if self.bytes > BYTES_KEPT // 2:
-            self.older_words, self.older_parts, self.words, self.parts, self.bytes = self.words, self.parts, {}, {}, 0
-        split, known, older, rest, long_ = [t.split() for t in texts], self.words, self.older_words, [], []
-        for w in {w for words in split for w in words if w not in known}:
-            held = older.get(w)
-            if held is not None:
-                known[w] = held
-                self.bytes += len(w) + len(held) + OVERHEAD
-                continue
-            text = w.decode("utf-8", "replace")
-            if text.isascii() and text.isalpha() and not self.special_letters:  # one part
-                known[w] = self.part(text.lower())
-            elif self.special(text) or not (text.isascii() and text.isprintable() or _PLAIN(text)):
-                rest.append((w, text))
-            else:
-                known[w] = b"".join(map(self.part, _PARTS(text.lower())))
-            if len(w) > LONG:
-                long_.append(w)
-            else:
-                self.bytes += 3 * len(w) + OVERHEAD
-        if rest:
-            for (w, _), e in zip(rest, self.whole.encode_batch([t for _, t in rest], add_special_tokens=False), strict=True):
-                known[w] = _held(e.ids)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in long_:
-            del known[w]
+            self.older, self.words, self.bytes = self.words, {}, 0
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string(), safe=False))
+        coded = split.flatten().dictionary_encode()
+        words = _slices(coded.dictionary, "i4")
+        self.words[b""] = b""  # before and after outer white space
+        self.learn(self.lost(words))
+        ids = pa.array([self.words[w] for w in words], pa.large_binary()).take(coded.indices)
+        out = _slices(ids, "i8", split.offsets.to_numpy())
+        for w in self.long:
+            self.bytes -= len(w) + len(self.words.pop(w)) + OVERHEAD
+        self.long.clear()
         return out
 
 
+def _slices(values: pa.Array, offset: str, bounds: np.ndarray | slice = slice(None)) -> list[bytes]:
+    """The bytes between every two of the ``bounds`` (values' numbers; all as they are) of new binary values, of which none is null."""
+    _, ends, data = values.buffers()
+    data, ends = data.to_pybytes() if data else b"", np.frombuffer(ends, offset)[: len(values) + 1][bounds].tolist()
+    return [data[i:j] for i, j in itertools.pairwise(ends)]
+
+
 def _held(ids: list[int]) -> bytes:
     out = array("I", ids)
     if sys.byteorder == "big":
@@ -157,14 +179,26 @@ def encode(texts: list[bytes], path: str) -> list[bytes]:
     return _encoders[path].encode(texts)
 
 
+def _batches(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """``texts`` in runs that reach ``BYTES_AT_ONCE`` with their last."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= BYTES_AT_ONCE:
+            yield texts[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield texts[first:]
+
+
 def _pieces(path: str, sequence: int, end: int):
     close = np.array([end], dtype="<u4").tobytes()
 
     @arrow_udf(_PIECES)
     def pieces(text: pa.Array) -> pa.Array:
         out, texts = [], [t.as_py() or b"" for t in text.cast(pa.binary())]
-        for at in range(0, len(texts), 64):
-            for ids in encode(texts[at : at + 64], path):
+        for some in _batches(texts):
+            for ids in encode(some, path):
                 ids += close
                 out.append([{"start": i // 4, "ids": ids[i : i + 4 * sequence]} for i in range(0, len(ids), 4 * sequence)])
         return pa.array(out, type=pa.list_(pa.struct([("start", pa.int64()), ("ids", pa.binary())])))

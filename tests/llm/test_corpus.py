@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import sys
 import zlib
 from base64 import b32encode
 
@@ -563,6 +564,36 @@ def test_words_kept_are_bounded():
     assert len(encoder.words) < 20_000
 
 
+def test_new_words_are_split_together():
+    encoder = packing._Encoder(packing.default_tokenizer())
+    own = sorted(set(words(500, 3)))
+    texts = [" ".join(w + sign for w in own).encode() for sign in ("", ",", ".", "!", ";", ":", "?", "...", "-", "'s")]
+    want = [e.ids for e in encoder.whole.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+    encoder.encode([b"a"])
+    calls = collections.Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        got = encoder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in got] == want
+    assert calls["call"] + calls["c_call"] < 2 * len(texts) * len(own)  # some for each part, none for each of the words it is in
+
+
+def test_any_bytes_are_encoded_like_whole_texts():
+    encoder = packing._Encoder(packing.default_tokenizer())
+    r = random.Random(8)
+    signs = [*"aJÉéßIΣK1٣中×÷²ªµŸÿ$'’\u0301\u030c\u0307\x00\x7f\x1c\x1f\x85\xa0\u2003\u3000\n\t\r\x0b\x0c\ufffd😀", "'s", "'LL", "<|endoftext|>", "<|STARTOFTEXT|>", "<|", "z" * 70, " ", " ", " "]
+    for k in range(60):
+        texts = ["".join(r.choices(signs, k=r.randint(0, 25))).encode() for _ in range(r.randint(1, 30))] + [b"", b" ", b"a\xff \xc3 \xe2\x82\nb"]
+        want = [e.ids for e in encoder.whole.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in encoder.encode(texts)] == want
+        if k % 10 == 5:
+            encoder.bytes = packing.BYTES_KEPT + 1
+    assert [len(x) for x in packing._batches([b"x" * packing.BYTES_AT_ONCE, b"", b"y", b"z" * packing.BYTES_AT_ONCE, b"w"])] == [1, 3, 1]
+    assert list(packing._batches([])) == []
+
+
 def test_plan_is_joined_by_shuffle_too(spark, monkeypatch):
     monkeypatch.setattr(packing, "BROADCAST_ROWS", -1)
     monkeypatch.setattr(packing, "RANKS", 5)
