@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactspark.llm import licences, lines, mixing, neardup, packing, pii, quality, shards, topk, warc
+from contactspark.llm import licences, lines, mixing, neardup, packing, pii, quality, shards, suffixes, topk, warc
 from contactspark.llm.common import fresh_path, table
 
 
@@ -77,8 +77,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_topk_search, op2_sharding, op3_line_dedup, op4_quality_rules, op5_minhash_neardup, op6_best_fit_packing, op7_source_mixing, op8_pii, op9_license_scan, op10_warc)
+    own += (op13_suffix_dedup,)
     return {f.__name__: f for f in own}
 
 
