@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactspark.llm import licences, lines, mixing, neardup, packing, pii, quality, shards, suffixes, topk, warc
+from contactspark.llm import lexical, licences, lines, mixing, neardup, packing, pii, quality, shards, suffixes, topk, warc
 from contactspark.llm.common import fresh_path, table
 
 
@@ -77,6 +77,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -84,7 +88,7 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_topk_search, op2_sharding, op3_line_dedup, op4_quality_rules, op5_minhash_neardup, op6_best_fit_packing, op7_source_mixing, op8_pii, op9_license_scan, op10_warc)
-    own += (op13_suffix_dedup,)
+    own += (op12_lexical_search, op13_suffix_dedup)
     return {f.__name__: f for f in own}
 
 
@@ -115,6 +119,22 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, payload_digest,
 FROM f
 """
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT iid, item_id, term, count(*) AS times FROM i GROUP BY ALL),
+size AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+tf AS (SELECT uid, doc_id, n, term, count(*) AS tf FROM (SELECT uid, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, size GROUP BY term),
+scored AS (
+  SELECT iid, item_id, uid, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN w USING (term), size GROUP BY ALL
+),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id))::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL, "op9_license_scan": licences.oracle(), "op10_warc": OP10_SQL}
+    return {"op1_topk_search": OP1_SQL, "op9_license_scan": licences.oracle(), "op10_warc": OP10_SQL, "op12_lexical_search": OP12_SQL}
