@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactspark.llm import lexical, licences, lines, mixing, neardup, packing, pii, quality, shards, suffixes, topk, warc
+from contactspark.llm import lexical, licences, lines, mining, mixing, neardup, packing, pii, quality, shards, suffixes, topk, warc
 from contactspark.llm.common import fresh_path, table
 
 
@@ -77,6 +77,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    wrong = F.col("vec_id") % 7 == 0
+    label = F.when(wrong, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.mine(vectors.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
@@ -88,7 +95,7 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_topk_search, op2_sharding, op3_line_dedup, op4_quality_rules, op5_minhash_neardup, op6_best_fit_packing, op7_source_mixing, op8_pii, op9_license_scan, op10_warc)
-    own += (op12_lexical_search, op13_suffix_dedup)
+    own += (op11_hard_negatives, op12_lexical_search, op13_suffix_dedup)
     return {f.__name__: f for f in own}
 
 
@@ -119,6 +126,24 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, payload_digest,
 FROM f
 """
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+r AS (SELECT *, row_number() OVER () AS rid FROM v),
+scored AS (
+  SELECT a.rid AS aid, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.c, b.c), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND b.rid <> a.rid AND len(a.c) = len(b.c)
+),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY score DESC, vec_id, rid) AS turn FROM scored WHERE same) WHERE turn <= 5),
+h AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER (PARTITION BY p.aid, p.turn ORDER BY n.score DESC, n.vec_id, n.rid))::INTEGER AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM p JOIN scored n ON n.aid = p.aid AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT * FROM h WHERE rank <= 3
+"""
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OP12_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
@@ -137,4 +162,4 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL, "op9_license_scan": licences.oracle(), "op10_warc": OP10_SQL, "op12_lexical_search": OP12_SQL}
+    return {"op1_topk_search": OP1_SQL, "op9_license_scan": licences.oracle(), "op10_warc": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_lexical_search": OP12_SQL}
