@@ -206,17 +206,24 @@ def _among(rows: DataFrame, wanted: DataFrame, keys: list[str], total: int) -> D
     return marked.where("_heavy").drop("_heavy").select(*rows.columns).unionByName(light.select(*rows.columns))
 
 
-def _pass(blocks: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """What a pass finds among ``blocks`` (uid, at, lo, hi, core, u1, u2, known): blocks that are repeated as a whole and weren't known to be, and those to be cut for the next pass (known ones for comparison)."""
+def _repeated(blocks: DataFrame, kinds: DataFrame, total: int) -> DataFrame:
+    """The blocks that weren't known to be repeated and whose kind (u1, u2) has others."""
+    return _among(blocks.where("not known"), kinds.where("n > 1").select("u1", "u2", "n"), ["u1", "u2"], total).select("uid", "at", "lo", "hi")
+
+
+def _pass(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a pass finds among ``blocks`` (uid, at, lo, hi, core, u1, u2, known): blocks that are repeated as a whole, and those to be cut for the next pass (known ones for comparison)."""
     total = blocks.count()
     kinds = blocks.groupBy("u1", "u2").agg(*[F.min(c).alias(c) for c in ("core", "lo", "hi", "uid")], F.min_by("at", "uid").alias("at"), F.count("*").alias("n"), F.max("known").alias("known"))
     kinds = cut(kinds.withColumn("known", F.col("known") | (F.col("n") > 1)))
-    found = _among(blocks.where("not known"), kinds.where("n > 1").select("u1", "u2", "n"), ["u1", "u2"], total).select("uid", "at", "lo", "hi")
-    if last:
-        return found, None
     digits = kinds.groupBy("core").agg(F.count("*").alias("n"), F.min("known").alias("known")).where("n > 1 and not known").select("core", "n")
     asked = _among(kinds.drop("n"), cut(digits), ["core"], total).select("uid", "at", "lo", "hi", "known")
-    return found, asked
+    return _repeated(blocks, kinds, total), asked
+
+
+def _last_pass(windows: DataFrame) -> DataFrame:
+    """The windows (uid, at, lo, hi, u1, u2, known) that are repeated and weren't known to be."""
+    return _repeated(windows, cut(windows.groupBy("u1", "u2").agg(F.count("*").alias("n")).where("n > 1")), windows.count())
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -239,7 +246,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     more, asked = _pass(keep(cut_up.select("uid", "b.*", "known")))
     asked = cut(asked).join(pieces.select("uid", "at", F.col("lo").alias("from"), F.col("hi").alias("to"), "piece"), ["uid", "at"]).where("lo >= from and hi <= to")
     windows = asked.select("uid", "known", F.explode(_cut(STEPS[1], length)("piece", "at", "to", "lo", "hi")).alias("b"))
-    most, _ = _pass(keep(windows.select("uid", "b.*", "known")), last=True)
+    most = _last_pass(keep(windows.select("uid", "b.at", "b.lo", "b.hi", "b.u1", "b.u2", "known")))
 
     spans = found.unionByName(more).unionByName(most).select("uid", (F.col("at") - F.col("hi")).cast("long").alias("start"), (F.col("at") - F.col("lo") + length).cast("long").alias("end"))
     spans = cut(spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("found")))
