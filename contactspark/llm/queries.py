@@ -160,6 +160,19 @@ ranked AS (SELECT *, (row_number() OVER (PARTITION BY iid ORDER BY score DESC, d
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT uid, p, md5(b[p + 1 : p + 400]) AS h FROM (SELECT uid, b, unnest(range(0, octet_length(b) - 399)) AS p FROM d WHERE octet_length(b) >= 400)),
+again AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT uid, p, lag(p) OVER (PARTITION BY uid ORDER BY p) AS before FROM w SEMI JOIN again USING (h)),
+run AS (SELECT uid, p, sum(CASE WHEN before IS NULL OR p > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY p) AS span FROM hit),
+span AS (SELECT uid, span, min(p) AS a, max(p) + 400 AS z FROM run GROUP BY ALL),
+cut AS (SELECT uid, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM span GROUP BY uid)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN a IS NULL THEN b ELSE unhex(list_aggregate(list_transform(range(0, len(a) + 1), lambda i: hex(b[(CASE WHEN i = 0 THEN 0 ELSE z[i] END) + 1 : CASE WHEN i = len(a) THEN octet_length(b) ELSE a[i + 1] END])), 'string_agg', '')) END) AS kept_sha256
+FROM d LEFT JOIN cut USING (uid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL, "op9_license_scan": licences.oracle(), "op10_warc": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_lexical_search": OP12_SQL}
+    return {"op1_topk_search": OP1_SQL, "op9_license_scan": licences.oracle(), "op10_warc": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_suffix_dedup": OP13_SQL}
