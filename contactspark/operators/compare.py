@@ -63,9 +63,15 @@ def compare_vectors(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def compare_dumps(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: rows of either result, whether coordinates agree, whether all rows do, and ``metrics`` of the values they share."""
-    both = left.select("x", "y", F.col("value").alias("a")).join(right.select("x", "y", F.col("value").alias("b")), ["x", "y"], "full").withColumn("_", F.lit(1))
-    sides = both.groupBy("_").agg(F.count("a").alias("rows_left"), F.count("b").alias("rows_right"), F.bool_and(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("coordinates_equal"), F.bool_and(F.coalesce(F.col("a") == F.col("b"), F.lit(False))).alias("exact_values_equal"))
-    return sides.join(metrics(both.where("a is not null and b is not null"), ["_"]), "_", "left").drop("_")
+    one = lambda df: df.select(F.lit(1).alias("_"), "x", "y", "value")
+    return compare_results(one(left), one(right), ["_"]).drop("_")
+
+
+def compare_results(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """``compare_dumps`` of many results at once, a row for each ``by`` that either side has."""
+    both = left.select(*by, "x", "y", F.col("value").alias("a")).join(right.select(*by, "x", "y", F.col("value").alias("b")), [*by, "x", "y"], "full")
+    sides = both.groupBy(*by).agg(F.count("a").alias("rows_left"), F.count("b").alias("rows_right"), F.bool_and(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("coordinates_equal"), F.bool_and(F.coalesce(F.col("a") == F.col("b"), F.lit(False))).alias("exact_values_equal"))
+    return sides.join(metrics(both.where("a is not null and b is not null"), by), by, "left")
 
 
 def fingerprint(spark, path: str) -> DataFrame:

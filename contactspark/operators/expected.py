@@ -1,7 +1,7 @@
 """How contact counts fall with distance: histograms, possible distances, smoothed density and scale factors.
 
 The histogram comes from cells within chromosomes, by distance in bins; totals of
-a chromosome count before the range check. The density is a sequential smoothing
+a chromosome count before the range check. Between chromosomes the model is their mean. The density is a sequential smoothing
 over at most one number for each bin of the longest chromosome, so a resolution is
 one small group.
 """
@@ -54,6 +54,16 @@ def possible_distances(totals: DataFrame, genome: Genome, keys: tuple[str, ...]
     return spread.select(*keys, F.col("dist").cast("int").alias("dist"), (F.col("nk") - F.col("k") * F.col("dist")).alias("possible"))
 
 
+def between(cell_rows: DataFrame, genome: Genome, weight: Column | None = None, keys: tuple[str, ...] = ("bin_size",)) -> DataFrame:
+    """keys, chr1, chr2, expected: of two different chromosomes the weight (by default what scores above 0 gave) of all cells over the pairs of bins they may have. There is no distance between chromosomes, so one value holds for all cells."""
+    weight = F.col("pos_count") if weight is None else weight
+    lengths = F.create_map(*[F.lit(x) for kv in genome.lengths().items() for x in kv])
+    apart = cell_rows.where("chr1 <> chr2").select(*keys, "chr1", "chr2", weight.alias("weight")).where("weight > 0")
+    sums = apart.groupBy(*keys, "chr1", "chr2").agg(F.sum("weight").alias("weight"))
+    bins = [F.greatest(div(F.try_element_at(lengths, F.col(f"chr{e}")), F.col("bin_size")), F.lit(1)) for e in "12"]
+    return sums.select(*keys, "chr1", "chr2", (F.col("weight").cast("double") / bins[0] / bins[1]).alias("expected"))
+
+
 def smooth(actual: np.ndarray, possible: np.ndarray, reach: int, enough: float = ENOUGH) -> np.ndarray:
     """Density by distance: contacts over possible pairs within a window that widens until it holds enough.
 

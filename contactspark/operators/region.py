@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactspark.functions.blocks import div
 from contactspark.functions.parse import usable
 from contactspark.genome import Genome
 
@@ -37,12 +38,12 @@ def select(cell_rows: DataFrame, region1: tuple[int, int, int], region2: tuple[i
     return cell_rows.where((F.col("bin_size") == bin_size) & (F.col("chr1") == c1) & (F.col("chr2") == c2) & hit)
 
 
-def query(cell_rows: DataFrame, region1: tuple[int, int, int], region2: tuple[int, int, int], bin_size: int, vectors: DataFrame | None = None, norm: str = "NONE", density: DataFrame | None = None, factors: DataFrame | None = None) -> DataFrame:
-    """x, y (bin starts in base pairs) and value. With ``vectors``, count / (n1 n2); with ``density`` and ``factors``, over the expected value too.
+def query(cell_rows: DataFrame, region1: tuple[int, int, int], region2: tuple[int, int, int], bin_size: int, vectors: DataFrame | None = None, norm: str = "NONE", density: DataFrame | None = None, factors: DataFrame | None = None, between: DataFrame | None = None) -> DataFrame:
+    """x, y (bin starts in base pairs) and value. With ``vectors``, count / (n1 n2); with ``density`` and ``factors``, over the expected value too, which between chromosomes is that of ``between``.
 
     Cells whose bins have no usable norm, or whose distance has no expected value,
-    are left out. An absent vector is an error. Between chromosomes there is no
-    distance; observed / expected is then an error.
+    are left out. An absent vector or expected value is an error, but two chromosomes
+    without contacts have none.
     """
     own = select(cell_rows, region1, region2, bin_size)
     value = F.col("count")
@@ -57,18 +58,130 @@ def query(cell_rows: DataFrame, region1: tuple[int, int, int], region2: tuple[in
             own = own.join(side, [f"chr{end}", f"bin{end}"])
         own = own.where(usable(F.col("n1")) & usable(F.col("n2")))
         value = value / (F.col("n1") * F.col("n2"))
-    if density is not None:
-        if c1 != c2:
-            raise ValueError("observed / expected is for matrices within a chromosome")
+    if density is not None and c1 == c2:
         dense = density.where(F.col("bin_size") == bin_size).select("dist", "density")
-        scale = factors.where((F.col("bin_size") == bin_size) & (F.col("chr") == c1)).select("factor")
         own = own.withColumn("dist", F.abs(F.col("bin1") - F.col("bin2"))).join(dense, "dist")
-        factor = scale.limit(1).collect()
+        factor = factors.where((F.col("bin_size") == bin_size) & (F.col("chr") == c1)).select("factor").limit(1).collect()
         if not factor:
             raise ValueError(f"there is no expected value for chromosome {c1} at {bin_size}")
         expected = F.col("density").cast("double") / F.lit(float(factor[0].factor))
         own, value = own.where("density > 0"), value / expected
-    return own.select((F.col("bin1").cast("bigint") * bin_size).cast("int").alias("x"), (F.col("bin2").cast("bigint") * bin_size).cast("int").alias("y"), value.cast("float").alias("value"))
+    elif density is not None:
+        means = None if between is None else between.where(F.col("bin_size") == bin_size)
+        if means is None or means.isEmpty():
+            raise ValueError(f"there is no expected value between chromosomes at {bin_size}")
+        own = own.join(F.broadcast(means.select("chr1", "chr2", "expected")), ["chr1", "chr2"])  # a row for each pair of chromosomes
+        value = value / F.col("expected")
+    return own.select(*_places(), value.cast("float").alias("value"))
+
+
+def _places() -> list[Column]:
+    return [(F.col(f"bin{e}").cast("bigint") * F.col("bin_size")).cast("int").alias(name) for e, name in (("1", "x"), ("2", "y"))]
+
+
+#: What names a region pair once its chromosomes are in order: bin size, chromosomes, first and last bins.
+REGION = ["bin_size", "chr1", "first1", "last1", "chr2", "first2", "last2"]
+#: Tiles that a region's side spans at most (and one), and region pairs up to which their tiles (at most 50 each) are broadcast.
+SPAN, FEW = 4, 5000
+
+
+def ordered_cases(cases: DataFrame) -> DataFrame:
+    """``REGION``, case, norm, observed of ``cases`` (case, bin_size, chr1, start1, end1, chr2, start2, end2, norm, observed)."""
+    turned = F.col("chr1") > F.col("chr2")
+    ends = []
+    for own, other in (("1", "2"), ("2", "1")):
+        pick = lambda name, own=own, other=other: F.when(turned, F.col(f"{name}{other}")).otherwise(F.col(f"{name}{own}"))
+        ends += [pick("chr").alias(f"chr{own}"), div(pick("start"), F.col("bin_size")).alias(f"first{own}"), div(pick("end"), F.col("bin_size")).alias(f"last{own}")]
+    return cases.select("case", "bin_size", *ends, "norm", "observed")
+
+
+def tiles(regions: DataFrame) -> DataFrame:
+    """The tiles that hold a region pair's bins: ``REGION``, level, tile1, tile2. Bins share a tile if they are equal but for their last ``level`` bits.
+
+    The level follows the wider side, so that a pair touches few tiles however wide it is.
+    Within a chromosome tiles of the mirrored pair count too; each is named once.
+    """
+    wide = F.greatest(F.col("last1") - F.col("first1"), F.col("last2") - F.col("first2"))
+    level = F.when(wide < SPAN, 0).otherwise(F.length(F.bin(div(wide, F.lit(SPAN))))).cast("int")
+    spans = regions.select(*REGION, level.alias("level"))
+    tile = lambda name: F.expr(f"shiftright({name}, level)")
+    side = lambda e: F.explode(F.sequence(tile(f"first{e}"), tile(f"last{e}")))
+    pairs = spans.select("*", side("1").alias("a")).select("*", side("2").alias("b"))
+    mirrored = F.when(F.col("chr1") == F.col("chr2"), F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).otherwise(F.array(F.struct("a", "b")))
+    named = pairs.select(*REGION, "level", F.explode(mirrored).alias("t"))
+    # cells lie above the diagonal
+    return named.select(*REGION, "level", F.col("t.a").alias("tile1"), F.col("t.b").alias("tile2")).where("chr1 <> chr2 or tile1 <= tile2").distinct()
+
+
+def select_many(cell_rows: DataFrame, regions: DataFrame, few: bool) -> DataFrame:
+    """Cells of each of ``regions`` (distinct ``REGION`` rows), with these columns, in one pass over the cells: an interval join.
+
+    A cell is hashed to its tile at each level that any region of its matrix has, meets
+    the regions that touch this tile, and is tested exactly. Matrices that no region asks
+    for are pruned. ``few``: whether the regions' tiles are broadcast.
+    """
+    asked = tiles(regions)
+    matrix = ["bin_size", "chr1", "chr2"]
+    levels = asked.groupBy(*matrix).agg(F.collect_set("level").alias("levels"))  # a row for each matrix of the genome at most
+    own = cell_rows.select(*matrix, "bin1", "bin2", "count").join(F.broadcast(levels), matrix)
+    own = own.select(*matrix, "bin1", "bin2", "count", F.explode("levels").alias("level"))
+    own = own.withColumns({f"tile{e}": F.expr(f"shiftright(cast(bin{e} as bigint), level)") for e in "12"})
+    inside = lambda name, e: F.col(name).between(F.col(f"first{e}"), F.col(f"last{e}"))
+    hit = (inside("bin1", "1") & inside("bin2", "2")) | ((F.col("chr1") == F.col("chr2")) & inside("bin1", "2") & inside("bin2", "1"))
+    met = own.join(F.broadcast(asked) if few else asked, [*matrix, "level", "tile1", "tile2"]).where(hit)
+    return met.select(*REGION, "bin1", "bin2", "count")
+
+
+def _require(wanted: DataFrame, there: DataFrame | None, keys: list[str], what: str) -> None:
+    lacking = wanted if there is None else wanted.join(there.select(*keys).distinct(), keys, "left_anti")
+    bad = lacking.orderBy(*keys).limit(1).collect()
+    if bad:
+        raise ValueError(f"there is no {what} for " + ", ".join(f"{k} {bad[0][k]}" for k in keys))
+
+
+def query_many(cell_rows: DataFrame, cases: DataFrame, vectors: DataFrame | None = None, density: DataFrame | None = None, factors: DataFrame | None = None, between: DataFrame | None = None) -> DataFrame:
+    """case, x, y, value of many region queries at once, as ``query`` gives them one by one; cells are read once.
+
+    ``cases``: case, bin_size, chr1, start1, end1, chr2, start2, end2, norm, observed.
+    Cases that differ in norm or model only share their regions. ``density``, ``factors``
+    and ``between`` have a column norm, or hold the raw model. An absent vector is an
+    error, and so is a norm without a model at a bin size; of a chromosome that has no
+    expected value (none of its contacts, or none of its bins, count) no rows are given.
+    """
+    normed = lambda df: df if df is None or "norm" in df.columns else df.withColumn("norm", F.lit("NONE"))
+    density, factors, between = normed(density), normed(factors), normed(between)
+    all_cases = ordered_cases(cases)
+    mixed = all_cases.groupBy("norm", "observed").agg(F.count("*").alias("n")).collect()  # a row for each norm and model
+    regions = all_cases.select(*REGION).distinct()
+    few = sum(r.n for r in mixed) <= FEW
+    found = select_many(cell_rows, regions, few)
+    found = found.join(F.broadcast(all_cases) if few else all_cases, REGION)
+    value = F.col("count")
+    if any(r.norm != "NONE" for r in mixed):
+        ends = all_cases.where("norm <> 'NONE'").select("norm", "bin_size", F.explode(F.array("chr1", "chr2")).alias("chr")).distinct()
+        _require(ends, vectors, ["norm", "bin_size", "chr"], "vector")
+        for e in "12":
+            side = vectors.select("norm", "bin_size", F.col("chr").alias(f"chr{e}"), F.col("bin").alias(f"bin{e}"), F.col("value").alias(f"n{e}"))
+            found = found.join(side, ["norm", "bin_size", f"chr{e}", f"bin{e}"], "left")
+        raw = F.col("norm") == "NONE"
+        found = found.where(raw | F.coalesce(usable(F.col("n1")) & usable(F.col("n2")), F.lit(False)))
+        value = F.when(raw, value).otherwise(F.try_divide(value, F.col("n1") * F.col("n2")))
+    if not all(r.observed for r in mixed):
+        modelled = all_cases.where("not observed")
+        _require(modelled.where("chr1 = chr2").select("norm", "bin_size").distinct(), factors, ["norm", "bin_size"], "expected value")
+        _require(modelled.where("chr1 <> chr2").select("norm", "bin_size").distinct(), between, ["norm", "bin_size"], "expected value between chromosomes")
+        far = F.when(F.col("chr1") == F.col("chr2"), F.abs(F.col("bin1") - F.col("bin2")))
+        found = found.withColumn("dist", far)
+        if density is not None:
+            found = found.join(density.select("norm", "bin_size", "dist", "density"), ["norm", "bin_size", "dist"], "left")
+            found = found.join(factors.select("norm", "bin_size", F.col("chr").alias("chr1"), "factor"), ["norm", "bin_size", "chr1"], "left")
+        if between is not None:
+            found = found.join(between.select("norm", "bin_size", "chr1", "chr2", "expected"), ["norm", "bin_size", "chr1", "chr2"], "left")
+        one = F.when(F.col("density") > 0, F.col("density").cast("double") / F.col("factor")) if density is not None else F.lit(None).cast("double")
+        two = F.col("expected") if between is not None else F.lit(None).cast("double")
+        expected = F.when(F.col("chr1") == F.col("chr2"), one).otherwise(two)
+        value = F.when(F.col("observed"), value).otherwise(F.try_divide(value, expected))
+    return found.select("case", *_places(), value.cast("float").alias("value")).where("value is not null")
 
 
 def shortest(value: Column, digits: int = 12) -> Column:
@@ -85,13 +198,23 @@ def write_dump(result: DataFrame, path: str) -> None:
     text.write.csv(path, sep="\t")
 
 
+def write_dumps(results: DataFrame, folder: str) -> None:
+    """The dumps of many cases (case, x, y, value), a folder for each; a case's rows are sorted in ranges, so that a large one is many parts."""
+    text = results.select("case", "x", "y", shortest(F.col("value").cast("double")).alias("value"))
+    text.repartitionByRange("case", "x", "y").sortWithinPartitions("case", "x", "y").write.partitionBy("case").csv(folder, sep="\t")
+
+
+def read_dumps(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.csv(folder, sep="\t", schema="x int, y int, value float, case string")
+
+
 def read_dump(spark, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="x int, y int, value float")
 
 
 @dataclass(frozen=True)
 class RegionCase:
-    """A region query of a generated set."""
+    """A region query of a set."""
 
     name: str
     resolution: int
@@ -101,27 +224,38 @@ class RegionCase:
     norm: str
 
 
-#: The seed of the generated set, and the least width of its regions in bins and in base pairs.
-CASE_SEED, CASE_BINS, CASE_WIDTH = 8675309, 25, 2_000_000
+def random_cases(genome: Genome, resolutions: list[int], norms: tuple[str, ...] = ("NONE", "VC", "VC_SQRT", "SCALE"), pairs: int = 1, bins: int = 25, least: int = 2_000_000) -> list[RegionCase]:
+    """A fixed set: at each resolution ``pairs`` region pairs within a chromosome and as many between two, each observed and over expected and with each norm.
+
+    A region has ``bins`` bins, and ``least`` base pairs at least, as far as its chromosome
+    reaches. Chromosomes and starts come from a hash of what the pair is: its kind,
+    resolution and number.
+    """
+    lengths = genome.lengths()
 
+    def drawn(below: int, *what) -> int:
+        return int.from_bytes(hashlib.blake2b(repr(what).encode(), digest_size=8).digest()) % max(1, below)
 
-def random_cases(genome: Genome, resolutions: list[int], norms: tuple[str, ...] = ("NONE", "VC", "VC_SQRT", "SCALE"), seed: int = CASE_SEED) -> list[RegionCase]:
-    """For each resolution a region pair within and one between chromosomes (1 to 22 and X, as far as the genome has them), each observed and over expected, with each norm."""
-    lengths, found = genome.lengths(), []
-    index = genome.aliases()
-    names = [n for n in [*map(str, range(1, 23)), "X"] if n.lower() in index]
-    length = {n: lengths[index[n.lower()]] for n in names}
-    draw = random.Random(seed)
+    def region(chromosome: int, resolution: int, *what) -> str:
+        width = min(lengths[chromosome], max(bins * resolution, least))
+        start = drawn(lengths[chromosome] - width + 1, *what) // resolution * resolution
+        return f"{genome.chromosomes[chromosome - 1][0]}:{start}:{start + width}"
+
+    found = []
     for resolution in resolutions:
-        width = max(CASE_BINS * resolution, CASE_WIDTH)
-        anywhere = lambda n: draw.randrange(max(1, length[n] - width))  # noqa: E731, B023
-        for kind in ("intra", "inter"):
-            one = draw.choice(names)
-            two = one if kind == "intra" else draw.choice([n for n in names if n != one])
-            at = anywhere(one) // resolution * resolution
-            near = min(length[two] - width, max(0, at + draw.randint(-5, 5) * width)) if kind == "intra" else anywhere(two)
-            near = near // resolution * resolution
-            regions = [f"{n}:{start}:{min(length[n], start + width)}" for n, start in ((one, at), (two, near))]
-            number = len(found) // (2 * len(norms)) + 1
-            found += [RegionCase(f"q{number:03d}_{kind}", resolution, *regions, observed, norm) for observed in (True, False) for norm in norms]
+        for number in range(pairs):
+            one = 1 + drawn(len(lengths), "first", resolution, number)
+            two = 1 + (one + drawn(len(lengths) - 1, "second", resolution, number)) % len(lengths)
+            for kind, ends in {"within": (one, one), "between": (one, two)}.items():
+                if kind == "between" and one == two:
+                    continue
+                regions = [region(c, resolution, kind, resolution, number, e) for e, c in enumerate(ends)]
+                for norm in norms:
+                    found += [RegionCase(f"{kind}_{resolution}_{number}_{'observed' if seen else 'oe'}_{norm}", resolution, *regions, seen, norm) for seen in (True, False)]
     return found
+
+
+def cases_table(spark: SparkSession, cases: list[RegionCase], genome: Genome) -> DataFrame:
+    """The cases as ``query_many`` takes them."""
+    rows = [(c.name, c.resolution, *parse_region(c.region1, genome), *parse_region(c.region2, genome), c.norm, c.observed) for c in cases]
+    return spark.createDataFrame(rows, "case string, bin_size int, chr1 int, start1 bigint, end1 bigint, chr2 int, start2 bigint, end2 bigint, norm string, observed boolean")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from contactspark.genome import Genome
-from contactspark.operators import contacts, expected, matrix, norms, region
+from contactspark.operators import compare, contacts, expected, matrix, norms, region
 from contactspark.session import keep
 from contactspark.sources import container
 
@@ -30,6 +30,7 @@ class Store:
     vectors: DataFrame | None = None
     resolutions: tuple[int, ...] = ()
     status: DataFrame | None = None
+    between: DataFrame | None = None
 
 
 def build(pairs: DataFrame, genome: Genome, resolutions: list[int] | tuple[int, ...] = matrix.RESOLUTIONS, mapq: int = 0, intra_only: bool = False, near_diagonal_only: bool = False, drop_same_fragment: bool = False, count_threshold: float = 0, depth_base: int = 2, scaling_factor: float = 1.0) -> Store:
@@ -52,7 +53,8 @@ def build(pairs: DataFrame, genome: Genome, resolutions: list[int] | tuple[int,
     dense = keep(expected.density(expected.histogram(by_chr, genome), expected.possible_distances(totals, genome), genome))
     shown = matrix.at_least(cell_rows, count_threshold) if count_threshold else cell_rows
     numbered, sums, factors = matrix.with_blocks(shown, genome, depth_base), matrix.zooms(shown, genome), expected.scale_factors(dense, totals, genome)
-    return Store(genome, numbered, matrix.whole_genome(kept, genome), sums, dense, factors, counters, depth_base, scaling_factor, resolutions=tuple(sorted(set(resolutions))))
+    apart = keep(expected.between(cell_rows, genome))
+    return Store(genome, numbered, matrix.whole_genome(kept, genome), sums, dense, factors, counters, depth_base, scaling_factor, resolutions=tuple(sorted(set(resolutions))), between=apart)
 
 
 def normalise(store: Store, names: tuple[str, ...] = norms.NORMS, tol: float = 1e-4, max_iter: int = 2000, min_scale_res: int = 0) -> Store:
@@ -61,20 +63,20 @@ def normalise(store: Store, names: tuple[str, ...] = norms.NORMS, tol: float = 1
     sizes = list(store.resolutions) or sorted(r.bin_size for r in store.cells.select("bin_size").distinct().collect())
     bins = norms.bins_of(store.genome, sizes)
     made = keep(norms.vectors(store.cells, store.genome, names, bins, **options))
-    own = norms.intra(store.cells)
     keys = ("norm", "bin_size")
     few = F.broadcast if bins * len(names) <= norms.BROADCAST_BINS else (lambda df: df)
-    one = few(made.select("norm", "chr", "bin_size", F.col("bin").alias("bin1"), F.col("value").alias("n1")))
-    two = few(made.select("norm", "chr", "bin_size", F.col("bin").alias("bin2"), F.col("value").alias("n2")))
-    met = own.join(one, ["chr", "bin_size", "bin1"]).join(two, ["norm", "chr", "bin_size", "bin2"])
-    met = met.where(norms.usable(F.col("n1")) & norms.usable(F.col("n2"))).select("norm", "bin_size", F.col("chr").alias("chr1"), F.col("chr").alias("chr2"), "bin1", "bin2", (F.col("count") / (F.col("n1") * F.col("n2"))).alias("value"))
+    one, two = (few(made.select("norm", "bin_size", F.col("chr").alias(f"chr{e}"), F.col("bin").alias(f"bin{e}"), F.col("value").alias(f"n{e}"))) for e in "12")
+    met = store.cells.where("count > 0").join(one, ["bin_size", "chr1", "bin1"]).join(two, ["norm", "bin_size", "chr2", "bin2"])
+    met = met.where(norms.usable(F.col("n1")) & norms.usable(F.col("n2"))).select(*keys, "chr1", "chr2", "bin1", "bin2", (F.col("count") / (F.col("n1") * F.col("n2"))).alias("value"))
     by_chr = keep(expected.distances(met, F.col("value"), keys))
+    apart = keep(expected.between(met, store.genome, F.col("value"), keys))
     totals = expected.chromosome_totals(by_chr, keys)
     dense = keep(expected.density(expected.histogram(by_chr, store.genome, keys), expected.possible_distances(totals, store.genome, keys), store.genome, keys))
     factors = expected.scale_factors(dense, totals, store.genome, keys)
     raw = lambda df: df.withColumn("norm", F.lit("NONE")) if "norm" not in df.columns else df.where("norm = 'NONE'")
     told = norms.status(store.cells, made, store.genome, sizes, names, min_scale_res)
-    return replace(store, vectors=made, status=told, density=raw(store.density).unionByName(dense), factors=raw(store.factors).unionByName(factors))
+    apart = apart if store.between is None else raw(store.between).unionByName(apart)
+    return replace(store, vectors=made, status=told, density=raw(store.density).unionByName(dense), factors=raw(store.factors).unionByName(factors), between=apart)
 
 
 def query(store: Store, region1: str, region2: str, bin_size: int, norm: str = "NONE", observed: bool = True) -> DataFrame:
@@ -84,11 +86,40 @@ def query(store: Store, region1: str, region2: str, bin_size: int, norm: str = "
     a, b = (region.parse_region(r, store.genome) for r in (region1, region2))
     model = {}
     if not observed:
-        pick = lambda df: df.where(F.col("norm") == norm) if "norm" in df.columns else df
-        model = {"density": pick(store.density), "factors": pick(store.factors)}
+        pick = lambda df: df.where(F.col("norm") == norm) if df is not None and "norm" in df.columns else df
+        model = {name: pick(getattr(store, name)) for name in ("density", "factors", "between")}
     return region.query(store.cells, a, b, bin_size, store.vectors, norm, **model)
 
 
+def query_many(store: Store, cases: list[region.RegionCase] | DataFrame) -> DataFrame:
+    """case, x, y, value of many region queries, in one pass over the cells. A frame of cases has the columns that ``region.query_many`` takes."""
+    table = cases if isinstance(cases, DataFrame) else region.cases_table(store.cells.sparkSession, cases, store.genome)
+    return region.query_many(store.cells, table, store.vectors, store.density, store.factors, store.between)
+
+
+def compare_stores(left: Store, right: Store, cases: list[region.RegionCase] | DataFrame) -> DataFrame:
+    """A row for each case: rows of either store's result, whether they agree, and metrics of the values that both have. Cases of which neither has a row agree."""
+    table = cases if isinstance(cases, DataFrame) else region.cases_table(left.cells.sparkSession, cases, left.genome)
+    return _told(table, compare.compare_results(query_many(left, table), query_many(right, table), ["case"]))
+
+
+def _told(cases: DataFrame, met: DataFrame) -> DataFrame:
+    none = {"rows_left": 0, "rows_right": 0, "coordinates_equal": True, "exact_values_equal": True, "common_positive_finite": 0}
+    return cases.select("case").join(met, "case", "left").withColumns({name: F.coalesce(name, F.lit(x)) for name, x in none.items()})
+
+
+def run_cases(left: Store, right: Store, cases: list[region.RegionCase], folder: str) -> DataFrame:
+    """Answers all cases on both stores, keeps the results below ``folder`` as sorted dumps by case (``left``, ``right``), and their comparison as lines of JSON (``report``), which it returns."""
+    spark = left.cells.sparkSession
+    table = region.cases_table(spark, cases, left.genome)
+    for name, store in (("left", left), ("right", right)):
+        region.write_dumps(query_many(store, table), f"{folder}/{name}")
+    read = lambda name: region.read_dumps(spark, f"{folder}/{name}")
+    met = _told(table, compare.compare_results(read("left"), read("right"), ["case"]))
+    met.write.json(f"{folder}/report")
+    return spark.read.schema(met.schema).json(f"{folder}/report")
+
+
 def _expected(store: Store, raw: bool) -> list[container.Expected]:
     with_norm = "norm" in store.density.columns
     if not raw and not with_norm:
@@ -107,7 +138,7 @@ def export(store: Store, path: str) -> None:
     container.write(store.cells.sparkSession, path, store.genome, store.cells, store.whole_genome, _expected(store, True), _expected(store, False), store.vectors, store.depth_base, store.scaling_factor)
 
 
-_PARTS = ("whole_genome", "zooms", "density", "factors", "counters", "vectors", "status")
+_PARTS = ("whole_genome", "zooms", "density", "factors", "counters", "vectors", "status", "between")
 
 
 def save(store: Store, folder: str) -> None:
@@ -127,7 +158,7 @@ def load(spark: SparkSession, folder: str, genome: Genome) -> Store:
         try:
             parts[name] = spark.read.parquet(f"{folder}/{name}")
         except Exception as error:
-            if name not in ("vectors", "status") or "PATH_NOT_FOUND" not in str(error):
+            if name not in ("vectors", "status", "between") or "PATH_NOT_FOUND" not in str(error):
                 raise
             parts[name] = None
     return Store(genome, spark.read.parquet(f"{folder}/cells"), **parts)

@@ -379,6 +379,45 @@ def region_oe(spark, sf_dir):
     return out.select("x", "y", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
+def region_oe_between(spark, sf_dir):
+    """A region between two chromosomes over what their mean makes expected."""
+    cells_ = keep(_cells(spark, sf_dir))
+    dense, factors, _ = _model(spark, sf_dir, cells_)
+    out = region.query(cells_, *BETWEEN, MB, density=dense, factors=factors, between=expected.between(cells_, GENOME))
+    return out.select("x", "y", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+def _cases(t: DataFrame, key: str, other: str, wide: int) -> DataFrame:
+    """Region pairs made of two keys of a table."""
+    k, o = F.col(key), F.col(other)
+    starts = {"1": (k * 7919) % (SIZE - 10 * MB), "2": (o * 104729) % (SIZE - 10 * MB)}
+    ends = [x for e, start in starts.items() for x in (start.alias(f"start{e}"), (start + wide + (o % 4) * MB).alias(f"end{e}"))]
+    return t.select(k.cast("string").alias("case"), F.lit(MB).alias("bin_size"), (o % 5 + 1).cast("int").alias("chr1"), (k % 5 + 1).cast("int").alias("chr2"), *ends, F.when(k % 2 == 0, "VC").otherwise("NONE").alias("norm"), ((k % 2 == 0) | (k % 3 != 0)).alias("observed"))
+
+
+def regions_many(spark, sf_dir):
+    """A region pair of each order: observed, normalised or over expected, all in one pass over the cells."""
+    cells_ = keep(_cells(spark, sf_dir))
+    dense, factors, _ = _model(spark, sf_dir, cells_)
+    own = norms.intra(cells_)
+    vectors = norms.densify(norms.coverage(own), own, GENOME).withColumn("norm", F.lit("VC"))
+    cases = _cases(_table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", 2 * MB)
+    out = region.query_many(cells_, cases, vectors, keep(dense), factors, expected.between(cells_, GENOME))
+    value = F.col("value").cast("double")
+    return out.select(F.col("case").cast("bigint").alias("case_id"), "x", "y", F.when(F.col("case").cast("bigint") % 2 == 0, F.round(value, 12)).otherwise(F.round(value, 4)).alias("value"))
+
+
+def regions_compare(spark, sf_dir):
+    """A region pair of each supplier, answered from two stores that differ in their least MAPQ, and how the results compare."""
+    strict = matrix.cells(contacts.contacts(raw_pairs(spark, sf_dir), GENOME, mapq=20), MB)
+    suppliers = _table(spark, sf_dir, "supplier").withColumn("other", F.call_function("div", "s_suppkey", F.lit(3)))
+    cases = keep(_cases(suppliers, "s_suppkey", "other", 4 * MB).withColumns({"norm": F.lit("NONE"), "observed": F.lit(True)}))
+    left, right = (region.query_many(df, cases) for df in (_cells(spark, sf_dir), strict))
+    told = compare.compare_results(left, right, ["case"])
+    numbers = [F.round(F.nanvl(F.coalesce(c, F.lit(-2.0)), F.lit(-2.0)), 9).alias(c) for c in ("pearson", "median_ratio", "median_relative_error", "max_relative_error")]
+    return told.select(F.col("case").cast("bigint").alias("case_id"), "rows_left", "rows_right", "coordinates_equal", "exact_values_equal", F.coalesce("common_positive_finite", F.lit(0)).alias("common_positive_finite"), *numbers)
+
+
 def dump_lines(spark, sf_dir):
     """Lines of a dump: normalised values of a region in twelve significant digits."""
     met = region_vc(spark, sf_dir)
@@ -480,6 +519,15 @@ c AS (SELECT least(chr1, chr2) AS chr1, greatest(chr1, chr2) AS chr2, CASE WHEN
   CASE WHEN (chr1, pos1) <= (chr2, pos2) THEN pos2 ELSE pos1 END AS pos2, s FROM raw)"""
 
 
+def _cases_sql(table: str, key: str, other: str, wide: int) -> str:
+    """Region pairs in bins, chromosomes in order."""
+    return f"""asked AS (SELECT {key} AS k, {other} AS o FROM {table}),
+e AS (SELECT k, (o % 5 + 1)::INT AS ca, (k % 5 + 1)::INT AS cb, (k * 7919) % {SIZE - 10 * MB} AS sa, (o * 104729) % {SIZE - 10 * MB} AS sb, {wide} + (o % 4) * {MB} AS w FROM asked),
+cases AS (SELECT k, least(ca, cb) AS q1, greatest(ca, cb) AS q2, CASE WHEN ca <= cb THEN sa ELSE sb END // {MB} AS f1, CASE WHEN ca <= cb THEN sb ELSE sa END // {MB} AS f2,
+  (CASE WHEN ca <= cb THEN sa ELSE sb END + w) // {MB} AS l1, (CASE WHEN ca <= cb THEN sb ELSE sa END + w) // {MB} AS l2 FROM e)"""
+
+
+_HIT = "chr1 = q1 AND chr2 = q2 AND ((bin1 BETWEEN f1 AND l1 AND bin2 BETWEEN f2 AND l2) OR (chr1 = chr2 AND bin1 BETWEEN f2 AND l2 AND bin2 BETWEEN f1 AND l1))"
 def _blocks_sql(size: int, intra: bool) -> str:
     columns, side = block_shape_of(SIZE, size, intra)
     if intra:
@@ -533,6 +581,23 @@ dense AS (SELECT CAST(i - 1 AS INT) AS dist, CAST(CAST(density AS FLOAT) AS DOUB
 factors AS (SELECT t.chr, CAST(sum(({SIZE // MB} - dist) * density) / any_value(t.n) AS FLOAT)::DOUBLE AS factor FROM (SELECT chr1 AS chr, sum(n) AS n FROM cells WHERE chr1 = chr2 GROUP BY 1) t, dense GROUP BY t.chr)"""
 
 
+_MANY = _DENSITY + f""",
+ways AS (SELECT chr1 AS chr, bin1 AS bin, n FROM cells WHERE chr1 = chr2 UNION ALL SELECT chr1, bin2, n FROM cells WHERE chr1 = chr2 AND bin1 <> bin2),
+cov AS (SELECT chr, bin, sum(n)::DOUBLE AS v FROM ways GROUP BY ALL),
+apart AS (SELECT chr1 AS c1, chr2 AS c2, sum(n)::DOUBLE / {SIZE // MB} / {SIZE // MB} AS mean FROM cells WHERE chr1 <> chr2 GROUP BY ALL),
+{_cases_sql("orders", "o_orderkey", "o_custkey", 2 * MB)},
+met AS (SELECT k, chr1, chr2, bin1, bin2, n FROM cases JOIN cells ON {_HIT}),
+valued AS (
+  SELECT k, bin1, bin2, n / (a.v * b.v) AS value FROM met JOIN cov a ON a.chr = chr1 AND a.bin = bin1 JOIN cov b ON b.chr = chr2 AND b.bin = bin2 WHERE k % 2 = 0
+  UNION ALL SELECT k, bin1, bin2, n::DOUBLE FROM met WHERE k % 2 = 1 AND k % 3 <> 0
+  UNION ALL SELECT k, bin1, bin2, n / (density / factor) FROM met JOIN dense ON dist = abs(bin1 - bin2) JOIN factors ON chr = chr1 WHERE k % 2 = 1 AND k % 3 = 0 AND chr1 = chr2 AND density > 0
+  UNION ALL SELECT k, bin1, bin2, n / mean FROM met JOIN apart ON c1 = chr1 AND c2 = chr2 WHERE k % 2 = 1 AND k % 3 = 0)"""
+_COMPARED = _PAIRS + f""",
+{_cases_sql("supplier", "s_suppkey", "(s_suppkey // 3)", 4 * MB)},
+binned AS (SELECT chr1, chr2, pos1 // {MB} AS bin1, pos2 // {MB} AS bin2, count(*)::DOUBLE AS a, nullif(count(*) FILTER (mapq1 >= 20), 0)::DOUBLE AS b FROM c GROUP BY ALL),
+g AS (SELECT k, a, b FROM cases JOIN binned ON {_HIT})"""
+
+
 def oracle_sql() -> dict[str, str]:
     canonical = "SELECT chr1, pos1, chr2, pos2 FROM c"
     columns, side = block_shape_of(SIZE, MB, True)
@@ -581,6 +646,9 @@ def oracle_sql() -> dict[str, str]:
         "expected_density": f"WITH RECURSIVE {_DENSITY} SELECT dist, density FROM dense",
         "chr_scale_factors": f"WITH RECURSIVE {_DENSITY} SELECT chr, round(factor, 5) AS factor FROM factors",
         "region_oe": f"WITH RECURSIVE {_DENSITY} SELECT bin1 * {MB} AS x, bin2 * {MB} AS y, round(CAST(n / (density / factor) AS FLOAT)::DOUBLE, 4) AS value FROM cells JOIN dense ON dist = abs(bin1 - bin2) JOIN factors ON chr = chr1 WHERE {_REGION} AND density > 0",
+        "region_oe_between": f"WITH {_CELLS} SELECT bin1 * {MB} AS x, bin2 * {MB} AS y, round(CAST(n / ((SELECT sum(n)::DOUBLE FROM cells WHERE chr1 = 2 AND chr2 = 4) / {SIZE // MB} / {SIZE // MB}) AS FLOAT)::DOUBLE, 4) AS value FROM cells WHERE chr1 = 2 AND chr2 = 4 AND bin1 BETWEEN 10 AND 30 AND bin2 BETWEEN 0 AND 20",
+        "regions_many": f"WITH RECURSIVE {_MANY} SELECT k AS case_id, bin1 * {MB} AS x, bin2 * {MB} AS y, CASE WHEN k % 2 = 0 THEN round(CAST(value AS FLOAT)::DOUBLE, 12) ELSE round(CAST(value AS FLOAT)::DOUBLE, 4) END AS value FROM valued",
+        "regions_compare": f"WITH {_COMPARED} SELECT k AS case_id, count(a)::BIGINT AS rows_left, count(b)::BIGINT AS rows_right, bool_and(b IS NOT NULL) AS coordinates_equal, bool_and(coalesce(a = b, false)) AS exact_values_equal, count(b)::BIGINT AS common_positive_finite, CASE WHEN count(b) < 2 THEN -2 WHEN min(a) FILTER (b > 0) = max(a) FILTER (b > 0) OR min(b) = max(b) THEN CASE WHEN bool_and(a = b) FILTER (b > 0) THEN 1 ELSE -2 END ELSE round(corr(a, b), 9) END::DOUBLE AS pearson, coalesce(round(median(b / a), 9), -2) AS median_ratio, coalesce(round(median((a - b) / a) FILTER (b > 0), 9), -2) AS median_relative_error, coalesce(round(max((a - b) / a), 9), -2) AS max_relative_error FROM g GROUP BY k",
         "dump_lines": f"WITH {_INTRA} SELECT bin1 * {MB} AS x, bin2 * {MB} AS y, printf('%.12g', round(value, 9) * 1000) AS value FROM ({normed}) WHERE {_REGION.replace('chr1 = 1 AND chr2 = 1', 'chr = 1')}",
         "v9_roundtrip": f"WITH {_PAIRS} " + " UNION ALL ".join(f"SELECT CAST({r} AS INT) AS bin_size, chr1, chr2, pos1 // {r} AS bin1, pos2 // {r} AS bin2, count(*)::BIGINT AS count FROM c GROUP BY ALL" for r in (500_000, 1_000_000)),
         "scale_row_sum_error": f"SELECT DISTINCT CAST(user_id % 5 + 1 AS INT) AS chr, true AS even FROM events WHERE user_id % 5 = event_id % 5 AND value > 0",
@@ -607,5 +675,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         expected_density, chr_scale_factors, vc, vc_scaled, vc_sqrt, norm_cells_vc, norm_distance_hist_vc, row_nonzeros, coverage_stats, scale_vector, scale_failures, scale_row_sum_error,
         contiguity_violations, region_observed, region_between, region_vc, region_oe, compare_metrics, key_set_diff, duplicate_keys, first_appearance, streaming_cells, v9_roundtrip,
     )
-    own += (norm_status, dump_lines, extra_short_lines, pairs_lines, bn_records, bin_records)
+    own += (region_oe_between, regions_many, regions_compare, norm_status, dump_lines, extra_short_lines, pairs_lines, bn_records, bin_records)
     return {f.__name__: f for f in own} | {name: _mnd_layout(*parts) for name, parts in MND_LAYOUTS.items()}

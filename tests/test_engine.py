@@ -476,11 +476,12 @@ def test_region_cases_are_reproducible():
     g = genomes.built_in("hg19")
     cases = region.random_cases(g, list(matrix.RESOLUTIONS))
     assert len(cases) == 160 and cases == region.random_cases(g, list(matrix.RESOLUTIONS))
-    assert len({c.name for c in cases}) == 20 and {c.norm for c in cases} == {"NONE", "VC", "VC_SQRT", "SCALE"}
+    assert len({c.name for c in cases}) == 160 and {c.norm for c in cases} == {"NONE", "VC", "VC_SQRT", "SCALE"}
     for c in cases:
         (c1, s1, e1), (c2, s2, e2) = (region.parse_region(r, g) for r in (c.region1, c.region2))
         assert s1 % c.resolution == s2 % c.resolution == 0 and s1 < e1 <= g.lengths()[c1] and s2 < e2 <= g.lengths()[c2]
-        assert (c1 == c2) == c.name.endswith("intra")
+        assert (c1 == c2) == c.name.startswith("within")
+    assert len(region.random_cases(g, [1000], ("NONE",), pairs=3)) == 12
 
 
 def test_catalog_is_consistent():
