@@ -57,28 +57,54 @@ def build(pairs: DataFrame, genome: Genome, resolutions: list[int] | tuple[int,
     return Store(genome, numbered, matrix.whole_genome(kept, genome), sums, dense, factors, counters, depth_base, scaling_factor, resolutions=tuple(sorted(set(resolutions))), between=apart)
 
 
-def normalise(store: Store, names: tuple[str, ...] = norms.NORMS, tol: float = 1e-4, max_iter: int = 2000, min_scale_res: int = 0) -> Store:
-    """The store with normalisation vectors, with expected values of every norm besides the raw ones, and with ``status``, which names the matrices that got no vector."""
-    options = {"tol": tol, "max_iter": max_iter, "min_res": min_scale_res} if "SCALE" in names else {}
-    sizes = list(store.resolutions) or sorted(r.bin_size for r in store.cells.select("bin_size").distinct().collect())
-    bins = norms.bins_of(store.genome, sizes)
-    made = keep(norms.vectors(store.cells, store.genome, names, bins, **options))
+def _normed_model(cells: DataFrame, made: DataFrame, genome: Genome, bins: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Density and factors of cells within chromosomes, and expected values between them, of each norm that ``made`` has vectors of; ``bins`` bounds their rows."""
     keys = ("norm", "bin_size")
-    few = F.broadcast if bins * len(names) <= norms.BROADCAST_BINS else (lambda df: df)
+    few = F.broadcast if bins <= norms.BROADCAST_BINS else (lambda df: df)
     one, two = (few(made.select("norm", "bin_size", F.col("chr").alias(f"chr{e}"), F.col("bin").alias(f"bin{e}"), F.col("value").alias(f"n{e}"))) for e in "12")
-    met = store.cells.where("count > 0").join(one, ["bin_size", "chr1", "bin1"]).join(two, ["norm", "bin_size", "chr2", "bin2"])
+    met = cells.where("count > 0").join(one, ["bin_size", "chr1", "bin1"]).join(two, ["norm", "bin_size", "chr2", "bin2"])
     met = met.where(norms.usable(F.col("n1")) & norms.usable(F.col("n2"))).select(*keys, "chr1", "chr2", "bin1", "bin2", (F.col("count") / (F.col("n1") * F.col("n2"))).alias("value"))
     by_chr = keep(expected.distances(met, F.col("value"), keys))
-    apart = keep(expected.between(met, store.genome, F.col("value"), keys))
     totals = expected.chromosome_totals(by_chr, keys)
-    dense = keep(expected.density(expected.histogram(by_chr, store.genome, keys), expected.possible_distances(totals, store.genome, keys), store.genome, keys))
-    factors = expected.scale_factors(dense, totals, store.genome, keys)
+    dense = keep(expected.density(expected.histogram(by_chr, genome, keys), expected.possible_distances(totals, genome, keys), genome, keys))
+    return dense, expected.scale_factors(dense, totals, genome, keys), keep(expected.between(met, genome, F.col("value"), keys))
+
+
+def normalise(store: Store, names: tuple[str, ...] = norms.NORMS, tol: float = 1e-4, max_iter: int = 2000, min_scale_res: int = 0, diagonal_width: int = -1) -> Store:
+    """The store with normalisation vectors, with expected values of every norm besides the raw ones, and with ``status``, which names the matrices that got no vector. ``diagonal_width`` above 0 masks, for SCALE, rows with few contacts within so many bins of the diagonal."""
+    options = {"tol": tol, "max_iter": max_iter, "min_res": min_scale_res, "diagonal_width": diagonal_width} if "SCALE" in names else {}
+    sizes = list(store.resolutions) or sorted(r.bin_size for r in store.cells.select("bin_size").distinct().collect())
+    bins = norms.bins_of(store.genome, sizes)
+    made = keep(norms.vectors(store.cells, store.genome, names, bins, **options))
+    dense, factors, apart = _normed_model(store.cells, made, store.genome, bins * len(names))
     raw = lambda df: df.withColumn("norm", F.lit("NONE")) if "norm" not in df.columns else df.where("norm = 'NONE'")
     told = norms.status(store.cells, made, store.genome, sizes, names, min_scale_res)
     apart = apart if store.between is None else raw(store.between).unionByName(apart)
     return replace(store, vectors=made, status=told, density=raw(store.density).unionByName(dense), factors=raw(store.factors).unionByName(factors), between=apart)
 
 
+def normalise_container(spark: SparkSession, path: str, names: tuple[str, ...] = norms.NORMS, tol: float = 1e-4, max_iter: int = 2000, min_scale_res: int = 0, diagonal_width: int = -1) -> DataFrame:
+    """Gives a container file new normalisation vectors, and expected values of each norm, of its matrices within chromosomes; returns ``status`` as ``normalise`` does.
+
+    A matrix of which a block or the index can't be read gets none and is told as
+    ``unreadable``; the others are done.
+    """
+    header = container.read_header(path)
+    genome, sizes = header.genome, header.resolutions
+    cells, problems = container.read_checked(spark, path, "chr1 = chr2")
+    lost = keep(problems.select(F.col("chr1").alias("lost_chr"), F.col("bin_size").alias("lost_size")).distinct())
+    is_lost = lambda chr_: (F.col(chr_) == F.col("lost_chr")) & (F.col("lost_size").isNull() | (F.col("bin_size") == F.col("lost_size")))
+    good = cells.join(F.broadcast(lost), is_lost("chr1"), "left_anti")  # a row for each matrix at most
+    bins = norms.bins_of(genome, sizes)
+    options = {"tol": tol, "max_iter": max_iter, "min_res": min_scale_res, "diagonal_width": diagonal_width} if "SCALE" in names else {}
+    made = keep(norms.vectors(good, genome, names, bins, **options))
+    dense, factors, _ = _normed_model(good, made, genome, bins * len(names))
+    container.replace_vectors(spark, path, made, _expected(dense, factors))
+    told = norms.status(good, made, genome, sizes, names, min_scale_res)
+    marked = told.join(F.broadcast(lost.withColumn("lost", F.lit(True))), is_lost("chr"), "left").groupBy(*told.columns).agg(F.max("lost").alias("lost"))
+    return keep(marked.select("norm", "chr", "bin_size", F.when(F.col("lost"), "unreadable").otherwise(F.col("status")).alias("status")))
+
+
 def query(store: Store, region1: str, region2: str, bin_size: int, norm: str = "NONE", observed: bool = True) -> DataFrame:
     """x, y, value of two regions (``chr`` or ``chr:start:end``)."""
     if norm != "NONE" and store.vectors is None:
@@ -120,14 +146,11 @@ def run_cases(left: Store, right: Store, cases: list[region.RegionCase], folder:
     return spark.read.schema(met.schema).json(f"{folder}/report")
 
 
-def _expected(store: Store, raw: bool) -> list[container.Expected]:
-    with_norm = "norm" in store.density.columns
-    if not raw and not with_norm:
-        return []
-    pick = lambda df: (df if with_norm else df.withColumn("norm", F.lit("NONE"))).where(F.col("norm") == "NONE" if raw else F.col("norm") != "NONE")
-    values = pick(store.density).groupBy("norm", "bin_size").agg(F.sort_array(F.collect_list(F.struct("dist", "density"))).alias("v"))
-    scale = {}
-    for r in pick(store.factors).collect():
+def _expected(density: DataFrame, factors: DataFrame) -> list[container.Expected]:
+    """Expected vectors (density: norm, bin_size, dist, density), with their factors by chromosome: one number for each bin of the longest chromosome."""
+    values = density.groupBy("norm", "bin_size").agg(F.sort_array(F.collect_list(F.struct("dist", "density"))).alias("v"))
+    scale: dict[tuple[str, int], dict[int, float]] = {}
+    for r in factors.collect():
         scale.setdefault((r.norm, r.bin_size), {})[r.chr] = float(r.factor)
     rows = values.select("norm", "bin_size", F.transform("v", lambda x: x["density"]).alias("v")).orderBy("norm", "bin_size").collect()
     return [container.Expected(r.norm, r.bin_size, np.array(r.v, dtype=np.float32), scale.get((r.norm, r.bin_size), {})) for r in rows]
@@ -135,7 +158,9 @@ def _expected(store: Store, raw: bool) -> list[container.Expected]:
 
 def export(store: Store, path: str) -> None:
     """The store as a V9 container."""
-    container.write(store.cells.sparkSession, path, store.genome, store.cells, store.whole_genome, _expected(store, True), _expected(store, False), store.vectors, store.depth_base, store.scaling_factor)
+    named = [df if "norm" in df.columns else df.withColumn("norm", F.lit("NONE")) for df in (store.density, store.factors)]
+    raw, normed = (_expected(*[df.where(which) for df in named]) for which in ("norm = 'NONE'", "norm <> 'NONE'"))
+    container.write(store.cells.sparkSession, path, store.genome, store.cells, store.whole_genome, raw, normed, store.vectors, store.depth_base, store.scaling_factor)
 
 
 _PARTS = ("whole_genome", "zooms", "density", "factors", "counters", "vectors", "status", "between")
