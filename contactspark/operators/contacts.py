@@ -29,7 +29,7 @@ def canonical(pairs: DataFrame) -> DataFrame:
     """chr1, pos1, chr2, pos2, score with the end that comes first (by chromosome, then position) in front."""
     turned = (F.col("chr1") > F.col("chr2")) | ((F.col("chr1") == F.col("chr2")) & (F.col("pos1") > F.col("pos2")))
     ends = [(F.col(f"{x}{e}"), F.col(f"{x}{3 - e}"), f"{x}{e}") for e in (1, 2) for x in ("chr", "pos")]
-    return pairs.select(*[F.when(turned, other).otherwise(own).alias(name) for own, other, name in ends], "score")
+    return pairs.select(*[F.when(turned, other).otherwise(own).alias(name) for own, other, name in ends], *[c for c in ("score", "ordinal") if c in pairs.columns])
 
 
 def clamp(pairs: DataFrame, genome: Genome) -> DataFrame:
@@ -51,27 +51,39 @@ def counters(pairs: DataFrame, **filters) -> DataFrame:
     return pairs.agg(F.count("*").alias("total"), F.count_if(skipped(**filters)).alias("skipped"))
 
 
-def scattered_groups(ordered: DataFrame, order: list[str]) -> DataFrame:
+def scattered_groups(ordered: DataFrame, order: list[str] | None = None) -> DataFrame:
     """chr1, chr2, n_runs of the chromosome pairs that don't stand together in the input's order.
 
-    Runs are counted where a row's pair differs from the row before; the order is
-    global, so this optional check ranges over the rows in sorted parts: a part's
-    first row is compared with the last of the part before.
+    Without ``order`` that is the order of the files' lines, by the column ``ordinal`` of
+    ``read_pairs``: its ranges are the parts, and nothing is sorted across them. With
+    ``order``, rows are sorted in ranges first. Runs are counted where a row's pair
+    differs from the row before; a part's first row is compared with the last of the
+    part before.
     """
-    parts = ordered.repartitionByRange(*order).sortWithinPartitions(*order).select("chr1", "chr2", *order, F.spark_partition_id().alias("part"))
-    inside = Window.partitionBy("part").orderBy(*order)
+    if order is None:
+        parts = ordered.select("chr1", "chr2", F.struct("ordinal.file", "ordinal.start").alias("part"), F.col("ordinal.place").alias("place"))
+        inside = Window.partitionBy("part").orderBy("place")
+    else:
+        parts = ordered.repartitionByRange(*order).sortWithinPartitions(*order).select("chr1", "chr2", *order, F.spark_partition_id().alias("part"))
+        inside = Window.partitionBy("part").orderBy(*order)
     key = F.struct("chr1", "chr2")
-    marked = parts.select("part", "chr1", "chr2", (F.lag(key).over(inside) != key).alias("turn"), F.row_number().over(inside).alias("n"), F.lead(key).over(inside).isNull().alias("last"))
+    marked = parts.select("part", "chr1", "chr2", (F.lag(key).over(inside) != key).alias("turn"), F.row_number().over(inside).alias("n"))
     inner = marked.where("turn").groupBy("chr1", "chr2").agg(F.count("*").alias("runs"))
-    edge = marked.groupBy("part").agg(F.min_by(key, "n").alias("head"), F.max_by(key, "n").alias("tail"))
+    edge = marked.groupBy("part").agg(F.min_by(key, "n").alias("head"), F.max_by(key, "n").alias("tail"))  # a row for each part
     before = F.lag("tail").over(Window.orderBy("part"))
     starts = edge.select("head", (before.isNull() | (before != F.col("head"))).alias("new")).where("new").select("head.*").groupBy("chr1", "chr2").agg(F.count("*").alias("runs"))
     runs = inner.unionByName(starts).groupBy("chr1", "chr2").agg(F.sum("runs").alias("n_runs"))
     return runs.where("n_runs > 1")
 
 
-def require_contiguous(ordered: DataFrame, order: list[str]) -> None:
+def require_contiguous(ordered: DataFrame, order: list[str] | None = None) -> None:
     """Raises where a chromosome pair appears in several blocks of the input."""
     bad = scattered_groups(ordered, order).orderBy("chr1", "chr2").limit(1).collect()
     if bad:
         raise ValueError(f"chromosome pair {bad[0].chr1}-{bad[0].chr2} appears in multiple blocks")
+
+
+def first_appearance(ordered: DataFrame) -> DataFrame:
+    """chr1, chr2 and ``place``, from 1, in the order in which chromosome pairs first appear in the input (by the column ``ordinal`` of ``read_pairs``)."""
+    first = ordered.groupBy("chr1", "chr2").agg(F.min("ordinal").alias("at"))  # a row for each pair of chromosomes
+    return first.select("chr1", "chr2", F.row_number().over(Window.orderBy("at")).alias("place"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactspark.functions.blocks import div
@@ -165,8 +165,17 @@ def row_nonzeros(own: DataFrame) -> DataFrame:
 
 
 def coverage_stats(own: DataFrame) -> DataFrame:
-    """chr, bin_size with rows that hold cells (n_rows), their mean and population deviation, the count a fifth of the way up, and the fewest cells a row should hold by mean and deviation."""
-    rows = row_nonzeros(own)
-    fifth = F.element_at(F.sort_array(F.collect_list("n")), (F.count("*") * scale.PERCENTILE).cast("int") + 1)
-    s = rows.groupBy("chr", "bin_size").agg(F.count("*").alias("n_rows"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation"), fifth.alias("fifth"))
+    """chr, bin_size with rows that hold cells (n_rows), their mean and population deviation, the count a fifth of the way up, and the fewest cells a row should hold by mean and deviation.
+
+    All from a histogram: of a matrix's rows by how many cells they hold, cumulated, so
+    that no task holds more than the different counts.
+    """
+    keys = ["chr", "bin_size"]
+    held = row_nonzeros(own).groupBy(*keys, "n").agg(F.count("*").alias("k"))
+    upto, every = Window.partitionBy(*keys).orderBy("n"), Window.partitionBy(*keys)
+    held = held.withColumns({"upto": F.sum("k").over(upto), "n_rows": F.sum("k").over(every)})
+    place = F.floor(F.col("n_rows") * scale.PERCENTILE)
+    s = held.groupBy(*keys).agg(F.first("n_rows").alias("n_rows"), F.sum(F.col("n") * F.col("k")).alias("s1"), F.sum(F.col("n").cast("double") * F.col("n") * F.col("k")).alias("s2"), F.min(F.when(F.col("upto") > place, F.col("n"))).alias("fifth"))
+    mean = F.col("s1") / F.col("n_rows")
+    s = s.select(*keys, "n_rows", mean.alias("mean"), F.sqrt(F.greatest(F.col("s2") / F.col("n_rows") - mean * mean, F.lit(0.0))).alias("deviation"), "fifth")
     return s.withColumn("bound", F.greatest(F.lit(1), F.ceil(F.col("mean") - F.col("deviation"))).cast("int"))

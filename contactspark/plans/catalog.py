@@ -7,19 +7,19 @@ from ``events``. What iterates, smooths or writes files has no SQL.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contactspark.functions.blocks import block_shape_of
+from contactspark.functions.blocks import BLOCK_CAPACITY, INTER_CUTOFF, INTRA_CUTOFF, MOST_COLUMNS, block_shape, block_shape_of
 from contactspark.genome import Genome
 from contactspark.operators import compare, contacts, expected, matrix, norms, region
 from contactspark.operators.scale import ROW_TOLERANCE
-from contactspark.session import fresh_path, keep
-from contactspark.sources import binary, text
+from contactspark.plans import build
+from contactspark.session import fresh_path, keep, ship
+from contactspark.sources import binary, container, matrix_source, ranges, text
 
 SIZE, MAPQ = 50_000_000, 10
 GENOME = Genome(tuple((f"chr{i}", SIZE) for i in range(1, 6)), "five")
@@ -161,21 +161,32 @@ def pairs_lines(spark, sf_dir):
     return _parsed(text._pairs(lines, tuple("readID chr1 pos1 chr2 pos2 strand1 strand2 pair_type mapq2 mapq1 frag2 frag1".split())))
 
 
+#: Hexadecimal records of a format, made of little-endian columns, and how many runs they are dealt into.
+RECORD_LAYOUTS = {
+    "bn": (lambda le: F.concat(le("c1"), le("p1"), le("c2"), le("p2"), F.lit("00002040")), 16),
+    "bin": (lambda le: F.concat(F.lit("01"), le("c1"), le("p1"), F.lit("03000000"), F.lit("00"), le("c2"), le("p2"), F.lit("04000000")), 16),
+}
+
+
 def bn_records(spark, sf_dir):
     """Binary records with scores, made by expressions in runs and decoded."""
-    return _records(spark, sf_dir, "bn", lambda le: F.concat(le("c1"), le("p1"), le("c2"), le("p2"), F.lit("00002040")))
+    return _records(spark, sf_dir, "bn")
 
 
 def bin_records(spark, sf_dir):
     """Binary records with strands and fragments: 1.0 is the score that they get."""
-    return _records(spark, sf_dir, "bin", lambda le: F.concat(F.lit("01"), le("c1"), le("p1"), F.lit("03000000"), F.lit("00"), le("c2"), le("p2"), F.lit("04000000")))
+    return _records(spark, sf_dir, "bin")
 
 
-def _records(spark, sf_dir, fmt, hexed):
-    t = _table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 5 + 1).alias("c1"), (F.col("l_orderkey") % 1000 - 5).alias("p1"), (F.col("l_suppkey") % 5 + 1).alias("c2"), (F.col("l_partkey") % 100_000).alias("p2"), (F.col("l_orderkey") % 512).alias("run"))
+def _record_runs(spark, sf_dir, hexed, n_runs: int) -> DataFrame:
+    t = _table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 5 + 1).alias("c1"), (F.col("l_orderkey") % 1000 - 5).alias("p1"), (F.col("l_suppkey") % 5 + 1).alias("c2"), (F.col("l_partkey") % 100_000).alias("p2"), (F.col("l_orderkey") % n_runs).alias("run"))
     digits = lambda c: F.lpad(F.hex(F.pmod(F.col(c), F.lit(1 << 32))), 8, "0")
     little = lambda c: F.concat(*[F.substring(digits(c), k, 2) for k in (7, 5, 3, 1)])
-    runs = t.groupBy("run").agg(F.unhex(F.array_join(F.collect_list(hexed(little)), "")).alias("r"))
+    return t.groupBy("run").agg(F.unhex(F.array_join(F.collect_list(hexed(little)), "")).alias("r"))
+
+
+def _records(spark, sf_dir, fmt):
+    runs = _record_runs(spark, sf_dir, RECORD_LAYOUTS[fmt][0], 512)
     return binary.read_runs(runs.select("r"), fmt, len(GENOME.chromosomes)).withColumn("score", F.col("score").cast("double"))
 
 
@@ -224,16 +235,18 @@ def block_inter(spark, sf_dir):
 
 
 def block_params(spark, sf_dir):
-    sizes = spark.createDataFrame([(r,) for r in matrix.RESOLUTIONS], "bin_size int")
-    from contactspark.functions.blocks import block_shape
-
-    out = sizes.crossJoin(spark.createDataFrame([(True,), (False,)], "intra boolean"))
-    columns, side = block_shape(F.lit(SIZE), F.col("bin_size"), F.col("intra"))
-    return out.select("bin_size", "intra", columns.alias("block_columns"), side.alias("block_bins"))
+    """Shapes of blocks for chromosomes as long as orders are dear, at bin sizes that follow their customers."""
+    sizes = F.array(*[F.lit(r) for r in matrix.RESOLUTIONS])
+    t = _table(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") * 500).cast("bigint").alias("length"), F.get(sizes, (F.col("o_custkey") % len(matrix.RESOLUTIONS)).cast("int")).alias("bin_size"), (F.col("o_orderkey") % 2 == 0).alias("intra"))
+    columns, side = block_shape(F.col("length"), F.col("bin_size"), F.col("intra"))
+    return t.select("o_orderkey", "length", "bin_size", "intra", columns.alias("block_columns"), side.alias("block_bins"))
 
 
 def chr_offsets(spark, sf_dir):
-    return GENOME.table(spark).select("index", "length", "offset")
+    """Offsets in a genome whose chromosomes are the nations, as long as their customers' balances."""
+    held = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sum(F.floor(F.abs("c_acctbal"))).cast("bigint").alias("length")).orderBy("c_nationkey").collect()
+    genome = Genome(tuple((f"n{r.c_nationkey}", r.length) for r in held))
+    return genome.table(spark).select("name", "index", "length", "offset")
 
 
 def distance_hist(spark, sf_dir):
@@ -344,10 +357,17 @@ def norm_status(spark, sf_dir):
     return norms.status(cells_, made, more, [MB], ("VC", "VC_SQRT"))
 
 
+def _sorted_file(spark, sf_dir) -> DataFrame:
+    """The contacts as lines of files, in order of their positions, read back with where they stood."""
+    p = _contacts(spark, sf_dir).orderBy("pos1", "pos2", "chr1", "chr2")
+    folder = fresh_path(spark, "sorted")
+    p.select(F.concat_ws(" ", "chr1", "pos1", "chr2", "pos2").alias("value")).write.text(folder)
+    return text.read_pairs(spark, folder, GENOME, "short", ordinal=True)
+
+
 def contiguity_violations(spark, sf_dir):
-    """Chromosome pairs that appear in several runs when the pairs are read in the order of the keys."""
-    p = contacts.canonical(raw_pairs(spark, sf_dir).where(~contacts.skipped(MAPQ)).withColumn("score", F.lit(1)))
-    found = contacts.scattered_groups(p, ["pos1", "pos2", "chr1", "chr2"])
+    """Chromosome pairs that appear in several runs of the lines of files."""
+    found = contacts.scattered_groups(_sorted_file(spark, sf_dir))
     return found.select("chr1", "chr2", F.col("n_runs").cast("bigint").alias("n_runs"))
 
 
@@ -446,10 +466,82 @@ def duplicate_keys(spark, sf_dir):
 
 
 def first_appearance(spark, sf_dir):
-    """Chromosome pairs in the order in which they first appear, reading by the first position."""
-    first = _contacts(spark, sf_dir).groupBy("chr1", "chr2").agg(F.min(F.struct("pos1", "pos2")).alias("at"))
-    order = Window.orderBy("at.pos1", "at.pos2", "chr1", "chr2")
-    return first.select("chr1", "chr2", F.row_number().over(order).alias("place"))
+    """Chromosome pairs in the order in which the lines of files first have them."""
+    return contacts.first_appearance(_sorted_file(spark, sf_dir))
+
+
+# files: lines or records are written to the shared folder and read as a user's files are
+
+
+def _mounted(spark, name: str) -> str:
+    """A new folder below the shared one, as a plain path."""
+    path = ranges.local(fresh_path(spark, name))
+    Path(path).mkdir(parents=True, exist_ok=True)
+    return path
+
+
+def _mnd_file(spark, sf_dir) -> DataFrame:
+    """Lines of eight columns, and among them comments, blank lines and lines with too few fields."""
+    p = _line_parts(spark, sf_dir)
+    good = F.concat_ws("\t", *[F.col(x) if x in p.columns else F.lit(x) for x in _EIGHT])
+    return p.select(F.explode(F.when(F.col("q") == "1", F.array(F.lit("# note"), F.lit(""), good, F.lit("0 chr1 5 0 1 chr2 7"), F.lit("   "))).otherwise(F.array(good))).alias("value"))
+
+
+def file_mnd(spark, sf_dir):
+    """A folder of text whose format its name gives."""
+    folder = fresh_path(spark, "lines") + ".mnd"
+    _mnd_file(spark, sf_dir).write.text(folder)
+    return text.read_pairs(spark, folder, GENOME).withColumn("score", F.col("score").cast("double"))
+
+
+def file_gzip(spark, sf_dir):
+    """The same in block gzip, read in byte ranges that cut blocks and lines."""
+    folder = _mounted(spark, "lines") + ".mnd.gz"
+    Path(folder).mkdir()
+    ranges.write_lines(_mnd_file(spark, sf_dir), folder)
+    return text.read_pairs(spark, folder, GENOME).withColumn("score", F.col("score").cast("double"))
+
+
+def file_short(spark, sf_dir):
+    """A folder of text whose format its first line gives."""
+    folder = fresh_path(spark, "lines")
+    p = _line_parts(spark, sf_dir)
+    p.select(F.concat_ws(" ", "n1", "p1", "n2", "p2", F.lit("2.5")).alias("value")).write.text(folder)
+    return text.read_pairs(spark, folder, GENOME).withColumn("score", F.col("score").cast("double"))
+
+
+def file_pairs(spark, sf_dir):
+    """.pairs files, each with a header of its own."""
+    folder = fresh_path(spark, "lines") + ".pairs"
+    p = _line_parts(spark, sf_dir)
+    line = F.concat_ws("\t", F.lit("r"), "n1", "p1", "n2", "p2", F.lit("-"), F.lit("+"), F.lit("UU"), F.lit("33"), "q", F.lit("6"), F.lit("8"))
+    head = [F.lit("## pairs format v1.0"), F.lit("#columns: readID chr1 pos1 chr2 pos2 strand1 strand2 pair_type mapq2 mapq1 frag2 frag1")]
+    first = F.monotonically_increasing_id() % (1 << 33) == 0  # of a task, which writes a file
+    p.select(line.alias("line"), first.alias("first")).select(F.explode(F.when(F.col("first"), F.array(*head, "line")).otherwise(F.array("line"))).alias("value")).write.text(folder)
+    return text.read_pairs(spark, folder, GENOME).withColumn("score", F.col("score").cast("double"))
+
+
+def _record_file(spark, sf_dir, fmt: str) -> DataFrame:
+    """Runs of records, each a file of the folder, read in byte ranges."""
+    folder = _mounted(spark, fmt)
+    ship(spark)
+
+    def write(batches):
+        for batch in batches:
+            for run, raw in zip(batch.column("run").to_pylist(), batch.column("r"), strict=True):
+                Path(folder, f"{run}.{fmt}").write_bytes(raw.as_py())
+            yield batch.select(["run"])
+
+    _record_runs(spark, sf_dir, *RECORD_LAYOUTS[fmt]).mapInArrow(write, "run bigint").count()
+    return text.read_pairs(spark, f"{folder}/*.{fmt}", GENOME).withColumn("score", F.col("score").cast("double"))
+
+
+def file_bn(spark, sf_dir):
+    return _record_file(spark, sf_dir, "bn")
+
+
+def file_bin(spark, sf_dir):
+    return _record_file(spark, sf_dir, "bin")
 
 
 def streaming_cells(spark, sf_dir):
@@ -460,6 +552,17 @@ def streaming_cells(spark, sf_dir):
     return _long(out, "count").select("chr1", "chr2", "bin1", "bin2", "count")
 
 
+def streaming_batches(spark, sf_dir):
+    """The same from six files that arrive in three batches; the last is taken in again, as after a failure."""
+    from contactspark.streaming import cells as stream
+
+    folder, files = fresh_path(spark, "stream"), fresh_path(spark, "arriving")
+    _table(spark, sf_dir, "lineitem").repartition(6, "l_orderkey").write.parquet(files)
+    stream.run_once(spark, files, "*.parquet", folder, _from_lineitem, MB, files_together=2)
+    stream.add(_table(spark, sf_dir, "lineitem"), 2, folder, _from_lineitem, MB)  # it is in the cells, or replaces what the same batch gave
+    return _long(stream.current(spark, folder), "count").select("chr1", "chr2", "bin1", "bin2", "count")
+
+
 def _from_lineitem(df: DataFrame) -> DataFrame:
     mapq = F.col("l_quantity").cast("int")
     p = df.select(
@@ -472,15 +575,51 @@ def _from_lineitem(df: DataFrame) -> DataFrame:
     return contacts.contacts(p, GENOME, mapq=MAPQ)
 
 
+def _container(spark, sf_dir, **kept) -> str:
+    """A container with cells at two resolutions, and what else is given."""
+    own = matrix.union(matrix.multi_resolution(_contacts(spark, sf_dir), [500_000, 1_000_000]))
+    path = f"{_mounted(spark, 'matrix')}/m.hic"
+    container.write(spark, path, GENOME, own, **kept)
+    matrix_source.register(spark)
+    return path
+
+
+def _source(spark, path: str, table: str = "cells") -> DataFrame:
+    return spark.read.format(matrix_source.NAME).option("table", table).load(path)
+
+
 def v9_roundtrip(spark, sf_dir):
     """Cells at two resolutions, written to a container and read again."""
-    from contactspark.sources import container
+    return _long(_source(spark, _container(spark, sf_dir)), "count").select("bin_size", "chr1", "chr2", "bin1", "bin2", "count")
+
+
+def v9_pruned(spark, sf_dir):
+    """A part of a container, of which filters leave few blocks to read."""
+    found = _source(spark, _container(spark, sf_dir)).where("bin_size = 500000 and chr1 = 2 and chr2 in (2, 3) and bin1 between 10 and 60 and bin2 >= 20 and bin2 < 80")
+    return _long(found, "count").select("chr1", "chr2", "bin1", "bin2", "count")
+
+
+def v9_blocks(spark, sf_dir):
+    """The index: which blocks each matrix has."""
+    return _source(spark, _container(spark, sf_dir), "blocks").select("bin_size", "chr1", "chr2", "block_number")
+
+
+def v9_vectors(spark, sf_dir):
+    """Coverage vectors, written to a container and read again."""
+    own = _own(spark, sf_dir)
+    full = norms.densify(norms.coverage(own), own, GENOME).select(F.lit("VC").alias("norm"), "chr", "bin_size", "bin", F.col("value").cast("float").alias("value"))
+    read = _source(spark, _container(spark, sf_dir, vectors=keep(full)), "vectors").where("norm = 'VC'")
+    return read.select("chr", "bin", F.col("value").cast("double").alias("value"))
+
 
-    own = matrix.multi_resolution(_contacts(spark, sf_dir), [500_000, 1_000_000])
-    path = re.sub("^file:(//)?", "", fresh_path(spark, "matrix")) + ".hic"
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    container.write(spark, path, GENOME, matrix.union(own))
-    return _long(container.read_cells(spark, path), "count").select("bin_size", "chr1", "chr2", "bin1", "bin2", "count")
+def v9_damaged(spark, sf_dir):
+    """What becomes of each matrix where a container is normalised in place that has a damaged block."""
+    path = _container(spark, sf_dir)
+    bad = container.read_index(spark, path).where("chr1 = 3 and chr2 = 3 and bin_size = 500000").orderBy("block_number").first()
+    with open(path, "r+b") as f:
+        f.seek(bad.position)
+        f.write(b"\xff" * bad["size"])
+    return build.normalise_container(spark, path, ("VC", "VC_SQRT"))
 
 
 # --- SQL -------------------------------------------------------------------
@@ -543,8 +682,11 @@ def _values(rows: list[tuple], names: str) -> str:
 
 
 def _shapes_sql() -> str:
-    parts = [f"SELECT CAST({r} AS INT) AS bin_size, {str(i).lower()} AS intra, CAST({block_shape_of(SIZE, r, i)[0]} AS INT) AS block_columns, CAST({block_shape_of(SIZE, r, i)[1]} AS INT) AS block_bins" for r in matrix.RESOLUTIONS for i in (True, False)]
-    return " UNION ALL ".join(parts)
+    sizes = ", ".join(map(str, matrix.RESOLUTIONS))
+    return f"""WITH t AS (SELECT o_orderkey, floor(o_totalprice * 500)::BIGINT AS length, [{sizes}][(o_custkey % {len(matrix.RESOLUTIONS)})::INT + 1]::INT AS bin_size, o_orderkey % 2 = 0 AS intra FROM orders),
+n AS (SELECT *, length // bin_size + 1 AS bins, CASE WHEN intra THEN {INTRA_CUTOFF} ELSE {INTER_CUTOFF} END AS cutoff FROM t),
+c AS (SELECT *, least(CASE WHEN bin_size < cutoff THEN bins * bin_size // ({BLOCK_CAPACITY} * cutoff) ELSE bins // {BLOCK_CAPACITY} END + 1, {MOST_COLUMNS}) AS columns FROM n)
+SELECT o_orderkey, length, bin_size, intra, columns::INT AS block_columns, (bins // columns + 1)::INT AS block_bins FROM c"""
 
 
 def _lines_sql(strand: tuple[int, int], frag: tuple[str, str], mapq: tuple[str, str], score: float) -> str:
@@ -618,6 +760,7 @@ def oracle_sql() -> dict[str, str]:
         "mnd_lines": f"WITH {_PAIRS} SELECT chr1, pos1, chr2, pos2, mapq1, CAST(1 AS INT) AS frag2, 1.5::DOUBLE AS score FROM raw",
         "cells_1mb": f"WITH {_CELLS} SELECT chr1, chr2, bin1, bin2, n AS count FROM cells",
         "streaming_cells": f"WITH {_CELLS} SELECT chr1, chr2, bin1, bin2, n AS count FROM cells",
+        "streaming_batches": f"WITH {_CELLS} SELECT chr1, chr2, bin1, bin2, n AS count FROM cells",
         "cells_multires": f"WITH {_PAIRS} {many}",
         "cells_threshold": f"WITH {_CELLS} SELECT chr1, chr2, bin1, bin2, n AS count FROM cells WHERE n >= 3",
         "event_cells": f"WITH {_EVENTS}, e AS ({event_cells_}) SELECT chr1, chr2, bin1, bin2, CASE WHEN round(n, 3) = 0 THEN 0 ELSE round(n, 3) END AS count, round(p, 3) AS pos_count FROM e",
@@ -626,7 +769,7 @@ def oracle_sql() -> dict[str, str]:
         "block_intra": _blocks_sql(10_000, True),
         "block_inter": _blocks_sql(1_000, False),
         "block_params": _shapes_sql(),
-        "chr_offsets": f"SELECT CAST(i AS INT) AS index, CAST({SIZE} AS BIGINT) AS length, CAST((i - 1) * {SIZE} AS BIGINT) AS \"offset\" FROM range(1, 6) t(i)",
+        "chr_offsets": "WITH n AS (SELECT c_nationkey, sum(floor(abs(c_acctbal)))::BIGINT AS length FROM customer GROUP BY 1) SELECT 'n' || c_nationkey AS name, (row_number() OVER (ORDER BY c_nationkey))::INT AS index, length, coalesce(sum(length) OVER (ORDER BY c_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM n",
         "distance_hist": f"WITH {_CELLS} SELECT abs(bin1 - bin2) AS dist, sum(n)::BIGINT AS weight FROM cells WHERE chr1 = chr2 GROUP BY 1",
         "chr_totals": f"WITH {_CELLS} SELECT chr1 AS chr, sum(n)::BIGINT AS total FROM cells WHERE chr1 = chr2 GROUP BY 1",
         "event_distance_hist": f"WITH {_EVENTS}, e AS ({event_cells_}) SELECT abs(bin1 - bin2) AS dist, round(sum(p), 3) AS weight FROM e WHERE chr1 = chr2 AND p > 0 GROUP BY 1",
@@ -651,6 +794,10 @@ def oracle_sql() -> dict[str, str]:
         "regions_compare": f"WITH {_COMPARED} SELECT k AS case_id, count(a)::BIGINT AS rows_left, count(b)::BIGINT AS rows_right, bool_and(b IS NOT NULL) AS coordinates_equal, bool_and(coalesce(a = b, false)) AS exact_values_equal, count(b)::BIGINT AS common_positive_finite, CASE WHEN count(b) < 2 THEN -2 WHEN min(a) FILTER (b > 0) = max(a) FILTER (b > 0) OR min(b) = max(b) THEN CASE WHEN bool_and(a = b) FILTER (b > 0) THEN 1 ELSE -2 END ELSE round(corr(a, b), 9) END::DOUBLE AS pearson, coalesce(round(median(b / a), 9), -2) AS median_ratio, coalesce(round(median((a - b) / a) FILTER (b > 0), 9), -2) AS median_relative_error, coalesce(round(max((a - b) / a), 9), -2) AS max_relative_error FROM g GROUP BY k",
         "dump_lines": f"WITH {_INTRA} SELECT bin1 * {MB} AS x, bin2 * {MB} AS y, printf('%.12g', round(value, 9) * 1000) AS value FROM ({normed}) WHERE {_REGION.replace('chr1 = 1 AND chr2 = 1', 'chr = 1')}",
         "v9_roundtrip": f"WITH {_PAIRS} " + " UNION ALL ".join(f"SELECT CAST({r} AS INT) AS bin_size, chr1, chr2, pos1 // {r} AS bin1, pos2 // {r} AS bin2, count(*)::BIGINT AS count FROM c GROUP BY ALL" for r in (500_000, 1_000_000)),
+        "v9_pruned": f"WITH {_PAIRS}, b AS (SELECT chr1, chr2, pos1 // 500000 AS bin1, pos2 // 500000 AS bin2, count(*)::BIGINT AS count FROM c GROUP BY ALL) SELECT * FROM b WHERE chr1 = 2 AND chr2 IN (2, 3) AND bin1 BETWEEN 10 AND 60 AND bin2 >= 20 AND bin2 < 80",
+        "v9_blocks": " UNION ALL ".join(f"SELECT DISTINCT CAST({r} AS INT) AS bin_size, chr1, chr2, block_number FROM ({_blocks_sql(r, i)})" for r in (500_000, 1_000_000) for i in (True, False)),
+        "v9_vectors": f"WITH {_INTRA}, {_BINS} SELECT bins.chr, bins.bin, CAST(coalesce(v, 0) AS FLOAT)::DOUBLE AS value FROM bins LEFT JOIN cov ON cov.chr = bins.chr AND cov.bin = bins.bin",
+        "v9_damaged": f"WITH {_CELLS} SELECT norm, CAST(i AS INT) AS chr, CAST(r AS INT) AS bin_size, CASE WHEN i = 3 AND r = 500000 THEN 'unreadable' WHEN EXISTS (SELECT 1 FROM cells WHERE chr1 = i AND chr2 = i) THEN 'made' ELSE 'no contacts' END AS status FROM range(1, 6) t(i), (VALUES (500000), (1000000)) s(r), (VALUES ('VC'), ('VC_SQRT')) v(norm)",
         "scale_row_sum_error": f"SELECT DISTINCT CAST(user_id % 5 + 1 AS INT) AS chr, true AS even FROM events WHERE user_id % 5 = event_id % 5 AND value > 0",
         "norm_status": f"WITH {_CELLS} SELECT norm, CAST(i AS INT) AS chr, CAST({MB} AS INT) AS bin_size, CASE WHEN EXISTS (SELECT 1 FROM cells WHERE chr1 = i AND chr2 = i) THEN 'made' ELSE 'no contacts' END AS status FROM range(1, 7) t(i), (VALUES ('VC'), ('VC_SQRT')) v(norm)",
         "mnd_short8": _lines_sql((0, 1), ("3", "4"), ("1000", "1000"), 1.0),
@@ -660,6 +807,12 @@ def oracle_sql() -> dict[str, str]:
         "mnd_long16": _lines_sql((0, 1), ("3", "4"), ("l_quantity", "33"), 1.0),
         "extra_short_lines": _lines_sql((0, 0), ("0", "0"), ("1000", "1000"), 2.5),
         "pairs_lines": _lines_sql((1, 0), ("CASE WHEN l_partkey % 10 = 5 THEN 0 ELSE 8 END", "CASE WHEN l_partkey % 10 = 5 THEN 1 ELSE 6 END"), ("l_quantity", "33"), 1.0),
+        "file_mnd": _lines_sql((0, 1), ("3", "4"), ("1000", "1000"), 1.0),
+        "file_gzip": _lines_sql((0, 1), ("3", "4"), ("1000", "1000"), 1.0),
+        "file_short": _lines_sql((0, 0), ("0", "0"), ("1000", "1000"), 2.5),
+        "file_pairs": _lines_sql((1, 0), ("8", "6"), ("l_quantity", "33"), 1.0),
+        "file_bn": _records_sql((0, 1), (0, 1), 2.5),
+        "file_bin": _records_sql((0, 1), (3, 4), 1.0),
         "bn_records": _records_sql((0, 1), (0, 1), 2.5),
         "bin_records": _records_sql((0, 1), (3, 4), 1.0),
         "key_set_diff": f"WITH {_TWO} SELECT x, y, CASE WHEN b IS NULL THEN 'left' WHEN a IS NULL THEN 'right' ELSE 'both' END AS side FROM two",
@@ -675,5 +828,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         expected_density, chr_scale_factors, vc, vc_scaled, vc_sqrt, norm_cells_vc, norm_distance_hist_vc, row_nonzeros, coverage_stats, scale_vector, scale_failures, scale_row_sum_error,
         contiguity_violations, region_observed, region_between, region_vc, region_oe, compare_metrics, key_set_diff, duplicate_keys, first_appearance, streaming_cells, v9_roundtrip,
     )
-    own += (region_oe_between, regions_many, regions_compare, norm_status, dump_lines, extra_short_lines, pairs_lines, bn_records, bin_records)
+    own += (file_mnd, file_gzip, file_short, file_pairs, file_bn, file_bin, v9_pruned, v9_blocks, v9_vectors, v9_damaged)
+    own += (streaming_batches, region_oe_between, regions_many, regions_compare, norm_status, dump_lines, extra_short_lines, pairs_lines, bn_records, bin_records)
     return {f.__name__: f for f in own} | {name: _mnd_layout(*parts) for name, parts in MND_LAYOUTS.items()}

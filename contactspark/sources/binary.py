@@ -1,7 +1,7 @@
 """Read pairs in fixed-length little-endian records: ``.bin`` (26 bytes, strands and fragments) and ``.bn`` (20 bytes, with a score).
 
-The records are cut out by Spark's record reader, which splits files at record
-boundaries; runs of them are decoded by NumPy in Arrow batches.
+Tasks read ranges of whole records from files on a mounted path, and NumPy decodes them in
+runs. Files elsewhere come through Spark's record reader, record by record.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from contactspark.genome import Genome
 from contactspark.session import ship
+from contactspark.sources import ranges
 
 RECORDS = {
     "bin": np.dtype([("fwd1", "u1"), ("chr1", "<i4"), ("pos1", "<i4"), ("frag1", "<i4"), ("fwd2", "u1"), ("chr2", "<i4"), ("pos2", "<i4"), ("frag2", "<i4")]),
@@ -53,10 +53,22 @@ def read_binary(spark: SparkSession, path: str, genome: Genome, fmt: str) -> Dat
     """Pairs of binary files. A chromosome index outside the genome, or a cut last record, is an error."""
     ship(spark)
     size, n = RECORDS[fmt].itemsize, len(genome.chromosomes)
-    cut_short = spark.read.format("binaryFile").load(path).where(F.col("length") % size != 0).select("path").limit(1).collect()
-    if cut_short:
-        raise ValueError(f"{cut_short[0].path}: its length is no multiple of {size}; the last record is cut short")
-    return read_runs(spark.createDataFrame(spark.sparkContext.binaryRecords(path, size).mapPartitions(_runs), "r binary"), fmt, n)
+    files = ranges.listed(spark, path)
+    for uri, length in files:
+        if length % size:
+            raise ValueError(f"{uri}: its length is no multiple of {size}; the last record is cut short")
+    if not ranges.mounted(files):
+        return read_runs(spark.createDataFrame(spark.sparkContext.binaryRecords(path, size).mapPartitions(_runs), "r binary"), fmt, n)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with open(ranges.local(uri), "rb") as f:
+                    f.seek(start)
+                    for at in range(start, stop, RUN * size):
+                        yield decode(fmt, f.read(min(RUN * size, stop - at)), n)
+
+    return ranges.split(spark, files, ranges.RANGE // size * size).mapInArrow(read, SCHEMA)
 
 
 def read_runs(runs: DataFrame, fmt: str, n: int) -> DataFrame:
