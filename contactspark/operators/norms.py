@@ -95,8 +95,8 @@ def vc_sqrt(own: DataFrame, bins: int | None = None) -> DataFrame:
 def scaled(own: DataFrame, genome: Genome, tol: float = scale.TOLERANCE, max_iter: int = scale.TOTAL_ITERATIONS, min_res: int = 0, group_cells: int = GROUP_CELLS, diagonal_width: int = -1, bins: int | None = None) -> DataFrame:
     """chr, bin_size, bin, value of SCALE, NaN on masked bins; matrices that can't be balanced have no rows.
 
-    A matrix of at most ``group_cells`` cells is balanced by one task; larger ones one
-    after the other, their cells spread over executors.
+    A matrix of at most ``group_cells`` cells is balanced by one task; larger ones
+    together, their cells spread over executors, in as many jobs as one of them takes.
     """
     ship(own.sparkSession)
     lengths = genome.lengths()
@@ -117,11 +117,11 @@ def scaled(own: DataFrame, genome: Genome, tol: float = scale.TOLERANCE, max_ite
         is_large = is_large | ((F.col("chr") == c) & (F.col("bin_size") == b))
     schema = "chr int, bin_size int, bin int, value double"
     raw = (wanted.where(~is_large) if large else wanted).groupBy("chr", "bin_size").applyInPandas(group, schema)
-    for c, b in large:
-        cells = wanted.where((F.col("chr") == c) & (F.col("bin_size") == b))
-        got = scale.balance_distributed(cells, lengths[c] // b + 1, tol, max_iter, diagonal_width)
-        if got is not None:
-            raw = raw.unionByName(own.sparkSession.createDataFrame(pd.DataFrame({"chr": c, "bin_size": b, "bin": np.arange(len(got)), "value": got}), schema))
+    if large:
+        made = scale.balance_many(wanted.where(is_large), {(c, b): lengths[c] // b + 1 for c, b in large}, tol, max_iter, diagonal_width)
+        for (c, b), got in made.items():
+            if got is not None:
+                raw = raw.unionByName(own.sparkSession.createDataFrame(pd.DataFrame({"chr": c, "bin_size": b, "bin": np.arange(len(got)), "value": got}), schema))
     raw = raw.withColumn("value", F.coalesce("value", F.lit(float("nan"))))  # Arrow made it null
     return rescale(raw, sum_factor(own, raw, bins))
 

@@ -8,14 +8,15 @@ rises after failures (up to a bound that the rows' counts give) and is bisected
 back after a success. Before ``low`` rises, the few rows that stand out may be
 masked, once.
 
-The matrix is known by a function that multiplies it with a vector, so the search
-is the same for one that lies in a task's memory and for one that is spread over
-executors.
+All that a search needs of a matrix are products with it, which it asks for by
+yielding vectors. So it is the same for a matrix that lies in a task's memory and for
+one that is spread over executors, and many of the latter go on together: a round takes a
+vector from each search that isn't done, and one Spark job gives all their products.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +35,10 @@ LEAST_NEAR = 0.01
 FEW_SLOW, PERCENTILE = 1e-4, 0.2
 
 Multiply = Callable[[np.ndarray], np.ndarray]
+#: What asks for products by yielding vectors, and what it returns in the end.
+type Asking[T] = Generator[np.ndarray, np.ndarray, T]
+#: A matrix: chromosome and bin size.
+Key = tuple[int, int]
 
 
 def local_multiply(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int) -> Multiply:
@@ -47,28 +52,76 @@ def local_multiply(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int)
     return multiply
 
 
-def distributed_multiply(cells: DataFrame, n: int) -> tuple[Multiply, Callable[[], None]]:
-    """The same for cells (bin1, bin2, count) spread over executors: chunks stay cached, the vector (n numbers) is broadcast, partial products meet in a tree."""
+def answered[T](asking: Asking[T], multiply: Multiply) -> T:
+    """What ``asking`` returns, its products given by ``multiply``."""
+    try:
+        wanted = next(asking)
+        while True:
+            wanted = asking.send(multiply(wanted))
+    except StopIteration as done:
+        return done.value
+
+
+def answered_together[T](asking: dict[Key, Asking[T]], multiply: Callable[[dict[Key, np.ndarray]], dict[Key, np.ndarray]]) -> dict[Key, T]:
+    """``answered`` for many, round by round: ``multiply`` gets the vectors of all that aren't done."""
+    out: dict[Key, T] = {}
+    products: dict[Key, np.ndarray | None] = dict.fromkeys(asking)
+    while products:
+        wanted = {}
+        for key, product in products.items():
+            try:
+                wanted[key] = asking[key].send(product)
+            except StopIteration as done:
+                out[key] = done.value
+        products = multiply(wanted) if wanted else {}
+    return out
+
+
+def distributed_multiply(cells: DataFrame, sizes: dict[Key, int]) -> tuple[Callable[[dict[Key, np.ndarray]], dict[Key, np.ndarray]], Callable[[], None]]:
+    """Products with many matrices whose cells (chr, bin_size, bin1, bin2, count) are spread over executors, and what frees them.
+
+    Chunks of one matrix each stay cached; the vectors (one number for each bin) are
+    broadcast, a task adds up what its chunks give for each matrix, and these sums meet
+    in a tree. Chunks of matrices that no vector is for are passed over.
+    """
     sc = cells.sparkSession.sparkContext
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [b.column(k).to_numpy(zero_copy_only=False).astype(t).tobytes() for k, t in enumerate(("<i4", "<i4", "<f8"))]
-            yield pa.RecordBatch.from_arrays([pa.array([p], type=pa.binary()) for p in parts], names=["row", "col", "value"])
+            chr_, size, *rest = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            edges = np.flatnonzero(np.concatenate([[True], (chr_[1:] != chr_[:-1]) | (size[1:] != size[:-1])])) if len(chr_) else []
+            for first, last in zip(edges, [*edges[1:], len(chr_)], strict=False):
+                raw = [x[first:last].astype(t).tobytes() for x, t in zip(rest, ("<i4", "<i4", "<f8"), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(chr_[first])], type=pa.int32()), pa.array([int(size[first])], type=pa.int32()), *(pa.array([x], type=pa.binary()) for x in raw)], names=["chr", "size", "row", "col", "value"])
 
     def chunk(rows: Iterator) -> Iterator:
-        held = [(np.frombuffer(r[0], "<i4"), np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f8")) for r in rows]
-        if held:
-            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-
-    own = cells.select(F.col("bin1").cast("int"), F.col("bin2").cast("int"), F.col("count").cast("double"))
-    chunks = own.mapInArrow(pack, "row binary, col binary, value binary").rdd.mapPartitions(chunk).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def multiply(v: np.ndarray) -> np.ndarray:
-        sent = sc.broadcast(v)
-        out = chunks.map(lambda c: local_multiply(*c, n)(sent.value)).treeAggregate(np.zeros(n), np.add, np.add, 2)
+        held: dict[Key, list] = {}
+        for r in rows:
+            held.setdefault((r[0], r[1]), []).append((np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<i4"), np.frombuffer(r[4], "<f8")))
+        for key, parts in held.items():
+            yield key, tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def add(one: dict[Key, np.ndarray], two: dict[Key, np.ndarray]) -> dict[Key, np.ndarray]:
+        for key, v in two.items():
+            one[key] = one[key] + v if key in one else v
+        return one
+
+    own = cells.select(F.col("chr").cast("int"), F.col("bin_size").cast("int"), F.col("bin1").cast("int"), F.col("bin2").cast("int"), F.col("count").cast("double"))
+    chunks = own.mapInArrow(pack, "chr int, size int, row binary, col binary, value binary").rdd.mapPartitions(chunk).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def multiply(wanted: dict[Key, np.ndarray]) -> dict[Key, np.ndarray]:
+        sent = sc.broadcast(wanted)
+
+        def products(part: Iterator) -> Iterator:
+            done: dict[Key, np.ndarray] = {}
+            for key, c in part:
+                if key in sent.value:
+                    add(done, {key: local_multiply(*c, sizes[key])(sent.value[key])})
+            yield done
+
+        out = chunks.mapPartitions(products).treeAggregate({}, add, add, 2)
         sent.destroy()
-        return out
+        return {key: out.get(key, np.zeros(sizes[key])) for key in wanted}
 
     return multiply, chunks.unpersist
 
@@ -89,7 +142,7 @@ class Attempt:
     iterations: int
 
 
-def attempt(multiply: Multiply, keep: np.ndarray, start: np.ndarray, sums: np.ndarray, previous: np.ndarray, tol: float, budget: int) -> Attempt:
+def attempt(keep: np.ndarray, start: np.ndarray, sums: np.ndarray, previous: np.ndarray, tol: float, budget: int) -> Asking[Attempt]:
     """Turns of fixing rows and columns on the rows in ``keep``, from factors ``start`` whose rows have these sums; the first change is from ``previous``."""
     left, right, now = start, start.copy(), previous
     errors: list[float] = []
@@ -99,13 +152,13 @@ def attempt(multiply: Multiply, keep: np.ndarray, start: np.ndarray, sums: np.nd
 
     while len(errors) < min(CUTOFF_ITERATIONS, budget):
         left = over(left, sums)
-        right = over(right, multiply(left) * right)
-        sums = multiply(right) * left
+        right = over(right, (yield left) * right)
+        sums = (yield right) * left
         last, now = now, np.sqrt(left * right)
         change = np.where(keep, np.abs(now - last) / (now + last + 1e-300), 0.0)
         errors.append(float(change.max(initial=0.0)))
         if errors[-1] < tol:
-            off = np.where(keep, np.abs(multiply(now) * now - 1.0), 0.0)
+            off = np.where(keep, np.abs((yield now) * now - 1.0), 0.0)
             end = "balanced" if off.max(initial=0.0) <= ROW_TOLERANCE else "uneven"
             return Attempt(end, now, off > ROW_TOLERANCE, len(errors))
         if len(errors) > PATIENCE and not errors[-1] * (1 + BETTER) < errors[-1 - PATIENCE]:
@@ -120,6 +173,11 @@ def near_enough(near: np.ndarray) -> np.ndarray:
 
 
 def search(multiply: Multiply, nonzeros: np.ndarray, tol: float = TOLERANCE, total_iterations: int = TOTAL_ITERATIONS, allowed: np.ndarray | None = None) -> np.ndarray | None:
+    """``searched``, for a matrix that is multiplied with by ``multiply``."""
+    return answered(searched(nonzeros, tol, total_iterations, allowed), multiply)
+
+
+def searched(nonzeros: np.ndarray, tol: float = TOLERANCE, total_iterations: int = TOTAL_ITERATIONS, allowed: np.ndarray | None = None) -> Asking[np.ndarray | None]:
     """Factors b that make all sums of b A b 1, NaN on masked rows; None where no attempt was accepted. Rows outside ``allowed`` start out masked."""
     held = int((nonzeros > 0).sum())
     if not held:
@@ -130,11 +188,11 @@ def search(multiply: Multiply, nonzeros: np.ndarray, tol: float = TOLERANCE, tot
     keep = holding(low)
     may_rescue = may_drop_slow = True
     spent = 0
-    sums = multiply(keep.astype(np.float64))
+    sums = yield keep.astype(np.float64)
     start = np.where(keep, np.sqrt(sums), 0.0)
     sums, previous = sums * start, start
     while spent < total_iterations:
-        got = attempt(multiply, keep, start, sums, previous, tol, total_iterations - spent)
+        got = yield from attempt(keep, start, sums, previous, tol, total_iterations - spent)
         spent, previous = spent + got.iterations, got.factors
         if got.end == "spent":
             return None
@@ -162,48 +220,57 @@ def search(multiply: Multiply, nonzeros: np.ndarray, tol: float = TOLERANCE, tot
             if low > bound:
                 return None
         start = keep.astype(np.float64)
-        sums = multiply(start) * start
+        sums = (yield start) * start
     else:
         return None
     factors, rows, _ = best
     return np.where(rows, factors, np.nan)
 
 
-def as_divisor(multiply: Multiply, factors: np.ndarray) -> np.ndarray:
+def as_divisor(factors: np.ndarray) -> Asking[np.ndarray]:
     """The vector that cells are divided by, such that the sum over its bins stays; NaN where there is none."""
     good = ~np.isnan(factors) & (factors != 0)
     one, b = good.astype(np.float64), np.where(good, factors, 0.0)
-    before, after = float(multiply(one) @ one), float(multiply(b) @ b)
+    before, after = float((yield one) @ one), float((yield b) @ b)
     out = np.where(good, factors, np.nan)
     return out if before == 0 or after == 0 else np.sqrt(after / before) / out
 
 
+def balanced(nonzeros: np.ndarray, near: np.ndarray | None, tol: float, total_iterations: int) -> Asking[np.ndarray | None]:
+    """The SCALE vector, before its sum factor; None where the matrix can't be balanced. ``near``: sums near the diagonal, by which rows are masked."""
+    found = yield from searched(nonzeros, tol, total_iterations, None if near is None else near_enough(near))
+    if found is None:
+        return None
+    vector = yield from as_divisor(found)
+    return vector if (np.isfinite(vector) & (vector > 0)).any() else None
+
+
 def balance(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, tol: float = TOLERANCE, total_iterations: int = TOTAL_ITERATIONS, diagonal_width: int = -1) -> np.ndarray | None:
     """The SCALE vector of a matrix in memory (upper triangle), before its sum factor; None where it can't be balanced. ``diagonal_width`` above 0 masks rows with few contacts within so many bins."""
     nonzeros = np.bincount(row, minlength=n) + np.bincount(col[row != col], minlength=n)
-    multiply = local_multiply(row, col, value, n)
-    allowed = None
+    near = None
     if diagonal_width > 0:
-        near = np.abs(row.astype(np.int64) - col) <= diagonal_width
-        allowed = near_enough(local_multiply(row[near], col[near], value[near], n)(np.ones(n)))
-    found = search(multiply, nonzeros, tol, total_iterations, allowed)
-    if found is None:
-        return None
-    vector = as_divisor(multiply, found)
-    return vector if (np.isfinite(vector) & (vector > 0)).any() else None
+        close = np.abs(row.astype(np.int64) - col) <= diagonal_width
+        near = local_multiply(row[close], col[close], value[close], n)(np.ones(n))
+    return answered(balanced(nonzeros, near, tol, total_iterations), local_multiply(row, col, value, n))
 
 
-def balance_distributed(cells: DataFrame, n: int, tol: float = TOLERANCE, total_iterations: int = TOTAL_ITERATIONS, diagonal_width: int = -1) -> np.ndarray | None:
-    """``balance`` for cells (bin1, bin2, count) that no task should hold alone."""
-    multiply, done = distributed_multiply(cells, n)
+def balance_many(cells: DataFrame, sizes: dict[Key, int], tol: float = TOLERANCE, total_iterations: int = TOTAL_ITERATIONS, diagonal_width: int = -1) -> dict[Key, np.ndarray | None]:
+    """``balance`` for the matrices (bins by chromosome and bin size) whose cells (chr, bin_size, bin1, bin2, count) no task should hold alone. As many jobs as the longest search has products, however many matrices there are."""
+    multiply, done = distributed_multiply(cells, sizes)
     try:
         ends = F.when(F.col("bin1") == F.col("bin2"), F.array("bin1")).otherwise(F.array("bin1", "bin2"))
-        nonzeros, near = np.zeros(n, dtype=np.int64), np.zeros(n)
+        nonzeros, near = ({key: np.zeros(n, dtype=t) for key, n in sizes.items()} for t in (np.int64, np.float64))
         close = F.when(F.abs(F.col("bin1") - F.col("bin2")) <= diagonal_width, F.col("count")).otherwise(0.0)
-        for r in cells.select(F.explode(ends).alias("bin"), close.alias("near")).groupBy("bin").agg(F.count("*").alias("n"), F.sum("near").alias("near")).toLocalIterator():
-            nonzeros[r["bin"]], near[r["bin"]] = r["n"], r["near"]
-        found = search(multiply, nonzeros, tol, total_iterations, near_enough(near) if diagonal_width > 0 else None)
-        vector = None if found is None else as_divisor(multiply, found)
-        return vector if vector is not None and (np.isfinite(vector) & (vector > 0)).any() else None
+        sums = cells.select("chr", "bin_size", F.explode(ends).alias("bin"), close.alias("near")).groupBy("chr", "bin_size", "bin").agg(F.count("*").alias("n"), F.sum("near").alias("near"))
+        for r in sums.toLocalIterator():  # a row for each bin, as in the vectors
+            nonzeros[r.chr, r.bin_size][r.bin], near[r.chr, r.bin_size][r.bin] = r.n, r.near
+        asking = {key: balanced(nonzeros[key], near[key] if diagonal_width > 0 else None, tol, total_iterations) for key in sizes}
+        return answered_together(asking, multiply)
     finally:
         done()
+
+
+def balance_distributed(cells: DataFrame, n: int, tol: float = TOLERANCE, total_iterations: int = TOTAL_ITERATIONS, diagonal_width: int = -1) -> np.ndarray | None:
+    """``balance_many`` for the cells (bin1, bin2, count) of one matrix."""
+    return balance_many(cells.withColumns({"chr": F.lit(1), "bin_size": F.lit(1)}), {(1, 1): n}, tol, total_iterations, diagonal_width)[1, 1]

@@ -324,6 +324,34 @@ def test_distributed_balancing_is_the_same(spark):
     assert scale.balance_distributed(df, 101) == pytest.approx(scale.balance(row, col, value, 101), rel=1e-6)
 
 
+def test_many_matrices_take_as_many_jobs_as_one(spark, monkeypatch):
+    """Matrices of which one is done before others, one can't be balanced, and one has rows that are masked."""
+    r = np.random.default_rng(5)
+    made = {(1, 10): chain()}
+    for c, n in ((1, 20), (2, 20)):
+        dense = np.triu(r.random((40, 40)) + 0.1 * n)
+        dense[:, 38:] = 0
+        made[c, n] = (*np.nonzero(dense), dense[np.nonzero(dense)])
+    hubs = np.zeros((51, 51))
+    hubs[::10, :] = 1
+    hubs = np.triu(hubs + hubs.T)
+    made[3, 10] = (*np.nonzero(hubs), hubs[np.nonzero(hubs)])
+    sizes = {key: 101 if key == (1, 10) else 51 for key in made}
+    rows = [(*key, int(a), int(b), float(v)) for key, m in made.items() for a, b, v in zip(*m)]
+    df = spark.createDataFrame(rows, "chr int, bin_size int, bin1 int, bin2 int, count double").repartition(3)
+    rounds, plain = [], scale.distributed_multiply
+    monkeypatch.setattr(scale, "distributed_multiply", lambda *a: (lambda m, d: (lambda w: rounds.append(len(w)) or m(w), d))(*plain(*a)))
+    together = scale.balance_many(df, sizes)
+    n_together, longest = len(rounds), 0
+    for key, (row, col, value) in made.items():
+        alone = scale.balance(row, col, value, sizes[key])
+        assert together[key] is None if alone is None else together[key] == pytest.approx(alone, rel=1e-6, nan_ok=True)
+        rounds.clear()
+        scale.balance_many(df.where(f"chr = {key[0]} and bin_size = {key[1]}"), {key: sizes[key]})
+        longest = max(longest, len(rounds))
+    assert n_together == longest and sum(together[k] is None for k in made) == 1
+
+
 def test_large_matrices_are_balanced_alike(spark):
     g, c = random_contacts(spark)
     own = norms.intra(matrix.cells(c, 100_000))
