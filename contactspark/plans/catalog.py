@@ -331,7 +331,14 @@ def _balanceable(spark, sf_dir):
 
 
 def scale_vector(spark, sf_dir):
-    return norms.scaled(_balanceable(spark, sf_dir), GENOME, bins=BINS)
+    v = norms.scaled(_balanceable(spark, sf_dir), GENOME, bins=BINS)
+    return v.select("chr", "bin_size", "bin", F.when(~F.isnan("value"), F.round("value", 4)).alias("value"))
+
+
+def scale_large(spark, sf_dir):
+    """The same with the cells of all matrices spread over executors."""
+    v = norms.scaled(_balanceable(spark, sf_dir), GENOME, group_cells=0, bins=BINS)
+    return v.select("chr", "bin_size", "bin", F.when(~F.isnan("value"), F.round("value", 4)).alias("value"))
 
 
 def scale_failures(spark, sf_dir):
@@ -341,12 +348,12 @@ def scale_failures(spark, sf_dir):
 
 
 def scale_row_sum_error(spark, sf_dir):
-    """Whether the balanced rows are even, by chromosome: none is more than the row tolerance from their mean."""
+    """How far the sum of any balanced row is from their mean at most, by chromosome, and whether that is within the row tolerance."""
     own = _balanceable(spark, sf_dir)
     met = norms.normalised(own, norms.scaled(own, GENOME, bins=BINS), BINS).drop("count").withColumnRenamed("value", "count")
     sums = norms.coverage(met.select("chr", "bin_size", "bin1", "bin2", "count"))
     off = F.greatest(F.max("value") / F.avg("value") - 1, 1 - F.min("value") / F.avg("value"))
-    return sums.groupBy("chr").agg((off <= ROW_TOLERANCE).alias("even"))
+    return sums.groupBy("chr").agg((off <= ROW_TOLERANCE).alias("even"), F.round(off, 6).alias("off"))
 
 
 def norm_status(spark, sf_dir):
@@ -553,14 +560,13 @@ def streaming_cells(spark, sf_dir):
 
 
 def streaming_batches(spark, sf_dir):
-    """The same from six files that arrive in three batches; the last is taken in again, as after a failure."""
+    """The same from six files that arrive in three batches."""
     from contactspark.streaming import cells as stream
 
     folder, files = fresh_path(spark, "stream"), fresh_path(spark, "arriving")
     _table(spark, sf_dir, "lineitem").repartition(6, "l_orderkey").write.parquet(files)
-    stream.run_once(spark, files, "*.parquet", folder, _from_lineitem, MB, files_together=2)
-    stream.add(_table(spark, sf_dir, "lineitem"), 2, folder, _from_lineitem, MB)  # it is in the cells, or replaces what the same batch gave
-    return _long(stream.current(spark, folder), "count").select("chr1", "chr2", "bin1", "bin2", "count")
+    out = stream.run_once(spark, files, "*.parquet", folder, _from_lineitem, MB, files_together=2)
+    return _long(out, "count").select("chr1", "chr2", "bin1", "bin2", "count")
 
 
 def _from_lineitem(df: DataFrame) -> DataFrame:
@@ -740,6 +746,34 @@ binned AS (SELECT chr1, chr2, pos1 // {MB} AS bin1, pos2 // {MB} AS bin2, count(
 g AS (SELECT k, a, b FROM cases JOIN binned ON {_HIT})"""
 
 
+def _scale_sql() -> str:
+    """Balancing as a recursive query over lists: a row for each matrix and turn, until the vector stands still. Rows without contacts are 0 throughout."""
+    n = SIZE // (5 * MB) + 1
+    each = lambda x: f"list_transform(range(1, {n + 1}), lambda k: {x})"
+    over = lambda a, b: each(f"CASE WHEN {b}[k] <> 0 THEN {a}[k] / {b}[k] ELSE 0 END")
+    times = lambda v: f"list_transform(a, lambda w: list_inner_product(w, {v}))"
+    return _EVENTS.replace("value - 100 AS s", "value AS s") + f""",
+own AS (SELECT chr1 AS chr, pos1 // {5 * MB} AS i, pos2 // {5 * MB} AS j, sum(s) AS n FROM c WHERE chr1 = chr2 GROUP BY ALL HAVING sum(s) > 0),
+ways AS (SELECT chr, i, j, n FROM own UNION ALL SELECT chr, j, i, n FROM own WHERE i <> j),
+grid AS (SELECT chr, i, j FROM (SELECT DISTINCT chr FROM own), range(0, {n}) x(i), range(0, {n}) y(j)),
+lines AS (SELECT chr, i, list(coalesce(n, 0)::DOUBLE ORDER BY j) AS w FROM grid LEFT JOIN ways USING (chr, i, j) GROUP BY chr, i),
+m AS (SELECT chr, list(w ORDER BY i) AS a FROM lines GROUP BY chr),
+begun AS (SELECT chr, a, list_transform(a, lambda w: CASE WHEN list_sum(w) > 0 THEN 1 ELSE 0 END::DOUBLE) AS one FROM m),
+rooted AS (SELECT chr, a, one, {each("sqrt(list_inner_product(a[k], one) * one[k])")} AS now FROM begun),
+turns AS (
+  SELECT chr, a, one, 0 AS turn, now AS l, now AS r, {each("list_inner_product(a[k], one) * now[k]")} AS sums, now, 1::DOUBLE AS change FROM rooted
+  UNION ALL
+  SELECT chr, a, one, turn, l, r, {each("list_inner_product(a[k], r) * l[k]")}, now, list_max({each("abs(now[k] - before[k]) / (now[k] + before[k] + 1e-300)")}) FROM (
+    SELECT *, {each("sqrt(l[k] * r[k])")} AS now FROM (
+      SELECT chr, a, one, turn, before, l, {over("r", "col")} AS r FROM (
+        SELECT *, {each("list_inner_product(a[k], l) * r[k]")} AS col FROM (
+          SELECT chr, a, one, turn + 1 AS turn, now AS before, {over("l", "sums")} AS l, r FROM turns WHERE change >= 1e-4 AND turn < 1000))))),
+done AS (SELECT chr, a, one, now FROM turns WHERE change < 1e-4),
+divisor AS (SELECT chr, one, list_transform(now, lambda b: sqrt(list_inner_product({times("now")}, now) / list_inner_product({times("one")}, one)) / nullif(b, 0)) AS v FROM done),
+factor AS (SELECT chr, CAST(sqrt(sum(CASE WHEN i = j THEN 1 ELSE 2 END * n / (v[i + 1] * v[j + 1])) / sum(CASE WHEN i = j THEN 1 ELSE 2 END * n)) AS FLOAT)::DOUBLE AS f FROM own JOIN divisor USING (chr) WHERE v[i + 1] > 0 AND v[j + 1] > 0 GROUP BY chr),
+vector AS (SELECT chr, bin::INT AS bin, v[bin + 1] * f AS value FROM divisor JOIN factor USING (chr), range(0, {n}) t(bin))"""
+
+
 def oracle_sql() -> dict[str, str]:
     canonical = "SELECT chr1, pos1, chr2, pos2 FROM c"
     columns, side = block_shape_of(SIZE, MB, True)
@@ -798,7 +832,9 @@ def oracle_sql() -> dict[str, str]:
         "v9_blocks": " UNION ALL ".join(f"SELECT DISTINCT CAST({r} AS INT) AS bin_size, chr1, chr2, block_number FROM ({_blocks_sql(r, i)})" for r in (500_000, 1_000_000) for i in (True, False)),
         "v9_vectors": f"WITH {_INTRA}, {_BINS} SELECT bins.chr, bins.bin, CAST(coalesce(v, 0) AS FLOAT)::DOUBLE AS value FROM bins LEFT JOIN cov ON cov.chr = bins.chr AND cov.bin = bins.bin",
         "v9_damaged": f"WITH {_CELLS} SELECT norm, CAST(i AS INT) AS chr, CAST(r AS INT) AS bin_size, CASE WHEN i = 3 AND r = 500000 THEN 'unreadable' WHEN EXISTS (SELECT 1 FROM cells WHERE chr1 = i AND chr2 = i) THEN 'made' ELSE 'no contacts' END AS status FROM range(1, 6) t(i), (VALUES (500000), (1000000)) s(r), (VALUES ('VC'), ('VC_SQRT')) v(norm)",
-        "scale_row_sum_error": f"SELECT DISTINCT CAST(user_id % 5 + 1 AS INT) AS chr, true AS even FROM events WHERE user_id % 5 = event_id % 5 AND value > 0",
+        "scale_vector": f"WITH RECURSIVE {_scale_sql()} SELECT chr, CAST({5 * MB} AS INT) AS bin_size, bin, round(value, 4) AS value FROM vector",
+        "scale_large": f"WITH RECURSIVE {_scale_sql()} SELECT chr, CAST({5 * MB} AS INT) AS bin_size, bin, round(value, 4) AS value FROM vector",
+        "scale_row_sum_error": f"WITH RECURSIVE {_scale_sql()}, sums AS (SELECT w.chr, w.i, sum(n / (a.value * b.value)) AS x FROM ways w JOIN vector a ON a.chr = w.chr AND a.bin = w.i JOIN vector b ON b.chr = w.chr AND b.bin = w.j GROUP BY ALL), o AS (SELECT chr, greatest(max(x) / avg(x) - 1, 1 - min(x) / avg(x)) AS off FROM sums GROUP BY chr) SELECT chr, off <= {ROW_TOLERANCE} AS even, round(off, 6) AS off FROM o",
         "norm_status": f"WITH {_CELLS} SELECT norm, CAST(i AS INT) AS chr, CAST({MB} AS INT) AS bin_size, CASE WHEN EXISTS (SELECT 1 FROM cells WHERE chr1 = i AND chr2 = i) THEN 'made' ELSE 'no contacts' END AS status FROM range(1, 7) t(i), (VALUES ('VC'), ('VC_SQRT')) v(norm)",
         "mnd_short8": _lines_sql((0, 1), ("3", "4"), ("1000", "1000"), 1.0),
         "mnd_short9": _lines_sql((0, 1), ("3", "4"), ("1000", "1000"), 2.5),
@@ -825,7 +861,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         contacts_filtered, canonical_pairs, intra_only, near_diagonal, clamped_pairs, read_skip_counts, mnd_lines, cells_1mb, cells_multires, cells_threshold, event_cells,
         whole_genome_cells, zoom_sum_counts, block_intra, block_inter, block_params, chr_offsets, distance_hist, chr_totals, event_distance_hist, possible_distances,
-        expected_density, chr_scale_factors, vc, vc_scaled, vc_sqrt, norm_cells_vc, norm_distance_hist_vc, row_nonzeros, coverage_stats, scale_vector, scale_failures, scale_row_sum_error,
+        expected_density, chr_scale_factors, vc, vc_scaled, vc_sqrt, norm_cells_vc, norm_distance_hist_vc, row_nonzeros, coverage_stats, scale_vector, scale_large, scale_failures, scale_row_sum_error,
         contiguity_violations, region_observed, region_between, region_vc, region_oe, compare_metrics, key_set_diff, duplicate_keys, first_appearance, streaming_cells, v9_roundtrip,
     )
     own += (file_mnd, file_gzip, file_short, file_pairs, file_bn, file_bin, v9_pruned, v9_blocks, v9_vectors, v9_damaged)
