@@ -36,7 +36,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contactspark.llm.common import cut
+from contactspark.llm.common import cut, keep
+from contactspark.llm.neardup import components
 from contactspark.session import ship
 
 DATE = "2020-01-01T00:00:00Z"
@@ -210,19 +211,33 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 
 
 def assemble(archived: DataFrame) -> DataFrame:
-    """A nested row for each capture: capture_id (the response's identifier) and structs response, request, metadata (null where there is none).
+    """A nested row for each capture: capture_id (the response's identifier, or, where there is none, one of its records') and structs response, request, metadata (null where there is none).
 
-    Records that name another in WARC-Concurrent-To belong to its capture. Of several
-    records of a kind in a capture the one with the smallest identifier counts. The join
-    is one grouping of all records by the identifier that ties them, so they are read once.
+    Records that are tied by WARC-Concurrent-To, in either direction and over any number
+    of steps, belong to one capture, even where a record that ties them isn't archived.
+    Of several records of a kind in a capture the one with the smallest identifier counts.
+
+    Records are written to the shared folder first, as read, and used twice from there.
+    Most name one response, and are tied by its identifier. Those that name several, name
+    others as a response, or name one while they are named themselves are joined through
+    their identifiers to connected groups (``neardup.components``). Then all records meet
+    in one grouping.
     """
+    records = keep(archived.where(F.col("warc_type").isin("response", "revisit", "request", "metadata")))
     main = F.col("warc_type").isin("response", "revisit")
     key = F.when(main, F.col("record_id")).otherwise(F.coalesce(F.try_element_at("concurrent_to", F.lit(1)), F.col("record_id")))
+    naming = records.where(F.size("concurrent_to") > 0).select("record_id", "concurrent_to", (main | (F.size("concurrent_to") > 1)).alias("knot"))
+    named = naming.select(F.explode("concurrent_to").alias("record_id")).distinct()
+    knots = naming.where("knot").unionByName(naming.where("not knot").join(named, "record_id", "left_semi"))
+    groups = components(knots.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))).select(F.col("tid").alias("_key"), "root")
+
     part = {
         "response": (main, ["record_id", "warc_type", "refers_to", "target_uri", "warc_date", "header_digest", "digest", "payload_bytes", "payload"]),
         "request": (F.col("warc_type") == "request", ["record_id", "target_uri", "warc_date", "payload"]),
         "metadata": (F.col("warc_type") == "metadata", ["record_id", "warc_date", "fields"]),
     }
     kinds = [F.min_by(F.when(own, F.struct(*names)), F.when(own, F.col("record_id"))).alias(k) for k, (own, names) in part.items()]
-    tied = archived.where(F.col("warc_type").isin("response", "revisit", "request", "metadata"))
-    return tied.groupBy(key.alias("capture_id")).agg(*kinds)
+    tied = records.withColumn("_key", key)
+    tied = tied.withColumn("_capture", F.col("_key")) if groups.isEmpty() else tied.join(groups, "_key", "left").withColumn("_capture", F.coalesce("root", "_key"))
+    whole = tied.groupBy("_capture").agg(*kinds)
+    return whole.select(F.coalesce("response.record_id", "_capture").alias("capture_id"), "response", "request", "metadata")

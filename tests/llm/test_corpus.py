@@ -826,6 +826,36 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.assemble(warc.read(spark, f"{tmp_path}/none-at-all")).count() == 0
 
 
+def test_captures_are_tied_through_any_identifiers(spark):
+    """Records that name each other in either direction, several at once, in chains, and through a record that isn't there."""
+    r = random.Random(7)
+    kinds = {"response": "response", "revisit": "revisit", "request": "request", "metadata": "metadata"}
+    cases = [  # of each capture: kind -> the kinds it names
+        {"response": [], "request": ["response"], "metadata": ["response"]},
+        {"response": [], "request": [], "metadata": ["request", "response"]},
+        {"response": ["request"], "request": [], "metadata": ["response"]},
+        {"response": [], "request": ["response"], "metadata": ["request"]},
+        {"revisit": ["metadata"], "request": ["metadata"], "metadata": []},
+        {"response": ["request", "metadata"], "request": ["response"], "metadata": ["request"]},
+        {"request": ["lost"], "metadata": ["lost"]},
+        {"request": [], "metadata": ["request"]},
+        {"response": []},
+    ]
+    rows, want = [], set()
+    for n in range(60):
+        case = cases[n % len(cases)]
+        ids = {k: f"<urn:{r.randrange(10**9):09d}:{n}>" for k in (*kinds, "lost")}
+        rows += [(ids[k], k, [ids[x] for x in names]) for k, names in case.items()]
+        main = ids["response"] if "response" in case else ids["revisit"] if "revisit" in case else None
+        want.add((main, ids["request"] if "request" in case else None, ids["metadata"] if "metadata" in case else None))
+    rows.append(("<urn:info>", "warcinfo", []))
+    archived = spark.createDataFrame([(i, k, c) + (None,) * 8 for i, k, c in rows], warc.RECORD).repartition(4)
+    got = warc.assemble(archived).collect()
+    of = lambda x: x and x.record_id
+    assert {(of(x.response), of(x.request), of(x.metadata)) for x in got} == want and len(got) == 60
+    assert all(x.capture_id == x.response.record_id for x in got if x.response) and len({x.capture_id for x in got}) == 60
+
+
 def test_records_of_other_archives_are_read():
     import gzip
 
