@@ -15,7 +15,8 @@ of leading bytes would make a row of each byte of the corpus. The digits are the
 
 1. the anchor: a row for each block, some 170 bytes of text;
 2. what all windows of a block of 32 share (``length`` - 31 bytes), for the blocks in question;
-3. the whole window.
+3. what those of a block of 4 share;
+4. the whole window.
 
 After a pass, a block whose bytes (all of its windows together) occur again is done: its
 windows are all repeated. A block whose digit occurs nowhere else is done too. Others
@@ -36,6 +37,7 @@ kept, and columns named like the new ones are replaced.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,8 @@ from contactspark.llm.common import cut, keep
 from contactspark.llm.shingles import scramble
 from contactspark.session import ship
 
-#: Bytes of a window and, at most, of a gram; windows of a block in the second pass and in the third.
-LENGTH, GRAM, STEPS = 400, 64, (32, 1)
+#: Bytes of a window and, at most, of a gram; windows of a block in the passes after the first.
+LENGTH, GRAM, STEPS = 400, 64, (32, 4, 1)
 #: A key of more rows than this, and than their ``MOST``-th part, is joined by broadcast: there are at most ``MOST`` of them.
 HEAVY, MOST = 1000, 50_000
 #: Bits for a place in the part of a text that is read at once.
@@ -242,13 +244,18 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     asked = asked.groupBy("uid").agg(F.collect_list(F.struct("at", "lo", "hi", "known")).alias("asked"))
     pieces = held.select("uid", "packed").join(cut(asked), "uid").select("uid", F.explode(_pieces(length)("packed", "asked")).alias("p"))
     pieces = keep(pieces.select("uid", "p.*"))
-    cut_up = pieces.select("uid", "known", F.explode(_cut(STEPS[0], length)("piece", "at", "hi", "lo", "hi")).alias("b"))
-    more, asked = _pass(keep(cut_up.select("uid", "b.*", "known")))
-    asked = cut(asked).join(pieces.select("uid", "at", F.col("lo").alias("from"), F.col("hi").alias("to"), "piece"), ["uid", "at"]).where("lo >= from and hi <= to")
-    windows = asked.select("uid", "known", F.explode(_cut(STEPS[1], length)("piece", "at", "to", "lo", "hi")).alias("b"))
-    most = _last_pass(keep(windows.select("uid", "b.at", "b.lo", "b.hi", "b.u1", "b.u2", "known")))
-
-    spans = found.unionByName(more).unionByName(most).select("uid", (F.col("at") - F.col("hi")).cast("long").alias("start"), (F.col("at") - F.col("lo") + length).cast("long").alias("end"))
+    found, own = [found], pieces.withColumn("to", F.col("hi"))
+    for step in STEPS:
+        smaller = own.select("uid", "known", F.explode(_cut(step, length)("piece", "at", "to", "lo", "hi")).alias("b"))
+        if step == 1:
+            found.append(_last_pass(keep(smaller.select("uid", "b.at", "b.lo", "b.hi", "b.u1", "b.u2", "known"))))
+            break
+        more, asked = _pass(keep(smaller.select("uid", "b.*", "known")))
+        found.append(more)
+        whole = pieces.select("uid", "at", F.col("lo").alias("from"), F.col("hi").alias("to"), "piece")
+        own = cut(asked).join(whole, ["uid", "at"]).where("lo >= from and hi <= to")
+
+    spans = reduce(DataFrame.unionByName, found).select("uid", (F.col("at") - F.col("hi")).cast("long").alias("start"), (F.col("at") - F.col("lo") + length).cast("long").alias("end"))
     spans = cut(spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("found")))
     done = held.select("_doc", "uid", "packed", "n").join(spans, "uid", "left").select("_doc", "n", arrow_udf(_without, _LEFT)("packed", "found").alias("w"))
     return done.select(*[F.col(f"_doc.`{c}`") for c in others], F.col("n").alias("n_bytes"), "w.n_removed", "w.spans", "w.kept")
