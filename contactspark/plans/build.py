@@ -99,7 +99,7 @@ def normalise_container(spark: SparkSession, path: str, names: tuple[str, ...] =
     options = {"tol": tol, "max_iter": max_iter, "min_res": min_scale_res, "diagonal_width": diagonal_width} if "SCALE" in names else {}
     made = keep(norms.vectors(good, genome, names, bins, **options))
     dense, factors, _ = _normed_model(good, made, genome, bins * len(names))
-    container.replace_vectors(spark, path, made, _expected(dense, factors))
+    container.replace_vectors(spark, path, made, expected_vectors(dense, factors))
     told = norms.status(good, made, genome, sizes, names, min_scale_res)
     marked = told.join(F.broadcast(lost.withColumn("lost", F.lit(True))), is_lost("chr"), "left").groupBy(*told.columns).agg(F.max("lost").alias("lost"))
     return keep(marked.select("norm", "chr", "bin_size", F.when(F.col("lost"), "unreadable").otherwise(F.col("status")).alias("status")))
@@ -146,7 +146,7 @@ def run_cases(left: Store, right: Store, cases: list[region.RegionCase], folder:
     return spark.read.schema(met.schema).json(f"{folder}/report")
 
 
-def _expected(density: DataFrame, factors: DataFrame) -> list[container.Expected]:
+def expected_vectors(density: DataFrame, factors: DataFrame) -> list[container.Expected]:
     """Expected vectors (density: norm, bin_size, dist, density), with their factors by chromosome: one number for each bin of the longest chromosome."""
     values = density.groupBy("norm", "bin_size").agg(F.sort_array(F.collect_list(F.struct("dist", "density"))).alias("v"))
     scale: dict[tuple[str, int], dict[int, float]] = {}
@@ -159,7 +159,7 @@ def _expected(density: DataFrame, factors: DataFrame) -> list[container.Expected
 def export(store: Store, path: str) -> None:
     """The store as a V9 container."""
     named = [df if "norm" in df.columns else df.withColumn("norm", F.lit("NONE")) for df in (store.density, store.factors)]
-    raw, normed = (_expected(*[df.where(which) for df in named]) for which in ("norm = 'NONE'", "norm <> 'NONE'"))
+    raw, normed = (expected_vectors(*[df.where(which) for df in named]) for which in ("norm = 'NONE'", "norm <> 'NONE'"))
     container.write(store.cells.sparkSession, path, store.genome, store.cells, store.whole_genome, raw, normed, store.vectors, store.depth_base, store.scaling_factor)
 
 

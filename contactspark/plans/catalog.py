@@ -7,16 +7,20 @@ from ``events``. What iterates, smooths or writes files has no SQL.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contactspark.functions.blocks import BLOCK_CAPACITY, INTER_CUTOFF, INTRA_CUTOFF, MOST_COLUMNS, block_shape, block_shape_of
 from contactspark.genome import Genome
+from contactspark.genome import genome as genome_from
 from contactspark.operators import compare, contacts, expected, matrix, norms, region
-from contactspark.operators.scale import ROW_TOLERANCE
+from contactspark.operators.scale import ROW_TOLERANCE, distributed_multiply
 from contactspark.plans import build
 from contactspark.session import fresh_path, keep, ship
 from contactspark.sources import binary, container, matrix_source, ranges, text
@@ -628,6 +632,123 @@ def v9_damaged(spark, sf_dir):
     return build.normalise_container(spark, path, ("VC", "VC_SQRT"))
 
 
+def v9_matrices(spark, sf_dir):
+    """Which matrices a container has."""
+    return _source(spark, _container(spark, sf_dir), "matrices").select("chr1", "chr2")
+
+
+def v9_kept(spark, sf_dir):
+    """The cells of a container that was normalised in place: all that stands before the vectors is kept."""
+    path = _container(spark, sf_dir)
+    build.normalise_container(spark, path, ("VC",))
+    return _long(container.read_cells(spark, path), "count").select("bin_size", "chr1", "chr2", "bin1", "bin2", "count")
+
+
+def v9_expected(spark, sf_dir):
+    """Expected values, written to a container and read again, by distance, with each chromosome's factor."""
+    dense, factors, _ = _model(spark, sf_dir)
+    raw = [df.withColumn("norm", F.lit("NONE")) for df in (keep(dense), factors)]
+    path = _container(spark, sf_dir, expected=build.expected_vectors(*raw))
+    (e,) = container.read_expected(path)
+    rows = [(d, float(v), c, round(float(f), 5)) for d, v in enumerate(e.values) for c, f in e.factors.items()]
+    return spark.createDataFrame(rows, "dist int, density double, chr int, factor double")
+
+
+def v9_inspect(spark, sf_dir):
+    """What a container says of itself after all checks."""
+    own = _own(spark, sf_dir)
+    full = norms.densify(norms.coverage(own), own, GENOME).select(F.lit("VC").alias("norm"), "chr", "bin_size", "bin", F.col("value").cast("float").alias("value"))
+    told = container.inspect(_container(spark, sf_dir, vectors=keep(full), scaling_factor=2.0))
+    row = (told["version"], told["genome"], len(told["chromosomes"]), ",".join(map(str, told["resolutions"])), told["matrices"], told["vectors"], told["attributes"]["hicFileScaling"])
+    return spark.createDataFrame([row], "version int, genome string, n_chromosomes int, resolutions string, n_matrices int, n_vectors int, scaling string")
+
+
+def dense_blocks(spark, sf_dir):
+    """Blocks in the dense representation (whole numbers, gaps marked), made of the cells and decoded."""
+    ship(spark)
+    own = matrix.with_blocks(_cells(spark, sf_dir), GENOME)
+
+    def through(part: pd.DataFrame) -> pd.DataFrame:
+        x, y, n = (part[c].to_numpy() for c in ("bin1", "bin2", "count"))
+        x0, y0 = int(x.min()), int(y.min())
+        width, height = int(x.max()) - x0 + 1, int(y.max()) - y0 + 1
+        grid = np.full((height, width), container.MISSING, dtype="<i2")
+        grid[y - y0, x - x0] = n
+        raw = struct.pack("<iii4B", len(part), x0, y0, 0, 0, 0, 2) + struct.pack("<ih", grid.size, width) + grid.tobytes()
+        x, y, n = container.decode_block(raw)
+        return pd.DataFrame({"chr1": part["chr1"].iat[0], "chr2": part["chr2"].iat[0], "bin1": x.astype("int32"), "bin2": y.astype("int32"), "count": n.astype("int64")})
+
+    return own.groupBy("chr1", "chr2", "block_number").applyInPandas(through, "chr1 int, chr2 int, bin1 int, bin2 int, count bigint")
+
+
+def dump_read(spark, sf_dir):
+    """A region's result, written as a dump and read again."""
+    folder = fresh_path(spark, "dump")
+    region.write_dump(region.query(_cells(spark, sf_dir), *REGION, MB), folder)
+    return region.read_dump(spark, folder).withColumn("value", F.col("value").cast("double"))
+
+
+def file_md5(spark, sf_dir):
+    """Digests of files, one for each region, with the names of its nations."""
+    folder = _mounted(spark, "named")
+    t = _table(spark, sf_dir, "nation").repartition(1).sortWithinPartitions("n_regionkey", "n_nationkey")
+    t.select(F.col("n_name").alias("value"), "n_regionkey").write.mode("append").partitionBy("n_regionkey").text(folder)
+    found = compare.fingerprint(spark, f"{folder}/*/*.txt")
+    return found.select(F.regexp_extract("path", "n_regionkey=([0-9]+)", 1).cast("int").alias("n_regionkey"), "md5")
+
+
+def file_sizes(spark, sf_dir):
+    """A chrom.sizes file with a chromosome for each customer, comments and lines that can't be read."""
+    folder = fresh_path(spark, "sizes")
+    t = _table(spark, sf_dir, "customer").repartition(1).sortWithinPartitions("c_custkey")
+    line = F.concat_ws("\t", F.concat(F.lit("C"), "c_custkey"), F.floor(F.abs("c_acctbal")).cast("string"))
+    bad = F.when(F.col("c_custkey") % 7 == 0, F.array(F.lit("# note"), F.lit("name only"), F.lit(""), line)).otherwise(F.array(line))
+    t.select(F.explode(bad).alias("value")).write.text(folder)
+    return genome_from(spark, folder).table(spark).select("index", "name", "length", "offset")
+
+
+def same_fragment(spark, sf_dir):
+    """Contacts without those whose ends share a fragment."""
+    cut = raw_pairs(spark, sf_dir).withColumns({"frag1": (F.col("pos1") % 3).cast("int"), "frag2": (F.col("pos2") % 3).cast("int")})
+    return contacts.contacts(cut, GENOME, mapq=MAPQ, drop_same_fragment=True).drop("score")
+
+
+def spread_product(spark, sf_dir):
+    """The product of each chromosome's matrix, its cells spread over executors, with the vector of its bins' numbers."""
+    own = _own(spark, sf_dir)
+    sizes = {(c, MB): n // MB + 1 for c, n in GENOME.lengths().items()}
+    multiply, done = distributed_multiply(own, sizes)
+    try:
+        products = multiply({key: np.arange(1.0, n + 1) for key, n in sizes.items()})
+    finally:
+        done()
+    rows = [(c, b, float(v)) for (c, _), product in products.items() for b, v in enumerate(product)]
+    return spark.createDataFrame(rows, "chr int, bin int, value double")
+
+
+def _event_store(spark, sf_dir) -> build.Store:
+    return build.build(event_pairs(spark, sf_dir, 0), GENOME, [MB, 5 * MB], depth_base=5)
+
+
+def build_cells(spark, sf_dir):
+    """The cells of a store that ``build`` makes, with blocks by depths in powers of 5."""
+    store = build.build(raw_pairs(spark, sf_dir), GENOME, [10_000, MB], mapq=MAPQ, intra_only=True, depth_base=5)
+    return _long(store.cells, "count").select("bin_size", "chr1", "chr2", "bin1", "bin2", "count", "block_number")
+
+
+def scale_gate(spark, sf_dir):
+    """What becomes of each matrix of a store where SCALE is asked for from 5 Mb on."""
+    return build.normalise(_event_store(spark, sf_dir), ("VC", "SCALE"), min_scale_res=5 * MB).status
+
+
+def regions_report(spark, sf_dir):
+    """A generated set of cases run on two stores: their dumps, and the report that is read back."""
+    left, right = (build.build(raw_pairs(spark, sf_dir), GENOME, [MB], mapq=q) for q in (MAPQ, 20))
+    report = build.run_cases(left, right, region.random_cases(GENOME, [MB], ("NONE",), pairs=6), fresh_path(spark, "run"))
+    numbers = [F.round(F.coalesce(c, F.lit(-2.0)), 9).alias(c) for c in ("pearson", "median_ratio")]
+    return report.where("case like '%_observed_%'").select("case", "rows_left", "rows_right", "coordinates_equal", "exact_values_equal", "common_positive_finite", *numbers)
+
+
 # --- SQL -------------------------------------------------------------------
 
 _PAIRS = f"""
@@ -673,14 +794,14 @@ cases AS (SELECT k, least(ca, cb) AS q1, greatest(ca, cb) AS q2, CASE WHEN ca <=
 
 
 _HIT = "chr1 = q1 AND chr2 = q2 AND ((bin1 BETWEEN f1 AND l1 AND bin2 BETWEEN f2 AND l2) OR (chr1 = chr2 AND bin1 BETWEEN f2 AND l2 AND bin2 BETWEEN f1 AND l1))"
-def _blocks_sql(size: int, intra: bool) -> str:
+def _blocks_sql(size: int, intra: bool, base: int = 2) -> str:
     columns, side = block_shape_of(SIZE, size, intra)
     if intra:
-        number = f"CAST(floor(ln(1 + abs(bin1 - bin2) / (sqrt(2.0) * {side})) / ln(2.0)) AS INT) * {columns} + ((bin1 + bin2) // 2) // {side}"
+        number = f"CAST(floor(ln(1 + abs(bin1 - bin2) / (sqrt(2.0) * {side})) / ln({base}.0)) AS INT) * {columns} + ((bin1 + bin2) // 2) // {side}"
     else:
         number = f"{columns} * (bin2 // {side}) + bin1 // {side}"
-    return f"""WITH {_PAIRS}, b AS (SELECT DISTINCT chr1, chr2, pos1 // {size} AS bin1, pos2 // {size} AS bin2 FROM c WHERE chr1 {'=' if intra else '<'} chr2)
-SELECT chr1, chr2, bin1, bin2, CAST({number} AS INT) AS block_number FROM b"""
+    return f"""WITH {_PAIRS}, b AS (SELECT chr1, chr2, pos1 // {size} AS bin1, pos2 // {size} AS bin2, count(*)::BIGINT AS count FROM c WHERE chr1 {'=' if intra else '<'} chr2 GROUP BY ALL)
+SELECT chr1, chr2, bin1, bin2, CAST({number} AS INT) AS block_number{', count' if base != 2 else ''} FROM b"""
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -746,6 +867,20 @@ binned AS (SELECT chr1, chr2, pos1 // {MB} AS bin1, pos2 // {MB} AS bin2, count(
 g AS (SELECT k, a, b FROM cases JOIN binned ON {_HIT})"""
 
 
+def _report_sql() -> str:
+    """The generated cases as rows, joined to the binned contacts by range."""
+    rows = []
+    for case in region.random_cases(GENOME, [MB], ("NONE",), pairs=6):
+        if case.observed:
+            (a, s, e), (b, t, f) = sorted((region.parse_region(r, GENOME) for r in (case.region1, case.region2)), key=lambda r: r[0])
+            rows.append(f"('{case.name}', {a}, {b}, {s // MB}, {t // MB}, {e // MB}, {f // MB})")
+    return f"""WITH {_PAIRS}, cases(k, q1, q2, f1, f2, l1, l2) AS (VALUES {', '.join(rows)}),
+binned AS (SELECT chr1, chr2, pos1 // {MB} AS bin1, pos2 // {MB} AS bin2, count(*)::DOUBLE AS a, nullif(count(*) FILTER (mapq1 >= 20), 0)::DOUBLE AS b FROM c GROUP BY ALL),
+g AS (SELECT cases.k, a, b FROM cases LEFT JOIN binned ON {_HIT})
+SELECT k AS "case", count(a)::BIGINT AS rows_left, count(b)::BIGINT AS rows_right, count(a) = count(b) AS coordinates_equal, coalesce(bool_and(coalesce(a = b, false)) FILTER (a IS NOT NULL), true) AS exact_values_equal,
+  count(b)::BIGINT AS common_positive_finite, coalesce(round(corr(a, b), 9), -2) AS pearson, coalesce(round(median(b / a), 9), -2) AS median_ratio FROM g GROUP BY k"""
+
+
 def _scale_sql() -> str:
     """Balancing as a recursive query over lists: a row for each matrix and turn, until the vector stands still. Rows without contacts are 0 throughout."""
     n = SIZE // (5 * MB) + 1
@@ -828,6 +963,19 @@ def oracle_sql() -> dict[str, str]:
         "regions_compare": f"WITH {_COMPARED} SELECT k AS case_id, count(a)::BIGINT AS rows_left, count(b)::BIGINT AS rows_right, bool_and(b IS NOT NULL) AS coordinates_equal, bool_and(coalesce(a = b, false)) AS exact_values_equal, count(b)::BIGINT AS common_positive_finite, CASE WHEN count(b) < 2 THEN -2 WHEN min(a) FILTER (b > 0) = max(a) FILTER (b > 0) OR min(b) = max(b) THEN CASE WHEN bool_and(a = b) FILTER (b > 0) THEN 1 ELSE -2 END ELSE round(corr(a, b), 9) END::DOUBLE AS pearson, coalesce(round(median(b / a), 9), -2) AS median_ratio, coalesce(round(median((a - b) / a) FILTER (b > 0), 9), -2) AS median_relative_error, coalesce(round(max((a - b) / a), 9), -2) AS max_relative_error FROM g GROUP BY k",
         "dump_lines": f"WITH {_INTRA} SELECT bin1 * {MB} AS x, bin2 * {MB} AS y, printf('%.12g', round(value, 9) * 1000) AS value FROM ({normed}) WHERE {_REGION.replace('chr1 = 1 AND chr2 = 1', 'chr = 1')}",
         "v9_roundtrip": f"WITH {_PAIRS} " + " UNION ALL ".join(f"SELECT CAST({r} AS INT) AS bin_size, chr1, chr2, pos1 // {r} AS bin1, pos2 // {r} AS bin2, count(*)::BIGINT AS count FROM c GROUP BY ALL" for r in (500_000, 1_000_000)),
+        "v9_matrices": f"WITH {_PAIRS} SELECT DISTINCT chr1, chr2 FROM c",
+        "v9_kept": f"WITH {_PAIRS} " + " UNION ALL ".join(f"SELECT CAST({r} AS INT) AS bin_size, chr1, chr2, pos1 // {r} AS bin1, pos2 // {r} AS bin2, count(*)::BIGINT AS count FROM c GROUP BY ALL" for r in (500_000, 1_000_000)),
+        "v9_expected": f"WITH RECURSIVE {_DENSITY} SELECT dist, density, chr, round(factor, 5) AS factor FROM dense, factors",
+        "v9_inspect": f"WITH {_PAIRS} SELECT 9::INT AS version, 'five' AS genome, 6::INT - 1 AS n_chromosomes, '1000000,500000' AS resolutions, count(DISTINCT (chr1, chr2))::INT AS n_matrices, (count(DISTINCT chr1) FILTER (chr1 = chr2))::INT AS n_vectors, '2.0' AS scaling FROM c",
+        "dense_blocks": f"WITH {_CELLS} SELECT chr1, chr2, bin1, bin2, n AS count FROM cells",
+        "dump_read": f"WITH {_CELLS} SELECT bin1 * {MB} AS x, bin2 * {MB} AS y, n::DOUBLE AS value FROM cells WHERE {_REGION}",
+        "file_md5": "SELECT n_regionkey::INT AS n_regionkey, md5(string_agg(n_name || chr(10), '' ORDER BY n_nationkey)) AS md5 FROM nation GROUP BY 1",
+        "file_sizes": "WITH t AS (SELECT c_custkey, floor(abs(c_acctbal))::BIGINT AS length FROM customer) SELECT (row_number() OVER (ORDER BY c_custkey))::INT AS index, 'C' || c_custkey AS name, length, coalesce(sum(length) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM t",
+        "same_fragment": f"WITH {_PAIRS} {canonical} WHERE NOT (chr1 = chr2 AND pos1 % 3 = pos2 % 3)",
+        "spread_product": f"WITH {_INTRA}, {_BINS}, p AS (SELECT chr, bin, sum(n * (o + 1))::DOUBLE AS v FROM (SELECT chr, bin1 AS bin, bin2 AS o, n FROM own UNION ALL SELECT chr, bin2, bin1, n FROM own WHERE bin1 <> bin2) GROUP BY ALL) SELECT bins.chr, bins.bin, coalesce(v, 0) AS value FROM bins LEFT JOIN p ON p.chr = bins.chr AND p.bin = bins.bin",
+        "build_cells": " UNION ALL ".join(f"SELECT CAST({r} AS INT) AS bin_size, chr1, chr2, bin1, bin2, count, block_number FROM ({_blocks_sql(r, True, 5)})" for r in (10_000, MB)),
+        "scale_gate": f"WITH {_EVENTS} SELECT norm, CAST(i AS INT) AS chr, CAST(r AS INT) AS bin_size, CASE WHEN NOT EXISTS (SELECT 1 FROM c WHERE chr1 = i AND chr2 = i) THEN 'no contacts' WHEN norm = 'SCALE' AND r < {5 * MB} THEN 'not asked for' ELSE 'made' END AS status FROM range(1, 6) t(i), (VALUES ({MB}), ({5 * MB})) s(r), (VALUES ('VC'), ('SCALE')) v(norm)",
+        "regions_report": _report_sql(),
         "v9_pruned": f"WITH {_PAIRS}, b AS (SELECT chr1, chr2, pos1 // 500000 AS bin1, pos2 // 500000 AS bin2, count(*)::BIGINT AS count FROM c GROUP BY ALL) SELECT * FROM b WHERE chr1 = 2 AND chr2 IN (2, 3) AND bin1 BETWEEN 10 AND 60 AND bin2 >= 20 AND bin2 < 80",
         "v9_blocks": " UNION ALL ".join(f"SELECT DISTINCT CAST({r} AS INT) AS bin_size, chr1, chr2, block_number FROM ({_blocks_sql(r, i)})" for r in (500_000, 1_000_000) for i in (True, False)),
         "v9_vectors": f"WITH {_INTRA}, {_BINS} SELECT bins.chr, bins.bin, CAST(coalesce(v, 0) AS FLOAT)::DOUBLE AS value FROM bins LEFT JOIN cov ON cov.chr = bins.chr AND cov.bin = bins.bin",
@@ -865,5 +1013,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         contiguity_violations, region_observed, region_between, region_vc, region_oe, compare_metrics, key_set_diff, duplicate_keys, first_appearance, streaming_cells, v9_roundtrip,
     )
     own += (file_mnd, file_gzip, file_short, file_pairs, file_bn, file_bin, v9_pruned, v9_blocks, v9_vectors, v9_damaged)
+    own += (v9_matrices, v9_kept, v9_expected, v9_inspect, dense_blocks, dump_read, file_md5, file_sizes, same_fragment, spread_product, build_cells, scale_gate, regions_report)
     own += (streaming_batches, region_oe_between, regions_many, regions_compare, norm_status, dump_lines, extra_short_lines, pairs_lines, bn_records, bin_records)
     return {f.__name__: f for f in own} | {name: _mnd_layout(*parts) for name, parts in MND_LAYOUTS.items()}
