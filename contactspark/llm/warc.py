@@ -227,9 +227,11 @@ def assemble(archived: DataFrame) -> DataFrame:
     main = F.col("warc_type").isin("response", "revisit")
     key = F.when(main, F.col("record_id")).otherwise(F.coalesce(F.try_element_at("concurrent_to", F.lit(1)), F.col("record_id")))
     naming = records.where(F.size("concurrent_to") > 0).select("record_id", "concurrent_to", (main | (F.size("concurrent_to") > 1)).alias("knot"))
-    named = naming.select(F.explode("concurrent_to").alias("record_id")).distinct()
-    knots = naming.where("knot").unionByName(naming.where("not knot").join(named, "record_id", "left_semi"))
-    groups = components(knots.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))).select(F.col("tid").alias("_key"), "root")
+    ends = F.concat(F.transform("concurrent_to", lambda x: F.struct(x.alias("record_id"), F.lit(0).alias("names"))), F.when(F.col("knot"), F.array()).otherwise(F.array(F.struct("record_id", F.lit(1).alias("names")))))
+    marks = naming.select(F.explode(ends).alias("m")).select("m.*")
+    chained = cut(marks.groupBy("record_id").agg(F.max("names").alias("most"), F.min("names").alias("least")).where("most = 1 and least = 0").select("record_id"))
+    knots = naming.where("knot").unionByName(naming.where("not knot").join(chained, "record_id", "left_semi"))
+    plain = chained.isEmpty() and naming.where("knot").isEmpty()
 
     part = {
         "response": (main, ["record_id", "warc_type", "refers_to", "target_uri", "warc_date", "header_digest", "digest", "payload_bytes", "payload"]),
@@ -238,6 +240,10 @@ def assemble(archived: DataFrame) -> DataFrame:
     }
     kinds = [F.min_by(F.when(own, F.struct(*names)), F.when(own, F.col("record_id"))).alias(k) for k, (own, names) in part.items()]
     tied = records.withColumn("_key", key)
-    tied = tied.withColumn("_capture", F.col("_key")) if groups.isEmpty() else tied.join(groups, "_key", "left").withColumn("_capture", F.coalesce("root", "_key"))
+    if plain:
+        tied = tied.withColumn("_capture", F.col("_key"))
+    else:
+        groups = components(knots.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))).select(F.col("tid").alias("_key"), "root")
+        tied = tied.join(groups, "_key", "left").withColumn("_capture", F.coalesce("root", "_key"))
     whole = tied.groupBy("_capture").agg(*kinds)
     return whole.select(F.coalesce("response.record_id", "_capture").alias("capture_id"), "response", "request", "metadata")
