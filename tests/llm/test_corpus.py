@@ -837,6 +837,7 @@ def test_captures_are_tied_through_any_identifiers(spark):
         {"response": [], "request": ["response"], "metadata": ["request"]},
         {"revisit": ["metadata"], "request": ["metadata"], "metadata": []},
         {"response": ["request", "metadata"], "request": ["response"], "metadata": ["request"]},
+        {"response": [], "request": ["response"], "metadata": ["request", "lost"]},
         {"request": ["lost"], "metadata": ["lost"]},
         {"request": [], "metadata": ["request"]},
         {"response": []},

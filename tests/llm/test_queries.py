@@ -3,14 +3,17 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from contactspark.llm import quality
 from tests.llm.test_corpus import DOCS, ODD, WORD, best, collected, plain_classes, plain_counts, plain_runs, plain_spans, plain_targets, prose, words
 from tests.llm.test_searches import plain_negatives, plain_ranking, plain_spans_of, without
 
@@ -97,6 +100,19 @@ def test_sharding(spark, tables):
         assert abs(sum(r["size"] for r in own) - total / 24) <= largest
 
 
+def test_shards_are_cuts_of_one_order(spark, tables):
+    """Against a plain version: all rows in the order of their groups' hashes, a row's shard by where its middle lies."""
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    rows = sorted((h, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for h, t in docs.select(F.xxhash64(F.xxhash64("text")), "text").collect())
+    total, at, slots, want = sum(n for _, n, _ in rows), 0, collections.Counter(), collections.Counter()
+    for _, n, crc in rows:
+        shard = min(23, (2 * at + n) * 24 // (2 * total))
+        want[n, crc, shard, slots[shard]] += 1
+        slots[shard] += 1
+        at += n
+    assert collections.Counter((r["size"], r.text_crc32, r.shard, r.slot) for r in rows_of(spark, tables, "op2_sharding")) == want
+
+
 def test_line_dedup(spark, tables):
     docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
     rows = collected(docs, "doc_id", "text", F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
@@ -118,6 +134,34 @@ def test_quality(spark, tables):
     assert kept and (not gone or max(kept) < min(gone))
 
 
+def test_quality_verdict_is_that_of_plain_trees(spark, tables, monkeypatch):
+    """Each row's score by walking the trees that were grown, and the threshold by trying all."""
+    made, grow = [], quality.grow
+    monkeypatch.setattr(quality, "grow", lambda *a: made.append(grow(*a)) or made[-1])
+    got = [r for r in rows_of(spark, tables, "op4_quality_rules") if not r.base_failed]
+    forest = made[0]
+
+    def depth(t, x):
+        node = 0
+        while forest.feature[t][node] >= 0:
+            node = forest.left[t][node] + int(x[forest.feature[t][node]] >= forest.cut[t][node])
+        return forest.path[t][node]
+
+    mean = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
+    want = collections.defaultdict(set)
+    for i, t, _ in tables[1]:
+        x = quality.features(np.array([quality.count_rules((t or "").encode())]))[0]
+        want[i].add(round(2.0 ** (-sum(depth(k, x) for k in range(len(forest.feature))) / len(forest.feature) / mean(forest.psi)), 9))
+    assert all(round(r.anomaly, 9) in want[r.doc_id] for r in got) and len(got) > 100
+    good = {100 + i: i % 7 != 0 for i in range(120)}
+    judged = [(r.anomaly, good[r.doc_id], r.kept) for r in got if r.doc_id in good]
+    fine, poor = sum(g for _, g, _ in judged), sum(not g for _, g, _ in judged)
+    gain = lambda gone: sum(not g for g in gone) * fine - 4 * sum(gone) * poor
+    tries = [[g for a, g, _ in judged if a > cut] for cut in [0.0, *(a for a, _, _ in judged)]]
+    best = max(gain(gone) for gone in tries if sum(gone) <= quality.FALSE_REJECTS * fine)
+    assert gain([g for _, g, kept in judged if not kept]) == best
+
+
 def test_near_duplicates(spark, tables):
     got = [(r.doc_id, r.class_id) for r in rows_of(spark, tables, "op5_minhash_neardup")]
     assert sorted(got, key=str) == sorted(plain_classes([(i, t) for i, t, _ in tables[1]]), key=str)
