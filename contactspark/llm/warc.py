@@ -54,8 +54,8 @@ _ARROW = pa.schema(
 
 def base32(hex_digest: Column) -> Column:
     """Upper-case base32 of a digest of 40 hexadecimal digits: five of these are four of those."""
-    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lpad(F.conv(F.substring(hex_digest, i * 5 + 1, F.lit(5)), 16, 32), 4, "0"))
-    return F.translate(F.array_join(groups, ""), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    groups = [F.lpad(F.conv(F.substring(hex_digest, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
+    return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def _urn(*parts: Column | str) -> Column:
@@ -78,7 +78,7 @@ def _record(kind: str | Column, urn: Column, uri: Column, media: str, block: Col
 def records(pages: DataFrame) -> DataFrame:
     """The three records of each page, as strings without their last line feed, in order within a capture."""
     html = F.coalesce("html", F.lit(""))
-    p = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"), base32(F.sha1(html.cast("binary"))).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
+    p = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
     key = ["_id", "_none", "digest", "bytes"]  # page_id without null, so that join and window deal alike
     p = p.withColumn("_id", F.coalesce("page_id", F.lit(0))).withColumn("_none", F.col("page_id").isNull())
     known = p.select("page_id", *key).distinct()
@@ -100,7 +100,7 @@ def records(pages: DataFrame) -> DataFrame:
     request = F.concat(F.lit("GET "), F.coalesce(path, F.lit("/")), F.lit(f" HTTP/1.1{NL}Host: "), F.coalesce(host, F.lit("")), F.lit(NL + NL))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{NL}Content-Type: text/html; charset=utf-8{NL}Content-Length: "), F.col("bytes").cast("string"), F.lit(NL + NL))
     fields = F.concat(_line("page-id", F.col("page_id").cast("string")), _line("payload-bytes", F.col("bytes").cast("string")), _line("refers-to-page-id", F.when(~new, F.col("first_id")).cast("string")))
-    digest = _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
+    digest = _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest"))))
     concurrent = _line("WARC-Concurrent-To", own)
     profile = _line("WARC-Profile", F.when(~new, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))
     three = F.array(
