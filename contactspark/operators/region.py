@@ -81,7 +81,7 @@ def _places() -> list[Column]:
 
 #: What names a region pair once its chromosomes are in order: bin size, chromosomes, first and last bins.
 REGION = ["bin_size", "chr1", "first1", "last1", "chr2", "first2", "last2"]
-#: Tiles that a region's side spans at most (and one), and region pairs up to which their tiles (at most 50 each) are broadcast.
+#: Tiles that a region's side spans at most (and one), and region pairs up to which their tiles (at most 25 each) are broadcast.
 SPAN, FEW = 4, 5000
 
 
@@ -95,22 +95,26 @@ def ordered_cases(cases: DataFrame) -> DataFrame:
     return cases.select("case", "bin_size", *ends, "norm", "observed")
 
 
+def _level() -> Column:
+    """Follows a region pair's wider side, so that it touches few tiles however wide it is."""
+    wide = F.greatest(F.col("last1") - F.col("first1"), F.col("last2") - F.col("first2"))
+    return F.when(wide < SPAN, 0).otherwise(F.length(F.bin(div(wide, F.lit(SPAN))))).cast("int")
+
+
 def tiles(regions: DataFrame) -> DataFrame:
     """The tiles that hold a region pair's bins: ``REGION``, level, tile1, tile2. Bins share a tile if they are equal but for their last ``level`` bits.
 
-    The level follows the wider side, so that a pair touches few tiles however wide it is.
-    Within a chromosome tiles of the mirrored pair count too; each is named once.
+    Within a chromosome tiles of the mirrored pair count too; each is named once, and,
+    as cells are, on one side of the diagonal.
     """
-    wide = F.greatest(F.col("last1") - F.col("first1"), F.col("last2") - F.col("first2"))
-    level = F.when(wide < SPAN, 0).otherwise(F.length(F.bin(div(wide, F.lit(SPAN))))).cast("int")
-    spans = regions.select(*REGION, level.alias("level"))
     tile = lambda name: F.expr(f"shiftright({name}, level)")
-    side = lambda e: F.explode(F.sequence(tile(f"first{e}"), tile(f"last{e}")))
-    pairs = spans.select("*", side("1").alias("a")).select("*", side("2").alias("b"))
-    mirrored = F.when(F.col("chr1") == F.col("chr2"), F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).otherwise(F.array(F.struct("a", "b")))
-    named = pairs.select(*REGION, "level", F.explode(mirrored).alias("t"))
-    # cells lie above the diagonal
-    return named.select(*REGION, "level", F.col("t.a").alias("tile1"), F.col("t.b").alias("tile2")).where("chr1 <> chr2 or tile1 <= tile2").distinct()
+    spans = regions.select(*REGION, _level().alias("level"))
+    spans = spans.select("*", *[F.sequence(tile(f"first{e}"), tile(f"last{e}")).alias(f"side{e}") for e in "12"])
+    pair = lambda x, y: F.struct(x.alias("tile1"), y.alias("tile2"))
+    pairs = F.flatten(F.transform("side1", lambda x: F.transform("side2", lambda y: pair(x, y))))
+    ordered = F.array_distinct(F.transform(pairs, lambda p: pair(F.least(p["tile1"], p["tile2"]), F.greatest(p["tile1"], p["tile2"]))))
+    named = F.when(F.col("chr1") == F.col("chr2"), ordered).otherwise(pairs)
+    return spans.select(*REGION, "level", F.explode(named).alias("t")).select(*REGION, "level", "t.*")
 
 
 def select_many(cell_rows: DataFrame, regions: DataFrame, few: bool) -> DataFrame:
@@ -122,13 +126,14 @@ def select_many(cell_rows: DataFrame, regions: DataFrame, few: bool) -> DataFram
     """
     asked = tiles(regions)
     matrix = ["bin_size", "chr1", "chr2"]
-    levels = asked.groupBy(*matrix).agg(F.collect_set("level").alias("levels"))  # a row for each matrix of the genome at most
+    levels = regions.select(*matrix, _level().alias("level")).groupBy(*matrix).agg(F.collect_set("level").alias("levels"))  # a row for each matrix of the genome at most
     own = cell_rows.select(*matrix, "bin1", "bin2", "count").join(F.broadcast(levels), matrix)
     own = own.select(*matrix, "bin1", "bin2", "count", F.explode("levels").alias("level"))
     own = own.withColumns({f"tile{e}": F.expr(f"shiftright(cast(bin{e} as bigint), level)") for e in "12"})
     inside = lambda name, e: F.col(name).between(F.col(f"first{e}"), F.col(f"last{e}"))
     hit = (inside("bin1", "1") & inside("bin2", "2")) | ((F.col("chr1") == F.col("chr2")) & inside("bin1", "2") & inside("bin2", "1"))
-    met = own.join(F.broadcast(asked) if few else asked, [*matrix, "level", "tile1", "tile2"]).where(hit)
+    # many tiles are more than their regions' table shows, so they are never broadcast by its size
+    met = own.join(F.broadcast(asked) if few else asked.hint("merge"), [*matrix, "level", "tile1", "tile2"]).where(hit)
     return met.select(*REGION, "bin1", "bin2", "count")
 
 

@@ -431,7 +431,7 @@ def regions_many(spark, sf_dir):
     cells_ = keep(_cells(spark, sf_dir))
     dense, factors, _ = _model(spark, sf_dir, cells_)
     own = norms.intra(cells_)
-    vectors = norms.densify(norms.coverage(own), own, GENOME).withColumn("norm", F.lit("VC"))
+    vectors = keep(norms.densify(norms.coverage(own), own, GENOME).withColumn("norm", F.lit("VC")))
     cases = _cases(_table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", 2 * MB)
     out = region.query_many(cells_, cases, vectors, keep(dense), factors, expected.between(cells_, GENOME))
     value = F.col("value").cast("double")
