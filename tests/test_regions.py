@@ -111,3 +111,7 @@ def test_a_kept_store_has_its_model_between_chromosomes(spark, store, tmp_path):
     build.save(store, f"{tmp_path}/store")
     again = build.load(spark, f"{tmp_path}/store", GENOME)
     assert rows_of(build.query(again, "b", "a:0:500000", 50_000, "VC", observed=False)) == rows_of(build.query(store, "b", "a:0:500000", 50_000, "VC", observed=False))
+
+
+def test_resolutions_are_read_coarsest_first():
+    assert matrix.parse_resolutions("5000,,1000000, 100000 ,") == [1_000_000, 100_000, 5000] and matrix.parse_resolutions("") == []
