@@ -29,12 +29,19 @@ SIZE, MAPQ = 50_000_000, 10
 GENOME = Genome(tuple((f"chr{i}", SIZE) for i in range(1, 6)), "five")
 MB, RESOLUTIONS = 1_000_000, (100_000, 500_000, 1_000_000, 2_500_000)
 BINS = norms.bins_of(GENOME, [MB])
+#: Files that a table is dealt to hold about so many rows, and there are at least so many of them.
+FILE_ROWS, FEWEST_FILES = 1_000_000, 6
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _files(table: DataFrame) -> int:
+    """To how many files a table is dealt: they follow its rows, so that no task reads more of a larger table."""
+    return max(FEWEST_FILES, -(-table.count() // FILE_ROWS))
+
+
 def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read pairs made of ``lineitem``, in the schema of the readers."""
     t = _table(spark, sf_dir, "lineitem")
@@ -564,12 +571,14 @@ def streaming_cells(spark, sf_dir):
 
 
 def streaming_batches(spark, sf_dir):
-    """The same from six files that arrive in three batches."""
+    """The same from files, six or more, that arrive in three batches."""
     from contactspark.streaming import cells as stream
 
     folder, files = fresh_path(spark, "stream"), fresh_path(spark, "arriving")
-    _table(spark, sf_dir, "lineitem").repartition(6, "l_orderkey").write.parquet(files)
-    out = stream.run_once(spark, files, "*.parquet", folder, _from_lineitem, MB, files_together=2)
+    t = _table(spark, sf_dir, "lineitem")
+    n = _files(t)
+    t.repartition(n, "l_orderkey").write.parquet(files)
+    out = stream.run_once(spark, files, "*.parquet", folder, _from_lineitem, MB, files_together=-(-n // 3))
     return _long(out, "count").select("chr1", "chr2", "bin1", "bin2", "count")
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contactspark.operators import matrix
+from contactspark.plans import catalog
 from contactspark.streaming import cells as stream
 
 SIZE = 1000
@@ -58,3 +59,19 @@ def test_files_are_followed(spark, tmp_path):
     arriving(spark, 2).write.mode("append").parquet(f"{tmp_path}/in")
     out = stream.run_once(spark, f"{tmp_path}/in", "*.parquet", f"{tmp_path}/stream", lambda df: df, SIZE, files_together=2)
     assert held(out) == held(matrix.cells(arriving(spark, 1).unionByName(arriving(spark, 2)), SIZE))
+
+
+def test_files_of_a_larger_table_are_more_and_arrive_in_three_batches(spark, monkeypatch):
+    seen, run_once = [], stream.run_once
+
+    def watched(spark_, path, *args, files_together):
+        rows = [r["count"] for r in spark_.read.parquet(path).groupBy("_metadata.file_path").count().collect()]
+        seen.append((max(rows), -(-len(rows) // files_together)))
+        return run_once(spark_, path, *args, files_together=files_together)
+
+    want = catalog.streaming_cells(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(stream, "run_once", watched)
+    monkeypatch.setattr(catalog, "FILE_ROWS", 200, raising=False)  # of some 6000
+    got = catalog.streaming_batches(spark, "/root/testdata/sf0.001").collect()
+    assert seen[0][0] < 600 and seen[0][1] == 3
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
