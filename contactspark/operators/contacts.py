@@ -84,6 +84,11 @@ def require_contiguous(ordered: DataFrame, order: list[str] | None = None) -> No
 
 
 def first_appearance(ordered: DataFrame) -> DataFrame:
-    """chr1, chr2 and ``place``, from 1, in the order in which chromosome pairs first appear in the input (by the column ``ordinal`` of ``read_pairs``)."""
-    first = ordered.groupBy("chr1", "chr2").agg(F.min("ordinal").alias("at"))  # a row for each pair of chromosomes
+    """chr1, chr2 and ``place``, from 1, in the order in which chromosome pairs first appear in the input (by the column ``ordinal`` of ``read_pairs``).
+
+    The least place is taken within each range of a file first: that is a number, which
+    lines are summed up to by hash, where the least of structs would sort all lines.
+    """
+    inside = ordered.groupBy("chr1", "chr2", "ordinal.file", "ordinal.start").agg(F.min("ordinal.place").alias("place"))
+    first = inside.groupBy("chr1", "chr2").agg(F.min(F.struct("file", "start", "place")).alias("at"))  # a row for each pair of chromosomes
     return first.select("chr1", "chr2", F.row_number().over(Window.orderBy("at")).alias("place"))

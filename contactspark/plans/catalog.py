@@ -377,7 +377,8 @@ def norm_status(spark, sf_dir):
 
 def _sorted_file(spark, sf_dir) -> DataFrame:
     """The contacts as lines of files, in order of their positions, read back with where they stood."""
-    p = _contacts(spark, sf_dir).orderBy("pos1", "pos2", "chr1", "chr2")
+    order = ("pos1", "pos2", "chr1", "chr2")
+    p = _contacts(spark, sf_dir).repartitionByRange(_files(_table(spark, sf_dir, "lineitem")), *order).sortWithinPartitions(*order)
     folder = fresh_path(spark, "sorted")
     p.select(F.concat_ws(" ", "chr1", "pos1", "chr2", "pos2").alias("value")).write.text(folder)
     return text.read_pairs(spark, folder, GENOME, "short", ordinal=True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contactspark.genome import Genome
 from contactspark.operators import contacts
+from contactspark.plans import catalog
 from contactspark.sources import ranges, text
 
 GENOME = Genome((("chr1", 1_000_000), ("chr2", 2_000_000)))
@@ -112,6 +113,23 @@ def test_contiguity_in_the_order_of_a_file(spark, tmp_path, small_splits):
     assert contacts.scattered_groups(read("none", [])).count() == 0
 
 
+def test_first_appearance_sorts_no_lines(spark, tmp_path):
+    read = text.read_pairs(spark, _written(tmp_path / "x.mnd", "0 chr1 5 0 0 chr2 9 1\n"), GENOME, ordinal=True)
+    plan = contacts.first_appearance(read)._jdf.queryExecution().executedPlan().toString()
+    nodes = [line for line in plan.split("\n") if "Aggregate(" in line]
+    assert "HashAggregate" in nodes[-1] and "partial_min(" in nodes[-1]  # the one next to the lines
+
+
+def test_files_of_a_larger_table_are_more_and_in_order(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "FILE_ROWS", 200, raising=False)  # of some 6000
+    read = catalog._sorted_file(spark, "/root/testdata/sf0.001")
+    per = [r["count"] for r in read.groupBy("ordinal.file").count().collect()]
+    assert len(per) > 20 and max(per) < 600
+    key = ("pos1", "pos2", "chr1", "chr2")
+    got = [tuple(r) for r in read.orderBy("ordinal").select(*key).collect()]
+    assert got == sorted(got) and len(got) == sum(per)
+
+
 def _written(path, content):
     path.write_text(content)
     return str(path)
