@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactspark.functions.blocks import div
@@ -168,14 +168,25 @@ def coverage_stats(own: DataFrame) -> DataFrame:
     """chr, bin_size with rows that hold cells (n_rows), their mean and population deviation, the count a fifth of the way up, and the fewest cells a row should hold by mean and deviation.
 
     All from a histogram: of a matrix's rows by how many cells they hold, cumulated, so
-    that no task holds more than the different counts.
+    that no task holds more than the different counts. The sums are whole numbers and the
+    bound is compared with them, so rounding can't move it where mean less deviation is whole.
     """
     keys = ["chr", "bin_size"]
     held = row_nonzeros(own).groupBy(*keys, "n").agg(F.count("*").alias("k"))
     upto, every = Window.partitionBy(*keys).orderBy("n"), Window.partitionBy(*keys)
     held = held.withColumns({"upto": F.sum("k").over(upto), "n_rows": F.sum("k").over(every)})
     place = F.floor(F.col("n_rows") * scale.PERCENTILE)
-    s = held.groupBy(*keys).agg(F.first("n_rows").alias("n_rows"), F.sum(F.col("n") * F.col("k")).alias("s1"), F.sum(F.col("n").cast("double") * F.col("n") * F.col("k")).alias("s2"), F.min(F.when(F.col("upto") > place, F.col("n"))).alias("fifth"))
-    mean = F.col("s1") / F.col("n_rows")
-    s = s.select(*keys, "n_rows", mean.alias("mean"), F.sqrt(F.greatest(F.col("s2") / F.col("n_rows") - mean * mean, F.lit(0.0))).alias("deviation"), "fifth")
-    return s.withColumn("bound", F.greatest(F.lit(1), F.ceil(F.col("mean") - F.col("deviation"))).cast("int"))
+    whole = lambda x: x.cast("decimal(19,0)")
+    squares = F.sum(whole(F.col("n") * F.col("n")) * whole(F.col("k")))
+    s = held.groupBy(*keys).agg(F.first("n_rows").alias("n_rows"), F.sum(F.col("n") * F.col("k")).alias("s1"), squares.alias("s2"), F.min(F.when(F.col("upto") > place, F.col("n"))).alias("fifth"))
+    s = s.withColumn("spread", whole(F.col("n_rows")) * F.col("s2") - whole(F.col("s1")) * whole(F.col("s1")))  # the variance times n_rows squared
+    s = s.select(*keys, "n_rows", (F.col("s1") / F.col("n_rows")).alias("mean"), (F.sqrt(F.col("spread").cast("double")) / F.col("n_rows")).alias("deviation"), "fifth", "s1", "spread")
+
+    def reached(bound: Column) -> Column:
+        """Whether ``bound`` is at least the mean less the deviation."""
+        short = F.col("s1") - bound * F.col("n_rows")
+        return (short <= 0) | (whole(short) * whole(short) <= F.col("spread"))
+
+    near = F.ceil(F.col("mean") - F.col("deviation"))
+    bound = F.when(reached(near - 1), near - 1).when(reached(near), near).otherwise(near + 1)
+    return s.withColumn("bound", F.greatest(F.lit(1), bound).cast("int")).drop("s1", "spread")

@@ -168,6 +168,14 @@ def test_order_clamp_and_near_diagonal(spark):
     assert contacts.contacts(same, g, drop_same_fragment=True).count() == 0
 
 
+def test_coverage_bound_where_mean_less_deviation_is_whole(spark):
+    """Rows of 3, 2, 2, 2, 2, 1, 1, 1, 1 cells: the mean is 5/3, the deviation 2/3; in doubles their difference comes out above 1."""
+    pairs = [(0, 1), (0, 2), (0, 3), (8, 8), (4, 4), (5, 5), (6, 6), (7, 7), (4, 5), (6, 7)]
+    own = spark.createDataFrame([(1, 10, a, b, 1.0) for a, b in pairs], "chr int, bin_size int, bin1 int, bin2 int, count double")
+    r = norms.coverage_stats(own).first()
+    assert (r.n_rows, round(r["mean"], 12), round(r.deviation, 12), r.fifth, r.bound) == (9, round(5 / 3, 12), round(2 / 3, 12), 1, 1)
+
+
 def test_contiguous_groups(spark):
     def frame(keys):
         return spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(keys)], "chr1 int, chr2 int, n long")
